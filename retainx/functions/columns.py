@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from retainx.functions.expr import is_numeric_type, pandas_dtype
+from retainx.functions.expr import is_numeric_type, pandas_dtype, pandas_str
 
 
 def qcol(name: str) -> Column:
@@ -56,7 +56,8 @@ def long_values(df: DataFrame) -> DataFrame:
         c = qcol(f.name)
         num = c.cast("double") if is_numeric_type(f.dataType) else F.lit(None).cast("double")
         keep = ~is_missing(df, f.name)
-        cols.append(F.when(keep, F.struct(c.cast("string").alias("value"), num.alias("num")))
+        text = pandas_str(c, f.dataType)
+        cols.append(F.when(keep, F.struct(text.alias("value"), num.alias("num")))
                     .otherwise(F.lit(None).cast(vt)).alias(str(i)))
     wide = df.select(*cols)
     long = wide.unpivot([], [str(i) for i in range(len(fields))], "ordinal", "v")

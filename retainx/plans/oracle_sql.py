@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from retainx.plans.oracles import (
-    CUSTOMER_COLS, LINEITEM_COLS, PRED_COLS, TELCO_COLS, datasets_cte, long_values_cte, profile_cte, q, src_table,
-    with_src,
+from retainx.plans.oracles import (  # noqa: F401
+    CUSTOMER_COLS, LINEITEM_COLS, PRED_COLS, TELCO_COLS, datasets_cte, long_values_cte, predictions_cte, profile_cte, q,
+    src_table, telco_cte, with_src,
 )
 
 ORACLES: dict = {}
@@ -107,3 +107,136 @@ ORACLES["configure_target"] = with_src(src_table("telco"), [profile_cte(TELCO_CO
 
 ORACLES["class_count_guard"] = ("SELECT 'quality' AS target_column, count(DISTINCT quality) AS n_classes, "
                                 "count(DISTINCT quality) >= 2 AS can_train FROM labels")
+
+
+# ---- descriptive statistics ---------------------------------------------------
+from retainx.plans.oracles import ORDERS_COLS, guarded_double, r  # noqa: E402
+
+TELCO_COERCED = ("SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, "
+                 f"PaymentMethod, MonthlyCharges, {guarded_double('TotalCharges')} AS TotalCharges, Churn FROM telco")
+LI_NUM = [c for c, k in LINEITEM_COLS if k in "if"]
+
+
+def _quantile_ctes(cols):
+    lx = " UNION ALL ".join(f"SELECT {i} AS ordinal, CAST({q(c)} AS DOUBLE) AS x FROM src WHERE {q(c)} IS NOT NULL "
+                            f"AND NOT isnan(CAST({q(c)} AS DOUBLE))" for i, c in enumerate(cols))
+    return [f"lx AS ({lx})",
+            "rk AS (SELECT ordinal, x, row_number() OVER (PARTITION BY ordinal ORDER BY x) - 1 AS k FROM lx)",
+            "nn AS (SELECT ordinal, count(*) AS n FROM lx GROUP BY ordinal)",
+            "tg AS (SELECT ordinal, prob, prob * (n - 1) AS pos, floor(prob * (n - 1)) AS i FROM nn, "
+            "(VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) p(prob))",
+            "pk AS (SELECT tg.ordinal, tg.prob, pos - i AS t, max(CASE WHEN k = i THEN x END) AS a, "
+            "coalesce(max(CASE WHEN k = i + 1 THEN x END), max(CASE WHEN k = i THEN x END)) AS b "
+            "FROM tg JOIN rk ON tg.ordinal = rk.ordinal AND (k = i OR k = i + 1) GROUP BY tg.ordinal, tg.prob, pos, i)",
+            "qv AS (SELECT ordinal, prob, CASE WHEN t >= 0.5 THEN b - (b - a) * (1.0 - t) ELSE a + (b - a) * t END AS v FROM pk)"]
+
+
+def _numeric_stats_sql(src_cte, cols):
+    per = " UNION ALL ".join(
+        f"SELECT {i} AS ordinal, '{c}' AS column_name, count(x) AS n, count(*) - count(x) AS missing, avg(x) AS mean, "
+        f"stddev_samp(x) AS std, min(x) AS mn, max(x) AS mx, skewness(x) AS sk "
+        f"FROM (SELECT CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CAST({q(c)} AS DOUBLE) END AS x FROM src)"
+        for i, c in enumerate(cols))
+    return with_src(src_cte, [f"per AS ({per})", *_quantile_ctes(cols)],
+                    f"SELECT column_name, n AS count, missing, {r('mean', 2)} AS mean, "
+                    f"{r('CASE WHEN n > 1 THEN std ELSE 0.0 END', 2)} AS std, "
+                    f"{r('(SELECT v FROM qv WHERE qv.ordinal = per.ordinal AND prob = 0.5)', 2)} AS median, "
+                    f"{r('mn', 2)} AS min, {r('mx', 2)} AS max, "
+                    f"{r('(SELECT v FROM qv WHERE qv.ordinal = per.ordinal AND prob = 0.25)', 2)} AS q25, "
+                    f"{r('(SELECT v FROM qv WHERE qv.ordinal = per.ordinal AND prob = 0.75)', 2)} AS q75, "
+                    f"{r('CASE WHEN n <= 2 THEN 0.0 WHEN sk IS NULL OR isnan(sk) THEN 0.0 ELSE sk END', 2)} AS skew "
+                    "FROM per WHERE n > 0")
+
+
+ORACLES["coerce_numeric"] = f"WITH {telco_cte()} {TELCO_COERCED}"
+
+ORACLES["numeric_stats"] = _numeric_stats_sql(src_table("lineitem"), LI_NUM)
+
+_ORD_CAT = [(c, k) for c, k in ORDERS_COLS if k not in "if"]
+ORACLES["categorical_stats"] = with_src(src_table("orders"), [
+    long_values_cte(_ORD_CAT),
+    "names(ordinal, column_name) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(_ORD_CAT)) + ")",
+    "vc AS (SELECT ordinal, value, count(*) AS n FROM lv GROUP BY ordinal, value)",
+    "ag AS (SELECT ordinal, sum(n) AS count, count(*) AS unique_count, first(value ORDER BY n DESC, value) AS top_value, "
+    "max(n) AS top_frequency FROM vc GROUP BY ordinal)"],
+    "SELECT column_name, CAST(count AS BIGINT) AS count, (SELECT count(*) FROM src) - CAST(count AS BIGINT) AS missing, "
+    f"unique_count, top_value, top_frequency, {r('top_frequency / count * 100.0', 2)} AS frequency_percentage "
+    "FROM ag JOIN names USING (ordinal)")
+
+ORACLES["categorical_values"] = with_src(src_table("orders"), [
+    long_values_cte(_ORD_CAT),
+    "names(ordinal, column_name) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(_ORD_CAT)) + ")",
+    "d AS (SELECT DISTINCT ordinal, value, num FROM lv)",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY num NULLS LAST, value) AS value_rank FROM d)"],
+    "SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value FROM rk JOIN names USING (ordinal) WHERE value_rank <= 20")
+
+ORACLES["target_distribution"] = (
+    "WITH c AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1) "
+    f"SELECT k AS name, n AS count, {r('n / (SELECT count(*) FROM lineitem) * 100.0', 1)} AS percentage, "
+    "CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS position FROM c")
+
+_TELCO_CT = ["InternetService", "OnlineSecurity", "TechSupport", "Contract", "PaymentMethod"]
+ORACLES["category_by_target"] = (
+    f"WITH {telco_cte()}, src AS ({TELCO_COERCED}), long AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(CAST({q(c)} AS VARCHAR), 'nan') AS category, "
+                         f"coalesce(Churn, 'nan') AS target_class FROM src" for c in _TELCO_CT)
+    + "), counts AS (SELECT feature, category, target_class, count(*) AS n FROM long GROUP BY ALL), "
+    "grid AS (SELECT DISTINCT c.feature, c.category, t.target_class FROM counts c, (SELECT DISTINCT target_class FROM counts) t) "
+    "SELECT g.feature, g.category, g.target_class, CAST(coalesce(n, 0) AS BIGINT) AS count FROM grid g "
+    "LEFT JOIN counts USING (feature, category, target_class)")
+
+
+def _fmt1(x):
+    t = f"CAST(round_even(({x}) * 10.0, 0) AS BIGINT)"
+    return (f"(CASE WHEN {t} < 0 THEN '-' ELSE '' END || CAST(abs({t}) // 10 AS VARCHAR) || '.' || "
+            f"lpad(CAST(abs({t}) % 10 AS VARCHAR), 1, '0'))")
+
+
+def _edge(i):
+    return f"(CASE WHEN {i} >= 8 THEN hi ELSE CAST({i} AS DOUBLE) * step + lo END)"
+
+
+_hl = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({q(c)} AS DOUBLE) AS x FROM lineitem WHERE {q(c)} IS NOT NULL"
+                         for c in LI_NUM)
+ORACLES["numeric_histogram"] = (
+    f"WITH long AS ({_hl}), "
+    "r0 AS (SELECT feature, count(*) AS n, min(x) AS lo0, max(x) AS hi0 FROM long GROUP BY feature), "
+    "rng AS (SELECT feature, lo, hi, (hi - lo) / 8.0 AS step FROM (SELECT feature, "
+    "CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi "
+    "FROM r0 WHERE n > 10)), "
+    "b0 AS (SELECT long.feature, x, lo, hi, step, CAST(trunc((x - lo) / (hi - lo) * 8.0) AS BIGINT) AS i0 FROM long JOIN rng USING (feature)), "
+    "b1 AS (SELECT *, CASE WHEN i0 = 8 THEN i0 - 1 ELSE i0 END AS i1 FROM b0), "
+    f"b2 AS (SELECT *, CASE WHEN x < {_edge('i1')} THEN i1 - 1 ELSE i1 END AS i2 FROM b1), "
+    f"b3 AS (SELECT feature, CASE WHEN x >= {_edge('i2 + 1')} AND i2 <> 7 THEN i2 + 1 ELSE i2 END AS bin_index FROM b2), "
+    "counts AS (SELECT feature, bin_index, count(*) AS n FROM b3 GROUP BY ALL), "
+    "grid AS (SELECT feature, lo, hi, step, CAST(g.bin_index AS BIGINT) AS bin_index FROM rng, range(0, 8) g(bin_index)) "
+    f"SELECT feature, CAST(bin_index AS INTEGER) AS bin_index, {_fmt1(_edge('bin_index'))} || '-' || {_fmt1(_edge('bin_index + 1'))} AS bin, "
+    "CAST(coalesce(n, 0) AS BIGINT) AS count FROM grid LEFT JOIN counts USING (feature, bin_index)")
+
+_corr_cells = []
+for _a in LI_NUM:
+    for _b in LI_NUM:
+        _corr_cells.append(f"SELECT '{_a}' AS x, '{_b}' AS y, "
+                           f"{r(f'CASE WHEN corr({q(_a)}, {q(_b)}) IS NULL OR isnan(corr({q(_a)}, {q(_b)})) THEN 0.0 ELSE corr({q(_a)}, {q(_b)}) END', 2)}"
+                           f" AS value FROM lineitem")
+ORACLES["correlation_matrix"] = " UNION ALL ".join(_corr_cells)
+
+ORACLES["dataset_analysis"] = (f"WITH {telco_cte()} SELECT count(*) AS rows_count, CAST(11 AS BIGINT) AS columns_count, "
+                               "'Churn' AS target_column, CAST(4 AS BIGINT) AS numerical_columns, "
+                               "CAST(7 AS BIGINT) AS categorical_columns FROM telco")
+
+ORACLES["churn_kpis"] = (
+    f"WITH {telco_cte()}, c AS (SELECT Churn AS k, count(*) AS n FROM telco WHERE Churn IS NOT NULL GROUP BY 1), "
+    "rk AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS rn, "
+    "lower(regexp_replace(k, '^\\s+|\\s+$', '', 'g')) IN ('yes', '1', 'true', 'churn', 'exited', 'churned') AS pos FROM c), "
+    "p AS (SELECT coalesce((SELECT n FROM rk WHERE pos ORDER BY rn LIMIT 1), (SELECT n FROM rk WHERE rn = 2), "
+    "(SELECT n FROM rk WHERE rn = 1), 0) AS churned), t AS (SELECT count(*) AS total FROM telco) "
+    "SELECT total AS total_customers, CAST(churned AS BIGINT) AS churned_customers, "
+    "CAST(total - churned AS BIGINT) AS non_churned_customers, "
+    f"CASE WHEN total > 0 THEN {r('churned / total * 100.0', 1)} ELSE 0.0 END AS churn_rate FROM t, p")
+
+ORACLES["display_class"] = (
+    f"WITH {telco_cte()}, c AS (SELECT Churn AS k, count(*) AS n FROM telco WHERE Churn IS NOT NULL GROUP BY 1) "
+    f"SELECT k AS name, n AS count, {r('n / (SELECT count(*) FROM telco) * 100.0', 1)} AS percentage, "
+    "CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS position, "
+    "CASE WHEN lower(k) IN ('1', 'yes') THEN 'Churned' ELSE 'Retained' END AS display_name FROM c")

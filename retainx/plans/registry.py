@@ -111,3 +111,62 @@ def q_configure_target(spark, sf):
 @query("class_count_guard")
 def q_class_count_guard(spark, sf):
     return P.class_count_guard(_t(spark, sf, "labels"), "quality")
+
+
+# ---- descriptive statistics ---------------------------------------------------
+from retainx.operators import stats as D  # noqa: E402
+
+
+@query("coerce_numeric")
+def q_coerce_numeric(spark, sf):
+    return D.coerce_numeric(V.telco(spark, sf))
+
+
+@query("numeric_stats")
+def q_numeric_stats(spark, sf):
+    return D.numeric_stats(D.coerce_numeric(_t(spark, sf, "lineitem")))
+
+
+@query("categorical_stats")
+def q_categorical_stats(spark, sf):
+    return D.categorical_stats(D.coerce_numeric(_t(spark, sf, "orders")))
+
+
+@query("categorical_values")
+def q_categorical_values(spark, sf):
+    return D.categorical_values(D.coerce_numeric(_t(spark, sf, "orders")))
+
+
+@query("target_distribution")
+def q_target_distribution(spark, sf):
+    return D.target_distribution(_t(spark, sf, "lineitem"), "l_returnflag")
+
+
+@query("category_by_target")
+def q_category_by_target(spark, sf):
+    return D.category_by_target(D.coerce_numeric(V.telco(spark, sf)), "Churn")
+
+
+@query("numeric_histogram")
+def q_numeric_histogram(spark, sf):
+    return D.numeric_histogram(D.coerce_numeric(_t(spark, sf, "lineitem")), "l_linestatus")
+
+
+@query("correlation_matrix")
+def q_correlation_matrix(spark, sf):
+    return D.correlation_matrix(D.coerce_numeric(_t(spark, sf, "lineitem")))
+
+
+@query("dataset_analysis")
+def q_dataset_analysis(spark, sf):
+    return D.dataset_analysis(V.telco(spark, sf), "Churn")
+
+
+@query("churn_kpis")
+def q_churn_kpis(spark, sf):
+    return D.churn_kpis(V.telco(spark, sf), "Churn")
+
+
+@query("display_class")
+def q_display_class(spark, sf):
+    return D.display_classes(V.telco(spark, sf), "Churn")
