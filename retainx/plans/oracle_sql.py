@@ -240,3 +240,111 @@ ORACLES["display_class"] = (
     f"SELECT k AS name, n AS count, {r('n / (SELECT count(*) FROM telco) * 100.0', 1)} AS percentage, "
     "CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS position, "
     "CASE WHEN lower(k) IN ('1', 'yes') THEN 'Churned' ELSE 'Retained' END AS display_name FROM c")
+
+
+# ---- row sets -----------------------------------------------------------------
+_TC = [c for c, _ in TELCO_COLS]
+_TXT = ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '') AS {q(c)}" for c in _TC)
+
+ORACLES["preview"] = (f"WITH {telco_cte()} SELECT {_TXT}, (SELECT count(*) FROM telco) AS total_rows "
+                      "FROM telco ORDER BY customerID LIMIT 100")
+ORACLES["search_any_column"] = (f"WITH {telco_cte()} SELECT * FROM telco WHERE "
+                                + " OR ".join(f"coalesce(contains(lower(CAST({q(c)} AS VARCHAR)), 'fiber'), false)" for c in _TC))
+ORACLES["class_filter"] = f"WITH {telco_cte()} SELECT * FROM telco WHERE lower(Churn) IN ('yes', '1', 'true', 'churn')"
+ORACLES["random_customer"] = (
+    f"WITH {telco_cte()} SELECT {_TXT}, Churn AS actual_target FROM telco ORDER BY "
+    "CASE WHEN lower(Churn) IN ('no', '0', 'false', 'retained') THEN 0 ELSE 1 END, md5(concat_ws(':', '42', customerID)) LIMIT 1")
+ORACLES["distinct_rows"] = (f"WITH {telco_cte()} SELECT {', '.join(q(c) for c in _TC if c != 'customerID')} "
+                            "FROM (SELECT DISTINCT * FROM telco)")
+ORACLES["drop_columns"] = (f"WITH {telco_cte()} SELECT {', '.join(q(c) for c in _TC if c not in ('customerID', 'Churn'))} FROM telco")
+
+# ---- features -----------------------------------------------------------------
+_FEAT = ["SeniorCitizen", "tenure", "InternetService", "OnlineSecurity", "TechSupport", "Contract", "PaymentMethod",
+         "MonthlyCharges", "TotalCharges"]
+_NUM = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
+_CAT = ["InternetService", "OnlineSecurity", "TechSupport", "Contract", "PaymentMethod"]
+_PREP = (f"{telco_cte()}, prep AS (SELECT SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, "
+         f"PaymentMethod, MonthlyCharges, {guarded_double('TotalCharges')} AS TotalCharges, Churn "
+         "FROM (SELECT DISTINCT * FROM telco))")
+_LAB = _PREP + ", lab AS (SELECT *, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM prep)"
+_hash_text = "concat_ws('|', '42', " + ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '')" for c in _FEAT + ["Churn"]) + ")"
+_SPLIT = (_LAB + f", h AS (SELECT *, ('0x' || substr(md5({_hash_text}), 1, 15))::BIGINT AS _h FROM lab), "
+          "cnt AS (SELECT label, count(*) AS nc FROM h GROUP BY label), "
+          "tot AS (SELECT sum(nc) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(nc)) AS BIGINT) AS nt FROM cnt), "
+          "al0 AS (SELECT label, floor(nt * nc / n) AS base, nt * nc / n - floor(nt * nc / n) AS frac, nt FROM cnt, tot), "
+          "al AS (SELECT label, CAST(base + CASE WHEN row_number() OVER (ORDER BY frac DESC, label) <= nt - sum(base) OVER () "
+          "THEN 1 ELSE 0 END AS BIGINT) AS k FROM al0), "
+          "rk AS (SELECT label, _h, row_number() OVER (PARTITION BY label ORDER BY _h) AS rn FROM h), "
+          "thr AS (SELECT rk.label, max(_h) AS thr FROM rk JOIN al ON rk.label = al.label AND rn = al.k GROUP BY rk.label), "
+          "split AS (SELECT h.* EXCLUDE (_h), coalesce(_h <= thr, false) AS is_test FROM h LEFT JOIN thr USING (label))")
+
+ORACLES["prepare"] = f"WITH {_PREP} SELECT * FROM prep"
+ORACLES["map_target"] = f"WITH {telco_cte()} SELECT customerID, Churn, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM telco"
+ORACLES["split_feature_types"] = ("SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{c}', '{'numerical' if c in _NUM else 'categorical'}')" for i, c in enumerate(_FEAT)) + ") t(ordinal, column_name, kind)")
+ORACLES["normalize_categories"] = (f"WITH {_PREP} SELECT " + ", ".join(
+    f"regexp_replace(coalesce(CAST({q(c)} AS VARCHAR), 'nan'), '^\\s+|\\s+$', '', 'g') AS {q(c)}" if c in _CAT else q(c)
+    for c in _FEAT + ["Churn"]) + " FROM prep")
+ORACLES["category_domain"] = (f"WITH {_PREP} " + " UNION ".join(
+    f"SELECT '{c}' AS column_name, regexp_replace(coalesce(CAST({q(c)} AS VARCHAR), 'nan'), '^\\s+|\\s+$', '', 'g') AS value FROM prep"
+    for c in _CAT))
+
+
+def _median_sql(src: str, cols) -> list[str]:
+    lx = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({q(c)} AS DOUBLE) AS x FROM {src} "
+                            f"WHERE {q(c)} IS NOT NULL AND NOT isnan(CAST({q(c)} AS DOUBLE))" for c in cols)
+    return [f"mx AS ({lx})",
+            "mrk AS (SELECT column_name, x, row_number() OVER (PARTITION BY column_name ORDER BY x) - 1 AS k FROM mx)",
+            "mn AS (SELECT column_name, count(*) AS n FROM mx GROUP BY column_name)",
+            "mtg AS (SELECT column_name, 0.5 * (n - 1) AS pos, floor(0.5 * (n - 1)) AS i FROM mn)",
+            "mpk AS (SELECT mtg.column_name, pos - i AS t, max(CASE WHEN k = i THEN x END) AS a, "
+            "coalesce(max(CASE WHEN k = i + 1 THEN x END), max(CASE WHEN k = i THEN x END)) AS b "
+            "FROM mtg JOIN mrk ON mtg.column_name = mrk.column_name AND (k = i OR k = i + 1) GROUP BY mtg.column_name, pos, i)",
+            "med AS (SELECT column_name, CASE WHEN t >= 0.5 THEN b - (b - a) * (1.0 - t) ELSE a + (b - a) * t END AS median FROM mpk)"]
+
+
+ORACLES["numeric_ranges"] = (
+    f"WITH {_PREP}, " + ", ".join(_median_sql("prep", _NUM)) + ", ag AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, min(CAST({q(c)} AS DOUBLE)) AS mn, max(CAST({q(c)} AS DOUBLE)) AS mxx, "
+        f"avg(CAST({q(c)} AS DOUBLE)) AS mean FROM prep" for c in _NUM)
+    + ") SELECT column_name, coalesce(mn, 0.0) AS min, coalesce(mxx, 100.0) AS max, round(coalesce(mean, 50.0), 9) AS mean, "
+      "coalesce(median, 50.0) AS median FROM ag LEFT JOIN med USING (column_name)")
+
+ORACLES["train_test_split"] = f"WITH {_SPLIT} SELECT * FROM split"
+
+_IMP = (_SPLIT + ", train AS (SELECT * FROM split WHERE NOT is_test), " + ", ".join(_median_sql("train", _NUM))
+        + ", imp AS (SELECT " + ", ".join(
+            f"coalesce(CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CAST({q(c)} AS DOUBLE) END, "
+            f"(SELECT median FROM med WHERE column_name = '{c}')) AS {q(c)}" if c in _NUM else q(c)
+            for c in _FEAT + ["Churn", "label", "is_test"]) + " FROM split)")
+ORACLES["impute_median"] = f"WITH {_IMP} SELECT * FROM imp"
+
+ORACLES["impute_mode"] = (f"WITH {_SPLIT}, cc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, regexp_replace(coalesce(CAST({q(c)} AS VARCHAR), 'nan'), '^\\s+|\\s+$', '', 'g') AS value "
+    "FROM split WHERE NOT is_test" for c in _CAT)
+    + "), vc AS (SELECT column_name, value, count(*) AS n FROM cc GROUP BY ALL) "
+      "SELECT column_name, first(value ORDER BY n DESC, value) AS mode FROM vc GROUP BY column_name")
+
+ORACLES["standard_scale"] = (
+    f"WITH {_IMP}, st AS (SELECT " + ", ".join(
+        f"avg({q(c)}) AS m_{i}, CASE WHEN stddev_pop({q(c)}) IS NULL OR stddev_pop({q(c)}) = 0 THEN 1.0 ELSE stddev_pop({q(c)}) END AS s_{i}"
+        for i, c in enumerate(_NUM)) + " FROM imp WHERE NOT is_test) SELECT " + ", ".join(
+        f"round(({q(c)} - m_{_NUM.index(c)}) / s_{_NUM.index(c)}, 6) AS {q(c)}" if c in _NUM else q(c)
+        for c in _FEAT + ["Churn", "label", "is_test"]) + " FROM imp, st")
+
+_OH_DOM = {"InternetService": ["DSL", "Fiber optic", "No"], "OnlineSecurity": ["No", "No internet service", "Yes"],
+           "TechSupport": ["No", "No internet service", "Yes"], "Contract": ["Month-to-month", "One year", "Two year"],
+           "PaymentMethod": ["Bank transfer (automatic)", "Credit card (automatic)", "Electronic check", "Mailed check"]}
+ORACLES["one_hot"] = (f"WITH {_SPLIT} SELECT label, is_test, " + ", ".join(
+    f"CAST(coalesce(regexp_replace(coalesce(CAST({q(c)} AS VARCHAR), 'nan'), '^\\s+|\\s+$', '', 'g') = '{v}', false) AS INTEGER) "
+    f"AS {q(c + '_' + v)}" for c, vs in _OH_DOM.items() for v in vs) + " FROM split")
+
+_tc = "TotalCharges"
+ORACLES["derive_total_charges"] = (
+    f"WITH {telco_cte()} SELECT customerID, MonthlyCharges, tenure, CASE WHEN {_tc} IS NULL OR "
+    f"regexp_replace({_tc}, '^\\s+|\\s+$', '', 'g') = '' OR coalesce({guarded_double(_tc)}, 1.0) = 0.0 THEN "
+    f"CAST({r('coalesce(' + guarded_double('CAST(MonthlyCharges AS VARCHAR)') + ', 0.0) * greatest(coalesce(' + guarded_double('CAST(tenure AS VARCHAR)') + ', 0.0), 1.0)', 2)} AS VARCHAR) "
+    f"ELSE {_tc} END AS {_tc} FROM telco")
+
+ORACLES["balanced_class_weight"] = (
+    f"WITH {_LAB} SELECT Churn, label, count(*) OVER () / (2 * count(*) OVER (PARTITION BY label)) AS weight FROM lab")

@@ -170,3 +170,143 @@ def q_churn_kpis(spark, sf):
 @query("display_class")
 def q_display_class(spark, sf):
     return D.display_classes(V.telco(spark, sf), "Churn")
+
+
+# ---- row sets -----------------------------------------------------------------
+from retainx.operators import features as FE, rows as R  # noqa: E402
+
+
+@query("preview")
+def q_preview(spark, sf):
+    return R.preview(V.telco(spark, sf), ["customerID"], 100)
+
+
+@query("search_any_column")
+def q_search_any_column(spark, sf):
+    return R.search_any_column(V.telco(spark, sf), "fiber")
+
+
+@query("class_filter")
+def q_class_filter(spark, sf):
+    return R.class_filter(V.telco(spark, sf), "Churn", "churn")
+
+
+@query("random_customer")
+def q_random_customer(spark, sf):
+    return R.random_customer(V.telco(spark, sf), "Churn", "loyal", ["customerID"], seed=42)
+
+
+@query("distinct_rows")
+def q_distinct_rows(spark, sf):
+    return R.distinct_rows(V.telco(spark, sf), ["customerID"])
+
+
+@query("drop_columns")
+def q_drop_columns(spark, sf):
+    return R.drop_columns(V.telco(spark, sf), ["customerID", "Churn"])
+
+
+# ---- features -----------------------------------------------------------------
+def _prepared(spark, sf):
+    return FE.prepare(V.telco(spark, sf), "Churn", ["customerID"])
+
+
+def _labelled(spark, sf):
+    prep = _prepared(spark, sf)
+    pos, _ = FE.positive_class(prep, "Churn")
+    return FE.map_target(prep, "Churn", pos)
+
+
+def _split(spark, sf):
+    return FE.train_test_split(_labelled(spark, sf), "label", 0.2, 42, stratify=True)
+
+
+@query("prepare")
+def q_prepare(spark, sf):
+    return _prepared(spark, sf)
+
+
+@query("map_target")
+def q_map_target(spark, sf):
+    t = V.telco(spark, sf)
+    pos, _ = FE.positive_class(t, "Churn")
+    return FE.map_target(t, "Churn", pos).select("customerID", "Churn", "label")
+
+
+@query("split_feature_types")
+def q_split_feature_types(spark, sf):
+    return FE.feature_types_frame(_prepared(spark, sf), "Churn")
+
+
+@query("normalize_categories")
+def q_normalize_categories(spark, sf):
+    prep = _prepared(spark, sf)
+    _, cat = FE.split_feature_types(prep, "Churn")
+    return FE.normalize_categories(prep, cat)
+
+
+@query("category_domain")
+def q_category_domain(spark, sf):
+    prep = _prepared(spark, sf)
+    _, cat = FE.split_feature_types(prep, "Churn")
+    return FE.category_domain(prep, cat)
+
+
+@query("numeric_ranges")
+def q_numeric_ranges(spark, sf):
+    prep = _prepared(spark, sf)
+    num, _ = FE.split_feature_types(prep, "Churn")
+    out = FE.numeric_ranges(prep, num)
+    return out.withColumn("mean", F.round("mean", 9))
+
+
+@query("train_test_split")
+def q_train_test_split(spark, sf):
+    return _split(spark, sf)
+
+
+@query("impute_median")
+def q_impute_median(spark, sf):
+    sp = _split(spark, sf)
+    num, _ = FE.split_feature_types(sp.drop("label", "is_test"), "Churn")
+    med = FE.train_medians(sp.where(~F.col("is_test")), num)
+    return FE.impute_median(sp, med)
+
+
+@query("impute_mode")
+def q_impute_mode(spark, sf):
+    sp = _split(spark, sf)
+    _, cat = FE.split_feature_types(sp.drop("label", "is_test"), "Churn")
+    return FE.category_modes(sp.where(~F.col("is_test")), cat)
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf):
+    sp = _split(spark, sf)
+    num, _ = FE.split_feature_types(sp.drop("label", "is_test"), "Churn")
+    imp = FE.impute_median(sp, FE.train_medians(sp.where(~F.col("is_test")), num))
+    stats = FE.scaler_stats(imp.where(~F.col("is_test")), num)
+    out = FE.standard_scale(imp, stats)
+    return out.select(*[F.round(c, 6).alias(c) if c in num else F.col(c) for c in out.columns])
+
+
+@query("one_hot")
+def q_one_hot(spark, sf):
+    sp = _split(spark, sf)
+    _, cat = FE.split_feature_types(sp.drop("label", "is_test"), "Churn")
+    norm = FE.normalize_categories(sp, cat)
+    dom = {}
+    for r in FE.category_domain(norm.where(~F.col("is_test")), cat).collect():   # categories seen in training
+        dom.setdefault(r["column_name"], []).append(r["value"])
+    return FE.one_hot(norm, {c: sorted(dom[c]) for c in cat}, keep=["label", "is_test"])
+
+
+@query("derive_total_charges")
+def q_derive_total_charges(spark, sf):
+    t = V.telco(spark, sf)
+    return FE.derive_total_charges(t).select("customerID", "MonthlyCharges", "tenure", "TotalCharges")
+
+
+@query("balanced_class_weight")
+def q_balanced_class_weight(spark, sf):
+    return FE.balanced_class_weight(_labelled(spark, sf)).select("Churn", "label", "weight")
