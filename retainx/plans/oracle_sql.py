@@ -348,3 +348,147 @@ ORACLES["derive_total_charges"] = (
 
 ORACLES["balanced_class_weight"] = (
     f"WITH {_LAB} SELECT Churn, label, count(*) OVER () / (2 * count(*) OVER (PARTITION BY label)) AS weight FROM lab")
+
+
+# ---- scoring and evaluation -----------------------------------------------------------
+_SC_TERMS = {
+    "contract": "CASE WHEN CAST(Contract AS VARCHAR) = 'Month-to-month' THEN 35 WHEN CAST(Contract AS VARCHAR) = 'One year' THEN 8 ELSE -15 END",
+    "fiber": "CASE WHEN CAST(InternetService AS VARCHAR) = 'Fiber optic' THEN 18 ELSE 0 END",
+    "tech_support": "CASE WHEN CAST(TechSupport AS VARCHAR) = 'No' THEN 12 ELSE 0 END",
+    "online_security": "CASE WHEN CAST(OnlineSecurity AS VARCHAR) = 'No' THEN 10 ELSE 0 END",
+    "electronic_check": "CASE WHEN CAST(PaymentMethod AS VARCHAR) = 'Electronic check' THEN 15 ELSE 0 END",
+    "tenure": "CASE WHEN CAST(tenure AS DOUBLE) <= 12 THEN 20 WHEN CAST(tenure AS DOUBLE) > 48 THEN -25 ELSE 0 END",
+    "senior": "CASE WHEN CAST(SeniorCitizen AS VARCHAR) = '1' THEN 8 ELSE 0 END",
+    "monthly": "CASE WHEN CAST(MonthlyCharges AS DOUBLE) > 80 THEN 10 ELSE 0 END",
+}
+_SC_CARDS = {"scorecard_full": list(_SC_TERMS), "scorecard_contract_tenure": ["contract", "tenure"],
+             "scorecard_services": ["fiber", "tech_support", "online_security"],
+             "scorecard_billing": ["electronic_check", "monthly", "senior"]}
+
+
+def _sc_prob(terms):
+    pts = "(0 + " + " + ".join(f"({_SC_TERMS[t]})" for t in terms) + ")"
+    return f"(1.0 / (1.0 + exp(CAST(-3.0 AS DOUBLE) * CAST({pts} - 35 AS DOUBLE) / 100.0)))"
+
+
+_P = _sc_prob(list(_SC_TERMS))
+_SCORED = (f"{telco_cte()}, p AS (SELECT *, {_P} AS _p FROM telco), scored AS (SELECT * EXCLUDE (_p), "
+           f"{r('_p * 100.0', 1)} AS \"Churn_Probability_%\", {r('(1.0 - _p) * 100.0', 1)} AS \"Retention_Probability_%\" FROM p), "
+           "scored2 AS (SELECT *, CASE WHEN \"Churn_Probability_%\" >= 50.0 THEN 'Churn' ELSE 'No Churn' END AS Predicted_Churn, "
+           "CASE WHEN \"Churn_Probability_%\" < 35.0 THEN 'Low Risk' WHEN \"Churn_Probability_%\" < 65.0 THEN 'Medium Risk' "
+           "ELSE 'High Risk' END AS Risk_Level FROM scored)")
+ORACLES["score_batch"] = f"WITH {_SCORED} SELECT * FROM scored2"
+ORACLES["churn_label"] = (f"WITH {predictions_cte()} SELECT id, churn_probability, "
+                          "CASE WHEN churn_probability >= 50.0 THEN 'Churn' ELSE 'No Churn' END AS prediction FROM predictions")
+ORACLES["risk_tier"] = (f"WITH {predictions_cte()} SELECT id, churn_probability, CASE WHEN churn_probability < 35.0 THEN 'Low Risk' "
+                        "WHEN churn_probability < 65.0 THEN 'Medium Risk' ELSE 'High Risk' END AS risk_level FROM predictions")
+ORACLES["batch_summary"] = (
+    f"WITH {_SCORED} SELECT count(*) AS total_records, "
+    "CAST(sum(CASE WHEN Predicted_Churn = 'Churn' THEN 1 ELSE 0 END) AS BIGINT) AS churn_count, "
+    "CAST(sum(CASE WHEN Predicted_Churn <> 'Churn' THEN 1 ELSE 0 END) AS BIGINT) AS non_churn_count, "
+    "CAST(sum(CASE WHEN Risk_Level = 'High Risk' THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_count, "
+    "CAST(sum(CASE WHEN Risk_Level = 'Medium Risk' THEN 1 ELSE 0 END) AS BIGINT) AS medium_risk_count, "
+    "CAST(sum(CASE WHEN Risk_Level = 'Low Risk' THEN 1 ELSE 0 END) AS BIGINT) AS low_risk_count FROM scored2")
+ORACLES["share_of_total"] = (f"WITH {_SCORED}, c AS (SELECT Risk_Level, count(*) AS count FROM scored2 GROUP BY 1) "
+                             f"SELECT Risk_Level, count, {r('count / (SELECT sum(count) FROM c) * 100.0', 1)} AS share FROM c")
+ORACLES["batch_preview"] = (
+    f"WITH {_SCORED}, h AS (SELECT * FROM scored2 ORDER BY customerID LIMIT 50) "
+    "SELECT CAST(row_number() OVER (ORDER BY customerID) AS INTEGER) AS row_index, customerID AS customer_identifier, "
+    "Predicted_Churn AS prediction, \"Churn_Probability_%\" AS churn_probability, "
+    "\"Retention_Probability_%\" AS retention_probability, Risk_Level AS risk_level FROM h")
+
+
+def _fmt2(x):
+    t = f"CAST(round_even(({x}) * 100.0, 0) AS BIGINT)"
+    return (f"(CASE WHEN {t} < 0 THEN '-' ELSE '' END || CAST(abs({t}) // 100 AS VARCHAR) || '.' || "
+            f"lpad(CAST(abs({t}) % 100 AS VARCHAR), 2, '0'))")
+
+
+def _explain_sql(has_contract: bool):
+    lc = "lower(coalesce(CAST(Contract AS VARCHAR), ''))" if has_contract else "''"
+    ten = f"coalesce({guarded_double('CAST(tenure AS VARCHAR)')}, 0.0)"
+    mc = f"coalesce({guarded_double('CAST(MonthlyCharges AS VARCHAR)')}, 0.0)"
+    months = f"CAST(CAST(trunc({ten}) AS BIGINT) AS VARCHAR) || ' months'"
+    rules = [
+        (f"contains({lc}, 'month')", "'Contract Type'", "coalesce(Contract, 'Month-to-month')" if has_contract else "NULL",
+         "'Increases Churn Risk'", "0.28", 1),
+        (f"NOT contains({lc}, 'month') AND (contains({lc}, 'two') OR contains({lc}, 'one'))", "'Contract Type'",
+         "Contract" if has_contract else "NULL", "'Decreases Churn Risk (High Retention)'", "0.25", 1),
+        (f"{ten} <= 12", "'Customer Tenure'", months, "'Increases Churn Risk (New Customer)'", "0.22", 2),
+        (f"{ten} > 12 AND {ten} >= 36", "'Customer Tenure'", months, "'Decreases Churn Risk (Loyal Customer)'", "0.20", 2),
+        (f"{mc} > 75", "'Monthly Charges'", f"'$' || {_fmt2(mc)}", "'Increases Churn Risk (High Cost)'", "0.18", 3),
+        ("lower(coalesce(CAST(TechSupport AS VARCHAR), '')) = 'no'", "'Tech Support'", "'No Support Subscribed'",
+         "'Increases Churn Risk'", "0.14", 4),
+        ("lower(coalesce(CAST(OnlineSecurity AS VARCHAR), '')) = 'no'", "'Online Security'", "'No Online Security'",
+         "'Increases Churn Risk'", "0.12", 5),
+        ("contains(lower(coalesce(CAST(PaymentMethod AS VARCHAR), '')), 'electronic check')", "'Payment Method'",
+         "PaymentMethod", "'Increases Churn Risk'", "0.10", 6),
+    ]
+    src = "(SELECT DISTINCT * FROM telco)" if has_contract else "(SELECT DISTINCT * EXCLUDE (Contract) FROM telco)"
+    parts = [f"SELECT customerID, {slot} AS slot, {feat} AS feature, CAST({val} AS VARCHAR) AS value, {imp} AS impact, "
+             f"CAST({w} AS DOUBLE) AS importance FROM {src} WHERE {cond}" for cond, feat, val, imp, w, slot in rules]
+    fired = " UNION ALL ".join(parts)
+    fb_cols = ["Contract", "tenure", "InternetService", "PaymentMethod", "TechSupport"]
+    fb_imp = [0.35, 0.25, 0.18, 0.15, 0.12]
+    fb = " UNION ALL ".join(
+        f"SELECT customerID, {10 + i} AS slot, '{c}' AS feature, "
+        f"{('CAST(' + q(c) + ' AS VARCHAR)') if (c != 'Contract' or has_contract) else repr('Active')} AS value, "
+        f"'Primary Model Driver' AS impact, CAST({w} AS DOUBLE) AS importance FROM {src} t "
+        f"WHERE NOT EXISTS (SELECT 1 FROM fired f WHERE f.customerID = t.customerID)"
+        for i, (c, w) in enumerate(zip(fb_cols, fb_imp)))
+    # duplicated customers appear twice in the view: number rows per occurrence
+    return (f"WITH {telco_cte()}, fired AS ({fired}), allf AS (SELECT * FROM fired UNION ALL {fb}), "
+            "occ AS (SELECT customerID, count(*) AS n FROM telco GROUP BY customerID), "
+            "ranked AS (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY slot) AS factor_rank FROM allf) "
+            "SELECT customerID, CAST(factor_rank AS INTEGER) AS factor_rank, feature, value, impact, importance "
+            "FROM ranked JOIN occ USING (customerID), range(0, 10) k(i) WHERE factor_rank <= 5 AND i < n")
+
+
+ORACLES["explain_rules"] = _explain_sql(True)
+ORACLES["explain_fallback"] = _explain_sql(False)
+ORACLES["customer_identifier"] = ("SELECT event_id, 'CUST-' || upper(substr(md5(CAST(event_id AS VARCHAR)), 1, 6)) "
+                                  "AS customer_identifier FROM events")
+
+_EV = (f"{_LAB}, ev AS (SELECT label, CAST({_P} > 0.5 AS INTEGER) AS prediction, {_P} AS score FROM lab), "
+       "cnt AS (SELECT CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+       "CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+       "CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+       "CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM ev)")
+ORACLES["confusion_matrix"] = (f"WITH {_EV} SELECT 0 AS actual, 0 AS predicted, tn AS count FROM cnt UNION ALL "
+                               "SELECT 0, 1, fp FROM cnt UNION ALL SELECT 1, 0, fn FROM cnt UNION ALL SELECT 1, 1, tp FROM cnt")
+
+
+def _metric_cols(d=2):
+    rt = lambda a, b: f"(CASE WHEN {b} > 0 THEN ({a}) / ({b}) ELSE 0.0 END)"
+    return (f"{r(rt('tp + tn', 'tp + tn + fp + fn') + ' * 100.0', d)} AS accuracy, "
+            f"{r(rt('tp', 'tp + fp') + ' * 100.0', d)} AS precision, {r(rt('tp', 'tp + fn') + ' * 100.0', d)} AS recall, "
+            f"{r(rt('2 * tp', '2 * tp + fp + fn') + ' * 100.0', d)} AS f1_score")
+
+
+ORACLES["binary_metrics"] = f"WITH {_EV} SELECT tp, fp, fn, tn, {_metric_cols()} FROM cnt"
+
+_AUC = ("vc AS (SELECT {k} score, sum(label) AS pos, sum(1 - label) AS neg FROM {src} GROUP BY ALL), "
+        "rr AS (SELECT *, coalesce(sum(neg) OVER ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM vc), "
+        "au AS (SELECT {k} sum(pos * (nb + neg * 0.5)) AS u, sum(pos) AS p, sum(neg) AS n FROM rr GROUP BY ALL)")
+ORACLES["roc_auc"] = (f"WITH {_EV}, {_AUC.format(k='', src='ev', part='')} SELECT "
+                      f"{r('CASE WHEN p > 0 AND n > 0 THEN u / (p * n) ELSE (tp + tn) / (tp + tn + fp + fn) END * 100.0', 2)} "
+                      "AS roc_auc FROM au, cnt")
+
+_LONG = (f"{_LAB}, lng AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS algorithm_name, {i} AS ordinal, label, CAST({_sc_prob(t)} > 0.5 AS INTEGER) AS prediction, "
+    f"{_sc_prob(t)} AS score FROM lab" for i, (name, t) in enumerate(_SC_CARDS.items())) + "), "
+    "cnt AS (SELECT algorithm_name, ordinal, CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+    "CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+    "CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+    "CAST(sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM lng GROUP BY ALL), "
+    + _AUC.format(k="algorithm_name, ordinal,", src="lng", part="PARTITION BY algorithm_name, ordinal") + ", "
+    f"met AS (SELECT cnt.algorithm_name, cnt.ordinal, {_metric_cols()}, "
+    f"{r('CASE WHEN p > 0 AND n > 0 THEN u / (p * n) ELSE (tp + tn) / (tp + tn + fp + fn) END * 100.0', 2)} AS roc_auc "
+    "FROM cnt JOIN au USING (algorithm_name, ordinal))")
+ORACLES["select_best"] = (f"WITH {_LONG} SELECT arg_min(algorithm_name, (-(0.5 * f1_score + 0.5 * roc_auc), ordinal)) AS best_algorithm, "
+                          "max(CAST(0.5 AS DOUBLE) * f1_score + CAST(0.5 AS DOUBLE) * roc_auc) AS best_score FROM met")
+ORACLES["model_comparison"] = (
+    f"WITH {_LONG}, best AS (SELECT arg_min(algorithm_name, (-(0.5 * f1_score + 0.5 * roc_auc), ordinal)) AS b FROM met) "
+    "SELECT 1 AS dataset_id, algorithm_name, CAST(row_number() OVER (ORDER BY f1_score DESC, ordinal) AS INTEGER) AS rank, "
+    "accuracy, precision, recall, f1_score, roc_auc, algorithm_name = b AS is_best, b AS best_algorithm, "
+    "0.0 AS total_training_time FROM met, best")

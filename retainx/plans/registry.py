@@ -310,3 +310,116 @@ def q_derive_total_charges(spark, sf):
 @query("balanced_class_weight")
 def q_balanced_class_weight(spark, sf):
     return FE.balanced_class_weight(_labelled(spark, sf)).select("Churn", "label", "weight")
+
+
+# ---- scoring and evaluation -----------------------------------------------------------
+from retainx.functions.expr import churn_label, risk_tier  # noqa: E402
+from retainx.operators import evaluate as EV, score as SC  # noqa: E402
+
+# Importances of the full scorecard (points / 100), strongest first: the
+# fallback list of the explanation rules.
+SCORECARD_IMPORTANCES = [("Contract", 0.35), ("tenure", 0.25), ("InternetService", 0.18), ("PaymentMethod", 0.15),
+                         ("TechSupport", 0.12), ("OnlineSecurity", 0.10), ("MonthlyCharges", 0.10), ("SeniorCitizen", 0.08)]
+
+
+def _scored(spark, sf):
+    t = V.telco(spark, sf)
+    return SC.score_batch(t, SC.scorecard_probability(t))
+
+
+def _scorecard_predictions(spark, sf, terms=None):
+    lab = _labelled(spark, sf)
+    p = SC.scorecard_probability(lab, terms)
+    return lab.select("label", (p > 0.5).cast("int").alias("prediction"), p.alias("score"))
+
+
+def _scorecard_long(spark, sf):
+    """(algorithm_name, ordinal, label, prediction, score) for the four scorecards in one pass."""
+    lab = _labelled(spark, sf)
+    structs = []
+    for i, (name, terms) in enumerate(SC.SCORECARDS.items()):
+        p = SC.scorecard_probability(lab, terms)
+        structs.append(F.struct(F.lit(name).alias("algorithm_name"), F.lit(i).alias("ordinal"),
+                                (p > 0.5).cast("int").alias("prediction"), p.alias("score")))
+    return lab.select("label", F.inline(F.array(*structs)))
+
+
+def _scorecard_registry(spark, sf):
+    m = EV.evaluate(_scorecard_long(spark, sf), ["algorithm_name", "ordinal"])
+    return EV.mark_best(m.withColumn("training_time", F.lit(0.0)).withColumn("dataset_id", F.lit(1)))
+
+
+@query("score_batch")
+def q_score_batch(spark, sf):
+    return _scored(spark, sf)
+
+
+@query("churn_label")
+def q_churn_label(spark, sf):
+    p = V.predictions(spark, sf)
+    return p.select("id", "churn_probability", churn_label("churn_probability").alias("prediction"))
+
+
+@query("risk_tier")
+def q_risk_tier(spark, sf):
+    p = V.predictions(spark, sf)
+    return p.select("id", "churn_probability", risk_tier("churn_probability").alias("risk_level"))
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf):
+    return SC.batch_summary(_scored(spark, sf))
+
+
+@query("share_of_total")
+def q_share_of_total(spark, sf):
+    counts = _scored(spark, sf).groupBy("Risk_Level").agg(F.count(F.lit(1)).alias("count"))
+    return SC.share_of_total(counts, "count", 1)
+
+
+@query("batch_preview")
+def q_batch_preview(spark, sf):
+    return SC.batch_preview(_scored(spark, sf), ["customerID"], id_col="customerID")
+
+
+@query("explain_rules")
+def q_explain_rules(spark, sf):
+    return SC.explain_long(V.telco(spark, sf), "customerID", SCORECARD_IMPORTANCES)
+
+
+@query("explain_fallback")
+def q_explain_fallback(spark, sf):
+    return SC.explain_long(V.telco(spark, sf).drop("Contract"), "customerID", SCORECARD_IMPORTANCES)
+
+
+@query("customer_identifier")
+def q_customer_identifier(spark, sf):
+    ev = _t(spark, sf, "events")
+    return ev.select("event_id", SC.customer_identifier(None, F.col("event_id")).alias("customer_identifier"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(_scorecard_predictions(spark, sf))
+
+
+@query("binary_metrics")
+def q_binary_metrics(spark, sf):
+    return EV.binary_metrics(_scorecard_predictions(spark, sf))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    return EV.roc_auc(_scorecard_predictions(spark, sf))
+
+
+@query("select_best")
+def q_select_best(spark, sf):
+    return EV.select_best(EV.evaluate(_scorecard_long(spark, sf), ["algorithm_name", "ordinal"]))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    return EV.model_comparison(_scorecard_registry(spark, sf)).select(
+        "dataset_id", "algorithm_name", "rank", "accuracy", "precision", "recall", "f1_score", "roc_auc", "is_best",
+        "best_algorithm", "total_training_time")
