@@ -492,3 +492,45 @@ ORACLES["model_comparison"] = (
     "SELECT 1 AS dataset_id, algorithm_name, CAST(row_number() OVER (ORDER BY f1_score DESC, ordinal) AS INTEGER) AS rank, "
     "accuracy, precision, recall, f1_score, roc_auc, algorithm_name = b AS is_best, b AS best_algorithm, "
     "0.0 AS total_training_time FROM met, best")
+
+
+# ---- prediction log, registry, sources and sinks -------------------------------------------
+_MODELS = "models(id, algorithm_name) AS (VALUES (1, 'Logistic Regression'), (2, 'Decision Tree'), (3, 'Random Forest'), (4, 'Gradient Boosting'))"
+_MODELS3 = "models(id, algorithm_name) AS (VALUES (1, 'Logistic Regression'), (2, 'Decision Tree'), (3, 'Random Forest'))"
+
+ORACLES["history_query"] = (f"WITH {predictions_cte()} SELECT * FROM predictions WHERE user_id = 1 AND "
+                            "contains(lower(customer_identifier), '12') AND risk_level = 'High Risk' "
+                            "ORDER BY created_at DESC, id LIMIT 100")
+ORACLES["history_with_model"] = (f"WITH {predictions_cte()}, {_MODELS3} SELECT p.*, coalesce(m.algorithm_name, 'Classifier') "
+                                 "AS model_name FROM predictions p LEFT JOIN models m ON p.model_id = m.id")
+ORACLES["latest_predictions"] = (f"WITH {predictions_cte()} SELECT * FROM (SELECT *, CAST(row_number() OVER "
+                                 "(PARTITION BY user_id ORDER BY created_at DESC, id) AS INTEGER) AS recency_rank FROM predictions) "
+                                 "WHERE recency_rank <= 5")
+ORACLES["prediction_count"] = f"WITH {predictions_cte()} SELECT user_id, count(*) AS total_predictions FROM predictions GROUP BY 1"
+_RA = ("SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY is_active DESC, "
+       "uploaded_at DESC, id DESC) AS _r FROM datasets) WHERE _r = 1")
+ORACLES["resolve_active"] = f"WITH {datasets_cte()} {_RA}"
+ORACLES["activate"] = (f"WITH {datasets_cte()}, ch AS ({_RA}) SELECT d.id, d.user_id, d.filename, d.rows_count, "
+                       "d.columns_count, d.target_column, coalesce(d.id = ch.id, false) AS is_active, d.uploaded_at "
+                       "FROM datasets d LEFT JOIN ch ON d.user_id = ch.user_id")
+ORACLES["delete_records"] = (f"WITH {predictions_cte()} SELECT * FROM predictions WHERE user_id <> 3 AND "
+                             "(model_id IS NULL OR model_id <> 4)")
+ORACLES["list_datasets"] = f"WITH {datasets_cte()} SELECT * FROM datasets WHERE user_id = 2 ORDER BY uploaded_at DESC, id DESC"
+ORACLES["search_batch_result"] = (f"WITH {_SCORED} SELECT * FROM scored2 WHERE contains(lower(customerID), 'high') OR "
+                                  "contains(lower(Predicted_Churn), 'high') OR contains(lower(Risk_Level), 'high')")
+ORACLES["dashboard_summary"] = (
+    ORACLES["churn_kpis"].replace("SELECT total AS total_customers", ", kp AS (SELECT total AS total_customers", 1)
+    + f"), {predictions_cte()}, {_MODELS}, mine AS (SELECT p.*, coalesce(m.algorithm_name, 'Classifier') AS model_name "
+      "FROM predictions p LEFT JOIN models m ON p.model_id = m.id WHERE user_id = 1) "
+      "SELECT 1 AS user_id, kp.*, (SELECT count(*) FROM mine) AS total_predictions, "
+      "(SELECT model_name FROM mine ORDER BY created_at DESC, id LIMIT 1) AS latest_model, "
+      "(SELECT max(created_at) FROM mine) AS latest_prediction_at FROM kp")
+ORACLES["csv_source"] = (f"WITH {telco_cte()} SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, "
+                         "TechSupport, Contract, PaymentMethod, MonthlyCharges, TRY_CAST(NULLIF(TotalCharges, '') AS DOUBLE) "
+                         "AS TotalCharges, Churn FROM telco")
+ORACLES["history_export"] = (
+    f"WITH {predictions_cte()}, {_MODELS3} SELECT p.id AS ID, customer_identifier AS Customer_Identifier, "
+    "coalesce(m.algorithm_name, 'N/A') AS Model, prediction AS Prediction, churn_probability AS \"Churn_Probability_%\", "
+    "retention_probability AS \"Retention_Probability_%\", risk_level AS Risk_Level, "
+    "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS Date FROM predictions p LEFT JOIN models m ON p.model_id = m.id")
+ORACLES["flatten_input_data"] = "SELECT *, json_extract_string(props, '$.k') AS Feature_k FROM events"

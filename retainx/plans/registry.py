@@ -423,3 +423,92 @@ def q_model_comparison(spark, sf):
     return EV.model_comparison(_scorecard_registry(spark, sf)).select(
         "dataset_id", "algorithm_name", "rank", "accuracy", "precision", "recall", "f1_score", "roc_auc", "is_best",
         "best_algorithm", "total_training_time")
+
+
+# ---- prediction log, registry, sources and sinks -------------------------------------------
+from retainx.operators import history as H  # noqa: E402
+from retainx.session import shared_dir  # noqa: E402
+from retainx.sources import csv as CSV, sinks as SK  # noqa: E402
+
+
+@query("history_query")
+def q_history_query(spark, sf):
+    return H.history_query(V.predictions(spark, sf), user_id=1, search="12", risk_level="High Risk")
+
+
+@query("history_with_model")
+def q_history_with_model(spark, sf):
+    return H.history_with_model(V.predictions(spark, sf), V.model_names(spark, drop_ids=(4,)))
+
+
+@query("latest_predictions")
+def q_latest_predictions(spark, sf):
+    return H.latest_predictions(V.predictions(spark, sf), 5)
+
+
+@query("prediction_count")
+def q_prediction_count(spark, sf):
+    return H.prediction_count(V.predictions(spark, sf))
+
+
+@query("resolve_active")
+def q_resolve_active(spark, sf):
+    return H.resolve_active(V.datasets(spark, sf))
+
+
+@query("activate")
+def q_activate(spark, sf):
+    ds = V.datasets(spark, sf)
+    return H.activate(ds, H.resolve_active(ds).select("user_id", "id"))
+
+
+@query("delete_records")
+def q_delete_records(spark, sf):
+    deleted_models = V.model_names(spark).where(F.col("id") == 4)
+    return H.delete_records(V.predictions(spark, sf), user_id=3, parents=deleted_models)
+
+
+@query("list_datasets")
+def q_list_datasets(spark, sf):
+    return H.list_datasets(V.datasets(spark, sf), 2)
+
+
+@query("search_batch_result")
+def q_search_batch_result(spark, sf):
+    return H.search_batch_result(_scored(spark, sf), "high")
+
+
+@query("dashboard_summary")
+def q_dashboard_summary(spark, sf):
+    kpis = D.churn_kpis(V.telco(spark, sf), "Churn")
+    return H.dashboard_summary(kpis, V.predictions(spark, sf), V.model_names(spark), user_id=1)
+
+
+@query("csv_source")
+def q_csv_source(spark, sf):
+    path = shared_dir(spark, "telco_csv") + ".csv"
+    V.telco(spark, sf).write.option("header", True).csv(path)
+    return CSV.read_customer_csv(spark, path)
+
+
+@query("history_export")
+def q_history_export(spark, sf):
+    return SK.history_export(V.predictions(spark, sf), V.model_names(spark, drop_ids=(4,)))
+
+
+@query("flatten_input_data")
+def q_flatten_input_data(spark, sf):
+    return SK.flatten_input_data(V.events_input_data(spark, sf))
+
+
+@query("scored_csv_sink")
+def q_scored_csv_sink(spark, sf):
+    path = SK.write_scored_csv(_scored(spark, sf), shared_dir(spark, "scored") + ".csv")
+    return CSV.read_customer_csv(spark, path)
+
+
+@query("prediction_log_append")
+def q_prediction_log_append(spark, sf):
+    path = shared_dir(spark, "prediction_log")
+    SK.append_prediction_log(V.predictions(spark, sf), path)
+    return spark.read.parquet(path)

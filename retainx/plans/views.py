@@ -62,7 +62,7 @@ DATASETS_SQL = """
 SELECT o_orderkey AS id,
        o_custkey % 5 AS user_id,
        concat('upload_', CAST(o_orderkey AS STRING), '.csv') AS filename,
-       CAST(o_totalprice AS BIGINT) % 5000 + 11 AS rows_count,
+       CAST(FLOOR(o_totalprice) AS BIGINT) % 5000 + 11 AS rows_count,
        CAST(11 AS BIGINT) AS columns_count,
        'Churn' AS target_column,
        o_orderkey % 97 = 5 AS is_active,
