@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from retainx.functions.columns import qcol
 from retainx.functions.expr import guarded_double, is_numeric_type, pandas_str, py_round, strip_ws
@@ -154,10 +155,15 @@ class FeatureSchema:
         return {k: getattr(self, k) for k in self.__dataclass_fields__}
 
 
-def fit_schema(df: DataFrame, target: str, id_cols=(), params: Params = P) -> tuple[FeatureSchema, DataFrame]:
+def fit_schema(df: DataFrame, target: str, id_cols=(), params: Params = P,
+               persist: bool = False) -> tuple[FeatureSchema, DataFrame]:
     """Prepare ``df`` and read back the per-column metadata (bounded by the
-    number of columns and their category domains)."""
+    number of columns and their category domains). With ``persist`` the
+    deduplicated frame is kept (memory, spilling to disk) for the several
+    small aggregates that follow; lost blocks are recomputed from lineage."""
     prepared = prepare(df, target, id_cols, params)
+    if persist:
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     if target not in prepared.columns:
         raise ValueError(f"Target column '{target}' not found in dataset.")
     num, cat = split_feature_types(prepared, target)

@@ -512,3 +512,91 @@ def q_prediction_log_append(spark, sf):
     path = shared_dir(spark, "prediction_log")
     SK.append_prediction_log(V.predictions(spark, sf), path)
     return spark.read.parquet(path)
+
+
+# ---- Spark ML: training, comparison, scoring (rows-only checks) --------------------------
+from retainx.operators import models as M  # noqa: E402
+from retainx.params import ALGORITHMS  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf, algorithms=ALGORITHMS):
+    """Models trained on the telco view, kept per session like a model cache."""
+    key = (spark.sparkContext.applicationId, sf, tuple(algorithms))
+    if key not in _TRAINED:
+        _TRAINED[key] = M.train_and_compare(V.telco(spark, sf), "Churn", ["customerID"], list(algorithms))
+    return _TRAINED[key]
+
+
+@query("assemble_features")
+def q_assemble_features(spark, sf):
+    _, _, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
+    return vec.select("label", "weight", "is_test", vector_to_array("features").alias("features"))
+
+
+def _one(name):
+    def run(spark, sf):
+        return _trained(spark, sf).metrics.where(F.col("algorithm_name") == name)
+    return run
+
+
+QUERIES["logistic_regression"] = _one("Logistic Regression")
+QUERIES["decision_tree"] = _one("Decision Tree")
+QUERIES["random_forest"] = _one("Random Forest")
+QUERIES["gradient_boosting"] = _one("Gradient Boosting")
+
+
+@query("train_and_compare")
+def q_train_and_compare(spark, sf):
+    return _trained(spark, sf).metrics
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    ts = _trained(spark, sf)
+    rows = [(name, i + 1, f, v) for name, m in ts.models.items() for i, (f, v) in enumerate(M.importances(m, ts.names))]
+    return spark.createDataFrame(rows, "algorithm_name string, rank int, feature string, importance double")
+
+
+@query("training_time")
+def q_training_time(spark, sf):
+    return _trained(spark, sf).metrics.select("algorithm_name", "training_time", "total_training_time")
+
+
+@query("score_customers")
+def q_score_customers(spark, sf):
+    return M.score_with_model(V.telco(spark, sf), _trained(spark, sf), "Logistic Regression")
+
+
+@query("active_model_schema")
+def q_active_model_schema(spark, sf):
+    return M.schema_frame(spark, _trained(spark, sf).schema)
+
+
+@query("model_store")
+def q_model_store(spark, sf):
+    ts = _trained(spark, sf)
+    path = M.save_package(ts, "Random Forest", shared_dir(spark, "model_package"))
+    pm, meta = M.load_package(spark, path)
+    aligned = FE.align_batch(V.telco(spark, sf), ts.schema)
+    return pm.transform(aligned).select("customerID", M.churn_probability(pm.transform(aligned)).alias("churn_probability"))
+
+
+@query("normalize_scoring_input")
+def q_normalize_scoring_input(spark, sf):
+    ts = _trained(spark, sf)
+    t = V.telco(spark, sf)
+    # the same customers typed by hand: other column-name case, lower-case
+    # categories, blank numbers
+    typed = t.select("customerID", F.col("Contract").alias("CONTRACT"), F.lower("InternetService").alias("internetservice"),
+                     F.upper("PaymentMethod").alias("PaymentMethod"), "TechSupport", "OnlineSecurity",
+                     F.col("tenure").cast("string").alias("Tenure"), "MonthlyCharges", "TotalCharges", "SeniorCitizen")
+    return FE.normalize_scoring_input(typed, ts.schema)
+
+
+@query("align_batch")
+def q_align_batch(spark, sf):
+    ts = _trained(spark, sf)
+    return FE.align_batch(V.telco(spark, sf).drop("PaymentMethod", "TotalCharges"), ts.schema)
