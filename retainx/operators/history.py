@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-NEWEST = [F.col("created_at").desc(), F.col("id")]
+
+
+def _newest():
+    return [F.col("created_at").desc(), F.col("id")]
 
 
 def history_query(preds: DataFrame, user_id: int, search: str | None = None, risk_level: str | None = None,
@@ -24,7 +27,7 @@ def history_query(preds: DataFrame, user_id: int, search: str | None = None, ris
         df = df.where(F.col("risk_level") == risk_level)
     if prediction:
         df = df.where(F.col("prediction") == prediction)
-    return df.orderBy(*NEWEST).offset(offset).limit(limit) if offset else df.orderBy(*NEWEST).limit(limit)
+    return df.orderBy(*_newest()).offset(offset).limit(limit) if offset else df.orderBy(*_newest()).limit(limit)
 
 
 def history_with_model(preds: DataFrame, models: DataFrame, missing: str = "Classifier") -> DataFrame:
@@ -36,7 +39,7 @@ def history_with_model(preds: DataFrame, models: DataFrame, missing: str = "Clas
 
 def latest_predictions(preds: DataFrame, n: int = 5) -> DataFrame:
     """Newest ``n`` log rows of every user."""
-    w = Window.partitionBy("user_id").orderBy(*NEWEST)
+    w = Window.partitionBy("user_id").orderBy(*_newest())
     return preds.withColumn("recency_rank", F.row_number().over(w)).where(F.col("recency_rank") <= n)
 
 

@@ -580,8 +580,8 @@ def q_model_store(spark, sf):
     ts = _trained(spark, sf)
     path = M.save_package(ts, "Random Forest", shared_dir(spark, "model_package"))
     pm, meta = M.load_package(spark, path)
-    aligned = FE.align_batch(V.telco(spark, sf), ts.schema)
-    return pm.transform(aligned).select("customerID", M.churn_probability(pm.transform(aligned)).alias("churn_probability"))
+    pred = pm.transform(FE.align_batch(V.telco(spark, sf), ts.schema))
+    return pred.select("customerID", M.churn_probability(pred).alias("churn_probability"))
 
 
 @query("normalize_scoring_input")
