@@ -49,16 +49,16 @@ def long_values(df: DataFrame) -> DataFrame:
     null otherwise. Uses ``unpivot`` (an Expand feeding the next partial
     aggregate), so rows are never materialised k times.
     """
+    from retainx.functions import sql as SQ
     fields = df.schema.fields
-    vt = T.StructType([T.StructField("value", T.StringType()), T.StructField("num", T.DoubleType())])
     cols = []
     for i, f in enumerate(fields):
-        c = qcol(f.name)
-        num = c.cast("double") if is_numeric_type(f.dataType) else F.lit(None).cast("double")
-        keep = ~is_missing(df, f.name)
-        text = pandas_str(c, f.dataType)
-        cols.append(F.when(keep, F.struct(text.alias("value"), num.alias("num")))
-                    .otherwise(F.lit(None).cast(vt)).alias(str(i)))
+        c = SQ.ident(f.name)
+        num = f"CAST({c} AS DOUBLE)" if is_numeric_type(f.dataType) else "CAST(NULL AS DOUBLE)"
+        text = (f"CASE WHEN {c} THEN 'True' ELSE 'False' END" if isinstance(f.dataType, T.BooleanType)
+                else f"CAST({c} AS STRING)")
+        miss = f"({c} IS NULL OR isnan({c}))" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f"({c} IS NULL)"
+        cols.append(F.expr(f"CASE WHEN NOT {miss} THEN named_struct('value', {text}, 'num', {num}) END AS `{i}`"))
     wide = df.select(*cols)
     long = wide.unpivot([], [str(i) for i in range(len(fields))], "ordinal", "v")
     return (long.where(F.col("v").isNotNull())

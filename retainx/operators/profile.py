@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from retainx.functions import sql as SQ
+from retainx.functions.wide import chunked_agg
 from retainx.functions.columns import catalog, is_missing, long_values, qcol
 from retainx.functions.expr import clean_name, numeric_text, py_round
 from retainx.params import Params
@@ -39,19 +41,20 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def column_counts(df: DataFrame) -> DataFrame:
     """Row count plus per-column missing / numeric-parse counts in one pass,
     returned long: (ordinal, total_rows, missing_count, parse_count)."""
-    aggs = [F.count(F.lit(1)).alias("total_rows")]
-    for i, f in enumerate(df.schema.fields):
-        aggs.append(F.sum(F.when(is_missing(df, f.name), 1).otherwise(0)).alias(f"m{i}"))
-        if f.dataType.typeName() == "string":
-            aggs.append(F.sum(F.when(numeric_text(qcol(f.name)), 1).otherwise(0)).alias(f"p{i}"))
-    one = df.agg(*aggs)
+    aggs = ["count(1) AS total_rows"]
     structs = []
     for i, f in enumerate(df.schema.fields):
-        p = F.col(f"p{i}") if f.dataType.typeName() == "string" else F.lit(None).cast("bigint")
-        structs.append(F.struct(F.lit(i).alias("ordinal"),
-                                F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("bigint").alias("missing_count"),
-                                p.cast("bigint").alias("parse_count")))
-    return one.select("total_rows", F.inline(F.array(*structs)))
+        c = SQ.ident(f.name)
+        miss = f"({c} IS NULL OR isnan({c}))" if f.dataType.typeName() in ("double", "float") else f"({c} IS NULL)"
+        aggs.append(f"sum(CASE WHEN {miss} THEN 1 ELSE 0 END) AS m{i}")
+        if f.dataType.typeName() == "string":
+            aggs.append(f"sum(CASE WHEN {SQ.numeric_text(c)} THEN 1 ELSE 0 END) AS p{i}")
+            p = f"CAST(p{i} AS BIGINT)"
+        else:
+            p = "CAST(NULL AS BIGINT)"
+        structs.append(f"struct({i} AS ordinal, CAST(coalesce(m{i}, 0) AS BIGINT) AS missing_count, {p} AS parse_count)")
+    one = chunked_agg(df, aggs)
+    return one.selectExpr("total_rows", f"inline(array({', '.join(structs)}))")
 
 
 def value_counts(df: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from retainx.functions import sql as SQ
+from retainx.functions.wide import chunked_agg
 from retainx.functions.columns import catalog, is_missing, long_values, qcol
 from retainx.functions.expr import display_class, guarded_double, is_numeric_type, numeric_text, pandas_str, py_round
 from retainx.operators.profile import column_counts, value_counts
@@ -24,8 +26,9 @@ def numeric_like_columns(df: DataFrame, exclude=(), params: Params = P) -> list[
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
     if not strs:
         return []
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.sum(F.when(numeric_text(qcol(c)), 1).otherwise(0)).alias(str(i)) for i, c in enumerate(strs)]).first()
+    row = df.agg(F.expr("count(1) AS _n"),
+                 *[F.expr(f"sum(CASE WHEN {SQ.numeric_text(SQ.ident(c))} THEN 1 ELSE 0 END) AS `{i}`")
+                   for i, c in enumerate(strs)]).first()
     n = row["_n"]
     return [c for i, c in enumerate(strs) if n and (row[str(i)] or 0) / n > params.numeric_like_ratio]
 
@@ -58,24 +61,23 @@ def numeric_stats(df: DataFrame, params: Params = P) -> DataFrame:
               "min double, max double, q25 double, q75 double, skew double")
     if not cols:
         return spark.createDataFrame([], schema)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = ["count(1) AS _rows"]
     for i, c in enumerate(cols):
-        x = _clean_num(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"sk{i}")]
-    one = df.agg(*aggs)
+        x = SQ.clean_double(c)
+        aggs += [f"count({x}) AS n{i}", f"avg({x}) AS mean{i}", f"stddev_samp({x}) AS std{i}",
+                 f"min({x}) AS min{i}", f"max({x}) AS max{i}", f"skewness({x}) AS sk{i}"]
+    one = chunked_agg(df, aggs[1:]).crossJoin(df.agg(F.expr(aggs[0])))
     rows = []
     for i, c in enumerate(cols):
-        n = F.col(f"n{i}")
-        adj = F.col(f"sk{i}") * F.sqrt(n * (n - 1)) / (n - 2)
-        skew = F.when(n <= 2, F.lit(0.0)).otherwise(F.coalesce(F.nanvl(adj, F.lit(0.0)), F.lit(0.0)))
-        rows.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), n.alias("count"),
-                             (F.col("_rows") - n).alias("missing"), F.col(f"mean{i}").alias("mean"),
-                             F.when(n > 1, F.col(f"std{i}")).otherwise(F.lit(0.0)).alias("std"),
-                             F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), skew.alias("skew")))
-    base = one.select(F.inline(F.array(*rows))).where(F.col("count") > 0)
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), _clean_num(c).alias("x"))
-                                        for i, c in enumerate(cols)])))
+        n = f"n{i}"
+        adj = f"sk{i} * sqrt({n} * ({n} - 1)) / ({n} - 2)"
+        skew = f"CASE WHEN {n} <= 2 THEN 0D ELSE coalesce(nanvl({adj}, 0D), 0D) END"
+        rows.append(f"struct({i} AS ordinal, {SQ.lit_str(c)} AS column_name, {n} AS count, _rows - {n} AS missing, "
+                    f"mean{i} AS mean, CASE WHEN {n} > 1 THEN std{i} ELSE 0D END AS std, min{i} AS min, max{i} AS max, "
+                    f"{skew} AS skew)")
+    base = one.selectExpr(f"inline(array({', '.join(rows)}))").where(F.col("count") > 0)
+    long = df.selectExpr("inline(array(" + ", ".join(f"struct({i} AS ordinal, {SQ.clean_double(c)} AS x)"
+                                                     for i, c in enumerate(cols)) + "))")
     probs = [0.25, 0.5, 0.75] if params.numeric_quartiles else [0.5]
     if params.approx_quantiles:
         qs = long.groupBy("ordinal").agg(F.percentile_approx("x", probs, 10000).alias("_q"))
@@ -208,13 +210,13 @@ def numeric_histogram(df: DataFrame, target: str | None = None, params: Params =
     def edge(i):
         return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * F.col("_step") + F.col("_lo"))
 
-    x, lo, hi = F.col("x"), F.col("_lo"), F.col("_hi")
-    i0 = ((x - lo) / (hi - lo) * F.lit(float(bins))).cast("long")
-    i1 = F.when(i0 == bins, i0 - 1).otherwise(i0)
-    i2 = F.when(x < edge(i1), i1 - 1).otherwise(i1)
-    i3 = F.when((x >= edge(i2 + 1)) & (i2 != bins - 1), i2 + 1).otherwise(i2)
-    # rng has one row per column: bounded broadcast.
-    binned = long.join(F.broadcast(rng.select("feature", "_lo", "_hi", "_step")), "feature").select("feature", i3.alias("bin_index"))
+    x, lo = F.col("x"), F.col("_lo")
+    # rng has one row per column: bounded broadcast. The bin is the number of
+    # interior edges (i * step + lo, as NumPy builds them) at or below x -
+    # what NumPy's division plus its two edge corrections yields.
+    inner = sum(F.when(x >= F.lit(float(k)) * F.col("_step") + lo, 1).otherwise(0) for k in range(1, bins))
+    binned = (long.join(F.broadcast(rng.select("feature", "_lo", "_hi", "_step")), "feature")
+              .select("feature", inner.cast("long").alias("bin_index")))
     counts = binned.groupBy("feature", "bin_index").agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select("feature", "_lo", "_hi", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin_index"))
     lab = F.concat(_fmt_fixed(edge(F.col("bin_index")), params.hist_label_decimals), F.lit("-"),
@@ -229,18 +231,16 @@ def correlation_matrix(df: DataFrame, params: Params = P) -> DataFrame:
     cols = numeric_columns(df)[: params.correlation_max_columns]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
-    aggs = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            aggs.append(F.corr(_clean_num(a), _clean_num(cols[j])).alias(f"c{i}_{j}"))
-    one = df.agg(*aggs)
+    aggs = [f"corr({SQ.clean_double(a)}, {SQ.clean_double(cols[j])}) AS c{i}_{j}"
+            for i, a in enumerate(cols) for j in range(i, len(cols))]
+    one = chunked_agg(df, aggs)
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             lo, hi = min(i, j), max(i, j)
-            v = py_round(F.coalesce(F.nanvl(F.col(f"c{lo}_{hi}"), F.lit(0.0)), F.lit(0.0)), 2)
-            cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), v.alias("value")))
-    return one.select(F.inline(F.array(*cells)))
+            v = SQ.py_round(f"coalesce(nanvl(c{lo}_{hi}, 0D), 0D)", 2)
+            cells.append(f"struct({SQ.lit_str(a)} AS x, {SQ.lit_str(b)} AS y, {v} AS value)")
+    return one.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def dataset_analysis(df: DataFrame, target: str | None, params: Params = P) -> DataFrame:

@@ -204,10 +204,9 @@ ORACLES["numeric_histogram"] = (
     "rng AS (SELECT feature, lo, hi, (hi - lo) / 8.0 AS step FROM (SELECT feature, "
     "CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi "
     "FROM r0 WHERE n > 10)), "
-    "b0 AS (SELECT long.feature, x, lo, hi, step, CAST(trunc((x - lo) / (hi - lo) * 8.0) AS BIGINT) AS i0 FROM long JOIN rng USING (feature)), "
-    "b1 AS (SELECT *, CASE WHEN i0 = 8 THEN i0 - 1 ELSE i0 END AS i1 FROM b0), "
-    f"b2 AS (SELECT *, CASE WHEN x < {_edge('i1')} THEN i1 - 1 ELSE i1 END AS i2 FROM b1), "
-    f"b3 AS (SELECT feature, CASE WHEN x >= {_edge('i2 + 1')} AND i2 <> 7 THEN i2 + 1 ELSE i2 END AS bin_index FROM b2), "
+    "b3 AS (SELECT long.feature, " + " + ".join(
+        f"CASE WHEN x >= CAST({k} AS DOUBLE) * step + lo THEN 1 ELSE 0 END" for k in range(1, 8))
+    + " AS bin_index FROM long JOIN rng USING (feature)), "
     "counts AS (SELECT feature, bin_index, count(*) AS n FROM b3 GROUP BY ALL), "
     "grid AS (SELECT feature, lo, hi, step, CAST(g.bin_index AS BIGINT) AS bin_index FROM rng, range(0, 8) g(bin_index)) "
     f"SELECT feature, CAST(bin_index AS INTEGER) AS bin_index, {_fmt1(_edge('bin_index'))} || '-' || {_fmt1(_edge('bin_index + 1'))} AS bin, "

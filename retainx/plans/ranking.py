@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 # Distinct values one window task may sort before we split a group into
@@ -21,12 +22,14 @@ MAX_BUCKETS = 256
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int = ROWS_PER_BUCKET, dmax: int | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over rows of the same group with a
-    smaller ``order_col``. ``df`` must hold one row per (keys, order_col)."""
+    smaller ``order_col``. ``df`` must hold one row per (keys, order_col);
+    ``dmax`` (largest group size) is computed when not given."""
     spark = df.sparkSession
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    dmax = sizes.agg(F.max("_d")).first()[0] or 0           # one scalar
+    if dmax is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
+        dmax = sizes.agg(F.max("_d")).first()[0] or 0           # one scalar
     nb = min(MAX_BUCKETS, max(1, math.ceil(dmax / rows_per_bucket)))
     if nb > 1:
         qs = [i / nb for i in range(1, nb)]
@@ -60,27 +63,45 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Linear-interpolation quantiles (numpy / pandas default) per group.
 
-    Returns one row per (keys, prob) with column ``quantile``; nulls ignored.
+    Returns one row per (keys, prob) with column ``quantile``; nulls and NaN
+    are ignored. Runs eagerly: the distinct-value counts are cached for the
+    two passes that need them, and the (groups x probs) result - a bounded
+    summary - comes back as a small local frame.
     """
     spark = df.sparkSession
     vc = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-          .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_w")))
-    ranked = prefix_sums(vc, keys, value_col, ["_w"], rows_per_bucket)
-    tot = vc.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-    pr = spark.createDataFrame([(float(p),) for p in probs], T.StructType([T.StructField("prob", T.DoubleType())]))
-    targets = (tot.crossJoin(pr)
-               .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-               .withColumn("_i", F.floor("_pos"))
-               .withColumn("_t", F.col("_pos") - F.col("_i")))
-    # targets: groups x probs rows, bounded by the number of groups.
-    hit = ranked.join(F.broadcast(targets), keys) if keys else ranked.crossJoin(F.broadcast(targets))
-    lo_hit = (F.col("_w_before") <= F.col("_i")) & (F.col("_i") < F.col("_w_before") + F.col("_w"))
-    hi_hit = (F.col("_w_before") <= F.col("_i") + 1) & (F.col("_i") + 1 < F.col("_w_before") + F.col("_w"))
-    v = F.col(value_col).cast("double")
-    picked = (hit.where(lo_hit | hi_hit)
-              .groupBy(*keys, "prob", "_t")
-              .agg(F.max(F.when(lo_hit, v)).alias("_a"), F.max(F.when(hi_hit, v)).alias("_b")))
-    a, b, t = F.col("_a"), F.coalesce(F.col("_b"), F.col("_a")), F.col("_t")
-    # numpy's lerp: a + (b-a)*t below t=0.5, b - (b-a)*(1-t) from 0.5 up.
-    q = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
-    return picked.select(*keys, "prob", q.alias("quantile"))
+          .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_w"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        stats = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_w").alias("_n")).collect()  # one row per group
+        key_fields = [vc.schema[k] for k in keys]
+        out_schema = T.StructType([*key_fields, T.StructField("prob", T.DoubleType()),
+                                   T.StructField("quantile", T.DoubleType())])
+        if not stats:
+            return spark.createDataFrame([], out_schema)
+        dmax = max(r["_d"] for r in stats)
+        ranked = prefix_sums(vc, keys, value_col, ["_w"], rows_per_bucket, dmax=dmax)
+        trows = []
+        for r in stats:
+            for p in probs:
+                pos = float(p) * (r["_n"] - 1)
+                i = math.floor(pos)
+                trows.append((*[r[k] for k in keys], float(p), int(i), pos - i))
+        targets = spark.createDataFrame(trows, T.StructType([*key_fields, T.StructField("prob", T.DoubleType()),
+                                                            T.StructField("_i", T.LongType()),
+                                                            T.StructField("_t", T.DoubleType())]))
+        # targets: groups x probs rows, bounded by the number of groups.
+        hit = ranked.join(F.broadcast(targets), keys) if keys else ranked.crossJoin(F.broadcast(targets))
+        lo_hit = (F.col("_w_before") <= F.col("_i")) & (F.col("_i") < F.col("_w_before") + F.col("_w"))
+        hi_hit = (F.col("_w_before") <= F.col("_i") + 1) & (F.col("_i") + 1 < F.col("_w_before") + F.col("_w"))
+        v = F.col(value_col).cast("double")
+        picked = (hit.where(lo_hit | hi_hit)
+                  .groupBy(*keys, "prob", "_t")
+                  .agg(F.max(F.when(lo_hit, v)).alias("_a"), F.max(F.when(hi_hit, v)).alias("_b")))
+        a, b, t = F.col("_a"), F.coalesce(F.col("_b"), F.col("_a")), F.col("_t")
+        # numpy's lerp: a + (b-a)*t below t=0.5, b - (b-a)*(1-t) from 0.5 up.
+        q = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
+        rows = picked.select(*keys, "prob", q.alias("quantile")).collect()
+        return spark.createDataFrame(rows, out_schema)
+    finally:
+        vc.unpersist()
