@@ -86,15 +86,18 @@ def make_estimator(name: str, params: Params, n_train: int):
     if name == "Logistic Regression":
         # scikit-learn's C * sum(w * loss) + |b|^2 / 2 equals Spark's objective
         # with regParam = 1 / (C * sum(w)); balanced weights sum to n.
+        # tol 1e-4 is scikit-learn's lbfgs default.
         return LogisticRegression(maxIter=params.lr_max_iter, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, weightCol="weight", **common)
+                                  standardization=False, weightCol="weight", tol=1e-4, **common)
     if name == "Decision Tree":
         return DecisionTreeClassifier(maxDepth=params.dt_max_depth, minInstancesPerNode=params.dt_min_leaf,
-                                      maxBins=64, weightCol="weight", seed=params.seed, checkpointInterval=10, **common)
+                                      maxBins=64, weightCol="weight", seed=params.seed, checkpointInterval=10,
+                                      cacheNodeIds=True, **common)
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=params.rf_trees, maxDepth=params.rf_max_depth,
                                       minInstancesPerNode=params.rf_min_leaf, featureSubsetStrategy="sqrt", maxBins=64,
-                                      weightCol="weight", seed=params.seed, checkpointInterval=10, **common)
+                                      weightCol="weight", seed=params.seed, checkpointInterval=10,
+                                      cacheNodeIds=True, maxMemoryInMB=1024, **common)
     if name == "Gradient Boosting":
         return GBTClassifier(maxIter=params.gb_rounds, stepSize=params.gb_step, maxDepth=params.gb_max_depth,
                              subsamplingRate=params.gb_subsample, maxBins=64, seed=params.seed, checkpointInterval=10,
