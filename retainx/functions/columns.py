@@ -43,24 +43,40 @@ def is_missing(df: DataFrame, name: str) -> Column:
 
 
 def long_values(df: DataFrame) -> DataFrame:
-    """Unpivot every column to (ordinal, value text, num) without nulls.
+    """Unpivot every column to (ordinal, s, i, d) without missing cells.
 
-    ``num`` is the double value of numeric columns (for native ordering) and
-    null otherwise. Uses ``unpivot`` (an Expand feeding the next partial
-    aggregate), so rows are never materialised k times.
+    Integral columns fill ``i``, double columns ``d`` and everything else the
+    text slot ``s`` (booleans as ``True``/``False``). Values are grouped on
+    these native slots; text for numbers is produced only for the distinct
+    values that survive (see ``value_text``). ``unpivot`` plans an Expand
+    feeding the next partial aggregate, so rows are never materialised k times.
     """
     from retainx.functions import sql as SQ
     fields = df.schema.fields
     cols = []
     for i, f in enumerate(fields):
         c = SQ.ident(f.name)
-        num = f"CAST({c} AS DOUBLE)" if is_numeric_type(f.dataType) else "CAST(NULL AS DOUBLE)"
-        text = (f"CASE WHEN {c} THEN 'True' ELSE 'False' END" if isinstance(f.dataType, T.BooleanType)
-                else f"CAST({c} AS STRING)")
-        miss = f"({c} IS NULL OR isnan({c}))" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f"({c} IS NULL)"
-        cols.append(F.expr(f"CASE WHEN NOT {miss} THEN named_struct('value', {text}, 'num', {num}) END AS `{i}`"))
+        dt = f.dataType
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            slots = ("CAST(NULL AS STRING)", f"CAST({c} AS BIGINT)", "CAST(NULL AS DOUBLE)")
+        elif isinstance(dt, T.DoubleType):
+            slots = ("CAST(NULL AS STRING)", "CAST(NULL AS BIGINT)", c)
+        elif isinstance(dt, T.BooleanType):
+            slots = (f"CASE WHEN {c} THEN 'True' ELSE 'False' END", "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)")
+        else:
+            slots = (f"CAST({c} AS STRING)", "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)")
+        miss = f"({c} IS NULL OR isnan({c}))" if isinstance(dt, (T.FloatType, T.DoubleType)) else f"({c} IS NULL)"
+        sv, iv, dv = slots
+        cols.append(F.expr(f"CASE WHEN NOT {miss} THEN named_struct('s', {sv}, 'i', {iv}, 'd', {dv}) END AS `{i}`"))
     wide = df.select(*cols)
     long = wide.unpivot([], [str(i) for i in range(len(fields))], "ordinal", "v")
     return (long.where(F.col("v").isNotNull())
-            .select(F.col("ordinal").cast("int").alias("ordinal"),
-                    F.col("v.value").alias("value"), F.col("v.num").alias("num")))
+            .select(F.col("ordinal").cast("int").alias("ordinal"), F.col("v.s").alias("s"),
+                    F.col("v.i").alias("i"), F.col("v.d").alias("d")))
+
+
+def value_text(df: DataFrame) -> DataFrame:
+    """Add ``value`` (text as Python prints it) and ``num`` (numeric sort key)
+    to a frame with the (s, i, d) slots of ``long_values``."""
+    return (df.withColumn("value", F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string")))
+            .withColumn("num", F.coalesce(F.col("i").cast("double"), F.col("d"))))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from retainx.functions import sql as SQ
 from retainx.functions.wide import chunked_agg
-from retainx.functions.columns import catalog, is_missing, long_values, qcol
+from retainx.functions.columns import catalog, is_missing, long_values, qcol, value_text
 from retainx.functions.expr import clean_name, numeric_text, py_round
 from retainx.params import Params
 
@@ -60,7 +60,8 @@ def column_counts(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame) -> DataFrame:
     """(ordinal, value, num, n): count of every distinct non-null value of
     every column. One shuffle; hot values are pre-aggregated map-side."""
-    return long_values(df).groupBy("ordinal", "value", "num").agg(F.count(F.lit(1)).alias("n"))
+    counts = long_values(df).groupBy("ordinal", "s", "i", "d").agg(F.count(F.lit(1)).alias("n"))
+    return value_text(counts).select("ordinal", "value", "num", "n")
 
 
 def unique_counts(df: DataFrame, params: Params = P) -> DataFrame:

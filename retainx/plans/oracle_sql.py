@@ -533,3 +533,54 @@ ORACLES["history_export"] = (
     "retention_probability AS \"Retention_Probability_%\", risk_level AS Risk_Level, "
     "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS Date FROM predictions p LEFT JOIN models m ON p.model_id = m.id")
 ORACLES["flatten_input_data"] = "SELECT *, json_extract_string(props, '$.k') AS Feature_k FROM events"
+
+
+# ---- scoring-input normalisation (F14 / F15) ----------------------------------------------
+def _norm_cat(x):
+    return f"regexp_replace(coalesce(CAST({x} AS VARCHAR), 'nan'), '^\\s+|\\s+$', '', 'g')"
+
+
+_FIT = (f"{_PREP}, " + ", ".join(_median_sql("prep", _NUM)) + ", dom AS (" + " UNION ".join(
+    f"SELECT '{c}' AS column_name, {_norm_cat(q(c))} AS value FROM prep" for c in _CAT) + "), "
+    "dc AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_norm_cat(q(c))} AS value FROM prep" for c in _CAT)
+    + "), modes AS (SELECT column_name, first(value ORDER BY n DESC, value) AS mode FROM "
+      "(SELECT column_name, value, count(*) AS n FROM dc GROUP BY ALL) GROUP BY column_name)")
+
+
+def _med(c):
+    return f"(SELECT median FROM med WHERE column_name = '{c}')"
+
+
+def _mode(c):
+    return f"(SELECT mode FROM modes WHERE column_name = '{c}')"
+
+
+ORACLES["align_batch"] = (
+    f"WITH {_FIT}, b AS (SELECT * EXCLUDE (PaymentMethod, TotalCharges) FROM telco) SELECT customerID, Churn, "
+    + ", ".join(
+        (f"coalesce({guarded_double(f'CAST({q(c)} AS VARCHAR)')}, {_med(c)}) AS {q(c)}" if c != "TotalCharges"
+         else f"{_med(c)} AS TotalCharges") if c in _NUM else
+        (f"{_norm_cat(q(c))} AS {q(c)}" if c != "PaymentMethod" else f"{_mode(c)} AS PaymentMethod")
+        for c in _FEAT) + " FROM b")
+
+_TYPED = ("typed AS (SELECT customerID, Contract AS CONTRACT, lower(InternetService) AS internetservice, "
+          "upper(PaymentMethod) AS PaymentMethod, TechSupport, OnlineSecurity, CAST(tenure AS VARCHAR) AS tenure, "
+          "MonthlyCharges, TotalCharges, SeniorCitizen FROM telco)")
+_DERIVED = (
+    "der AS (SELECT * REPLACE (CASE WHEN TotalCharges IS NULL OR regexp_replace(TotalCharges, '^\\s+|\\s+$', '', 'g') = '' "
+    f"OR coalesce({guarded_double('TotalCharges')}, 1.0) = 0.0 THEN "
+    f"CAST({r('coalesce(' + guarded_double('CAST(MonthlyCharges AS VARCHAR)') + ', 0.0) * greatest(coalesce(' + guarded_double('CAST(tenure AS VARCHAR)') + ', 0.0), 1.0)', 2)} AS VARCHAR) "
+    "ELSE TotalCharges END AS TotalCharges) FROM typed)")
+_SRC_NAME = {"Contract": "CONTRACT", "InternetService": "internetservice"}
+
+
+def _canon(c):
+    src = f"regexp_replace(CAST({q(_SRC_NAME.get(c, c))} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+    look = f"(SELECT min(value) FROM dom WHERE column_name = '{c}' AND lower(value) = lower({src}))"
+    return f"CASE WHEN {src} IS NULL OR {src} = '' THEN {_mode(c)} ELSE coalesce({look}, {src}) END AS {q(c)}"
+
+
+ORACLES["normalize_scoring_input"] = (
+    f"WITH {_FIT}, {_TYPED}, {_DERIVED} SELECT customerID, " + ", ".join(
+        f"coalesce({guarded_double(f'CAST({q(c)} AS VARCHAR)')}, {_med(c)}) AS {q(c)}" if c in _NUM else _canon(c)
+        for c in _FEAT) + " FROM der")

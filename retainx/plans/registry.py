@@ -584,19 +584,22 @@ def q_model_store(spark, sf):
     return pred.select("customerID", M.churn_probability(pred).alias("churn_probability"))
 
 
+def _schema(spark, sf):
+    return FE.fit_schema(V.telco(spark, sf), "Churn", ["customerID"])[0]
+
+
 @query("normalize_scoring_input")
 def q_normalize_scoring_input(spark, sf):
-    ts = _trained(spark, sf)
+    schema = _schema(spark, sf)
     t = V.telco(spark, sf)
     # the same customers typed by hand: other column-name case, lower-case
     # categories, blank numbers
     typed = t.select("customerID", F.col("Contract").alias("CONTRACT"), F.lower("InternetService").alias("internetservice"),
                      F.upper("PaymentMethod").alias("PaymentMethod"), "TechSupport", "OnlineSecurity",
                      F.col("tenure").cast("string").alias("Tenure"), "MonthlyCharges", "TotalCharges", "SeniorCitizen")
-    return FE.normalize_scoring_input(typed, ts.schema)
+    return FE.normalize_scoring_input(typed, schema)
 
 
 @query("align_batch")
 def q_align_batch(spark, sf):
-    ts = _trained(spark, sf)
-    return FE.align_batch(V.telco(spark, sf).drop("PaymentMethod", "TotalCharges"), ts.schema)
+    return FE.align_batch(V.telco(spark, sf).drop("PaymentMethod", "TotalCharges"), _schema(spark, sf))
