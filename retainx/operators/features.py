@@ -25,10 +25,13 @@ P = Params()
 
 
 # ---- F01 / F03 -------------------------------------------------------------------
-def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P) -> DataFrame:
+def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist: bool = False) -> DataFrame:
     """drop duplicate rows, drop ID columns, coerce numeric-like text
-    (the target excluded)."""
+    (the target excluded). ``persist`` keeps the deduplicated rows for the
+    metadata aggregates that follow (memory, spilling to disk)."""
     d = distinct_rows(df, id_cols)
+    if persist:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
     promote = set(numeric_like_columns(d, exclude=(target,), params=params))
     return d.select(*[guarded_double(qcol(c)).alias(c) if c in promote else qcol(c) for c in d.columns])
 
@@ -161,9 +164,7 @@ def fit_schema(df: DataFrame, target: str, id_cols=(), params: Params = P,
     number of columns and their category domains). With ``persist`` the
     deduplicated frame is kept (memory, spilling to disk) for the several
     small aggregates that follow; lost blocks are recomputed from lineage."""
-    prepared = prepare(df, target, id_cols, params)
-    if persist:
-        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prepare(df, target, id_cols, params, persist=persist)
     if target not in prepared.columns:
         raise ValueError(f"Target column '{target}' not found in dataset.")
     num, cat = split_feature_types(prepared, target)
@@ -213,13 +214,23 @@ def train_test_split(df: DataFrame, label: str = "label", test_size: float = 0.2
     cols = hash_cols or [c for c in df.columns if c != label]
     hd = df.withColumn("_h", row_hash(df, cols, seed))
     keys = [label] if stratify else []
-    vc = hd.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_w"))
-    totals = {(r[label] if stratify else 0): r["_n"]
-              for r in vc.groupBy(*keys).agg(F.sum("_w").alias("_n")).collect()}   # one row per class
+    vc = hd.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _split_with(hd, vc, keys, label, test_size, seed, stratify, hash_cols, df)
+    finally:
+        vc.unpersist()
+
+
+def _split_with(hd, vc, keys, label, test_size, seed, stratify, hash_cols, df):
+    spark = df.sparkSession
+    stats = vc.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_d")).collect()  # one row per class
+    totals = {(r[label] if stratify else 0): r["_n"] for r in stats}
     if stratify and len(totals) < 2:                     # one class: plain split
         return train_test_split(df, label, test_size, seed, stratify=False, hash_cols=hash_cols)
+    if not totals:
+        return hd.withColumn("is_test", F.lit(False)).drop("_h")
     alloc = _allocate(totals, test_size) if stratify else {0: math.ceil(test_size * sum(totals.values()))}
-    ranked = prefix_sums(vc, keys, "_h", ["_w"])
+    ranked = prefix_sums(vc, keys, "_h", ["_w"], dmax=max(r["_d"] for r in stats))
     if stratify:
         kk = spark.createDataFrame([(k, int(v)) for k, v in alloc.items()], T.StructType([
             T.StructField(label, df.schema[label].dataType), T.StructField("_k", T.LongType())]))
@@ -228,12 +239,16 @@ def train_test_split(df: DataFrame, label: str = "label", test_size: float = 0.2
         hit = ranked.withColumn("_k", F.lit(int(alloc[0])).cast("bigint"))
     thr = (hit.where((F.col("_w_before") <= F.col("_k") - 1) & (F.col("_k") - 1 < F.col("_w_before") + F.col("_w")))
            .groupBy(*keys).agg(F.max("_h").alias("_thr")))
-    # one row per label: bounded broadcast
+    # One threshold per label, applied as literals: the returned frame is a
+    # projection of the input, so later actions do not recompute the ranking.
+    cuts = {(r[label] if stratify else 0): r["_thr"] for r in thr.collect()}
     if stratify:
-        out = hd.join(F.broadcast(thr), keys, "left")
+        test = F.lit(False)
+        for k, t in cuts.items():
+            test = F.when(F.col(label) == F.lit(k), F.col("_h") <= F.lit(t)).otherwise(test)
     else:
-        out = hd.crossJoin(F.broadcast(thr)) if alloc[0] > 0 else hd.withColumn("_thr", F.lit(None).cast("bigint"))
-    return out.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_thr"), F.lit(False))).drop("_h", "_thr")
+        test = F.col("_h") <= F.lit(cuts[0]) if 0 in cuts else F.lit(False)
+    return hd.withColumn("is_test", F.coalesce(test, F.lit(False))).drop("_h")
 
 
 # ---- F07 / F09 / F10 -------------------------------------------------------------------

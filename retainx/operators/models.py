@@ -175,13 +175,16 @@ def train_and_compare(df: DataFrame, target: str, id_cols=(), algorithms=ALGORIT
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
+    # Score the test rows once for all metric passes (models are shipped once).
+    allp = allp.persist(StorageLevel.MEMORY_AND_DISK)
     met = EV.evaluate(allp, ["algorithm_name", "ordinal"], params)
+    met = spark.createDataFrame(met.collect(), met.schema)        # one row per algorithm
+    allp.unpersist()
     imps = {n: json.dumps(importances(m, names, params.top_importances)) for n, m in models.items()}
     extra = spark.createDataFrame([(n, timings[n], imps[n]) for n in models],
                                   "algorithm_name string, training_time double, feature_importances string")
     met = EV.mark_best(met.join(extra, "algorithm_name")).withColumn("total_training_time", F.lit(total))
-    rows = met.collect()                      # one row per algorithm
-    metrics = spark.createDataFrame(rows, met.schema).orderBy("ordinal")
+    metrics = spark.createDataFrame(met.collect(), met.schema).orderBy("ordinal")
     vec.unpersist()
     return TrainedSet(schema, prep, models, metrics, names, total)
 
