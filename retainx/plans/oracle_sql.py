@@ -490,7 +490,7 @@ ORACLES["model_comparison"] = (
     f"WITH {_LONG}, best AS (SELECT arg_min(algorithm_name, (-(0.5 * f1_score + 0.5 * roc_auc), ordinal)) AS b FROM met) "
     "SELECT 1 AS dataset_id, algorithm_name, CAST(row_number() OVER (ORDER BY f1_score DESC, ordinal) AS INTEGER) AS rank, "
     "accuracy, precision, recall, f1_score, roc_auc, algorithm_name = b AS is_best, b AS best_algorithm, "
-    "0.0 AS total_training_time FROM met, best")
+    "CAST(0.0 AS DOUBLE) AS total_training_time FROM met, best")
 
 
 # ---- prediction log, registry, sources and sinks -------------------------------------------
