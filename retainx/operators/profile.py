@@ -221,6 +221,9 @@ def profile_summary(df: DataFrame, params: Params = P, target: str | None = None
     """One row with the dataset-level results: counts, detected target and its
     classes, ID / zero-variance column lists (bounded by the column count)."""
     prof = column_profile(df, params)
+    # one row per column: materialise once instead of recomputing it for the
+    # target detection and the final summary
+    prof = df.sparkSession.createDataFrame(prof.collect(), prof.schema)
     if extra_id is not None:
         if extra_id not in df.columns:
             raise ValueError(f"ID column '{extra_id}' does not exist in dataset.")

@@ -154,7 +154,10 @@ def explain_rules(df: DataFrame, importances=None, params: Params = P) -> Column
     contract, tech, sec, pay = _txt(df, "Contract"), _txt(df, "TechSupport"), _txt(df, "OnlineSecurity"), _txt(df, "PaymentMethod")
     ten = F.coalesce(guarded_double(qcol("tenure").cast("string")), F.lit(0.0)) if "tenure" in df.columns else F.lit(0.0)
     mc = F.coalesce(guarded_double(qcol("MonthlyCharges").cast("string")), F.lit(0.0)) if "MonthlyCharges" in df.columns else F.lit(0.0)
-    raw_contract = qcol("Contract").cast("string") if "Contract" in df.columns else F.lit(None).cast("string")
+    def raw(c):
+        return qcol(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+
+    raw_contract = raw("Contract")
     w = (lambda x: x) if params.explain_weights else (lambda x: None)
     months = F.concat(ten.cast("bigint").cast("string"), F.lit(" months"))
     items = [
@@ -169,7 +172,7 @@ def explain_rules(df: DataFrame, importances=None, params: Params = P) -> Column
         F.when(tech == "no", _factor(RULE_TECH_SUPPORT[0], F.lit(RULE_TECH_SUPPORT[1]), RULE_TECH_SUPPORT[2], w(RULE_TECH_SUPPORT[3]))),
         F.when(sec == "no", _factor(RULE_ONLINE_SECURITY[0], F.lit(RULE_ONLINE_SECURITY[1]), RULE_ONLINE_SECURITY[2],
                                     w(RULE_ONLINE_SECURITY[3]))),
-        F.when(pay.contains("electronic check"), _factor(RULE_PAYMENT[0], qcol("PaymentMethod"), RULE_PAYMENT[1], w(RULE_PAYMENT[2]))),
+        F.when(pay.contains("electronic check"), _factor(RULE_PAYMENT[0], raw("PaymentMethod"), RULE_PAYMENT[1], w(RULE_PAYMENT[2]))),
     ]
     fired = F.filter(F.array(*items), lambda x: x.isNotNull())
     if params.explain_fallback and importances:

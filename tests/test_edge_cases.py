@@ -135,3 +135,28 @@ def test_histogram_constant_column_widens(spark):
     h = {r["bin_index"]: r for r in D.numeric_histogram(df).collect()}
     assert h[4]["count"] == 12 and sum(r["count"] for r in h.values()) == 12
     assert h[0]["bin"] == "4.5-4.6"
+
+
+def test_approximate_switches(spark):
+    from retainx.params import Params
+    rows = [(float(i % 97), f"v{i % 13}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "x double, c string")
+    exact = D.numeric_stats(df).first()
+    approx = D.numeric_stats(df, Params(approx_quantiles=True)).first()
+    assert abs(exact["median"] - approx["median"]) <= 1.0
+    u = P.unique_counts(df, Params(approx_distinct=True)).collect()
+    lo, hi = sorted(r["unique_count"] for r in u)
+    assert abs(lo - 13) <= 1 and abs(hi - 97) <= 8          # HyperLogLog error
+
+
+def test_single_file_variant_parameters(spark):
+    from retainx.params import Params
+    v = Params.single_file()
+    rows = [(float(i), "Month-to-month" if i % 2 else "Two year", i % 40, 60.0 + i % 30) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, Contract string, tenure long, MonthlyCharges double")
+    st = D.numeric_stats(df, v)
+    assert "q25" not in st.columns and "q75" not in st.columns
+    h = D.numeric_histogram(df, None, v).where("feature = 'x'").orderBy("bin_index").collect()
+    assert len(h) == 6 and h[0]["bin"] == "0-6"
+    f = df.select(SC.explain_rules(df, None, v).alias("f")).first()["f"]
+    assert all(x["importance"] is None for x in f)
