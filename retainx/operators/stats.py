@@ -229,7 +229,7 @@ def numeric_histogram(df: DataFrame, target: str | None = None, params: Params =
 def correlation_matrix(df: DataFrame, params: Params = P) -> DataFrame:
     """Pairwise-complete Pearson of the first 8 numeric columns, long (x, y, value)."""
     cols = numeric_columns(df)[: params.correlation_max_columns]
-    if len(cols) < 2:
+    if len(cols) < 2 or not params.correlation:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
     aggs = [f"corr({SQ.clean_double(a)}, {SQ.clean_double(cols[j])}) AS c{i}_{j}"
             for i, a in enumerate(cols) for j in range(i, len(cols))]

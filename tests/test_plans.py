@@ -73,3 +73,14 @@ def test_registered_queries_read_whole_tables(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "parquet" in plan.lower() or name in ("numeric_stats",), name
+
+
+def test_log_partitions_prune_to_one_user(spark):
+    from retainx.session import shared_dir
+    from retainx.sources.sinks import append_prediction_log
+    path = append_prediction_log(V.predictions(spark, SF_SMALL), shared_dir(spark, "log_prune"))
+    log = spark.read.parquet(path)
+    df = H.history_query(log, user_id=2, risk_level="High Risk")
+    plan = final_plan(df)
+    assert "PartitionFilters: [isnotnull(user_id" in plan and "(user_id" in plan and "= 2)" in plan
+    assert df.count() == V.predictions(spark, SF_SMALL).where("user_id = 2 AND risk_level = 'High Risk'").limit(100).count()
