@@ -56,6 +56,7 @@ def roc_auc(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     acc = binary_metrics(pred, keys, params).select(*keys, "tp", "tn", "fp", "fn")
+    # keys identify the compared models (a handful): one row each
     j = auc.join(F.broadcast(acc), keys) if keys else auc.crossJoin(acc)
     raw = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n"))).otherwise(
         (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
@@ -90,4 +91,4 @@ def model_comparison(registry: DataFrame) -> DataFrame:
         F.coalesce(F.min_by(F.when(F.col("is_best"), F.col("algorithm_name")), F.when(F.col("is_best"), F.col("rank"))),
                    F.min_by("algorithm_name", "rank")).alias("best_algorithm"),
         py_round(F.sum("training_time"), 2).alias("total_training_time"))
-    return ranked.join(F.broadcast(summ), "dataset_id")
+    return ranked.join(summ, "dataset_id")       # one row per dataset: no hint, AQE decides

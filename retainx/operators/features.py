@@ -384,4 +384,4 @@ def balanced_class_weight(df: DataFrame, label: str = "label", weight: str = "we
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     wt = counts.crossJoin(tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight))
-    return df.join(F.broadcast(wt), label)
+    return df.join(F.broadcast(wt), label)       # one row per class of the 0/1 label

@@ -171,10 +171,12 @@ def category_by_target(df: DataFrame, target: str, params: Params = P) -> DataFr
         F.struct(F.lit(c).alias("feature"), pandas_str(qcol(c), df.schema[c].dataType).alias("category"))
         for c in cols])))
     counts = long.groupBy("feature", "category", "target_class").agg(F.count(F.lit(1)).alias("count"))
-    # Grid of present categories x present classes: <= 10 per feature times the classes.
+    # Grid of present categories x present classes (<= 10 per feature times the
+    # classes). The class count is data-dependent, so no broadcast hint: the
+    # planner / AQE choose from the measured sizes.
     cats = counts.select("feature", "category").distinct()
     classes = counts.select("target_class").distinct()
-    grid = cats.crossJoin(F.broadcast(classes))
+    grid = cats.crossJoin(classes)
     return (grid.join(counts, ["feature", "category", "target_class"], "left")
             .select("feature", "category", "target_class", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 

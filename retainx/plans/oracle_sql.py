@@ -584,3 +584,9 @@ ORACLES["normalize_scoring_input"] = (
     f"WITH {_FIT}, {_TYPED}, {_DERIVED} SELECT customerID, " + ", ".join(
         f"coalesce({guarded_double(f'CAST({q(c)} AS VARCHAR)')}, {_med(c)}) AS {q(c)}" if c in _NUM else _canon(c)
         for c in _FEAT) + " FROM der")
+
+ORACLES["history_export_compact"] = (
+    f"WITH {predictions_cte()} SELECT id AS ID, customer_identifier AS Customer_ID, prediction AS Prediction, "
+    "churn_probability AS \"Churn_Prob_%\", risk_level AS Risk, CASE WHEN strftime(created_at, '%f') = '000000' "
+    "THEN strftime(created_at, '%Y-%m-%d %H:%M:%S') ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') END AS Date "
+    "FROM predictions")

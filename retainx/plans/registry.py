@@ -603,3 +603,8 @@ def q_normalize_scoring_input(spark, sf):
 @query("align_batch")
 def q_align_batch(spark, sf):
     return FE.align_batch(V.telco(spark, sf).drop("PaymentMethod", "TotalCharges"), _schema(spark, sf))
+
+
+@query("history_export_compact")
+def q_history_export_compact(spark, sf):
+    return SK.history_export(V.predictions(spark, sf), V.model_names(spark), layout="compact")

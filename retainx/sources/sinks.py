@@ -25,9 +25,22 @@ def flatten_input_data(log: DataFrame, input_col: str = "input_data", prefix: st
                       *[F.col(input_col)[k].alias(prefix + k) for k in keys])
 
 
-def history_export(preds: DataFrame, models: DataFrame) -> DataFrame:
+def _python_datetime_text(ts):
+    """``str(datetime)``: seconds, plus six fraction digits when non-zero."""
+    t = ts.cast("timestamp")
+    return F.when(F.date_format(t, "SSSSSS") == "000000", F.date_format(t, "yyyy-MM-dd HH:mm:ss")).otherwise(
+        F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def history_export(preds: DataFrame, models: DataFrame, layout: str = "full") -> DataFrame:
     """Export columns of the log (newest first), missing model ``N/A``,
-    date as ``yyyy-MM-dd HH:mm:ss``; input maps flattened when present."""
+    date as ``yyyy-MM-dd HH:mm:ss``; input maps flattened when present.
+    ``layout="compact"`` gives the one-file variant's six columns (no model,
+    no retention, no inputs; date as Python prints it; unordered)."""
+    if layout == "compact":
+        return preds.select(F.col("id").alias("ID"), F.col("customer_identifier").alias("Customer_ID"),
+                            F.col("prediction").alias("Prediction"), F.col("churn_probability").alias("Churn_Prob_%"),
+                            F.col("risk_level").alias("Risk"), _python_datetime_text(F.col("created_at")).alias("Date"))
     j = history_with_model(preds, models, missing="N/A")
     out = j.select(F.col("id").alias("ID"), F.col("customer_identifier").alias("Customer_Identifier"),
                    F.col("model_name").alias("Model"), F.col("prediction").alias("Prediction"),
