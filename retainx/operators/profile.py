@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from retainx.functions import sql as SQ
 from retainx.functions.wide import chunked_agg
 from retainx.functions.columns import catalog, is_missing, long_values, qcol, value_text
-from retainx.functions.expr import clean_name, numeric_text, py_round
+from retainx.functions.expr import clean_name, py_round
 from retainx.params import Params
 
 P = Params()

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from retainx.functions import sql as SQ
 from retainx.functions.wide import chunked_agg
-from retainx.functions.columns import catalog, is_missing, long_values, qcol
-from retainx.functions.expr import display_class, guarded_double, is_numeric_type, numeric_text, pandas_str, py_round
+from retainx.functions.columns import catalog, is_missing, qcol
+from retainx.functions.expr import display_class, guarded_double, is_numeric_type, pandas_str, py_round
 from retainx.operators.profile import column_counts, value_counts
 from retainx.params import Params
 from retainx.plans.ranking import exact_quantiles
@@ -267,12 +267,14 @@ def churn_kpis(df: DataFrame, target: str, positive=None) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("total_customers"))
     counts = (df.where(~is_missing(df, target)).groupBy(qcol(target).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_pos", F.lower(F.regexp_replace(pandas_str(F.col("_k"), dt), r"^\s+|\s+$", "")).isin(*positive)))
-    w = Window.orderBy(F.col("_n").desc(), F.col("_k"))          # over the classes only
-    ranked = counts.withColumn("_r", F.row_number().over(w))
-    pick = ranked.agg(
-        F.min_by("_n", F.when(F.col("_pos"), F.col("_r"))).alias("_first_pos"),
-        F.max(F.when(F.col("_r") == 2, F.col("_n"))).alias("_second"),
-        F.max(F.when(F.col("_r") == 1, F.col("_n"))).alias("_first"))
+    # top class, first positive class and runner-up by (count desc, value):
+    # plain aggregates, no window over the classes
+    order = F.struct(-F.col("_n"), F.col("_k"))
+    top = counts.agg(F.min_by(F.struct("_k", "_n"), order).alias("_top"),
+                     F.min_by("_n", F.when(F.col("_pos"), order)).alias("_first_pos"))
+    second = (counts.crossJoin(top).where(F.col("_k") != F.col("_top._k"))
+              .agg(F.min_by("_n", F.struct(-F.col("_n"), F.col("_k"))).alias("_second")))
+    pick = top.crossJoin(second).select("_first_pos", "_second", F.col("_top._n").alias("_first"))
     churned = F.coalesce("_first_pos", "_second", "_first", F.lit(0)).cast("bigint")
     out = total.crossJoin(pick).withColumn("churned_customers", churned)
     n = F.col("total_customers")

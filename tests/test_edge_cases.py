@@ -160,3 +160,13 @@ def test_single_file_variant_parameters(spark):
     assert len(h) == 6 and h[0]["bin"] == "0-6"
     f = df.select(SC.explain_rules(df, None, v).alias("f")).first()["f"]
     assert all(x["importance"] is None for x in f)
+
+
+def test_churn_kpis_class_choice(spark):
+    one = spark.createDataFrame([("a",), ("a",)], "t string")
+    nopos = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "t string")
+    pos = spark.createDataFrame([("No",), ("No",), ("Yes",), (None,)], "t string")
+    assert D.churn_kpis(one, "t").first()["churned_customers"] == 2        # the only class
+    assert D.churn_kpis(nopos, "t").first()["churned_customers"] == 1      # runner-up by count, then value
+    r = D.churn_kpis(pos, "t").first()
+    assert (r["churned_customers"], r["non_churned_customers"], r["churn_rate"]) == (1, 3, 25.0)
