@@ -64,10 +64,16 @@ def roc_auc(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
 
 
 def evaluate(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
-    """E01-E03 in one row per model key (confusion cells as columns)."""
+    """E01-E03 in one row per model key (confusion cells as columns).
+
+    Runs eagerly: the result is one row per compared model, so it comes back
+    as a small local frame and later steps (best pick, ranking) do not
+    re-run the evaluation.
+    """
     m = binary_metrics(pred, keys, params)
     a = roc_auc(pred, keys, params)
-    return m.join(F.broadcast(a), list(keys)) if keys else m.crossJoin(a)
+    out = m.join(F.broadcast(a), list(keys)) if keys else m.crossJoin(a)
+    return pred.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def select_best(metrics: DataFrame) -> DataFrame:
