@@ -83,6 +83,10 @@ class Params:
     # scale switches (off = exact, as the reference)
     approx_quantiles: bool = False
     approx_distinct: bool = False
+    # execution: estimators fitted at the same time (1 = one after another)
+    fit_parallelism: int = 2
+    # boosting input partitions hold at least this many rows (coalesce, no shuffle)
+    boost_rows_per_partition: int = 8192
     extra: dict = field(default_factory=dict)
 
     @staticmethod
