@@ -174,8 +174,12 @@ def category_by_target(df: DataFrame, target: str, params: Params = P) -> DataFr
     # Grid of present categories x present classes (<= 10 per feature times the
     # classes). The class count is data-dependent, so no broadcast hint: the
     # planner / AQE choose from the measured sizes.
-    cats = counts.select("feature", "category").distinct()
-    classes = counts.select("target_class").distinct()
+    # All three branches keep ``count`` (every group has count >= 1), so their
+    # aggregates are identical and the planner reuses one shuffle of the scan
+    # instead of pruning each branch into its own scan and exchange.
+    present = counts.where(F.col("count") > 0)
+    cats = present.select("feature", "category").distinct()
+    classes = present.select("target_class").distinct()
     grid = cats.crossJoin(classes)
     return (grid.join(counts, ["feature", "category", "target_class"], "left")
             .select("feature", "category", "target_class", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
