@@ -268,8 +268,12 @@ def churn_kpis(df: DataFrame, target: str, positive=None) -> DataFrame:
     from retainx.params import DASHBOARD_POSITIVE
     positive = positive or DASHBOARD_POSITIVE
     dt = df.schema[target].dataType
-    total = df.agg(F.count(F.lit(1)).alias("total_customers"))
-    counts = (df.where(~is_missing(df, target)).groupBy(qcol(target).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    # one map-side-combined pass over the rows; the total, the class counts and
+    # the picks below all read this (classes x missing) aggregate's shuffle
+    grouped = df.groupBy(qcol(target).alias("_k"), is_missing(df, target).alias("_miss")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    total = grouped.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_customers"))
+    counts = (grouped.where(~F.col("_miss")).select("_k", "_n")
               .withColumn("_pos", F.lower(F.regexp_replace(pandas_str(F.col("_k"), dt), r"^\s+|\s+$", "")).isin(*positive)))
     # top class, first positive class and runner-up by (count desc, value):
     # plain aggregates, no window over the classes
