@@ -84,3 +84,30 @@ def test_log_partitions_prune_to_one_user(spark):
     plan = final_plan(df)
     assert "PartitionFilters: [isnotnull(user_id" in plan and "(user_id" in plan and "= 2)" in plan
     assert df.count() == V.predictions(spark, SF_SMALL).where("user_id = 2 AND risk_level = 'High Risk'").limit(100).count()
+
+
+def _scans_and_reuse(plan: str) -> tuple[int, int]:
+    return plan.count("FileScan parquet"), plan.count("ReusedExchange")
+
+
+def test_crosstab_reads_the_table_once(spark):
+    # the telco view is a union of two scans of `customer`; the count, the
+    # category list and the class list share one shuffle of that union
+    plan = final_plan(D.category_by_target(V.telco(spark, SF_SMALL), "Churn"))
+    scans, reused = _scans_and_reuse(plan)
+    assert scans == 2 and reused >= 2, (scans, reused)
+
+
+def test_churn_kpis_read_the_table_once(spark):
+    plan = final_plan(D.churn_kpis(V.telco(spark, SF_SMALL), "Churn"))
+    scans, reused = _scans_and_reuse(plan)
+    assert scans == 2 and reused >= 2, (scans, reused)
+
+
+def test_boosting_input_is_coalesced_only_when_small(spark):
+    from retainx.operators.models import _fit_input
+    from retainx.params import Params
+    df = spark.range(0, 20000, numPartitions=8)
+    assert _fit_input("Gradient Boosting", df, 20000, Params()).rdd.getNumPartitions() == 3
+    assert _fit_input("Random Forest", df, 20000, Params()).rdd.getNumPartitions() == 8
+    assert _fit_input("Gradient Boosting", df, 10 ** 9, Params()).rdd.getNumPartitions() == 8
