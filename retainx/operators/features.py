@@ -20,17 +20,28 @@ from retainx.operators.rows import distinct_rows
 from retainx.operators.stats import numeric_like_columns
 from retainx.params import POSITIVE_PATTERNS, Params
 from retainx.plans.ranking import exact_quantiles, prefix_sums
+from retainx.session import shared_dir
 
 P = Params()
 
 
 # ---- F01 / F03 -------------------------------------------------------------------
-def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist: bool = False) -> DataFrame:
+def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist: bool = False,
+            materialize: bool = False) -> DataFrame:
     """drop duplicate rows, drop ID columns, coerce numeric-like text
     (the target excluded). ``persist`` keeps the deduplicated rows for the
-    metadata aggregates that follow (memory, spilling to disk)."""
+    metadata aggregates that follow (memory, spilling to disk).
+
+    ``materialize`` writes the deduplicated rows once as a reliable checkpoint
+    in the shared ``spark.checkpoint.dir``: every later job of a chain (type
+    detection, class list, split statistics, medians, the final read) scans
+    those files instead of re-running the full-row dedup shuffle, and the cut
+    lineage survives lost executors."""
     d = distinct_rows(df, id_cols)
-    if persist:
+    if materialize:
+        shared_dir(d.sparkSession)                  # checkpoint dir from the session (set only when unset)
+        d = d.checkpoint(eager=True)
+    elif persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
     promote = set(numeric_like_columns(d, exclude=(target,), params=params))
     return d.select(*[guarded_double(qcol(c)).alias(c) if c in promote else qcol(c) for c in d.columns])

@@ -208,7 +208,8 @@ def q_drop_columns(spark, sf):
 
 # ---- features -----------------------------------------------------------------
 def _prepared(spark, sf):
-    return FE.prepare(V.telco(spark, sf), "Churn", ["customerID"])
+    # the chain's later jobs read the deduplicated rows from one checkpoint
+    return FE.prepare(V.telco(spark, sf), "Churn", ["customerID"], materialize=True)
 
 
 def _labelled(spark, sf):

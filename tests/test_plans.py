@@ -111,3 +111,14 @@ def test_boosting_input_is_coalesced_only_when_small(spark):
     assert _fit_input("Gradient Boosting", df, 20000, Params()).rdd.getNumPartitions() == 3
     assert _fit_input("Random Forest", df, 20000, Params()).rdd.getNumPartitions() == 8
     assert _fit_input("Gradient Boosting", df, 10 ** 9, Params()).rdd.getNumPartitions() == 8
+
+
+def test_materialized_prepare_reads_the_checkpoint(spark):
+    from retainx.operators import features as FE
+    t = V.telco(spark, SF_SMALL)
+    lazy = FE.prepare(t, "Churn", ["customerID"])
+    mat = FE.prepare(t, "Churn", ["customerID"], materialize=True)
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, mat.collect()))
+    plan = final_plan(mat)
+    # the dedup shuffle ran once, when the checkpoint was written
+    assert "Exchange" not in plan and "FileScan parquet" not in plan, plan
