@@ -32,15 +32,18 @@ def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist:
     (the target excluded). ``persist`` keeps the deduplicated rows for the
     metadata aggregates that follow (memory, spilling to disk).
 
-    ``materialize`` writes the deduplicated rows once as a reliable checkpoint
-    in the shared ``spark.checkpoint.dir``: every later job of a chain (type
-    detection, class list, split statistics, medians, the final read) scans
-    those files instead of re-running the full-row dedup shuffle, and the cut
-    lineage survives lost executors."""
+    ``materialize`` writes the deduplicated rows once as a Parquet table in a
+    fresh folder under the shared ``spark.checkpoint.dir``: every later job of
+    a chain (type detection, class list, split statistics, medians, the final
+    read) scans those files - with column pruning and pushed filters - instead
+    of re-running the full-row dedup shuffle, and the cut lineage survives
+    lost executors."""
     d = distinct_rows(df, id_cols)
     if materialize:
-        shared_dir(d.sparkSession)                  # checkpoint dir from the session (set only when unset)
-        d = d.checkpoint(eager=True)
+        spark = d.sparkSession
+        path = shared_dir(spark, "prepared")
+        d.write.mode("overwrite").parquet(path)
+        d = spark.read.parquet(path)
     elif persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
     promote = set(numeric_like_columns(d, exclude=(target,), params=params))
