@@ -524,6 +524,9 @@ ORACLES["dashboard_summary"] = (
       "SELECT 1 AS user_id, kp.*, (SELECT count(*) FROM mine) AS total_predictions, "
       "(SELECT model_name FROM mine ORDER BY created_at DESC, id LIMIT 1) AS latest_model, "
       "(SELECT max(created_at) FROM mine) AS latest_prediction_at FROM kp")
+ORACLES["scored_csv_sink"] = (f"WITH {_SCORED} SELECT * REPLACE (TRY_CAST(NULLIF(TotalCharges, '') AS DOUBLE) "
+                              "AS TotalCharges) FROM scored2")
+ORACLES["prediction_log_append"] = f"WITH {predictions_cte()} SELECT * FROM predictions"
 ORACLES["csv_source"] = (f"WITH {telco_cte()} SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, "
                          "TechSupport, Contract, PaymentMethod, MonthlyCharges, TRY_CAST(NULLIF(TotalCharges, '') AS DOUBLE) "
                          "AS TotalCharges, Churn FROM telco")

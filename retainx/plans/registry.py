@@ -511,8 +511,11 @@ def q_scored_csv_sink(spark, sf):
 @query("prediction_log_append")
 def q_prediction_log_append(spark, sf):
     path = shared_dir(spark, "prediction_log")
-    SK.append_prediction_log(V.predictions(spark, sf), path)
-    return spark.read.parquet(path)
+    log = V.predictions(spark, sf)
+    SK.append_prediction_log(log, path)
+    # read back with the log's declared schema: the partition column keeps its
+    # type instead of the one partition discovery infers from folder names
+    return spark.read.schema(log.schema).parquet(path).select(*log.columns)
 
 
 # ---- Spark ML: training, comparison, scoring (rows-only checks) --------------------------
