@@ -173,12 +173,13 @@ class FeatureSchema:
 
 
 def fit_schema(df: DataFrame, target: str, id_cols=(), params: Params = P,
-               persist: bool = False) -> tuple[FeatureSchema, DataFrame]:
+               persist: bool = False, materialize: bool = False) -> tuple[FeatureSchema, DataFrame]:
     """Prepare ``df`` and read back the per-column metadata (bounded by the
     number of columns and their category domains). With ``persist`` the
     deduplicated frame is kept (memory, spilling to disk) for the several
-    small aggregates that follow; lost blocks are recomputed from lineage."""
-    prepared = prepare(df, target, id_cols, params, persist=persist)
+    small aggregates that follow; lost blocks are recomputed from lineage.
+    With ``materialize`` it is written once to the shared folder instead."""
+    prepared = prepare(df, target, id_cols, params, persist=persist, materialize=materialize)
     if target not in prepared.columns:
         raise ValueError(f"Target column '{target}' not found in dataset.")
     num, cat = split_feature_types(prepared, target)

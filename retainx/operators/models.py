@@ -134,7 +134,9 @@ class TrainedSet:
 
 def fit_features(df: DataFrame, target: str, id_cols=(), params: Params = P):
     """Prepare, label, split, fit the preprocessing on train, vectorise both sides."""
-    schema, prepared = FE.fit_schema(df, target, id_cols, params, persist=True)
+    # the deduplicated rows are written once to the shared folder and read by
+    # every step below (no session-long cache of the full table to release)
+    schema, prepared = FE.fit_schema(df, target, id_cols, params, materialize=True)
     labelled = FE.map_target(prepared, target, schema.positive)
     split = FE.train_test_split(labelled, "label", params.test_size, params.seed, stratify=True)
     train = split.where(~F.col("is_test"))
