@@ -10,12 +10,14 @@ from retainx.llm.language_id import language_query
 from retainx.llm.mixing import mixing_query
 from retainx.llm.order_minhash import fingerprints_query
 from retainx.llm.packing import packing_query
+from retainx.llm.prefix_forest import neighbours_query
 from retainx.llm.quality import quality_query
 from retainx.llm.secret_scan import secrets_query
 from retainx.llm.url_filter import urls_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_query,
+    "op2_prefix_forest": neighbours_query,
     "op3_language_id": language_query,
     "op5_url_filter": urls_query,
     "op6_order_minhash": fingerprints_query,
