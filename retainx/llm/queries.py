@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retainx.llm.language_id import language_query
 from retainx.llm.mixing import mixing_query
+from retainx.llm.ngram_join import join_query
 from retainx.llm.order_minhash import fingerprints_query
 from retainx.llm.packing import packing_query
 from retainx.llm.prefix_forest import neighbours_query
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets_query,
     "op2_prefix_forest": neighbours_query,
     "op3_language_id": language_query,
+    "op4_ngram_join": join_query,
     "op5_url_filter": urls_query,
     "op6_order_minhash": fingerprints_query,
     "op7_mixing": mixing_query,
