@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retainx.llm.bitmaps import is_marked, repeated_marks
 from retainx.llm.scratch import materialize
 from retainx.llm.similarity import components, similar_nodes
 from retainx.llm.textnp import WordHasher, distinct_by_row, mix, shingle_hashes, slices, utf8
@@ -44,7 +45,6 @@ class JoinParams:
     k: int = 5
     percent: int = 80                   # of the union that the intersection must reach
     classes: tuple[tuple[int, int], ...] = ((2, 27), (8, 25), (64, 23))
-    bucket_bytes: int = 8 << 20         # of shingle hashes counted by one group
 
     def overlap(self, n: np.ndarray | int) -> np.ndarray | int:
         """Shingles that a set of n shares at least with any similar one."""
@@ -66,48 +66,20 @@ class ShingleReader:
 
 
 def frequency_bitmaps(documents: DataFrame, params: JoinParams, text_col: str) -> list[np.ndarray]:
-    """For each class a bitmap over the leading bits of the shingle hash; together of fixed size."""
-    size = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    bits = min(16, max(6, (size * 4 // 6 // params.bucket_bytes).bit_length()))      # one shingle for about six bytes
+    """For each class a bitmap over the leading bits of the shingle hash."""
+    def marks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, h, _ in ShingleReader(params.k).read(batch.column(0)):
+            yield (h >> np.uint64(32)).astype(np.uint32)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = ShingleReader(params.k)
-        for batch in batches:
-            found = [(h >> np.uint64(32)).astype(np.uint32) for _, _, h, _ in reader.read(batch.column(0))]
-            marks = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint32)
-            cuts = np.searchsorted(marks, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
-            own = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array([marks[cuts[i]:cuts[i + 1]].tobytes() for i in own], pa.binary())], ["bucket", "marks"])
-
-    def count(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        marks = np.sort(np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32))
-        first = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
-        marks, times = marks[first], np.diff(np.append(first, len(marks)))
-        out = []
-        for least, width in params.classes:
-            plain = np.zeros(max(8, 1 << (width - bits)), bool)
-            plain[(marks[times >= least] >> np.uint32(32 - width)).astype(np.int64) - (bucket << (width - bits))] = True
-            out.append(np.packbits(plain, bitorder="little").tobytes())
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "maps": pa.array([out], pa.list_(pa.binary()))})
-
-    slices_ = documents.select(F.col(text_col)).mapInArrow(spread, "bucket int, marks binary") \
-        .groupBy("bucket").applyInArrow(count, "bucket int, maps array<binary>").collect()      # the bitmaps, whatever the input
-    maps = [np.zeros(1 << (width - 3), np.uint8) for _, width in params.classes]
-    for r in slices_:
-        for m, (part, (_, width)) in enumerate(zip(r.maps, params.classes)):
-            step = 1 << (width - bits - 3)
-            maps[m][r.bucket * step:(r.bucket + 1) * step] = np.frombuffer(bytes(part), np.uint8)
-    return maps
+    size = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return repeated_marks(documents.select(F.col(text_col)), marks, size // 6, params.classes)    # a shingle for about six bytes
 
 
 def classes_of(shingles: np.ndarray, maps: list[np.ndarray], params: JoinParams) -> np.ndarray:
     """Frequency class of each shingle: 0 is a shingle of one document, the last one is frequent."""
     out = np.zeros(len(shingles), np.int8)
     for c, (bitmap, (_, width)) in enumerate(zip(maps, params.classes), start=1):
-        at = (shingles >> np.uint64(64 - width)).astype(np.int64)
-        out[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1] = c
+        out[is_marked(bitmap, width, shingles)] = c
     return out
 
 

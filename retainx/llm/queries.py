@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from retainx.llm.language_id import language_query
+from retainx.llm.line_dedup import lines_query
 from retainx.llm.mixing import mixing_query
 from retainx.llm.ngram_join import join_query
 from retainx.llm.order_minhash import fingerprints_query
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_order_minhash": fingerprints_query,
     "op7_mixing": mixing_query,
     "op8_packing": packing_query,
+    "op9_line_dedup": lines_query,
     "op10_quality": quality_query,
 }
 
