@@ -12,11 +12,11 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from retainx.functions.columns import qcol
 from retainx.functions.expr import guarded_double, is_numeric_type, pandas_str, py_round, strip_ws
-from retainx.operators.rows import distinct_rows
+from retainx.operators.rows import distinct_rows, drop_columns
 from retainx.operators.stats import numeric_like_columns
 from retainx.params import POSITIVE_PATTERNS, Params
 from retainx.plans.ranking import exact_quantiles, prefix_sums
@@ -26,11 +26,22 @@ P = Params()
 
 
 # ---- F01 / F03 -------------------------------------------------------------------
+#: Name of the column that identifies a prepared row after its IDs are gone.
+ROW_KEY = "_row_key"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Adds ``ROW_KEY``: a hash of the whole row, IDs included, so distinct rows have distinct keys."""
+    text = F.concat_ws("|", *[F.coalesce(qcol(c).cast("string"), F.lit("~null~")) for c in df.columns])
+    return df.withColumn(ROW_KEY, F.md5(text))
+
+
 def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist: bool = False,
-            materialize: bool = False) -> DataFrame:
+            materialize: bool = False, row_key: bool = False) -> DataFrame:
     """drop duplicate rows, drop ID columns, coerce numeric-like text
     (the target excluded). ``persist`` keeps the deduplicated rows for the
-    metadata aggregates that follow (memory, spilling to disk).
+    metadata aggregates that follow (memory, spilling to disk). ``row_key``
+    adds ``ROW_KEY``, made before the IDs go.
 
     ``materialize`` writes the deduplicated rows once as a Parquet table in a
     fresh folder under the shared ``spark.checkpoint.dir``: every later job of
@@ -38,7 +49,7 @@ def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist:
     read) scans those files - with column pruning and pushed filters - instead
     of re-running the full-row dedup shuffle, and the cut lineage survives
     lost executors."""
-    d = distinct_rows(df, id_cols)
+    d = drop_columns(with_row_key(df.dropDuplicates()), id_cols) if row_key else distinct_rows(df, id_cols)
     if materialize:
         spark = d.sparkSession
         path = shared_dir(spark, "prepared")
@@ -46,7 +57,7 @@ def prepare(df: DataFrame, target: str, id_cols=(), params: Params = P, persist:
         d = spark.read.parquet(path)
     elif persist:
         d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    promote = set(numeric_like_columns(d, exclude=(target,), params=params))
+    promote = set(numeric_like_columns(d, exclude=(target, ROW_KEY), params=params))
     return d.select(*[guarded_double(qcol(c)).alias(c) if c in promote else qcol(c) for c in d.columns])
 
 
@@ -76,7 +87,9 @@ def positive_class(df: DataFrame, target: str, params: Params = P):
     """
     dt = df.schema[target].dataType
     classes = (df.where(qcol(target).isNotNull()).select(qcol(target).alias("v")).distinct()
-               .orderBy("v").collect())            # the distinct target classes
+               .orderBy("v").limit(params.max_classes + 1).collect())
+    if len(classes) > params.max_classes:
+        raise ValueError(f"Target column '{target}' has more than {params.max_classes} classes.")
     vals = [r["v"] for r in classes]
     if isinstance(dt, T.DoubleType | T.FloatType):
         vals = [v for v in vals if not (isinstance(v, float) and math.isnan(v))]
@@ -125,6 +138,24 @@ def category_domain(df: DataFrame, cat_cols) -> DataFrame:
     return category_counts(df, cat_cols).select("column_name", "value")
 
 
+def category_domains(df: DataFrame, cat_cols, params: Params = P) -> dict:
+    """F05 for a fit: sorted categories per column, after a count that refuses
+    columns with more than ``max_categories`` of them."""
+    counts = category_counts(df, cat_cols)
+    _refuse_wide(counts, params)
+    out: dict = {}
+    for r in counts.select("column_name", "value").collect():       # at most max_categories per column
+        out.setdefault(r["column_name"], []).append(r["value"])
+    return {c: sorted(out.get(c, [])) for c in cat_cols}
+
+
+def _refuse_wide(counts: DataFrame, params: Params) -> None:
+    wide = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") > params.max_categories).collect()
+    if wide:
+        names = ", ".join(sorted(r["column_name"] for r in wide))
+        raise ValueError(f"More than {params.max_categories} categories in: {names}. Leave these columns out of the features.")
+
+
 def category_modes(df: DataFrame, cat_cols) -> DataFrame:
     """most frequent category per column, the smallest on ties."""
     return category_counts(df, cat_cols).groupBy("column_name").agg(
@@ -171,20 +202,30 @@ class FeatureSchema:
     def to_dict(self) -> dict:
         return {k: getattr(self, k) for k in self.__dataclass_fields__}
 
+    @staticmethod
+    def from_dict(values: dict) -> "FeatureSchema":
+        """Rebuilt from ``to_dict`` (as read back from a stored package)."""
+        return FeatureSchema(**{k: values[k] for k in FeatureSchema.__dataclass_fields__ if k in values})
+
 
 def fit_schema(df: DataFrame, target: str, id_cols=(), params: Params = P,
-               persist: bool = False, materialize: bool = False) -> tuple[FeatureSchema, DataFrame]:
+               persist: bool = False, materialize: bool = False, row_key: bool = False) -> tuple[FeatureSchema, DataFrame]:
     """Prepare ``df`` and read back the per-column metadata (bounded by the
     number of columns and their category domains). With ``persist`` the
     deduplicated frame is kept (memory, spilling to disk) for the several
     small aggregates that follow; lost blocks are recomputed from lineage.
-    With ``materialize`` it is written once to the shared folder instead."""
-    prepared = prepare(df, target, id_cols, params, persist=persist, materialize=materialize)
+    With ``materialize`` it is written once to the shared folder instead.
+    With ``row_key`` the returned frame also carries ``ROW_KEY``."""
+    whole = prepare(df, target, id_cols, params, persist=persist, materialize=materialize, row_key=row_key)
+    prepared = whole.drop(ROW_KEY)
     if target not in prepared.columns:
         raise ValueError(f"Target column '{target}' not found in dataset.")
     num, cat = split_feature_types(prepared, target)
     pos, classes = positive_class(prepared, target, params)
-    counts = category_counts(prepared, cat).collect() if cat else []
+    grouped = category_counts(prepared, cat)
+    if cat:
+        _refuse_wide(grouped, params)
+    counts = grouped.collect() if cat else []
     domains, best = {}, {}
     for r in counts:
         domains.setdefault(r["column_name"], []).append(r["value"])
@@ -197,14 +238,14 @@ def fit_schema(df: DataFrame, target: str, id_cols=(), params: Params = P,
     schema = FeatureSchema(target=target, id_columns=list(id_cols), feature_columns=[c for c in prepared.columns if c != target],
                            numerical_cols=num, categorical_cols=cat, positive=pos, classes=classes, domains=domains,
                            ranges=ranges, defaults={k: v[1] for k, v in best.items()})
-    return schema, prepared
+    return schema, whole
 
 
 # ---- F12 -----------------------------------------------------------------------------
-def row_hash(df: DataFrame, cols, seed: int) -> Column:
-    """60-bit hash of the row text: stable across runs and engines, no shuffle."""
+def row_hash(df: DataFrame, cols, seed: int, part: int = 0) -> Column:
+    """60 bits of the md5 of the row text (``part`` 0 or 1): stable across runs and engines, no shuffle."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(qcol(c).cast("string"), F.lit("")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1 + 15 * part, 15), 16, 10).cast("bigint")
 
 
 def _allocate(counts: dict, test_size: float) -> dict:
@@ -221,49 +262,55 @@ def _allocate(counts: dict, test_size: float) -> dict:
 
 
 def train_test_split(df: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
-                     stratify: bool = True, hash_cols=None) -> DataFrame:
-    """adds ``is_test``. Rows are ordered by a seeded row hash; per label
-    the lowest-hash rows up to the allocated count go to test. Thresholds come
-    from a bucketed prefix sum (no global sort, no shuffle of the rows)."""
-    spark = df.sparkSession
-    cols = hash_cols or [c for c in df.columns if c != label]
-    hd = df.withColumn("_h", row_hash(df, cols, seed))
+                     stratify: bool = True, key_cols=None) -> DataFrame:
+    """adds ``is_test``. Rows are ordered by a seeded hash of ``key_cols``
+    (default: all columns but the label); per label exactly the allocated
+    number of rows with the lowest hashes goes to test. The threshold comes
+    from a bucketed prefix sum (no global sort, no shuffle of the rows).
+
+    ``key_cols`` should identify a row (``ROW_KEY``, or an ID): then rows with
+    equal features fall on both sides like any others. Rows that share the
+    threshold hash are told apart by a second hash; only if these are equal too
+    is it open which of them is taken."""
     keys = [label] if stratify else []
+    cols = key_cols or [c for c in df.columns if c != label]
+    hd = df.withColumn("_h", row_hash(df, cols, seed))
     vc = hd.groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _split_with(hd, vc, keys, label, test_size, seed, stratify, hash_cols, df)
+        totals = {(r[label] if stratify else 0): r["_n"] for r in vc.groupBy(*keys).agg(F.sum("_w").alias("_n")).collect()}
+        if stratify and len(totals) < 2:                     # one class: plain split
+            return train_test_split(df, label, test_size, seed, stratify=False, key_cols=cols)
+        if not totals:
+            return hd.withColumn("is_test", F.lit(False)).drop("_h")
+        alloc = _allocate(totals, test_size) if stratify else {0: math.ceil(test_size * sum(totals.values()))}
+        hit = prefix_sums(vc, keys, "_h", ["_w"])
+        take = F.lit(0)
+        for k, n in alloc.items():
+            take = F.when(F.col(label) == F.lit(k), F.lit(n)).otherwise(take) if stratify else F.lit(n)
+        hit = hit.withColumn("_k", take.cast("bigint")).where(
+            (F.col("_w_before") < F.col("_k")) & (F.col("_k") <= F.col("_w_before") + F.col("_w")))
+        # per label one threshold, the rows that share it and how many of them go to test
+        cuts = {(r[label] if stratify else 0): (r["_h"], r["_w"], r["_k"] - r["_w_before"]) for r in hit.collect()}
     finally:
         vc.unpersist()
-
-
-def _split_with(hd, vc, keys, label, test_size, seed, stratify, hash_cols, df):
-    spark = df.sparkSession
-    stats = vc.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_d")).collect()  # one row per class
-    totals = {(r[label] if stratify else 0): r["_n"] for r in stats}
-    if stratify and len(totals) < 2:                     # one class: plain split
-        return train_test_split(df, label, test_size, seed, stratify=False, hash_cols=hash_cols)
-    if not totals:
-        return hd.withColumn("is_test", F.lit(False)).drop("_h")
-    alloc = _allocate(totals, test_size) if stratify else {0: math.ceil(test_size * sum(totals.values()))}
-    ranked = prefix_sums(vc, keys, "_h", ["_w"], dmax=max(r["_d"] for r in stats))
-    if stratify:
-        kk = spark.createDataFrame([(k, int(v)) for k, v in alloc.items()], T.StructType([
-            T.StructField(label, df.schema[label].dataType), T.StructField("_k", T.LongType())]))
-        hit = ranked.join(F.broadcast(kk), keys)
-    else:
-        hit = ranked.withColumn("_k", F.lit(int(alloc[0])).cast("bigint"))
-    thr = (hit.where((F.col("_w_before") <= F.col("_k") - 1) & (F.col("_k") - 1 < F.col("_w_before") + F.col("_w")))
-           .groupBy(*keys).agg(F.max("_h").alias("_thr")))
-    # One threshold per label, applied as literals: the returned frame is a
-    # projection of the input, so later actions do not recompute the ranking.
-    cuts = {(r[label] if stratify else 0): r["_thr"] for r in thr.collect()}
-    if stratify:
-        test = F.lit(False)
-        for k, t in cuts.items():
-            test = F.when(F.col(label) == F.lit(k), F.col("_h") <= F.lit(t)).otherwise(test)
-    else:
-        test = F.col("_h") <= F.lit(cuts[0]) if 0 in cuts else F.lit(False)
-    return hd.withColumn("is_test", F.coalesce(test, F.lit(False))).drop("_h")
+    # applied as literals: the returned frame is a projection of the input, so
+    # later actions do not recompute the ranking
+    test, tied = F.lit(False), F.lit(False)
+    for k, (h, rows, need) in cuts.items():
+        own = F.col(label).eqNullSafe(F.lit(k)) if stratify else F.lit(True)
+        test = F.when(own, F.col("_h") <= F.lit(h)).otherwise(test)
+        if need < rows:
+            tied = tied | (own & (F.col("_h") == F.lit(h)))
+    split = hd.withColumn("is_test", F.coalesce(test, F.lit(False)))
+    if all(need == rows for _, rows, need in cuts.values()):
+        return split.drop("_h")
+    need_of = F.lit(0)
+    for k, (_, _, need) in cuts.items():
+        need_of = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(need)).otherwise(need_of) if stratify else F.lit(need)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h2") if keys else Window.orderBy("_h2"))
+    ties = hd.where(tied).withColumn("_h2", row_hash(df, cols, seed, 1)).withColumn("_r", rank) \
+        .withColumn("is_test", F.col("_r") <= need_of).drop("_r", "_h2")     # only rows of the one threshold hash
+    return split.where(~tied).unionByName(ties).drop("_h")
 
 
 # ---- F07 / F09 / F10 -------------------------------------------------------------------

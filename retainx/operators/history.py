@@ -18,8 +18,9 @@ def _newest():
 
 def history_query(preds: DataFrame, user_id: int, search: str | None = None, risk_level: str | None = None,
                   prediction: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One user's log, filtered, newest first, paged (limit capped at 500)."""
-    limit = min(limit, 500)
+    """One user's log, filtered, newest first, paged."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be positive and offset must not be negative")
     df = preds.where(F.col("user_id") == user_id)
     if search:
         df = df.where(F.lower(F.col("customer_identifier")).contains(search.lower()))
@@ -70,7 +71,7 @@ def delete_records(preds: DataFrame, ids: DataFrame | None = None, user_id: int
     user, and cascades of deleted parents (anti join on the parent key)."""
     out = preds
     if user_id is not None:
-        out = out.where(F.col("user_id") != user_id)
+        out = out.where(~F.col("user_id").eqNullSafe(F.lit(user_id)))      # rows without a user stay
     if ids is not None:
         out = out.join(ids.select("id"), "id", "left_anti")
     if parents is not None:

@@ -10,6 +10,8 @@ algorithm; only per-model metrics and parameters return to the driver.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -26,7 +28,10 @@ from pyspark.util import inheritable_thread_target
 
 from retainx.operators import evaluate as EV
 from retainx.operators import features as FE
-from retainx.operators.score import score_batch
+from retainx.functions.columns import qcol
+from retainx.functions.expr import py_round
+from retainx.operators.history import resolve_active
+from retainx.operators.score import customer_identifier, explain_rules, score_batch
 from retainx.params import ALGORITHMS, Params
 
 P = Params()
@@ -88,26 +93,26 @@ def make_estimator(name: str, params: Params, n_train: int):
     if name == "Logistic Regression":
         # scikit-learn's C * sum(w * loss) + |b|^2 / 2 equals Spark's objective
         # with regParam = 1 / (C * sum(w)); balanced weights sum to n.
-        # tol 1e-4 is scikit-learn's lbfgs default.
+        # The optimum is unique, so the tolerance decides how many digits are right.
         return LogisticRegression(maxIter=params.lr_max_iter, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, weightCol="weight", tol=1e-4, **common)
+                                  standardization=False, weightCol="weight", tol=params.lr_tol, **common)
     if name == "Decision Tree":
         return DecisionTreeClassifier(maxDepth=params.dt_max_depth, minInstancesPerNode=params.dt_min_leaf,
-                                      maxBins=64, weightCol="weight", seed=params.seed, checkpointInterval=10,
+                                      maxBins=params.max_bins, weightCol="weight", seed=params.seed, checkpointInterval=10,
                                       cacheNodeIds=True, **common)
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=params.rf_trees, maxDepth=params.rf_max_depth,
-                                      minInstancesPerNode=params.rf_min_leaf, featureSubsetStrategy="sqrt", maxBins=64,
+                                      minInstancesPerNode=params.rf_min_leaf, featureSubsetStrategy="sqrt", maxBins=params.max_bins,
                                       weightCol="weight", seed=params.seed, checkpointInterval=10,
                                       cacheNodeIds=True, maxMemoryInMB=1024, **common)
     if name == "Gradient Boosting":
         return GBTClassifier(maxIter=params.gb_rounds, stepSize=params.gb_step, maxDepth=params.gb_max_depth,
-                             subsamplingRate=params.gb_subsample, maxBins=64, seed=params.seed, checkpointInterval=10,
+                             subsamplingRate=params.gb_subsample, maxBins=params.max_bins, seed=params.seed, checkpointInterval=10,
                              **common)
     return None
 
 
-def importances(model, names: list[str], top: int = 15) -> list[tuple[str, float]]:
+def importances(model, names: list[str], top: int | None = None) -> list[tuple[str, float]]:
     """Tree importances or signed LR coefficients, rounded to 4, by |value|."""
     if hasattr(model, "featureImportances"):
         raw = model.featureImportances.toArray().tolist()
@@ -136,9 +141,9 @@ def fit_features(df: DataFrame, target: str, id_cols=(), params: Params = P):
     """Prepare, label, split, fit the preprocessing on train, vectorise both sides."""
     # the deduplicated rows are written once to the shared folder and read by
     # every step below (no session-long cache of the full table to release)
-    schema, prepared = FE.fit_schema(df, target, id_cols, params, materialize=True)
+    schema, prepared = FE.fit_schema(df, target, id_cols, params, materialize=True, row_key=True)
     labelled = FE.map_target(prepared, target, schema.positive)
-    split = FE.train_test_split(labelled, "label", params.test_size, params.seed, stratify=True)
+    split = FE.train_test_split(labelled, "label", params.test_size, params.seed, stratify=True, key_cols=[FE.ROW_KEY])
     train = split.where(~F.col("is_test"))
     medians = FE.train_medians(train, schema.numerical_cols, params)
     imputed = FE.impute_median(train, medians)
@@ -147,23 +152,11 @@ def fit_features(df: DataFrame, target: str, id_cols=(), params: Params = P):
     if params.null_category == "mode" and schema.categorical_cols:
         modes = {r["column_name"]: r["mode"] for r in FE.category_modes(train, schema.categorical_cols).collect()}
     prep = prep_pipeline(schema, medians, scaler, modes, params).fit(train)
-    vec = prep.transform(FE.balanced_class_weight(split)).select("label", "weight", "is_test", "features")
+    vec = prep.transform(FE.balanced_class_weight(split)).select(FE.ROW_KEY, "label", "weight", "is_test", "features")
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     return schema, prep, vec
 
 
-def _fit_input(name: str, train: DataFrame, n_train: int, params: Params) -> DataFrame:
-    """Boosting fits one small tree per round, so each round's jobs carry
-    little work per task and task overhead dominates: give it partitions of
-    at least ``boost_rows_per_partition`` rows (a narrow coalesce; at scale
-    the partitions are already larger and nothing changes)."""
-    if name != "Gradient Boosting":
-        return train
-    parts = train.rdd.getNumPartitions()
-    want = max(1, -(-n_train // max(1, params.boost_rows_per_partition)))
-    return train.coalesce(want) if want < parts else train
-
-
 def _timed_fit(est, train):
     """Wall clock of one ``fit`` (3 decimals)."""
     t0 = time.perf_counter()
@@ -184,15 +177,14 @@ def train_and_compare(df: DataFrame, target: str, id_cols=(), algorithms=ALGORIT
     todo = [(i, name, est) for i, name in enumerate(algorithms)
             if (est := make_estimator(name, params, n_train)) is not None]
     t_all = time.perf_counter()
-    # The fits are independent and each runs as many small distributed jobs
-    # (tree levels, boosting rounds, L-BFGS passes); submitting them from a few
-    # driver threads keeps the executors busy between one model's jobs, as
-    # CrossValidator(parallelism=...) does.
+    # One after another by default, so that a fit's time is its own; the fits are
+    # independent, and ``fit_parallelism`` submits them from several driver
+    # threads, as CrossValidator(parallelism=...) does.
     fitted = {}
     with ThreadPoolExecutor(max_workers=max(1, min(len(todo), params.fit_parallelism))) as pool:
         # boosting rounds are strictly sequential: the critical path, start it first
         first = sorted(todo, key=lambda t: t[1] != "Gradient Boosting")
-        futs = {name: pool.submit(inheritable_thread_target(spark)(_timed_fit), est, _fit_input(name, train, n_train, params))
+        futs = {name: pool.submit(inheritable_thread_target(spark)(_timed_fit), est, train)
                 for _, name, est in first}
         for _, name, _ in todo:
             fitted[name] = futs[name].result()
@@ -233,22 +225,86 @@ def score_with_model(df: DataFrame, trained: TrainedSet, algorithm: str) -> Data
     return score_batch(base, F.col("_p")).drop("_p")
 
 
+def score_package(df: DataFrame, pipeline: PipelineModel, schema: FE.FeatureSchema) -> DataFrame:
+    """C01 from a stored package alone: original columns, label, percentages and tier."""
+    keep = df.select(*[qcol(c).alias(f"__orig_{i}") for i, c in enumerate(df.columns)], *[qcol(c) for c in df.columns])
+    pred = pipeline.transform(FE.align_batch(keep, schema))
+    base = pred.select(*[F.col(f"__orig_{i}").alias(c) for i, c in enumerate(df.columns)], churn_probability(pred).alias("_p"))
+    return score_batch(base, F.col("_p")).drop("_p")
+
+
+def score_customers(df: DataFrame, pipeline: PipelineModel, schema: FE.FeatureSchema, importances_=None,
+                    id_col: str | None = None) -> DataFrame:
+    """Customers as typed in (other letter case, blank or bad numbers),
+    scored one by one: identifier, label, churn percentage, retention as
+    100 minus it, tier and risk factors."""
+    typed = FE.normalize_scoring_input(df, schema)
+    pred = pipeline.transform(typed)
+    keep = [c for c in typed.columns]
+    scored = score_batch(pred.select(*[qcol(c) for c in keep], churn_probability(pred).alias("_p")), F.col("_p"))
+    ident = customer_identifier(qcol(id_col).cast("string") if id_col and id_col in keep else None,
+                                *[qcol(c) for c in schema.feature_columns])
+    pct = qcol("Churn_Probability_%")
+    return scored.select(ident.alias("customer_identifier"), qcol("Predicted_Churn").alias("prediction"),
+                         pct.alias("churn_probability"), py_round(F.lit(100.0) - pct, 1).alias("retention_probability"),
+                         qcol("Risk_Level").alias("risk_level"), explain_rules(scored, importances_).alias("top_factors"))
+
+
 def save_package(trained: TrainedSet, algorithm: str, path: str) -> str:
-    """Preprocessing + classifier as one PipelineModel, plus metadata JSON."""
+    """Preprocessing + classifier as one PipelineModel, plus the fitted
+    schema, metrics and importances as JSON (class values keep their types)."""
     pm = PipelineModel(stages=[trained.prep, trained.models[algorithm]])
     pm.write().overwrite().save(path + "/pipeline")
-    meta = trained.schema.to_dict()
-    meta["algorithm_name"] = algorithm
-    meta["feature_names"] = trained.names
     spark = trained.metrics.sparkSession
-    spark.createDataFrame([(json.dumps(meta, default=str),)], "metadata string").write.mode("overwrite").json(path + "/metadata")
+    row = next(r for r in trained.metrics.collect() if r["algorithm_name"] == algorithm)     # one row per algorithm
+    meta = {"algorithm_name": algorithm, "feature_names": trained.names, "schema": trained.schema.to_dict(), "metrics": row.asDict()}
+    spark.createDataFrame([(json.dumps(meta, default=_json_value),)], "metadata string").write.mode("overwrite").json(path + "/metadata")
     return path
 
 
-def load_package(spark, path: str) -> tuple[PipelineModel, dict]:
+def _json_value(v):
+    if isinstance(v, decimal.Decimal | datetime.date | datetime.datetime):
+        return {"type": type(v).__name__, "value": str(v)}
+    raise TypeError(f"a class value of type {type(v).__name__} can't be stored")
+
+
+def _python_value(d: dict):
+    kinds = {"Decimal": decimal.Decimal, "date": datetime.date.fromisoformat, "datetime": datetime.datetime.fromisoformat}
+    return kinds[d["type"]](d["value"]) if set(d) == {"type", "value"} and d["type"] in kinds else d
+
+
+def load_package(spark, path: str) -> tuple[PipelineModel, FE.FeatureSchema, dict]:
+    """(pipeline, fitted schema, metadata) of a stored package: all that scoring needs."""
     pm = PipelineModel.load(path + "/pipeline")
-    meta = json.loads(spark.read.json(path + "/metadata").first()["metadata"])
-    return pm, meta
+    meta = json.loads(spark.read.json(path + "/metadata").first()["metadata"], object_hook=_python_value)
+    return pm, FE.FeatureSchema.from_dict(meta["schema"]), meta
+
+
+def register_models(trained: TrainedSet, base: str, dataset_id: int, user_id: int, first_id: int = 1) -> DataFrame:
+    """Store every model's package under ``base`` and return its registry
+    rows; the best model is the active one."""
+    spark = trained.metrics.sparkSession
+    rows = trained.metrics.orderBy("ordinal").collect()                 # one row per algorithm
+    paths = [save_package(trained, r["algorithm_name"], f"{base.rstrip('/')}/model-{first_id + i}") for i, r in enumerate(rows)]
+    ids = spark.createDataFrame([(r["algorithm_name"], first_id + i, p) for i, (r, p) in enumerate(zip(rows, paths))],
+                                "algorithm_name string, id long, model_path string")
+    return trained.metrics.join(ids, "algorithm_name").select(
+        "id", F.lit(dataset_id).cast("bigint").alias("dataset_id"), F.lit(user_id).cast("bigint").alias("user_id"), "algorithm_name",
+        "accuracy", "precision", "recall", "f1_score", "roc_auc", "tp", "fp", "fn", "tn", "feature_importances", "training_time",
+        "model_path", "is_best", F.col("is_best").alias("is_active"), F.current_timestamp().alias("created_at"))
+
+
+def add_to_registry(registry: DataFrame, added: DataFrame) -> DataFrame:
+    """The registry with new rows; earlier models of the same datasets are no longer active."""
+    fresh = added.select("dataset_id").distinct()
+    old = registry.join(fresh.withColumn("_new", F.lit(True)), "dataset_id", "left") \
+        .withColumn("is_active", F.col("is_active") & F.col("_new").isNull()).select(*added.columns)
+    return old.unionByName(added)
+
+
+def active_model(registry: DataFrame) -> DataFrame:
+    """Of each user the active model, else the one with the highest F1."""
+    return resolve_active(registry, [F.col("f1_score").desc(), F.col("id").desc()])
 
 
 def schema_frame(spark, schema: FE.FeatureSchema) -> DataFrame:
@@ -258,7 +314,7 @@ def schema_frame(spark, schema: FE.FeatureSchema) -> DataFrame:
     for i, c in enumerate(schema.feature_columns):
         if c in schema.numerical_cols:
             r = schema.ranges.get(c, {})
-            rows.append((i, c, "numerical", r.get("min"), r.get("max"), r.get("mean"), r.get("median"), None, None))
+            rows.append((i, c, "numerical", r.get("min"), r.get("max"), round(r.get("mean"), 9), r.get("median"), None, None))
         else:
             dom = schema.domains.get(c, [])
             rows.append((i, c, "categorical", None, None, None, None, schema.defaults.get(c), dom))

@@ -119,12 +119,14 @@ def categorical_stats(df: DataFrame, params: Params = P) -> DataFrame:
 
 
 def categorical_values(df: DataFrame, params: Params = P) -> DataFrame:
-    """D03 value list: up to 20 distinct values per non-numeric column, smallest first."""
+    """D03 value list: distinct values per non-numeric column, smallest first
+    (the first ``unique_values_kept`` when given), with the full count of the column."""
     cols = categorical_columns(df)
     sub = df.select(*[qcol(c) for c in cols])
     w = Window.partitionBy("ordinal").orderBy(F.col("num").asc_nulls_last(), "value")
-    vals = (value_counts(sub).withColumn("value_rank", F.row_number().over(w))
-            .where(F.col("value_rank") <= params.unique_values_kept))
+    vals = value_counts(sub).withColumn("value_rank", F.row_number().over(w))
+    if params.unique_values_kept is not None:
+        vals = vals.where(F.col("value_rank") <= params.unique_values_kept)
     return vals.join(F.broadcast(catalog(df.sparkSession, sub)), "ordinal").select("column_name", "value_rank", "value")
 
 
@@ -147,10 +149,10 @@ def display_classes(df: DataFrame, target: str, params: Params = P) -> DataFrame
 
 
 def crosstab_columns(df: DataFrame, target: str, params: Params = P) -> list[str]:
-    """Non-numeric columns other than the target with at most 10 distinct values."""
+    """Non-numeric columns other than the target, with at most ``crosstab_max_unique`` distinct values if given."""
     cols = [c for c in categorical_columns(df) if c != target]
-    if not cols:
-        return []
+    if not cols or params.crosstab_max_unique is None:
+        return cols
     sub = df.select(*[qcol(c) for c in cols])
     u = value_counts(sub).groupBy("ordinal").agg(F.count(F.lit(1)).alias("u")).collect()   # one row per column
     ok = {r["ordinal"] for r in u if r["u"] <= params.crosstab_max_unique}
@@ -186,19 +188,21 @@ def category_by_target(df: DataFrame, target: str, params: Params = P) -> DataFr
 
 
 def _fmt_fixed(x, decimals: int):
-    """Format a double with ``decimals`` digits from its rounded integer scale."""
-    t = F.bround(x * F.lit(float(10 ** decimals)), 0).cast("bigint")
+    """Format a double with ``decimals`` digits from its rounded integer scale;
+    values beyond that scale's 64 bits have no fraction left to round."""
+    t = F.bround(x * F.lit(float(10 ** decimals)), 0).try_cast("bigint")
+    large = F.format_string(f"%.{decimals}f", x)
     if decimals == 0:
-        return t.cast("string")
+        return F.coalesce(t.cast("string"), large)
     a = F.abs(t)
     frac = F.lpad((a % (10 ** decimals)).cast("string"), decimals, "0")
-    return F.concat(F.when(t < 0, F.lit("-")).otherwise(F.lit("")), (a / (10 ** decimals)).cast("bigint").cast("string"),
-                    F.lit("."), frac)
+    whole = F.floor(a / (10 ** decimals)).cast("string")
+    return F.coalesce(F.concat(F.when(t < 0, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."), frac), large)
 
 
 def numeric_histogram(df: DataFrame, target: str | None = None, params: Params = P) -> DataFrame:
     """NumPy-compatible equal-width histogram per numeric column (not the
-    target) with more than 10 values. Long form (feature, bin_index, bin, count)."""
+    target) with at least ``hist_min_values`` values. Long form (feature, bin_index, bin, count)."""
     spark = df.sparkSession
     bins = params.hist_bins
     cols = [c for c in numeric_columns(df) if c != target]
@@ -208,7 +212,7 @@ def numeric_histogram(df: DataFrame, target: str | None = None, params: Params =
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _clean_num(c).alias("x")) for c in cols])))
     long = long.where(F.col("x").isNotNull())
     rng = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo0"), F.max("x").alias("_hi0"))
-    rng = (rng.where(F.col("_n") > 10)
+    rng = (rng.where(F.col("_n") >= params.hist_min_values)
            .withColumn("_lo", F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")))
            .withColumn("_hi", F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")))
            .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))))
@@ -233,11 +237,18 @@ def numeric_histogram(df: DataFrame, target: str | None = None, params: Params =
 
 
 def correlation_matrix(df: DataFrame, params: Params = P) -> DataFrame:
-    """Pairwise-complete Pearson of the first 8 numeric columns, long (x, y, value)."""
+    """Pairwise-complete Pearson of the numeric columns (the first
+    ``correlation_max_columns`` when given), long (x, y, value); 0 where a
+    column does not vary."""
     cols = numeric_columns(df)[: params.correlation_max_columns]
     if len(cols) < 2 or not params.correlation:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
-    aggs = [f"corr({SQ.clean_double(a)}, {SQ.clean_double(cols[j])}) AS c{i}_{j}"
+    def pearson(x: str, y: str) -> str:
+        # like corr(), which raises on a constant column under ANSI rules
+        return (f"try_divide(covar_pop({x}, {y}), stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) * "
+                f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END))")
+
+    aggs = [f"{pearson(SQ.clean_double(a), SQ.clean_double(cols[j]))} AS c{i}_{j}"
             for i, a in enumerate(cols) for j in range(i, len(cols))]
     one = chunked_agg(df, aggs)
     cells = []

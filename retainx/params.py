@@ -6,7 +6,7 @@ The defaults reproduce the modular variant of the reference application;
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # --- fixed values (must equal the reference for identical results) ----------
 # Column names that mark a churn target (compared after lower-casing and
@@ -47,12 +47,14 @@ class Params:
 
     hist_bins: int = 8
     hist_label_decimals: int = 1
-    crosstab_max_unique: int = 10
-    unique_values_kept: int = 20
+    # cuts of lists and charts: None shows everything (``screens`` has the application's numbers)
+    crosstab_max_unique: int | None = None
+    unique_values_kept: int | None = None
+    hist_min_values: int = 1
     top_pct_decimals: int = 2
     numeric_quartiles: bool = True
     correlation: bool = True
-    correlation_max_columns: int = 8
+    correlation_max_columns: int | None = None
     id_by_suffix: bool = True
     id_unique_ratio: float = 0.95
     id_min_rows: int = 10
@@ -62,13 +64,15 @@ class Params:
     high_cardinality: int = 50
     sample_values: int = 5
     metric_decimals: int = 2
-    top_importances: int = 15
+    top_importances: int | None = None
     null_category: str = "category"        # "category" -> literal 'nan'; "mode" -> impute
     no_positive_fallback: str = "second"   # "second" | "last"
     explain_weights: bool = True
     explain_fallback: bool = True
     # model hyper-parameters
     lr_max_iter: int = 1000
+    lr_tol: float = 1e-9                   # relative change of the objective: converged to published digits
+    max_bins: int = 128                    # candidate splits of a numeric feature (scikit-learn tries all values)
     dt_max_depth: int = 6
     dt_min_leaf: int = 3
     rf_trees: int = 150
@@ -83,16 +87,22 @@ class Params:
     # scale switches (off = exact, as the reference)
     approx_quantiles: bool = False
     approx_distinct: bool = False
-    # execution: estimators fitted at the same time (1 = one after another)
-    fit_parallelism: int = 2
-    # boosting input partitions hold at least this many rows (coalesce, no shuffle)
-    boost_rows_per_partition: int = 8192
-    extra: dict = field(default_factory=dict)
+    # execution: estimators fitted at the same time; above 1 a fit's time includes waiting for the others
+    fit_parallelism: int = 1
+    # what a fitted schema may hold on the driver; more raises an error
+    max_classes: int = 1000
+    max_categories: int = 10_000
+
+    @staticmethod
+    def screens() -> "Params":
+        """The cuts of the application's screens: value lists of 20, charts of up to 10 values, 8 columns, 15 importances."""
+        return replace(Params(), crosstab_max_unique=10, unique_values_kept=20, hist_min_values=11,
+                       correlation_max_columns=8, top_importances=15)
 
     @staticmethod
     def single_file() -> "Params":
         return replace(
-            Params(), hist_bins=6, hist_label_decimals=0, crosstab_max_unique=8,
+            Params(), hist_bins=6, hist_label_decimals=0, crosstab_max_unique=8, hist_min_values=11,
             unique_values_kept=10, top_pct_decimals=1, numeric_quartiles=False,
             correlation=False, id_by_suffix=False, id_min_rows=0,
             target_names=SINGLE_FILE_TARGET_NAMES, metric_decimals=1, top_importances=12,

@@ -220,6 +220,31 @@ for _a in LI_NUM:
                            f" AS value FROM lineitem")
 ORACLES["correlation_matrix"] = " UNION ALL ".join(_corr_cells)
 
+_WIDE = [*LI_NUM, "flat", "twice", "minus", "partly"]
+ORACLES["correlation_wide"] = (
+    "WITH w AS (SELECT *, CAST(1.0 AS DOUBLE) AS flat, l_quantity * 2 AS twice, -l_tax AS minus, "
+    "CASE WHEN l_linenumber > 2 THEN l_discount END AS partly FROM lineitem), c AS (SELECT "
+    + ", ".join(f"covar_pop({q(a)}, {q(b)}) / nullif(stddev_pop(CASE WHEN {q(b)} IS NOT NULL THEN {q(a)} END) * "
+                f"stddev_pop(CASE WHEN {q(a)} IS NOT NULL THEN {q(b)} END), 0) AS c{i}_{j}"
+                for i, a in enumerate(_WIDE) for j, b in enumerate(_WIDE) if j >= i) + " FROM w) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, {r(f'coalesce(c{min(i, j)}_{max(i, j)}, 0.0)', 2)} AS value FROM c"
+                         for i, a in enumerate(_WIDE) for j, b in enumerate(_WIDE)))
+
+ORACLES["histogram_large_values"] = (
+    "WITH long AS (SELECT 'big' AS feature, o_orderkey * CAST(1e15 AS DOUBLE) AS x FROM orders UNION ALL "
+    "SELECT 'flat', CAST(7.0 AS DOUBLE) FROM orders), "
+    "r0 AS (SELECT feature, min(x) AS lo0, max(x) AS hi0 FROM long GROUP BY feature), "
+    "rng AS (SELECT feature, lo, hi, (hi - lo) / 8.0 AS step FROM (SELECT feature, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, "
+    "CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r0)), "
+    "b3 AS (SELECT long.feature, " + " + ".join(
+        f"CASE WHEN x >= CAST({k} AS DOUBLE) * step + lo THEN 1 ELSE 0 END" for k in range(1, 8))
+    + " AS bin_index FROM long JOIN rng USING (feature)), "
+    "counts AS (SELECT feature, bin_index, count(*) AS n FROM b3 GROUP BY ALL), "
+    "grid AS (SELECT feature, lo, hi, step, CAST(g.bin_index AS BIGINT) AS bin_index FROM rng, range(0, 8) g(bin_index)), "
+    f"e AS (SELECT *, {_edge('bin_index')} AS a, {_edge('bin_index + 1')} AS b FROM grid) "
+    "SELECT feature, CAST(bin_index AS INTEGER) AS bin_index, printf('%.1f', a) || '-' || printf('%.1f', b) AS bin, "
+    "CAST(coalesce(n, 0) AS BIGINT) AS count FROM e LEFT JOIN counts USING (feature, bin_index)")
+
 ORACLES["dataset_analysis"] = (f"WITH {telco_cte()} SELECT count(*) AS rows_count, CAST(11 AS BIGINT) AS columns_count, "
                                "'Churn' AS target_column, CAST(4 AS BIGINT) AS numerical_columns, "
                                "CAST(7 AS BIGINT) AS categorical_columns FROM telco")
@@ -263,21 +288,28 @@ _FEAT = ["SeniorCitizen", "tenure", "InternetService", "OnlineSecurity", "TechSu
 _NUM = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
 _CAT = ["InternetService", "OnlineSecurity", "TechSupport", "Contract", "PaymentMethod"]
 _PREP = (f"{telco_cte()}, prep AS (SELECT SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, "
-         f"PaymentMethod, MonthlyCharges, {guarded_double('TotalCharges')} AS TotalCharges, Churn "
+         f"PaymentMethod, MonthlyCharges, {guarded_double('TotalCharges')} AS TotalCharges, Churn, "
+         "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '~null~')" for c in _TC) + ")) AS _row_key "
          "FROM (SELECT DISTINCT * FROM telco))")
 _LAB = _PREP + ", lab AS (SELECT *, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM prep)"
-_hash_text = "concat_ws('|', '42', " + ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '')" for c in _FEAT + ["Churn"]) + ")"
-_SPLIT = (_LAB + f", h AS (SELECT *, ('0x' || substr(md5({_hash_text}), 1, 15))::BIGINT AS _h FROM lab), "
+# exactly the allocated number of rows per label, in the order of a hash that is unique per row
+_SPLIT_OF = (", h AS (SELECT *, md5(concat_ws('|', '42', _row_key)) AS _h FROM lab), "
           "cnt AS (SELECT label, count(*) AS nc FROM h GROUP BY label), "
           "tot AS (SELECT sum(nc) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(nc)) AS BIGINT) AS nt FROM cnt), "
           "al0 AS (SELECT label, floor(nt * nc / n) AS base, nt * nc / n - floor(nt * nc / n) AS frac, nt FROM cnt, tot), "
           "al AS (SELECT label, CAST(base + CASE WHEN row_number() OVER (ORDER BY frac DESC, label) <= nt - sum(base) OVER () "
           "THEN 1 ELSE 0 END AS BIGINT) AS k FROM al0), "
-          "rk AS (SELECT label, _h, row_number() OVER (PARTITION BY label ORDER BY _h) AS rn FROM h), "
-          "thr AS (SELECT rk.label, max(_h) AS thr FROM rk JOIN al ON rk.label = al.label AND rn = al.k GROUP BY rk.label), "
-          "split AS (SELECT h.* EXCLUDE (_h), coalesce(_h <= thr, false) AS is_test FROM h LEFT JOIN thr USING (label))")
+          "rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY _h) AS rn FROM h), "
+          "split_keyed AS (SELECT rk.* EXCLUDE (_h, rn), rn <= al.k AS is_test FROM rk JOIN al ON rk.label = al.label), "
+          "split AS (SELECT * EXCLUDE (_row_key) FROM split_keyed)")
+_SPLIT = _LAB + _SPLIT_OF
+
+ORACLES["split_few_feature_rows"] = (
+    "WITH few AS (SELECT o_orderkey AS id, o_orderpriority AS plan, CASE WHEN o_orderkey % 10 < 3 THEN 'Yes' ELSE 'No' END AS Churn FROM orders), "
+    "lab AS (SELECT plan, Churn, md5(concat_ws('|', CAST(id AS VARCHAR), plan, Churn)) AS _row_key, "
+    "CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM (SELECT DISTINCT * FROM few))" + _SPLIT_OF + " SELECT * FROM split_keyed")
 
-ORACLES["prepare"] = f"WITH {_PREP} SELECT * FROM prep"
+ORACLES["prepare"] = f"WITH {_PREP} SELECT * EXCLUDE (_row_key) FROM prep"
 ORACLES["map_target"] = f"WITH {telco_cte()} SELECT customerID, Churn, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM telco"
 ORACLES["split_feature_types"] = ("SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{c}', '{'numerical' if c in _NUM else 'categorical'}')" for i, c in enumerate(_FEAT)) + ") t(ordinal, column_name, kind)")
@@ -324,6 +356,15 @@ ORACLES["impute_mode"] = (f"WITH {_SPLIT}, cc AS (" + " UNION ALL ".join(
     + "), vc AS (SELECT column_name, value, count(*) AS n FROM cc GROUP BY ALL) "
       "SELECT column_name, first(value ORDER BY n DESC, value) AS mode FROM vc GROUP BY column_name")
 
+ORACLES["fill_missing_categories"] = (
+    f"WITH {_SPLIT}, cc AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, regexp_replace(coalesce(CAST({q(c)} AS VARCHAR), 'nan'), '^\\s+|\\s+$', '', 'g') AS value "
+        "FROM split WHERE NOT is_test" for c in _CAT)
+    + "), vc AS (SELECT column_name, value, count(*) AS n FROM cc GROUP BY ALL), "
+      "md AS (SELECT column_name, first(value ORDER BY n DESC, value) AS mode FROM vc GROUP BY column_name) "
+      "SELECT * REPLACE (CASE WHEN tenure % 7 <> 0 THEN Contract ELSE (SELECT mode FROM md WHERE column_name = 'Contract') END AS Contract, "
+      "CASE WHEN tenure % 5 <> 0 THEN PaymentMethod ELSE (SELECT mode FROM md WHERE column_name = 'PaymentMethod') END AS PaymentMethod) FROM split")
+
 ORACLES["standard_scale"] = (
     f"WITH {_IMP}, st AS (SELECT " + ", ".join(
         f"avg({q(c)}) AS m_{i}, CASE WHEN stddev_pop({q(c)}) IS NULL OR stddev_pop({q(c)}) = 0 THEN 1.0 ELSE stddev_pop({q(c)}) END AS s_{i}"
@@ -500,6 +541,8 @@ _MODELS3 = "models(id, algorithm_name) AS (VALUES (1, 'Logistic Regression'), (2
 ORACLES["history_query"] = (f"WITH {predictions_cte()} SELECT * FROM predictions WHERE user_id = 1 AND "
                             "contains(lower(customer_identifier), '12') AND risk_level = 'High Risk' "
                             "ORDER BY created_at DESC, id LIMIT 100")
+ORACLES["history_page"] = (f"WITH {predictions_cte()} SELECT * FROM predictions WHERE user_id = 2 "
+                           "ORDER BY created_at DESC, id LIMIT 1000 OFFSET 700")
 ORACLES["history_with_model"] = (f"WITH {predictions_cte()}, {_MODELS3} SELECT p.*, coalesce(m.algorithm_name, 'Classifier') "
                                  "AS model_name FROM predictions p LEFT JOIN models m ON p.model_id = m.id")
 ORACLES["latest_predictions"] = (f"WITH {predictions_cte()} SELECT * FROM (SELECT *, CAST(row_number() OVER "
@@ -512,8 +555,10 @@ ORACLES["resolve_active"] = f"WITH {datasets_cte()} {_RA}"
 ORACLES["activate"] = (f"WITH {datasets_cte()}, ch AS ({_RA}) SELECT d.id, d.user_id, d.filename, d.rows_count, "
                        "d.columns_count, d.target_column, coalesce(d.id = ch.id, false) AS is_active, d.uploaded_at "
                        "FROM datasets d LEFT JOIN ch ON d.user_id = ch.user_id")
-ORACLES["delete_records"] = (f"WITH {predictions_cte()} SELECT * FROM predictions WHERE user_id <> 3 AND "
+_NO_USER = "nu AS (SELECT * REPLACE (CASE WHEN id % 11 <> 0 THEN user_id END AS user_id) FROM predictions)"
+ORACLES["delete_records"] = (f"WITH {predictions_cte()}, {_NO_USER} SELECT * FROM nu WHERE user_id IS DISTINCT FROM 3 AND "
                              "(model_id IS NULL OR model_id <> 4)")
+ORACLES["delete_by_id"] = f"WITH {predictions_cte()}, {_NO_USER} SELECT * FROM nu WHERE risk_level <> 'Low Risk'"
 ORACLES["list_datasets"] = f"WITH {datasets_cte()} SELECT * FROM datasets WHERE user_id = 2 ORDER BY uploaded_at DESC, id DESC"
 ORACLES["search_batch_result"] = (f"WITH {_SCORED} SELECT * FROM scored2 WHERE contains(lower(customerID), 'high') OR "
                                   "contains(lower(Predicted_Churn), 'high') OR contains(lower(Risk_Level), 'high')")
@@ -530,6 +575,14 @@ ORACLES["prediction_log_append"] = f"WITH {predictions_cte()} SELECT * FROM pred
 ORACLES["csv_source"] = (f"WITH {telco_cte()} SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, "
                          "TechSupport, Contract, PaymentMethod, MonthlyCharges, TRY_CAST(NULLIF(TotalCharges, '') AS DOUBLE) "
                          "AS TotalCharges, Churn FROM telco")
+ORACLES["csv_quoted_text"] = (
+    "SELECT c_custkey, 'He said \"hi\",' || chr(10) || 'then ' || c_name AS note, "
+    "'12345678901234' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS account, c_custkey % 2 = 0 AS even FROM customer")
+ORACLES["history_export_user"] = (
+    f"WITH {predictions_cte()}, {_MODELS} SELECT p.id AS ID, customer_identifier AS Customer_Identifier, "
+    "coalesce(m.algorithm_name, 'N/A') AS Model, prediction AS Prediction, churn_probability AS \"Churn_Probability_%\", "
+    "retention_probability AS \"Retention_Probability_%\", risk_level AS Risk_Level, "
+    "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS Date FROM predictions p LEFT JOIN models m ON p.model_id = m.id WHERE user_id = 4")
 ORACLES["history_export"] = (
     f"WITH {predictions_cte()}, {_MODELS3} SELECT p.id AS ID, customer_identifier AS Customer_Identifier, "
     "coalesce(m.algorithm_name, 'N/A') AS Model, prediction AS Prediction, churn_probability AS \"Churn_Probability_%\", "
@@ -593,3 +646,29 @@ ORACLES["history_export_compact"] = (
     "churn_probability AS \"Churn_Prob_%\", risk_level AS Risk, CASE WHEN strftime(created_at, '%f') = '000000' "
     "THEN strftime(created_at, '%Y-%m-%d %H:%M:%S') ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') END AS Date "
     "FROM predictions")
+
+
+# ---- fitted schema and feature vectors (H10, F11) -------------------------------------------
+ORACLES["active_model_schema"] = (
+    f"WITH {_FIT}, ag AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, min(CAST({q(c)} AS DOUBLE)) AS mn, max(CAST({q(c)} AS DOUBLE)) AS mxx, "
+        f"avg(CAST({q(c)} AS DOUBLE)) AS mean FROM prep" for c in _NUM)
+    + "), dl AS (SELECT column_name, list(value ORDER BY value) AS domain FROM dom GROUP BY column_name), "
+      "names(ordinal, column_name, kind) AS (VALUES "
+    + ", ".join(f"({i}, '{c}', '{'numerical' if c in _NUM else 'categorical'}')" for i, c in enumerate(_FEAT))
+    + ") SELECT CAST(ordinal AS INTEGER) AS ordinal, n.column_name, kind, mn AS min, mxx AS max, round(mean, 9) AS mean, median, "
+      "mode AS default_category, domain AS categories FROM names n LEFT JOIN ag USING (column_name) LEFT JOIN med USING (column_name) "
+      "LEFT JOIN modes USING (column_name) LEFT JOIN dl USING (column_name)")
+
+_VEC = (_LAB + _SPLIT_OF + ", train AS (SELECT * FROM split_keyed WHERE NOT is_test), " + ", ".join(_median_sql("train", _NUM))
+        + ", imp AS (SELECT _row_key, is_test, " + ", ".join(
+            f"coalesce(CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CAST({q(c)} AS DOUBLE) END, {_med(c)}) AS {q(c)}" if c in _NUM
+            else f"{_norm_cat(q(c))} AS {q(c)}" for c in _FEAT) + " FROM split_keyed), "
+        "st AS (SELECT " + ", ".join(
+            f"avg({q(c)}) AS m_{i}, CASE WHEN stddev_pop({q(c)}) IS NULL OR stddev_pop({q(c)}) = 0 THEN 1.0 ELSE stddev_pop({q(c)}) END AS s_{i}"
+            for i, c in enumerate(_NUM)) + " FROM imp WHERE NOT is_test)")
+ORACLES["assemble_features"] = (
+    f"WITH {_VEC} " + " UNION ALL ".join(
+        [f"SELECT _row_key AS row_key, is_test, '{c}' AS feature, round(({q(c)} - m_{i}) / s_{i}, 6) AS value FROM imp, st" for i, c in enumerate(_NUM)]
+        + [f"SELECT _row_key, is_test, '{c}_{v}', CAST(CASE WHEN {q(c)} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) FROM imp"
+           for c, vs in _OH_DOM.items() for v in vs]))

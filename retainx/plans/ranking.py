@@ -15,43 +15,42 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-# Distinct values one window task may sort before we split a group into
-# range buckets; and the most buckets per group.
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 256
 
+def _bucket_of(value, bounds):
+    """Number of sorted ``bounds`` below ``value``: a coarse search over every
+    step-th bound, then a fine one within a step."""
+    step = F.greatest(F.floor(F.sqrt(F.size(bounds))).cast("int"), F.lit(1))
+    below = lambda arr: F.size(F.filter(arr, lambda b: b < value))
+    last = F.floor((F.size(bounds) - 1) / step).cast("int")
+    coarse = below(F.transform(F.sequence(F.lit(0), last), lambda k: F.get(bounds, k * step)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(F.slice(bounds, (coarse - 1) * step + 1, step)))
 
-def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],
-                rows_per_bucket: int = ROWS_PER_BUCKET, dmax: int | None = None) -> DataFrame:
+
+def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over rows of the same group with a
-    smaller ``order_col``. ``df`` must hold one row per (keys, order_col);
-    ``dmax`` (largest group size) is computed when not given."""
+    smaller ``order_col``. ``df`` must hold one row per (keys, order_col).
+
+    Each group is cut into ``buckets`` ranges (the number of shuffle partitions
+    of the session unless given), so the plan follows the cluster's setting."""
     spark = df.sparkSession
-    if dmax is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-        dmax = sizes.agg(F.max("_d")).first()[0] or 0           # one scalar
-    nb = min(MAX_BUCKETS, max(1, math.ceil(dmax / rows_per_bucket)))
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if nb > 1:
         qs = [i / nb for i in range(1, nb)]
-        bounds = (df.groupBy(*keys)
-                  .agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10 * nb * 100)
-                       .alias("_bounds")))
+        bounds = df.groupBy(*keys).agg(F.array_distinct(
+            F.percentile_approx(F.col(order_col).cast("double"), qs, 20 * nb)).alias("_bounds"))
         # Freeze the bounds: a recomputed sketch could differ between the two
-        # branches below; (groups x buckets) doubles are a bounded summary.
+        # branches below; one number per group and bucket.
         rows = bounds.collect()
         bounds = spark.createDataFrame(rows, bounds.schema)
-        df = df.join(F.broadcast(bounds), keys) if keys else df.crossJoin(F.broadcast(bounds))
-        df = df.withColumn(
-            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order_col).cast("double"))))
-        df = df.drop("_bounds")
+        df = df.join(bounds, keys) if keys else df.crossJoin(bounds)         # one row per group
+        df = df.withColumn("_bucket", _bucket_of(F.col(order_col).cast("double"), F.col("_bounds")).cast("int")).drop("_bounds")
     else:
         df = df.withColumn("_bucket", F.lit(0))
     btot = df.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.select(*keys, "_bucket", *[
         F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-    # (groups x buckets) rows: bounded by the number of groups times MAX_BUCKETS.
-    df = df.join(F.broadcast(boff), [*keys, "_bucket"])
+    df = df.join(boff, [*keys, "_bucket"])              # groups x buckets rows: AQE measures them
     w = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     out_cols = [c for c in df.columns if not c.startswith("_off_") and c != "_bucket"]
     return df.select(*out_cols, *[
@@ -60,7 +59,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[s
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[float],
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy / pandas default) per group.
 
     Returns one row per (keys, prob) with column ``quantile``; nulls and NaN
@@ -73,14 +72,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
           .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_w"))
           .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        stats = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.sum("_w").alias("_n")).collect()  # one row per group
+        stats = vc.groupBy(*keys).agg(F.sum("_w").alias("_n")).collect()  # one row per group
         key_fields = [vc.schema[k] for k in keys]
         out_schema = T.StructType([*key_fields, T.StructField("prob", T.DoubleType()),
                                    T.StructField("quantile", T.DoubleType())])
         if not stats:
             return spark.createDataFrame([], out_schema)
-        dmax = max(r["_d"] for r in stats)
-        ranked = prefix_sums(vc, keys, value_col, ["_w"], rows_per_bucket, dmax=dmax)
+        ranked = prefix_sums(vc, keys, value_col, ["_w"], buckets)
         trows = []
         for r in stats:
             for p in probs:
@@ -91,7 +89,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[
                                                             T.StructField("_i", T.LongType()),
                                                             T.StructField("_t", T.DoubleType())]))
         # targets: groups x probs rows, bounded by the number of groups.
-        hit = ranked.join(F.broadcast(targets), keys) if keys else ranked.crossJoin(F.broadcast(targets))
+        hit = ranked.join(targets, keys) if keys else ranked.crossJoin(targets)
         lo_hit = (F.col("_w_before") <= F.col("_i")) & (F.col("_i") < F.col("_w_before") + F.col("_w"))
         hi_hit = (F.col("_w_before") <= F.col("_i") + 1) & (F.col("_i") + 1 < F.col("_w_before") + F.col("_w"))
         v = F.col(value_col).cast("double")

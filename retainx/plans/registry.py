@@ -6,13 +6,17 @@ the driver tables (or views Spark derives from them).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from retainx.operators import profile as P
+from retainx.params import Params
 from retainx.plans import views as V
 from retainx.sources.tables import read_table
 
 QUERIES: dict = {}
+SCREENS = Params.screens()      # the application's cuts of lists and charts
 
 
 def query(name):
@@ -134,7 +138,7 @@ def q_categorical_stats(spark, sf):
 
 @query("categorical_values")
 def q_categorical_values(spark, sf):
-    return D.categorical_values(D.coerce_numeric(_t(spark, sf, "orders")))
+    return D.categorical_values(D.coerce_numeric(_t(spark, sf, "orders")), SCREENS)
 
 
 @query("target_distribution")
@@ -144,12 +148,19 @@ def q_target_distribution(spark, sf):
 
 @query("category_by_target")
 def q_category_by_target(spark, sf):
-    return D.category_by_target(D.coerce_numeric(V.telco(spark, sf)), "Churn")
+    return D.category_by_target(D.coerce_numeric(V.telco(spark, sf)), "Churn", SCREENS)
 
 
 @query("numeric_histogram")
 def q_numeric_histogram(spark, sf):
-    return D.numeric_histogram(D.coerce_numeric(_t(spark, sf, "lineitem")), "l_linestatus")
+    return D.numeric_histogram(D.coerce_numeric(_t(spark, sf, "lineitem")), "l_linestatus", SCREENS)
+
+
+@query("histogram_large_values")
+def q_histogram_large_values(spark, sf):
+    # edges beyond 64-bit tenths, and a column that does not vary
+    return D.numeric_histogram(_t(spark, sf, "orders").select(
+        (F.col("o_orderkey") * F.lit(1e15)).alias("big"), F.lit(7.0).alias("flat")))
 
 
 @query("correlation_matrix")
@@ -157,6 +168,15 @@ def q_correlation_matrix(spark, sf):
     return D.correlation_matrix(D.coerce_numeric(_t(spark, sf, "lineitem")))
 
 
+@query("correlation_wide")
+def q_correlation_wide(spark, sf):
+    # twelve columns, one of them constant and one with missing values
+    li = _t(spark, sf, "lineitem")
+    return D.correlation_matrix(li.select(
+        *D.numeric_columns(li), F.lit(1.0).alias("flat"), (F.col("l_quantity") * 2).alias("twice"), (-F.col("l_tax")).alias("minus"),
+        F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("partly")))
+
+
 @query("dataset_analysis")
 def q_dataset_analysis(spark, sf):
     return D.dataset_analysis(V.telco(spark, sf), "Churn")
@@ -212,14 +232,18 @@ def _prepared(spark, sf):
     return FE.prepare(V.telco(spark, sf), "Churn", ["customerID"], materialize=True)
 
 
-def _labelled(spark, sf):
-    prep = _prepared(spark, sf)
+def _keyed(spark, sf):
+    prep = FE.prepare(V.telco(spark, sf), "Churn", ["customerID"], materialize=True, row_key=True)
     pos, _ = FE.positive_class(prep, "Churn")
     return FE.map_target(prep, "Churn", pos)
 
 
+def _labelled(spark, sf):
+    return _keyed(spark, sf).drop(FE.ROW_KEY)
+
+
 def _split(spark, sf):
-    return FE.train_test_split(_labelled(spark, sf), "label", 0.2, 42, stratify=True)
+    return FE.train_test_split(_keyed(spark, sf), "label", 0.2, 42, stratify=True, key_cols=[FE.ROW_KEY]).drop(FE.ROW_KEY)
 
 
 @query("prepare")
@@ -266,6 +290,17 @@ def q_train_test_split(spark, sf):
     return _split(spark, sf)
 
 
+@query("split_few_feature_rows")
+def q_split_few_feature_rows(spark, sf):
+    # thousands of customers, five different feature rows
+    few = _t(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("plan"),
+        F.when(F.col("o_orderkey") % 10 < 3, "Yes").otherwise("No").alias("Churn"))
+    prep = FE.prepare(few, "Churn", ["id"], materialize=True, row_key=True)
+    lab = FE.map_target(prep, "Churn", FE.positive_class(prep, "Churn")[0])
+    return FE.train_test_split(lab, key_cols=[FE.ROW_KEY])
+
+
 @query("impute_median")
 def q_impute_median(spark, sf):
     sp = _split(spark, sf)
@@ -281,6 +316,16 @@ def q_impute_mode(spark, sf):
     return FE.category_modes(sp.where(~F.col("is_test")), cat)
 
 
+@query("fill_missing_categories")
+def q_fill_missing_categories(spark, sf):
+    sp = _split(spark, sf)
+    _, cat = FE.split_feature_types(sp.drop("label", "is_test"), "Churn")
+    modes = {r["column_name"]: r["mode"] for r in FE.category_modes(sp.where(~F.col("is_test")), cat).collect()}   # one per column
+    holes = sp.withColumn("Contract", F.when(F.col("tenure") % 7 != 0, F.col("Contract"))) \
+        .withColumn("PaymentMethod", F.when(F.col("tenure") % 5 != 0, F.col("PaymentMethod")))
+    return FE.impute_mode(holes, modes)
+
+
 @query("standard_scale")
 def q_standard_scale(spark, sf):
     sp = _split(spark, sf)
@@ -296,10 +341,8 @@ def q_one_hot(spark, sf):
     sp = _split(spark, sf)
     _, cat = FE.split_feature_types(sp.drop("label", "is_test"), "Churn")
     norm = FE.normalize_categories(sp, cat)
-    dom = {}
-    for r in FE.category_domain(norm.where(~F.col("is_test")), cat).collect():   # categories seen in training
-        dom.setdefault(r["column_name"], []).append(r["value"])
-    return FE.one_hot(norm, {c: sorted(dom[c]) for c in cat}, keep=["label", "is_test"])
+    dom = FE.category_domains(norm.where(~F.col("is_test")), cat)                # categories seen in training
+    return FE.one_hot(norm, dom, keep=["label", "is_test"])
 
 
 @query("derive_total_charges")
@@ -437,6 +480,12 @@ def q_history_query(spark, sf):
     return H.history_query(V.predictions(spark, sf), user_id=1, search="12", risk_level="High Risk")
 
 
+@query("history_page")
+def q_history_page(spark, sf):
+    # a second page of more rows than one screen holds
+    return H.history_query(V.predictions(spark, sf), user_id=2, limit=1000, offset=700)
+
+
 @query("history_with_model")
 def q_history_with_model(spark, sf):
     return H.history_with_model(V.predictions(spark, sf), V.model_names(spark, drop_ids=(4,)))
@@ -466,7 +515,17 @@ def q_activate(spark, sf):
 @query("delete_records")
 def q_delete_records(spark, sf):
     deleted_models = V.model_names(spark).where(F.col("id") == 4)
-    return H.delete_records(V.predictions(spark, sf), user_id=3, parents=deleted_models)
+    return H.delete_records(_some_without_user(V.predictions(spark, sf)), user_id=3, parents=deleted_models)
+
+
+def _some_without_user(preds):
+    return preds.withColumn("user_id", F.when(F.col("id") % 11 != 0, F.col("user_id")))
+
+
+@query("delete_by_id")
+def q_delete_by_id(spark, sf):
+    preds = _some_without_user(V.predictions(spark, sf))
+    return H.delete_records(preds, ids=preds.where(F.col("risk_level") == "Low Risk").select("id"))
 
 
 @query("list_datasets")
@@ -492,6 +551,22 @@ def q_csv_source(spark, sf):
     return CSV.read_customer_csv(spark, path)
 
 
+@query("csv_quoted_text")
+def q_csv_quoted_text(spark, sf):
+    # doubled quotes, commas and line breaks in text, 23-digit numbers, true / false
+    path = shared_dir(spark, "quoted_csv") + ".csv"
+    _t(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit('He said "hi",\nthen '), "c_name").alias("note"),
+        F.concat(F.lit("12345678901234"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("account"),
+        (F.col("c_custkey") % 2 == 0).alias("even")).write.option("header", True).option("escape", '"').csv(path)
+    return CSV.read_customer_csv(spark, path, multi_line=True)
+
+
+@query("history_export_user")
+def q_history_export_user(spark, sf):
+    return SK.history_export(V.predictions(spark, sf), V.model_names(spark), user_id=4)
+
+
 @query("history_export")
 def q_history_export(spark, sf):
     return SK.history_export(V.predictions(spark, sf), V.model_names(spark, drop_ids=(4,)))
@@ -512,10 +587,10 @@ def q_scored_csv_sink(spark, sf):
 def q_prediction_log_append(spark, sf):
     path = shared_dir(spark, "prediction_log")
     log = V.predictions(spark, sf)
-    SK.append_prediction_log(log, path)
-    # read back with the log's declared schema: the partition column keeps its
-    # type instead of the one partition discovery infers from folder names
-    return spark.read.schema(log.schema).parquet(path).select(*log.columns)
+    SK.append_prediction_log(log.where(F.col("id") % 3 == 0), path, "first")
+    for _ in range(2):                                     # the second load is retried
+        SK.append_prediction_log(log.where(F.col("id") % 3 != 0), path, "second")
+    return SK.read_prediction_log(spark, path, log.schema)
 
 
 # ---- Spark ML: training, comparison, scoring (rows-only checks) --------------------------
@@ -536,13 +611,16 @@ def _trained(spark, sf, algorithms=ALGORITHMS):
 
 @query("assemble_features")
 def q_assemble_features(spark, sf):
-    _, _, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
-    return vec.select("label", "weight", "is_test", vector_to_array("features").alias("features"))
+    schema, prep, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
+    names = F.array(*[F.lit(n) for n in M.feature_names(prep, schema)])
+    return vec.select(FE.ROW_KEY, "is_test", F.explode(F.arrays_zip(
+        names.alias("feature"), vector_to_array("features").alias("value"))).alias("x")) \
+        .select(F.col(FE.ROW_KEY).alias("row_key"), "is_test", F.col("x.feature").alias("feature"), F.round("x.value", 6).alias("value"))
 
 
 def _one(name):
     def run(spark, sf):
-        return _trained(spark, sf).metrics.where(F.col("algorithm_name") == name)
+        return _trained(spark, sf, (name,)).metrics        # fits this model only
     return run
 
 
@@ -569,23 +647,40 @@ def q_training_time(spark, sf):
     return _trained(spark, sf).metrics.select("algorithm_name", "training_time", "total_training_time")
 
 
+def _registry(spark, sf):
+    """Registry rows and packages of two trainings of one dataset, newest last."""
+    base = shared_dir(spark, "models")
+    first = M.register_models(_trained(spark, sf, ("Logistic Regression",)), f"{base}/1", dataset_id=1, user_id=1)
+    second = M.register_models(_trained(spark, sf, ("Decision Tree", "Logistic Regression")), f"{base}/2", dataset_id=1, user_id=1, first_id=2)
+    return M.add_to_registry(first, second)
+
+
+def _active_package(spark, sf):
+    row = M.active_model(_registry(spark, sf)).where(F.col("user_id") == 1).first()       # one row per user
+    return M.load_package(spark, row["model_path"])
+
+
+@query("model_registry")
+def q_model_registry(spark, sf):
+    return _registry(spark, sf).drop("created_at", "model_path", "training_time")
+
+
 @query("score_customers")
 def q_score_customers(spark, sf):
-    return M.score_with_model(V.telco(spark, sf), _trained(spark, sf), "Logistic Regression")
+    pm, schema, meta = _active_package(spark, sf)
+    factors = [tuple(x) for x in json.loads(meta["metrics"]["feature_importances"])]
+    return M.score_customers(_typed_by_hand(V.telco(spark, sf)), pm, schema, factors, id_col="customerID")
 
 
 @query("active_model_schema")
 def q_active_model_schema(spark, sf):
-    return M.schema_frame(spark, _trained(spark, sf).schema)
+    return M.schema_frame(spark, _active_package(spark, sf)[1])
 
 
 @query("model_store")
 def q_model_store(spark, sf):
-    ts = _trained(spark, sf)
-    path = M.save_package(ts, "Random Forest", shared_dir(spark, "model_package"))
-    pm, meta = M.load_package(spark, path)
-    pred = pm.transform(FE.align_batch(V.telco(spark, sf), ts.schema))
-    return pred.select("customerID", M.churn_probability(pred).alias("churn_probability"))
+    pm, schema, _ = _active_package(spark, sf)
+    return M.score_package(V.telco(spark, sf), pm, schema)
 
 
 def _schema(spark, sf):
@@ -595,13 +690,14 @@ def _schema(spark, sf):
 @query("normalize_scoring_input")
 def q_normalize_scoring_input(spark, sf):
     schema = _schema(spark, sf)
-    t = V.telco(spark, sf)
-    # the same customers typed by hand: other column-name case, lower-case
-    # categories, blank numbers
-    typed = t.select("customerID", F.col("Contract").alias("CONTRACT"), F.lower("InternetService").alias("internetservice"),
-                     F.upper("PaymentMethod").alias("PaymentMethod"), "TechSupport", "OnlineSecurity",
-                     F.col("tenure").cast("string").alias("Tenure"), "MonthlyCharges", "TotalCharges", "SeniorCitizen")
-    return FE.normalize_scoring_input(typed, schema)
+    return FE.normalize_scoring_input(_typed_by_hand(V.telco(spark, sf)), schema)
+
+
+def _typed_by_hand(t):
+    """The same customers typed by hand: other column-name case, lower-case categories, blank numbers."""
+    return t.select("customerID", F.col("Contract").alias("CONTRACT"), F.lower("InternetService").alias("internetservice"),
+                    F.upper("PaymentMethod").alias("PaymentMethod"), "TechSupport", "OnlineSecurity",
+                    F.col("tenure").cast("string").alias("Tenure"), "MonthlyCharges", "TotalCharges", "SeniorCitizen")
 
 
 @query("align_batch")

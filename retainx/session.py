@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,15 +41,18 @@ def build_session(master: str | None = None, app: str = "retainx",
 def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only when it is unset (local runs,
-    tests) do we point it at a new local scratch folder.
+    The setting is read from the session; only when it is unset on a local
+    master (tests) do we point it at a new local scratch folder. A cluster
+    without the setting has no folder that all executors see: an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="retainx-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     if name is None:
         return base

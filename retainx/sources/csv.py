@@ -12,34 +12,48 @@ INT_TEXT = r"^[+-]?[0-9]+$"
 NUM_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def read_customer_csv(spark: SparkSession, path: str) -> DataFrame:
+BOOL_TEXT = r"^(?i)(true|false)$"
+
+
+def read_customer_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read a headered CSV like ``pd.read_csv``: every column as text, the
     default missing tokens as null, then a column becomes bigint when all
     its values are integers, double when all are numbers (missing allowed;
-    an integer column with missing values becomes double, as in pandas).
+    an integer column with missing values becomes double, as in pandas),
+    boolean when all are true / false. Integers beyond 64 bits (account
+    numbers) stay text, digit by digit.
+
+    Quotes within a quoted field are doubled. ``multi_line`` also allows line
+    breaks within quotes, at the price of files that one task reads whole.
 
     The typing decision is one aggregate over the file (two counts per
     column); rejects non-CSV paths, unparsable input (FAILFAST) and empty files.
     """
     if not str(path).lower().rstrip("/").endswith(".csv") and "*" not in str(path):
         raise ValueError("Only CSV files (.csv) are accepted.")
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").option("inferSchema", False).csv(path)
+    raw = (spark.read.option("header", True).option("mode", "FAILFAST").option("inferSchema", False)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
     na = list(CSV_NA_TOKENS)
     text = raw.select(*[F.when(qcol(c).isin(na) | qcol(c).isNull(), F.lit(None)).otherwise(qcol(c)).alias(c)
                         for c in raw.columns])
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(text.columns):
         v = strip_ws(qcol(c))
-        aggs += [F.count(qcol(c)).alias(f"n{i}"), F.sum(F.when(v.rlike(INT_TEXT), 1).otherwise(0)).alias(f"i{i}"),
-                 F.sum(F.when(v.rlike(NUM_TEXT), 1).otherwise(0)).alias(f"d{i}")]
+        whole = v.rlike(INT_TEXT)
+        aggs += [F.count(qcol(c)).alias(f"n{i}"), F.count_if(whole).alias(f"i{i}"), F.count_if(v.rlike(NUM_TEXT)).alias(f"d{i}"),
+                 F.count_if(whole & v.try_cast("bigint").isNull()).alias(f"w{i}"), F.count_if(v.rlike(BOOL_TEXT)).alias(f"b{i}")]
     stats = text.agg(*aggs).first()
     if not stats or stats["_rows"] == 0:
         raise ValueError("CSV file is empty.")
     cols = []
     for i, c in enumerate(text.columns):
         n, ni, nd = stats[f"n{i}"], stats[f"i{i}"] or 0, stats[f"d{i}"] or 0
-        if n > 0 and ni == n and n == stats["_rows"]:
+        if stats[f"w{i}"]:
+            cols.append(qcol(c))
+        elif n > 0 and ni == n and n == stats["_rows"]:
             cols.append(strip_ws(qcol(c)).cast("bigint").alias(c))
+        elif n > 0 and stats[f"b{i}"] == n == stats["_rows"]:
+            cols.append(strip_ws(qcol(c)).cast("boolean").alias(c))
         elif n > 0 and nd == n:
             cols.append(strip_ws(qcol(c)).cast("double").alias(c))
         else:

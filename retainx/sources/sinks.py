@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from retainx.operators.history import history_with_model
 
 
 def write_scored_csv(scored: DataFrame, path: str) -> str:
     """Original columns plus the four result columns as a CSV directory
-    (one file per task; no funnelling through a single writer)."""
-    scored.write.mode("overwrite").option("header", True).csv(path)
+    (one file per task; no funnelling through a single writer). Quotes are doubled."""
+    scored.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -32,11 +34,14 @@ def _python_datetime_text(ts):
         F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-def history_export(preds: DataFrame, models: DataFrame, layout: str = "full") -> DataFrame:
+def history_export(preds: DataFrame, models: DataFrame, layout: str = "full", user_id: int | None = None) -> DataFrame:
     """Export columns of the log (newest first), missing model ``N/A``,
-    date as ``yyyy-MM-dd HH:mm:ss``; input maps flattened when present.
+    date as ``yyyy-MM-dd HH:mm:ss``; input maps flattened when present (the
+    keys of the exported rows). ``user_id`` exports one user's rows.
     ``layout="compact"`` gives the one-file variant's six columns (no model,
     no retention, no inputs; date as Python prints it; unordered)."""
+    if user_id is not None:
+        preds = preds.where(F.col("user_id") == user_id)
     if layout == "compact":
         return preds.select(F.col("id").alias("ID"), F.col("customer_identifier").alias("Customer_ID"),
                             F.col("prediction").alias("Prediction"), F.col("churn_probability").alias("Churn_Prob_%"),
@@ -55,12 +60,26 @@ def history_export(preds: DataFrame, models: DataFrame, layout: str = "full") ->
 
 
 def write_history_export(export: DataFrame, path: str) -> str:
-    export.write.mode("overwrite").option("header", True).csv(path)
+    export.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
-def append_prediction_log(records: DataFrame, path: str) -> str:
-    """Append scored records to the log table, partitioned by user so a
-    user's history query prunes to its folder."""
-    records.write.mode("append").partitionBy("user_id").parquet(path)
+def append_prediction_log(records: DataFrame, path: str, load: str | None = None) -> str:
+    """Add scored records to the log table, partitioned by user so a
+    user's history query prunes to its folder, and by ``load``, the name of
+    what is added (a batch, a stream's epoch; by default a fresh name).
+
+    Writing a load again replaces it, so a retried one never doubles its rows.
+    Rows are rebalanced by user first: a task writes few users' files, and a
+    user with a large share of the rows is split over several tasks."""
+    named = records.withColumn("load", F.lit(load or uuid.uuid4().hex))
+    (named.hint("rebalance", "user_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("user_id", "load").parquet(path))
     return path
+
+
+def read_prediction_log(spark, path: str, schema: T.StructType) -> DataFrame:
+    """The log with its declared schema: partition columns keep their types
+    instead of those that discovery infers from folder names."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("load", T.StringType())])).parquet(path) \
+        .select(*schema.fieldNames())

@@ -2,9 +2,9 @@
 
 The reference has no streams; this re-aims single-customer scoring at a
 stream: each micro-batch is scored with the same DataFrame functions as the
-batch path and written into the prediction log. Every batch overwrites its
-own ``epoch=<id>`` folder, so a retried batch replaces rather than
-duplicates its rows (idempotent sink, exactly-once results).
+batch path and added to the prediction log as a load of its own, so a retried
+batch replaces rather than duplicates its rows (idempotent sink, exactly-once
+results), and stream and batches fill one table.
 """
 
 from __future__ import annotations
@@ -14,19 +14,21 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from retainx.operators.score import customer_identifier, explain_rules
+from retainx.sources.sinks import append_prediction_log
 
 
 def log_records(scored: DataFrame, user_id: int, model_id: int | None, key_col: str | None,
-                feature_cols: list[str], importances=None) -> DataFrame:
+                feature_cols: list[str], importances=None, load: str = "") -> DataFrame:
     """Shape scored customers as prediction-log rows (single-customer form:
-    retention = 100 - churn percentage)."""
+    retention = 100 - churn percentage). Ids are unique per load: a customer
+    scored again gets a new one."""
     ident = customer_identifier(F.col(key_col).cast("string") if key_col else None,
                                 *[F.col(c) for c in feature_cols])
     inputs = F.map_from_arrays(F.array(*[F.lit(c) for c in feature_cols]),
                                F.array(*[F.col(c).cast("string") for c in feature_cols]))
     pct = F.col("`Churn_Probability_%`")
     return scored.select(
-        F.conv(F.substring(F.md5(F.concat_ws("|", ident, F.to_json(inputs))), 1, 15), 16, 10).cast("bigint").alias("id"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(load), ident, F.to_json(inputs))), 1, 15), 16, 10).cast("bigint").alias("id"),
         F.lit(user_id).cast("bigint").alias("user_id"),
         F.lit(model_id).cast("bigint").alias("model_id"),
         ident.alias("customer_identifier"),
@@ -52,8 +54,8 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, source_schema: T.
     src = stream.load(source_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        recs = log_records(scorer(batch), user_id, model_id, key_col, feats, importances)
-        recs.write.mode("overwrite").parquet(f"{log_dir.rstrip('/')}/epoch={epoch_id}")
+        load = f"stream-{epoch_id}"
+        append_prediction_log(log_records(scorer(batch), user_id, model_id, key_col, feats, importances, load), log_dir, load)
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
