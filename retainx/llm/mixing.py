@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from retainx.llm.scratch import shuffle_partitions
 
+PLACE_COLUMNS = ("_phase", "_block", "_slot", "_release", "_deadline", "_position")
+
 
 @dataclass(frozen=True)
 class MixParams:
@@ -107,7 +109,7 @@ def plan_phases(counts: Mapping[str, int], shares: Mapping[str, int], block_docs
 
 def mix_sources(docs: DataFrame, shares: Mapping[str | None, int] | None = None, params: MixParams = MixParams(),
                 source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` with _phase, _block, _slot, _release, _deadline and _position (gapless from 0).
+    """All columns of ``docs`` with PLACE_COLUMNS (which replace columns of these names); _position is gapless from 0.
 
     ``shares`` are whole target shares by source; by default ``temperature_shares`` of the row counts.
     """
@@ -115,7 +117,8 @@ def mix_sources(docs: DataFrame, shares: Mapping[str | None, int] | None = None,
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     ranges = 4 * shuffle_partitions(spark)
     hashed = F.xxhash64(F.col(id_col), F.lit(params.seed))
-    df = docs.withColumn("_source", name).withColumn("_hash", hashed) \
+    kept = [c for c in docs.columns if c not in PLACE_COLUMNS]
+    df = docs.select(F.struct(*kept).alias("_doc"), F.col(id_col).alias("_id"), name.alias("_source"), hashed.alias("_hash")) \
         .withColumn("_range", F.shiftright(F.shiftrightunsigned("_hash", 33) * ranges, 31).cast("int"))
     counted = df.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.groupBy("_source").agg(F.sum("n").alias("n")).limit(params.max_sources + 1).collect()
@@ -134,7 +137,7 @@ def mix_sources(docs: DataFrame, shares: Mapping[str | None, int] | None = None,
     # rows before each (source, range): a frame of sources x ranges rows
     before = counted.withColumn("_before", F.sum("n").over(
         Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    own = Window.partitionBy("_source", "_range").orderBy("_hash", id_col)
+    own = Window.partitionBy("_source", "_range").orderBy("_hash", "_id")
     df = df.withColumn("_rank", F.row_number().over(own) - 1).join(before, ["_source", "_range"]) \
         .withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0))) \
         .withColumn("_block", F.floor(F.col("_rank") / params.block_docs)) \
@@ -146,7 +149,7 @@ def mix_sources(docs: DataFrame, shares: Mapping[str | None, int] | None = None,
     base = F.col("_p.start") + turn * period
     slot = base + F.get(F.col("_p.slots"), k.cast("int"))
     return df.select(
-        *docs.columns, F.col("_p.phase").alias("_phase"), "_block", slot.alias("_slot"),
+        "_doc.*", F.col("_p.phase").alias("_phase"), "_block", slot.alias("_slot"),
         (base + F.floor(k * period / size)).alias("_release"), (base + F.ceil((k + 1) * period / size)).alias("_deadline"),
         (slot * params.block_docs - F.col("_p.short") + F.col("_rank") % params.block_docs).alias("_position"))
 
