@@ -45,8 +45,8 @@ def is_missing(df: DataFrame, name: str) -> Column:
 def long_values(df: DataFrame) -> DataFrame:
     """Unpivot every column to (ordinal, s, i, d) without missing cells.
 
-    Integral columns fill ``i``, double columns ``d`` and everything else the
-    text slot ``s`` (booleans as ``True``/``False``). Values are grouped on
+    Integral columns fill ``i``, double columns ``d``, decimals and floats
+    ``s`` and ``d``, and everything else the text slot ``s`` (booleans as ``True``/``False``). Values are grouped on
     these native slots; text for numbers is produced only for the distinct
     values that survive (see ``value_text``). ``unpivot`` plans an Expand
     feeding the next partial aggregate, so rows are never materialised k times.
@@ -61,6 +61,8 @@ def long_values(df: DataFrame) -> DataFrame:
             slots = ("CAST(NULL AS STRING)", f"CAST({c} AS BIGINT)", "CAST(NULL AS DOUBLE)")
         elif isinstance(dt, T.DoubleType):
             slots = ("CAST(NULL AS STRING)", "CAST(NULL AS BIGINT)", c)
+        elif isinstance(dt, (T.FloatType, T.DecimalType)):
+            slots = (f"CAST({c} AS STRING)", "CAST(NULL AS BIGINT)", f"CAST({c} AS DOUBLE)")      # text to show, number to sort by
         elif isinstance(dt, T.BooleanType):
             slots = (f"CASE WHEN {c} THEN 'True' ELSE 'False' END", "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)")
         else:

@@ -8,6 +8,7 @@ key column, so several models are evaluated in the same pass.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from retainx.functions.expr import py_round
@@ -47,20 +48,26 @@ def binary_metrics(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
 
 def roc_auc(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
     """Area under the ROC curve of ``score``, ties averaged; falls back
-    to accuracy when the labels hold a single class."""
+    to accuracy when the labels hold a single class.
+
+    Runs eagerly on one read of the input: the counts per distinct score are
+    kept for the passes of the prefix sum; the result has one row per key."""
     keys = list(keys)
-    y = F.col("label").cast("int")
-    vc = pred.groupBy(*keys, "score").agg(F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg"))
-    ranked = prefix_sums(vc, keys, "score", ["neg"])
-    auc = ranked.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)).alias("_u"),
-        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    acc = binary_metrics(pred, keys, params).select(*keys, "tp", "tn", "fp", "fn")
-    # keys identify the compared models (a handful): one row each
-    j = auc.join(F.broadcast(acc), keys) if keys else auc.crossJoin(acc)
-    raw = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n"))).otherwise(
-        (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
-    return j.select(*keys, py_round(raw * 100.0, params.metric_decimals).alias("roc_auc"))
+    y, p = F.col("label").cast("int"), F.col("prediction").cast("int")
+    vc = pred.groupBy(*keys, "score").agg(
+        F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg"),
+        F.count_if(y == p).alias("hit")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranked = prefix_sums(vc, keys, "score", ["neg"])
+        auc = ranked.groupBy(*keys).agg(
+            F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)).alias("_u"),
+            F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum("hit").alias("_hit"))
+        raw = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n"))).otherwise(
+            F.col("_hit") / (F.col("_p") + F.col("_n")))
+        out = auc.select(*keys, py_round(raw * 100.0, params.metric_decimals).alias("roc_auc"))
+        return pred.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        vc.unpersist()
 
 
 def evaluate(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
@@ -72,7 +79,7 @@ def evaluate(pred: DataFrame, keys=(), params: Params = P) -> DataFrame:
     """
     m = binary_metrics(pred, keys, params)
     a = roc_auc(pred, keys, params)
-    out = m.join(F.broadcast(a), list(keys)) if keys else m.crossJoin(a)
+    out = m.join(a, list(keys)) if keys else m.crossJoin(a)
     return pred.sparkSession.createDataFrame(out.collect(), out.schema)
 
 

@@ -99,3 +99,27 @@ def dashboard_summary(kpis: DataFrame, preds: DataFrame, models: DataFrame, user
                    F.max("created_at").alias("latest_prediction_at"))
     return kpis.crossJoin(log).select(F.lit(user_id).alias("user_id"), *kpis.columns, "total_predictions",
                                       "latest_model", "latest_prediction_at")
+
+
+def best_model(registry: DataFrame, user_id: int) -> DataFrame:
+    """H11 part: a user's best model (flagged, else the highest F1; newest first) with accuracy and F1."""
+    mine = registry.where(F.col("user_id") == user_id)
+    return mine.orderBy(F.col("is_best").desc(), F.col("f1_score").desc(), F.col("id").desc()).limit(1) \
+        .select("algorithm_name", "accuracy", "f1_score")
+
+
+def dashboard(preds: DataFrame, models: DataFrame, registry: DataFrame, user_id: int, newest: int = 5) -> DataFrame:
+    """H11 in full, long form (part, position, name, number): best model, the
+    newest predictions with their model, and the charts of tiers and labels."""
+    mine = history_with_model(preds.where(F.col("user_id") == user_id), models)
+    row = lambda part, frame, position, name, number: frame.select(
+        F.lit(part).alias("part"), position.cast("int").alias("position"), name.alias("name"), number.cast("double").alias("number"))
+    best = best_model(registry, user_id)
+    w = Window.orderBy(*_newest())                                   # over the newest rows only
+    latest = mine.orderBy(*_newest()).limit(newest).withColumn("_n", F.row_number().over(w))
+    chart = lambda part, c: row(part, mine.groupBy(c).agg(F.count(F.lit(1)).alias("n")), F.lit(None), F.col(c), F.col("n"))
+    return (row("best_accuracy", best, F.lit(1), F.col("algorithm_name"), F.col("accuracy"))
+            .unionByName(row("best_f1", best, F.lit(1), F.col("algorithm_name"), F.col("f1_score")))
+            .unionByName(row("latest", latest, F.col("_n"), F.concat_ws(" / ", "customer_identifier", "model_name", "risk_level"),
+                             F.col("churn_probability")))
+            .unionByName(chart("tiers", "risk_level")).unionByName(chart("labels", "prediction")))

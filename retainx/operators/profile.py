@@ -183,6 +183,14 @@ def sample_values(df: DataFrame, params: Params = P, k: int | None = None) -> Da
             .select("column_name", "sample_rank", F.col("value").alias("sample_value")))
 
 
+def profile_with_samples(df: DataFrame, params: Params = P) -> DataFrame:
+    """P13 with the sample values (P12) of every column as an array."""
+    samples = sample_values(df, params).groupBy("column_name").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("sample_rank", "sample_value"))), lambda s: s["sample_value"]).alias("sample_values"))
+    return column_profile(df, params).join(samples, "column_name", "left") \
+        .withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+
+
 def detect_target(df: DataFrame, params: Params = P) -> DataFrame:
     """First name-matched candidate, else the first candidate (one row or none)."""
     cands = column_profile(df, params).where("is_target_candidate")
@@ -193,10 +201,13 @@ def detect_target(df: DataFrame, params: Params = P) -> DataFrame:
 def target_classes(df: DataFrame, target: str) -> DataFrame:
     """Sorted distinct non-null classes of ``target`` as text (class_rank, class_value).
 
-    Ranked by a window over the target's classes; a churn target has a handful.
+    Ranked by a window over the classes, after a count that refuses a column
+    with more than ``max_classes`` of them.
     """
     ordinal = df.columns.index(target)
     vc = value_counts(df.select(qcol(target))).where(F.col("ordinal") == 0)
+    if vc.limit(P.max_classes + 1).count() > P.max_classes:
+        raise ValueError(f"Target column '{target}' has more than {P.max_classes} classes.")
     w = Window.orderBy(F.col("num").asc_nulls_last(), "value")
     return vc.select(F.lit(target).alias("target_column"), F.row_number().over(w).alias("class_rank"),
                      F.col("value").alias("class_value")).withColumn("ordinal", F.lit(ordinal))
@@ -311,18 +322,25 @@ def configure_target(df: DataFrame, target: str, id_column: str | None = None, p
     """Re-profile with an explicit target and an extra ID column.
 
     Returns (column_name, is_id_candidate, is_target); raises if the target
-    is not a column (a schema check, no data touched).
+    or the ID is not a column (a schema check, no data touched).
+    ``configured_summary`` has the recomputed classes.
     """
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' does not exist in dataset.")
+    if id_column and id_column not in df.columns:
+        raise ValueError(f"ID column '{id_column}' does not exist in dataset.")
     prof = column_profile(df, params)
-    extra = F.lit(False)
-    if id_column and id_column in df.columns:
-        extra = F.col("column_name") == id_column
+    extra = F.col("column_name") == id_column if id_column else F.lit(False)
     return prof.select("ordinal", "column_name", (F.col("is_id_candidate") | extra).alias("is_id_candidate"),
                        (F.col("column_name") == target).alias("is_target"))
 
 
+def configured_summary(df: DataFrame, target: str, id_column: str | None = None, params: Params = P) -> DataFrame:
+    """P16 for the dataset: the chosen target with its recomputed classes, and the ID columns."""
+    return profile_summary(df, params, target, id_column).select(
+        F.col("detected_target_column").alias("target_column"), "target_classes", "id_columns", "total_rows", "duplicate_rows")
+
+
 def class_count_guard(df: DataFrame, target: str, raise_error: bool = False) -> DataFrame:
     """Training needs at least two distinct non-null classes."""
     out = df.agg(F.count_distinct(qcol(target)).alias("n_classes")).select(

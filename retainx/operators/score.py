@@ -1,9 +1,6 @@
 """Scoring, risk tiers and rule-based explanations.
 
-``scorecard_probability`` is a fixed logistic scorecard (the propensity
-formula of the reference's sample generator) so the whole scoring path can be
-checked against SQL; trained Spark ML models plug into the same functions via
-their probability column.
+Every function takes a probability column, of a trained model or any other.
 """
 
 from __future__ import annotations
@@ -17,28 +14,6 @@ from retainx.params import Params
 
 P = Params()
 
-# --- fixed values: scorecard terms in hundredths (sample-generator propensity) ---
-# term: (column, condition, points)
-SCORECARD_TERMS = {
-    "contract": [("Contract", "== 'Month-to-month'", 35), ("Contract", "== 'One year'", 8), ("Contract", "else", -15)],
-    "fiber": [("InternetService", "== 'Fiber optic'", 18)],
-    "tech_support": [("TechSupport", "== 'No'", 12)],
-    "online_security": [("OnlineSecurity", "== 'No'", 10)],
-    "electronic_check": [("PaymentMethod", "== 'Electronic check'", 15)],
-    "tenure": [("tenure", "<= 12", 20), ("tenure", "> 48", -25)],
-    "senior": [("SeniorCitizen", "== 1", 8)],
-    "monthly": [("MonthlyCharges", "> 80", 10)],
-}
-SCORECARD_CENTER = 35          # logistic centre, hundredths
-SCORECARD_SLOPE = 3.0
-# Four scorecards compared like trained models (subsets of the terms).
-SCORECARDS = {
-    "scorecard_full": list(SCORECARD_TERMS),
-    "scorecard_contract_tenure": ["contract", "tenure"],
-    "scorecard_services": ["fiber", "tech_support", "online_security"],
-    "scorecard_billing": ["electronic_check", "monthly", "senior"],
-}
-
 # --- fixed values: explanation rules (feature, value, impact, importance) ---
 RULE_CONTRACT_MONTHLY = ("Contract Type", "Increases Churn Risk", 0.28)
 RULE_CONTRACT_LONG = ("Contract Type", "Decreases Churn Risk (High Retention)", 0.25)
@@ -54,43 +29,6 @@ MAX_FACTORS = 5
 # ---------------------------------------------------------------------------------
 
 
-def _cond(df: DataFrame, col: str, cond: str) -> Column:
-    if col not in df.columns:
-        return F.lit(False)
-    c = qcol(col)
-    op, _, lit = cond.partition(" ")
-    lit = lit.strip("'")
-    if op == "==":
-        return F.coalesce(c.cast("string") == F.lit(lit), F.lit(False))
-    v = c.cast("double")
-    return F.coalesce(v <= float(lit) if op == "<=" else v > float(lit), F.lit(False))
-
-
-def scorecard_points(df: DataFrame, terms=None) -> Column:
-    terms = terms or list(SCORECARD_TERMS)
-    total = F.lit(0)
-    for t in terms:
-        rules = SCORECARD_TERMS[t]
-        expr = None
-        for col, cond, pts in rules:
-            if cond == "else":
-                expr = expr.otherwise(F.lit(pts)) if expr is not None else F.lit(pts)
-            else:
-                c = _cond(df, col, cond)
-                expr = F.when(c, F.lit(pts)) if expr is None else expr.when(c, F.lit(pts))
-        if not any(cond == "else" for _, cond, _ in rules):
-            expr = expr.otherwise(F.lit(0))
-        total = total + expr
-    return total
-
-
-def scorecard_probability(df: DataFrame, terms=None) -> Column:
-    """P(churn) = 1 / (1 + exp(-3 (score - 0.35))), score in hundredths."""
-    s = scorecard_points(df, terms)
-    z = F.lit(-SCORECARD_SLOPE) * (s - F.lit(SCORECARD_CENTER)).cast("double") / F.lit(100.0)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(z))
-
-
 def score_batch(df: DataFrame, prob: Column) -> DataFrame:
     """Original columns plus label, churn / retention percentages and tier.
 
@@ -121,9 +59,11 @@ def share_of_total(counts: DataFrame, count_col: str = "count", decimals: int =
         .otherwise(F.lit(0.0))).drop("_tot")
 
 
-def batch_preview(scored: DataFrame, order_by: list[str], id_col: str | None = None, n: int = 50) -> DataFrame:
+def batch_preview(scored: DataFrame, order_by: list[str], id_col: str | None = None, n: int = 50,
+                  feature_cols: list[str] | None = None) -> DataFrame:
     """First ``n`` scored rows by key (a top-n, then numbered), identifier =
-    the first ID column, else ``Cust-001``..."""
+    the first ID column, else ``Cust-001``...; ``feature_cols`` adds a map of
+    these columns' values as text (missing as '')."""
     head = scored.orderBy(*[qcol(c) for c in order_by]).limit(n)
     w = Window.orderBy(*[qcol(c) for c in order_by])        # over at most n rows
     idx = F.row_number().over(w)
@@ -131,7 +71,9 @@ def batch_preview(scored: DataFrame, order_by: list[str], id_col: str | None = N
              else F.concat(F.lit("Cust-"), F.lpad(idx.cast("string"), 3, "0")))
     return head.select(idx.alias("row_index"), ident.alias("customer_identifier"),
                        qcol("Predicted_Churn").alias("prediction"), qcol("Churn_Probability_%").alias("churn_probability"),
-                       qcol("Retention_Probability_%").alias("retention_probability"), qcol("Risk_Level").alias("risk_level"))
+                       qcol("Retention_Probability_%").alias("retention_probability"), qcol("Risk_Level").alias("risk_level"),
+                       *([F.map_from_arrays(F.array(*[F.lit(c) for c in feature_cols]), F.array(*[
+                           F.coalesce(qcol(c).cast("string"), F.lit("")) for c in feature_cols])).alias("features")] if feature_cols else []))
 
 
 def _txt(df, c):
@@ -193,27 +135,3 @@ def customer_identifier(ident: Column | None, *key_cols: Column) -> Column:
     hash of the key (deterministic instead of random)."""
     gen = F.concat(F.lit("CUST-"), F.upper(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in key_cols])), 1, 6)))
     return gen if ident is None else F.coalesce(ident, gen)
-
-
-# --- fixed values: the four preset customers of the prediction form -------------
-PRESET_COLUMNS = ("preset", "expected_band", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
-                  "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport",
-                  "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod", "MonthlyCharges",
-                  "TotalCharges")
-
-
-def preset_profiles(spark) -> DataFrame:
-    """The form's four preset customers with their expected risk band
-    (a literal fixture for tests; not a registered query)."""
-    rows = [
-        ("high_risk", "85-98", "Female", 1, "No", "No", 1, "Yes", "Yes", "Fiber optic", "No", "No", "No", "No", "Yes", "Yes",
-         "Month-to-month", "Yes", "Electronic check", 110.5, 110.5),
-        ("loyal", "5-15", "Male", 0, "Yes", "Yes", 70, "Yes", "Yes", "DSL", "Yes", "Yes", "Yes", "Yes", "No", "No",
-         "Two year", "No", "Credit card (automatic)", 35.0, 2450.0),
-        ("moderate", "35-50", "Female", 0, "Yes", "No", 24, "Yes", "No", "Fiber optic", "No", "Yes", "Yes", "No", "Yes", "No",
-         "One year", "Yes", "Bank transfer (automatic)", 75.0, 1800.0),
-        ("budget", "8-20", "Male", 0, "No", "No", 50, "Yes", "No", "No", "No internet service", "No internet service",
-         "No internet service", "No internet service", "No internet service", "No internet service",
-         "Two year", "No", "Mailed check", 20.0, 1000.0),
-    ]
-    return spark.createDataFrame(rows, list(PRESET_COLUMNS))

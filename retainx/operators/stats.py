@@ -66,7 +66,7 @@ def numeric_stats(df: DataFrame, params: Params = P) -> DataFrame:
         x = SQ.clean_double(c)
         aggs += [f"count({x}) AS n{i}", f"avg({x}) AS mean{i}", f"stddev_samp({x}) AS std{i}",
                  f"min({x}) AS min{i}", f"max({x}) AS max{i}", f"skewness({x}) AS sk{i}"]
-    one = chunked_agg(df, aggs[1:]).crossJoin(df.agg(F.expr(aggs[0])))
+    one = chunked_agg(df, aggs)
     rows = []
     for i, c in enumerate(cols):
         n = f"n{i}"
@@ -270,6 +270,40 @@ def dataset_analysis(df: DataFrame, target: str | None, params: Params = P) -> D
         F.lit(len(categorical_columns(cdf))).cast("bigint").alias("categorical_columns"))
 
 
+def analysis_bundle(df: DataFrame, target: str, params: Params = P) -> DataFrame:
+    """D08 in full, long form (part, feature, item, number, text): the summary
+    row, target distribution, numeric and categorical statistics, histograms,
+    correlations and the crosstab. One frame per part, each planned by itself."""
+    cdf = coerce_numeric(df, exclude=(target,), params=params)
+
+    def long(part: str, frame: DataFrame, feature, item, number=None, text=None) -> DataFrame:
+        return frame.select(F.lit(part).alias("part"), feature.alias("feature"), item.alias("item"),
+                            (F.lit(None) if number is None else number).cast("double").alias("number"),
+                            (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+    def melt(part: str, frame: DataFrame, names: list[str]) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).cast("double").alias("number")) for n in names])).alias("x")
+        flat = frame.select("column_name", rows)
+        return long(part, flat, F.col("column_name"), F.col("x.item"), F.col("x.number"))
+
+    num, cat = numeric_stats(cdf, params), categorical_stats(cdf, params)
+    parts = [
+        long("target_distribution", target_distribution(cdf, target, params), F.lit(target), F.col("name"), F.col("count")),
+        melt("numeric", num, [c for c in num.columns if c != "column_name"]),
+        melt("categorical", cat, ["count", "missing", "unique_count", "top_frequency", "frequency_percentage"]),
+        long("categorical", cat, F.col("column_name"), F.lit("top_value"), None, F.col("top_value")),
+        long("histogram", numeric_histogram(cdf, target, params), F.col("feature"), F.col("bin"), F.col("count")),
+        long("correlation", correlation_matrix(cdf, params), F.col("x"), F.col("y"), F.col("value")),
+        long("crosstab", category_by_target(cdf, target, params), F.col("feature"),
+             F.concat_ws(" / ", "category", "target_class"), F.col("count")),
+    ]
+    one = dataset_analysis(df, target, params)
+    out = long("summary", one, F.lit(None).cast("string"), F.lit("rows_count"), F.col("rows_count"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def churn_kpis(df: DataFrame, target: str, positive=None) -> DataFrame:
     """Total, churned, non-churned customers and churn rate.
 

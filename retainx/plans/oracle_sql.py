@@ -7,6 +7,8 @@ from retainx.plans.oracles import (  # noqa: F401
     src_table, telco_cte, with_src,
 )
 
+from retainx.plans.views import MODELS_SQL
+
 ORACLES: dict = {}
 
 DATASETS_COLS = [("id", "i"), ("user_id", "i"), ("filename", "s"), ("rows_count", "i"), ("columns_count", "i"),
@@ -672,3 +674,79 @@ ORACLES["assemble_features"] = (
         [f"SELECT _row_key AS row_key, is_test, '{c}' AS feature, round(({q(c)} - m_{i}) / s_{i}, 6) AS value FROM imp, st" for i, c in enumerate(_NUM)]
         + [f"SELECT _row_key, is_test, '{c}_{v}', CAST(CASE WHEN {q(c)} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) FROM imp"
            for c, vs in _OH_DOM.items() for v in vs]))
+
+
+# ---- bundles (D08, H11), configured target (P16), samples (P12, P13), preview features (C05) ----
+_TNAMES = "names(ordinal, column_name) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(TELCO_COLS)) + ")"
+ORACLES["configure_target_classes"] = with_src(src_table("telco"), [
+    profile_cte(TELCO_COLS), f"g AS (SELECT count(*) AS n FROM src GROUP BY {', '.join(q(c) for c, _ in TELCO_COLS)})"],
+    "SELECT 'Contract' AS target_column, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT Contract AS v FROM src)) AS target_classes, "
+    "(SELECT string_agg(column_name, '|' ORDER BY ordinal) FROM prof WHERE is_id_candidate OR column_name = 'tenure') AS id_columns, "
+    "(SELECT count(*) FROM src) AS total_rows, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM g) AS duplicate_rows")
+
+ORACLES["profile_with_samples"] = with_src(src_table("telco"), [
+    profile_cte(TELCO_COLS), long_values_cte(TELCO_COLS),
+    "d AS (SELECT DISTINCT ordinal, value, num FROM lv)",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY num NULLS LAST, value) AS k FROM d)",
+    "sm AS (SELECT ordinal, string_agg(value, '|' ORDER BY k) AS sample_values FROM rk WHERE k <= 5 GROUP BY ordinal)"],
+    "SELECT prof.ordinal, column_name, unique_count, coalesce(sample_values, '') AS sample_values FROM prof LEFT JOIN sm USING (ordinal)")
+
+ORACLES["sample_decimals"] = (
+    "WITH d AS (SELECT DISTINCT l_quantity AS v FROM lineitem), rk AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM d) "
+    "SELECT 'dec' AS column_name, CAST(k AS INTEGER) AS sample_rank, printf('%.2f', v) AS sample_value FROM rk WHERE k <= 5 UNION ALL "
+    "SELECT 'single', CAST(k AS INTEGER), printf('%.1f', v) FROM rk WHERE k <= 5")
+
+ORACLES["batch_preview_features"] = (
+    f"WITH {_SCORED}, h AS (SELECT *, row_number() OVER (ORDER BY customerID, tenure) AS k FROM scored2) "
+    "SELECT CAST(k AS INTEGER) AS row_index, customerID AS customer_identifier, Contract, CAST(tenure AS VARCHAR) AS tenure, "
+    "coalesce(TotalCharges, '') AS TotalCharges FROM h WHERE k <= 50")
+
+_BEST = "best AS (SELECT * FROM mdl WHERE user_id = 1 ORDER BY is_best DESC, f1_score DESC, id DESC LIMIT 1)"
+ORACLES["dashboard"] = (
+    f"WITH {predictions_cte()}, {_MODELS3}, mdl AS ({MODELS_SQL.replace('{orders}', 'orders')}), {_BEST}, "
+    "mine AS (SELECT p.*, coalesce(m.algorithm_name, 'Classifier') AS model_name FROM predictions p LEFT JOIN models m ON p.model_id = m.id WHERE user_id = 1), "
+    "lt AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS k FROM mine) "
+    "SELECT 'best_accuracy' AS part, 1 AS position, algorithm_name AS name, accuracy AS number FROM best UNION ALL "
+    "SELECT 'best_f1', 1, algorithm_name, f1_score FROM best UNION ALL "
+    "SELECT 'latest', CAST(k AS INTEGER), customer_identifier || ' / ' || model_name || ' / ' || risk_level, churn_probability FROM lt WHERE k <= 5 UNION ALL "
+    "SELECT 'tiers', NULL, risk_level, CAST(count(*) AS DOUBLE) FROM mine GROUP BY risk_level UNION ALL "
+    "SELECT 'labels', NULL, prediction, CAST(count(*) AS DOUBLE) FROM mine GROUP BY prediction")
+
+# the parts of the bundle are the statements of their own queries on the coerced telco table
+_TELCO_SRC = f"{telco_cte()}, src AS ({TELCO_COERCED})"
+_TELCO_NUM = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
+_TELCO_CAT = [(c, "s") for c, k in TELCO_COLS if c not in _TELCO_NUM]
+_NUM_ITEMS = ["count", "missing", "mean", "std", "median", "min", "max", "q25", "q75", "skew"]
+_CAT_ITEMS = ["count", "missing", "unique_count", "top_frequency", "frequency_percentage"]
+_CAT_SQL = with_src(_TELCO_SRC, [
+    long_values_cte(_TELCO_CAT),
+    "names(ordinal, column_name) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(_TELCO_CAT)) + ")",
+    "vc AS (SELECT ordinal, value, count(*) AS n FROM lv GROUP BY ordinal, value)",
+    "ag AS (SELECT ordinal, sum(n) AS count, count(*) AS unique_count, first(value ORDER BY n DESC, value) AS top_value, "
+    "max(n) AS top_frequency FROM vc GROUP BY ordinal)"],
+    "SELECT column_name, CAST(count AS BIGINT) AS count, (SELECT count(*) FROM src) - CAST(count AS BIGINT) AS missing, "
+    f"unique_count, top_value, top_frequency, {r('top_frequency / count * 100.0', 2)} AS frequency_percentage FROM ag JOIN names USING (ordinal)")
+_HIST_SQL = (
+    f"WITH {_TELCO_SRC}, long AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({q(c)} AS DOUBLE) AS x FROM src WHERE {q(c)} IS NOT NULL" for c in _TELCO_NUM) + "), "
+    "r0 AS (SELECT feature, count(*) AS n, min(x) AS lo0, max(x) AS hi0 FROM long GROUP BY feature), "
+    "rng AS (SELECT feature, lo, hi, (hi - lo) / 8.0 AS step FROM (SELECT feature, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, "
+    "CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r0 WHERE n > 10)), "
+    "b3 AS (SELECT long.feature, " + " + ".join(
+        f"CASE WHEN x >= CAST({k} AS DOUBLE) * step + lo THEN 1 ELSE 0 END" for k in range(1, 8))
+    + " AS bin_index FROM long JOIN rng USING (feature)), counts AS (SELECT feature, bin_index, count(*) AS n FROM b3 GROUP BY ALL), "
+    "grid AS (SELECT feature, lo, hi, step, CAST(g.bin_index AS BIGINT) AS bin_index FROM rng, range(0, 8) g(bin_index)) "
+    f"SELECT feature, {_fmt1(_edge('bin_index'))} || '-' || {_fmt1(_edge('bin_index + 1'))} AS bin, coalesce(n, 0) AS n "
+    "FROM grid LEFT JOIN counts USING (feature, bin_index)")
+_CORR = lambda a, b: f"corr({q(a)}, {q(b)})"
+ORACLES["analysis_bundle"] = (
+    f"WITH num AS ({_numeric_stats_sql(_TELCO_SRC, _TELCO_NUM)}), cat AS ({_CAT_SQL}), hist AS ({_HIST_SQL}), "
+    f"ct AS ({ORACLES['category_by_target']}), tl AS ({ORACLES['coerce_numeric']}) "
+    "SELECT 'summary' AS part, CAST(NULL AS VARCHAR) AS feature, 'rows_count' AS item, CAST(count(*) AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM tl "
+    "UNION ALL SELECT 'target_distribution', 'Churn', Churn, CAST(count(*) AS DOUBLE), NULL FROM tl GROUP BY Churn "
+    + "".join(f"UNION ALL SELECT 'numeric', column_name, '{i}', CAST({q(i)} AS DOUBLE), NULL FROM num " for i in _NUM_ITEMS)
+    + "".join(f"UNION ALL SELECT 'categorical', column_name, '{i}', CAST({q(i)} AS DOUBLE), NULL FROM cat " for i in _CAT_ITEMS)
+    + "UNION ALL SELECT 'categorical', column_name, 'top_value', NULL, top_value FROM cat "
+      "UNION ALL SELECT 'histogram', feature, bin, CAST(n AS DOUBLE), NULL FROM hist "
+    + "".join(f"UNION ALL SELECT 'correlation', '{a}', '{b}', {r(f'coalesce({_CORR(a, b)}, 0.0)', 2)}, NULL FROM tl " for a in _TELCO_NUM for b in _TELCO_NUM)
+    + "UNION ALL SELECT 'crosstab', feature, category || ' / ' || target_class, CAST(count AS DOUBLE), NULL FROM ct")

@@ -112,6 +112,25 @@ def q_configure_target(spark, sf):
     return P.configure_target(V.telco(spark, sf), "Contract", id_column="tenure")
 
 
+@query("configure_target_classes")
+def q_configure_target_classes(spark, sf):
+    out = P.configured_summary(V.telco(spark, sf), "Contract", id_column="tenure")
+    return out.withColumn("target_classes", F.array_join("target_classes", "|")).withColumn("id_columns", F.array_join("id_columns", "|"))
+
+
+@query("profile_with_samples")
+def q_profile_with_samples(spark, sf):
+    return P.profile_with_samples(V.telco(spark, sf)).select(
+        "ordinal", "column_name", "unique_count", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+@query("sample_decimals")
+def q_sample_decimals(spark, sf):
+    # decimals and single floats sort as numbers
+    li = _t(spark, sf, "lineitem")
+    return P.sample_values(li.select(F.col("l_quantity").cast("decimal(12,2)").alias("dec"), F.col("l_quantity").cast("float").alias("single")))
+
+
 @query("class_count_guard")
 def q_class_count_guard(spark, sf):
     return P.class_count_guard(_t(spark, sf, "labels"), "quality")
@@ -182,6 +201,11 @@ def q_dataset_analysis(spark, sf):
     return D.dataset_analysis(V.telco(spark, sf), "Churn")
 
 
+@query("analysis_bundle")
+def q_analysis_bundle(spark, sf):
+    return D.analysis_bundle(V.telco(spark, sf), "Churn", SCREENS)
+
+
 @query("churn_kpis")
 def q_churn_kpis(spark, sf):
     return D.churn_kpis(V.telco(spark, sf), "Churn")
@@ -359,6 +383,7 @@ def q_balanced_class_weight(spark, sf):
 # ---- scoring and evaluation -----------------------------------------------------------
 from retainx.functions.expr import churn_label, risk_tier  # noqa: E402
 from retainx.operators import evaluate as EV, score as SC  # noqa: E402
+from retainx.plans import scorecard as CARD  # noqa: E402
 
 # Importances of the full scorecard (points / 100), strongest first: the
 # fallback list of the explanation rules.
@@ -368,12 +393,12 @@ SCORECARD_IMPORTANCES = [("Contract", 0.35), ("tenure", 0.25), ("InternetService
 
 def _scored(spark, sf):
     t = V.telco(spark, sf)
-    return SC.score_batch(t, SC.scorecard_probability(t))
+    return SC.score_batch(t, CARD.scorecard_probability(t))
 
 
 def _scorecard_predictions(spark, sf, terms=None):
     lab = _labelled(spark, sf)
-    p = SC.scorecard_probability(lab, terms)
+    p = CARD.scorecard_probability(lab, terms)
     return lab.select("label", (p > 0.5).cast("int").alias("prediction"), p.alias("score"))
 
 
@@ -381,8 +406,8 @@ def _scorecard_long(spark, sf):
     """(algorithm_name, ordinal, label, prediction, score) for the four scorecards in one pass."""
     lab = _labelled(spark, sf)
     structs = []
-    for i, (name, terms) in enumerate(SC.SCORECARDS.items()):
-        p = SC.scorecard_probability(lab, terms)
+    for i, (name, terms) in enumerate(CARD.SCORECARDS.items()):
+        p = CARD.scorecard_probability(lab, terms)
         structs.append(F.struct(F.lit(name).alias("algorithm_name"), F.lit(i).alias("ordinal"),
                                 (p > 0.5).cast("int").alias("prediction"), p.alias("score")))
     return lab.select("label", F.inline(F.array(*structs)))
@@ -426,6 +451,12 @@ def q_batch_preview(spark, sf):
     return SC.batch_preview(_scored(spark, sf), ["customerID"], id_col="customerID")
 
 
+@query("batch_preview_features")
+def q_batch_preview_features(spark, sf):
+    out = SC.batch_preview(_scored(spark, sf), ["customerID", "tenure"], id_col="customerID", feature_cols=["Contract", "tenure", "TotalCharges"])
+    return out.select("row_index", "customer_identifier", *[F.col("features")[c].alias(c) for c in ("Contract", "tenure", "TotalCharges")])
+
+
 @query("explain_rules")
 def q_explain_rules(spark, sf):
     return SC.explain_long(V.telco(spark, sf), "customerID", SCORECARD_IMPORTANCES)
@@ -544,6 +575,11 @@ def q_dashboard_summary(spark, sf):
     return H.dashboard_summary(kpis, V.predictions(spark, sf), V.model_names(spark), user_id=1)
 
 
+@query("dashboard")
+def q_dashboard(spark, sf):
+    return H.dashboard(V.predictions(spark, sf), V.model_names(spark, drop_ids=(4,)), V.model_registry(spark, sf), user_id=1)
+
+
 @query("csv_source")
 def q_csv_source(spark, sf):
     path = shared_dir(spark, "telco_csv") + ".csv"

@@ -70,6 +70,18 @@ SELECT o_orderkey AS id,
 FROM {orders}
 """
 
+# Model registry on top of `orders`: one trained model per order, 1 in 89 flagged best.
+MODELS_SQL = """
+SELECT o_orderkey AS id,
+       o_custkey % 5 AS user_id,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Logistic Regression' WHEN 1 THEN 'Decision Tree' WHEN 2 THEN 'Random Forest'
+            ELSE 'Gradient Boosting' END AS algorithm_name,
+       CAST(500 + (o_orderkey * 37) % 450 AS DOUBLE) / CAST(10 AS DOUBLE) AS accuracy,
+       CAST(400 + (o_orderkey * 53) % 500 AS DOUBLE) / CAST(10 AS DOUBLE) AS f1_score,
+       o_orderkey % 89 = 7 AS is_best
+FROM {orders}
+"""
+
 # Names of the four algorithms keyed by model id (the log's N:1 look-up).
 MODEL_NAMES = ((1, "Logistic Regression"), (2, "Decision Tree"), (3, "Random Forest"), (4, "Gradient Boosting"))
 
@@ -86,6 +98,10 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DATASETS_SQL, orders=read_table(spark, sf_dir, "orders"))
 
 
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MODELS_SQL, orders=read_table(spark, sf_dir, "orders"))
+
+
 def model_names(spark: SparkSession, drop_ids: tuple = ()) -> DataFrame:
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("algorithm_name", T.StringType())])
     return spark.createDataFrame([r for r in MODEL_NAMES if r[0] not in drop_ids], schema)

@@ -92,9 +92,10 @@ def test_loads_share_one_table_and_replace_themselves(spark):
 
 def test_same_customers_streamed_twice_get_new_ids(spark):
     from retainx.operators import score as SC
+    from retainx.plans import scorecard as CARD
     from retainx.streaming.scoring import log_records
     t = V.telco(spark, SF_SMALL).dropDuplicates().limit(40)
-    scored = SC.score_batch(t, SC.scorecard_probability(t))
+    scored = SC.score_batch(t, CARD.scorecard_probability(t))
     ids = [r["id"] for load in ("stream-0", "stream-1") for r in log_records(scored, 1, None, "customerID", ["tenure"], load=load).collect()]
     assert len(set(ids)) == len(ids) == 80
 

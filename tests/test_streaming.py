@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from retainx.operators import score as SC
-from retainx.plans import views as V
+from retainx.plans import scorecard as CARD, views as V
 from retainx.session import shared_dir
 from retainx.streaming.scoring import start_scoring_stream
 
@@ -15,7 +15,7 @@ def test_stream_scores_each_customer_once(spark):
     t = V.telco(spark, SF_SMALL).dropDuplicates()
     t.repartition(3).write.parquet(src)
     log, ckpt = shared_dir(spark, "stream_log"), shared_dir(spark, "stream_ckpt")
-    scorer = lambda b: SC.score_batch(b, SC.scorecard_probability(b))
+    scorer = lambda b: SC.score_batch(b, CARD.scorecard_probability(b))
     q = start_scoring_stream(spark, src, t.schema, scorer, log, ckpt, user_id=7, key_col="customerID")
     q.awaitTermination(300)
     out = spark.read.parquet(log)
