@@ -750,3 +750,7 @@ ORACLES["analysis_bundle"] = (
       "UNION ALL SELECT 'histogram', feature, bin, CAST(n AS DOUBLE), NULL FROM hist "
     + "".join(f"UNION ALL SELECT 'correlation', '{a}', '{b}', {r(f'coalesce({_CORR(a, b)}, 0.0)', 2)}, NULL FROM tl " for a in _TELCO_NUM for b in _TELCO_NUM)
     + "UNION ALL SELECT 'crosstab', feature, category || ' / ' || target_class, CAST(count AS DOUBLE), NULL FROM ct")
+
+# the optimum of the penalised likelihood is where its gradient vanishes
+ORACLES["logistic_optimum"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', CAST(0.0 AS DOUBLE))" for n in [*_NUM, *[f"{c}_{v}" for c, vs in _OH_DOM.items() for v in vs], "(intercept)"]) + ") t(feature, gradient)"

@@ -678,6 +678,23 @@ def q_feature_importance(spark, sf):
     return spark.createDataFrame(rows, "algorithm_name string, rank int, feature string, importance double")
 
 
+@query("logistic_optimum")
+def q_logistic_optimum(spark, sf):
+    """The penalised gradient at the fitted coefficients, to 4 decimals: zero at the unique optimum."""
+    model = _trained(spark, sf, ("Logistic Regression",)).models["Logistic Regression"]
+    schema, prep, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
+    scored = model.transform(vec.where(~F.col("is_test")))
+    names = [*M.feature_names(prep, schema), "(intercept)"]
+    beta = [*[float(c) * model.getRegParam() for c in model.coefficients], 0.0]
+    error = F.col("weight") * (M.churn_probability(scored) - F.col("label"))
+    terms = scored.select("weight", F.posexplode(F.transform(
+        F.concat(vector_to_array("features"), F.array(F.lit(1.0))), lambda x: x * error)).alias("i", "g"))
+    sums = terms.groupBy("i").agg((F.sum("g") / F.sum("weight")).alias("g"))
+    of = F.array(*[F.lit(n) for n in names])
+    penalty = F.array(*[F.lit(b) for b in beta])
+    return sums.select(F.get(of, F.col("i")).alias("feature"), (F.round(F.col("g") + F.get(penalty, F.col("i")), 4) + 0.0).alias("gradient"))
+
+
 @query("training_time")
 def q_training_time(spark, sf):
     return _trained(spark, sf).metrics.select("algorithm_name", "training_time", "total_training_time")

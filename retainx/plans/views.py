@@ -36,9 +36,8 @@ t AS (SELECT id, concat('C', CAST(id AS STRING)) AS customerID, SeniorCitizen, t
   TechSupport, Contract, PaymentMethod, cents / CAST(100 AS DOUBLE) AS MonthlyCharges,
   CASE WHEN id % 400 = 7 THEN '' ELSE CAST(CAST(FLOOR(cents * tenure / CAST(100 AS DOUBLE)) AS BIGINT) AS STRING) END AS TotalCharges,
   CASE WHEN score + (b * 7 + d * 3) % 121 - 60 > 40 THEN 'Yes' ELSE 'No' END AS Churn FROM h)
-SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, PaymentMethod, MonthlyCharges, TotalCharges, Churn FROM t
-UNION ALL
-SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, PaymentMethod, MonthlyCharges, TotalCharges, Churn FROM t WHERE id % 200 = 3
+SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, PaymentMethod, MonthlyCharges, TotalCharges, Churn
+FROM t JOIN (VALUES (0), (1)) d(copy) ON d.copy = 0 OR t.id % 200 = 3
 """
 
 # Prediction log on top of `orders` (15,000 rows at sf0.01, 1 in 50 without a model).
