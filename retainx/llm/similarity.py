@@ -1,13 +1,14 @@
 """Exact similarity graphs from shared signatures, without all pairs of a group.
 
-Two nodes can only be similar if they share a signature. A small group of nodes
-(at most ``SMALL_GROUP``) is compared pair by pair. In a larger one every node is
-compared with one leader that the signature picks by a hash, which links nearly
-all true copies at a cost linear in the group. What remains open are pairs whose
+Two nodes can only be similar if they share a signature. In a group of more than
+``SMALL_GROUP`` nodes every node is compared with one leader, the node with the
+smallest hash; as overlapping groups mostly agree on it, this links most true
+copies with a few comparisons for each node. What remains open are pairs whose
 nodes are not connected yet: the larger groups that overlap form a family, and
 the nodes outside a family's largest component are compared with the rest of it
-in blocks of bounded size, inside tasks, by their payloads. No link is lost, and
-no group is ever held by one task as a whole.
+in blocks of bounded size, inside tasks, by their payloads. A small group is
+compared pair by pair, but for pairs within a family, which are settled there.
+No link is lost, and no group is ever held by one task as a whole.
 """
 
 from __future__ import annotations
@@ -80,19 +81,24 @@ def similar_nodes(postings: DataFrame, payload: DataFrame, verify: Verify, name:
     sizes = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     groups = materialize(postings.join(sizes.where(F.col("size") > 1), "sig"), f"{name}-groups")
     few = groups.where(F.col("size") <= SMALL_GROUP).select("sig", "node")
-    pairs = few.select("sig", F.col("node").alias("a")).join(few.select("sig", F.col("node").alias("b")), "sig") \
-        .where(F.col("a") < F.col("b")).select("a", "b").distinct()
     large = groups.where(F.col("size") > SMALL_GROUP)
-    pick = F.xxhash64("sig", "node")
+    pick = F.xxhash64("node")
     leaders = large.groupBy("sig").agg(F.min(F.struct(pick.alias("h"), "node")).alias("x")).select("sig", F.col("x.node").alias("leader"))
     stars = large.join(leaders, "sig").where(F.col("node") != F.col("leader")) \
         .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     stars = materialize(stars, f"{name}-stars")
-    # compared once, even where a pair is in small and large groups
-    links = materialize(check_pairs(pairs.union(stars).distinct(), payload, verify), f"{name}-links")
-    if stars.isEmpty():
+    alone = stars.isEmpty()                                    # no large group
+    if alone:
+        few = few.withColumn("family", F.lit(None).cast("long"))
+    else:
+        families = materialize(components(stars).withColumnRenamed("component", "family"), f"{name}-families")
+        few = few.join(families, "node", "left")
+    one, two = (few.select("sig", F.col("node").alias(n), F.col("family").alias(f)) for n, f in (("a", "f"), ("b", "g")))
+    apart = F.col("f").isNull() | F.col("g").isNull() | (F.col("f") != F.col("g"))
+    pairs = one.join(two, "sig").where((F.col("a") < F.col("b")) & apart).select("a", "b").distinct()
+    links = materialize(check_pairs(pairs.union(stars), payload, verify), f"{name}-links")
+    if alone:
         return links
-    families = components(stars).withColumnRenamed("component", "family")
     linked = components(links)
     nodes = families.join(linked, "node", "left").select(
         "node", "family", F.coalesce("component", "node").alias("component"))
