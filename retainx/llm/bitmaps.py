@@ -1,4 +1,8 @@
-"""Counting 32-bit marks over a whole table, kept as bitmaps of fixed size."""
+"""Counting 32-bit marks over a whole table, kept as bitmaps of fixed size.
+
+Marks come as uint32, or as uint64 whose low half names an owner; then a mark is
+counted once for each owner.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +12,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes of marks that one group counts, about.
-BUCKET_BYTES = 8 << 20
+from retainx.llm.scratch import shuffle_partitions
 
 
-def repeated_marks(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: int,
+def repeated_marks(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                    classes: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
     """For each class (least count, log2 of bits) a bitmap of the marks that occur so often.
 
-    ``marks`` yields arrays of uint32 for a batch of ``rows``; about ``expected``
-    are expected in all, which sizes the groups. Marks travel as sorted runs of
-    4 bytes each, dealt by their leading bits; what comes back to the driver has
-    the size of the bitmaps, whatever the input.
+    ``marks`` yields arrays of one kind for a batch of ``rows``. Marks travel as
+    sorted runs of 4 or 8 bytes each, dealt by their leading bits to at least four
+    groups for each shuffle partition; what comes back to the driver has the
+    size of the bitmaps, whatever the input.
     """
-    bits = min(16, max(8, (expected * 4 // BUCKET_BYTES).bit_length()))
+    bits = min(16, max(8, (4 * shuffle_partitions(rows.sparkSession)).bit_length()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.concatenate([np.zeros(0, np.uint32), *marks(batch)])
+            parts = list(marks(batch))
+            if not parts:
+                continue
+            found = np.concatenate(parts)
             found.sort()
-            cuts = np.searchsorted(found, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
+            width = 8 * found.dtype.itemsize
+            starts = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)).astype(found.dtype)
+            cuts = np.append(np.searchsorted(found, starts), len(found))
             own = np.flatnonzero(np.diff(cuts))
+            kind = np.full(len(own), width, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array([found[cuts[i]:cuts[i + 1]].tobytes() for i in own], pa.binary())], ["bucket", "marks"])
+                [pa.array(own, pa.int32()), pa.array(kind), pa.array([found[cuts[i]:cuts[i + 1]].tobytes() for i in own], pa.binary())],
+                ["bucket", "width", "marks"])
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        found = np.sort(np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32), kind="stable")
+        data = b"".join(table.column("marks").to_pylist())
+        if table.column("width")[0].as_py() == 64:
+            found = (np.unique(np.frombuffer(data, np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        else:
+            found = np.sort(np.frombuffer(data, np.uint32), kind="stable")
         first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
         found, times = found[first], np.diff(np.append(first, len(found)))
         out = []
@@ -45,7 +59,7 @@ def repeated_marks(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[n
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "maps": pa.array([out], pa.list_(pa.binary()))})
 
     maps = [np.zeros(1 << (width - 3), np.uint8) for _, width in classes]
-    for r in rows.mapInArrow(spread, "bucket int, marks binary").groupBy("bucket").applyInArrow(count, "bucket int, maps array<binary>").collect():
+    for r in rows.mapInArrow(spread, "bucket int, width int, marks binary").groupBy("bucket").applyInArrow(count, "bucket int, maps array<binary>").collect():
         for bitmap, part, (_, width) in zip(maps, r.maps, classes):
             step = 1 << (width - bits - 3)
             bitmap[r.bucket * step:(r.bucket + 1) * step] = np.frombuffer(bytes(part), np.uint8)

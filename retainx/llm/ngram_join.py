@@ -71,8 +71,7 @@ def frequency_bitmaps(documents: DataFrame, params: JoinParams, text_col: str) -
         for _, _, h, _ in ShingleReader(params.k).read(batch.column(0)):
             yield (h >> np.uint64(32)).astype(np.uint32)
 
-    size = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return repeated_marks(documents.select(F.col(text_col)), marks, size // 6, params.classes)    # a shingle for about six bytes
+    return repeated_marks(documents.select(F.col(text_col)), marks, params.classes)
 
 
 def classes_of(shingles: np.ndarray, maps: list[np.ndarray], params: JoinParams) -> np.ndarray:

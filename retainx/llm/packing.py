@@ -142,7 +142,7 @@ def tokenize_pieces(documents: DataFrame, params: PackParams, id_col: str = "doc
         encoder = _encoder(params.tokenizer, params.cache_words)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1 << 21):
+            for a, b in slices(offsets, 8):
                 texts = [data[offsets[i]:offsets[i + 1]].tobytes() for i in range(a, b)]
                 row, start, length, tokens, ids = [], [], [], [], []
                 for i, own in enumerate(encoder.encode(texts), start=a):

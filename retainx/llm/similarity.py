@@ -34,12 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); a component is named by its smallest node.
 
     Alternating large-star and small-star rounds, each written to the shared
-    folder; their number is logarithmic in practice, two or three for stars.
+    folder, until every node points at the centre of its star; their number is
+    logarithmic in practice.
     """
     edges = materialize(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -47,16 +47,16 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .union(least.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        if (now := _mark(edges)) == mark:
-            break
-        mark = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either is a centre or points at just one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("out")),
+                                          F.struct(F.col("b").alias("n"), F.lit(0).alias("out")))).alias("x")).select("x.*")
+    counts = ends.groupBy("n").agg(F.sum("out").alias("out"), F.count_if(F.col("out") == 0).alias("in"))
+    return counts.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
 
 def check_pairs(pairs: DataFrame, payload: DataFrame, verify: Verify) -> DataFrame:

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass handles (a longer single text is its own pass).
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that one numpy pass handles, so that its temporaries stay in the cache (a longer single text is its own pass).
+CHUNK_BYTES = 1 << 17
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32                      # A-Z
@@ -35,11 +35,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]] if len(offs) else raw[:0], (offs - offs[0] if len(offs) else np.zeros(1, np.int64))
 
 
-def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [a, b) whose texts together hold about ``limit`` bytes."""
+def slices(offsets: np.ndarray, chunks: int = 1) -> Iterator[tuple[int, int]]:
+    """Row ranges [a, b) whose texts together hold at most ``chunks * CHUNK_BYTES``, or a single longer text."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1
+        b = int(np.searchsorted(offsets, offsets[a] + chunks * CHUNK_BYTES, side="right")) - 1
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
@@ -79,6 +79,17 @@ class WordHasher:
             steps[1:] = inv
             self._inverse = np.multiply.accumulate(steps)
 
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of a buffer, from which ``span`` takes the hash of any part (letter case counts)."""
+        self._grow(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[:len(data)], out=sums[1:])
+        return sums
+
+    def span(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the parts [start, end), equal for equal bytes wherever they stand."""
+        return mix((sums[end] - sums[start]) * self._inverse[start] + (end - start).astype(np.uint64) * _MIX2)
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each word, start byte of each word, words before each row: len(rows)+1)."""
         n = len(data)
