@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # aggregate buffer widths (Spark's declarative aggregates)
 BUFFER_FIELDS = {"count": 1, "sum": 1, "min": 1, "max": 1, "avg": 2, "stddev_samp": 3, "stddev_pop": 3,
-                 "var_samp": 3, "var_pop": 3, "skewness": 4, "kurtosis": 5, "corr": 6, "covar_samp": 4}
+                 "var_samp": 3, "var_pop": 3, "skewness": 4, "kurtosis": 5, "corr": 6, "covar_samp": 4, "covar_pop": 4}
 
 
 def _width(sql: str) -> int:

@@ -243,19 +243,19 @@ def correlation_matrix(df: DataFrame, params: Params = P) -> DataFrame:
     cols = numeric_columns(df)[: params.correlation_max_columns]
     if len(cols) < 2 or not params.correlation:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
-    def pearson(x: str, y: str) -> str:
-        # like corr(), which raises on a constant column under ANSI rules
-        return (f"try_divide(covar_pop({x}, {y}), stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) * "
-                f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END))")
-
-    aggs = [f"{pearson(SQ.clean_double(a), SQ.clean_double(cols[j]))} AS c{i}_{j}"
-            for i, a in enumerate(cols) for j in range(i, len(cols))]
+    # the parts of corr(), which itself raises on a constant column under ANSI rules
+    aggs = []
+    for i, a in enumerate(cols):
+        for j in range(i, len(cols)):
+            x, y = SQ.clean_double(a), SQ.clean_double(cols[j])
+            aggs += [f"covar_pop({x}, {y}) AS v{i}_{j}", f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) AS s{i}_{j}",
+                     f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END) AS t{i}_{j}"]
     one = chunked_agg(df, aggs)
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             lo, hi = min(i, j), max(i, j)
-            v = SQ.py_round(f"coalesce(nanvl(c{lo}_{hi}, 0D), 0D)", 2)
+            v = SQ.py_round(f"coalesce(nanvl(try_divide(v{lo}_{hi}, s{lo}_{hi} * t{lo}_{hi}), 0D), 0D)", 2)
             cells.append(f"struct({SQ.lit_str(a)} AS x, {SQ.lit_str(b)} AS y, {v} AS value)")
     return one.selectExpr(f"inline(array({', '.join(cells)}))")
 

@@ -70,7 +70,7 @@ def test_metrics_follow_from_the_scored_test_rows(spark):
                       FROM t a, t b WHERE a.label = 1 AND b.label = 0)
             SELECT count(*) FILTER (label = 1 AND prediction = 1), count(*) FILTER (label = 0 AND prediction = 1),
                    count(*) FILTER (label = 1 AND prediction = 0), count(*) FILTER (label = 0 AND prediction = 0), any_value(u)
-            FROM t, pairs""").fetchone()
+            FROM t, pairs""").fetchall()[0]
         m = ts.metrics.where(F.col("algorithm_name") == name).first()
         assert (m["tp"], m["fp"], m["fn"], m["tn"]) == (tp, fp, fn, tn)
         assert abs(m["accuracy"] - 100 * (tp + tn) / (tp + fp + fn + tn)) < 0.006 and abs(m["roc_auc"] - 100 * auc) < 0.006
