@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from retainx.llm.bitmaps import is_marked, repeated_marks
 from retainx.llm.scratch import materialize
-from retainx.llm.similarity import components, similar_nodes
+from retainx.llm.similarity import PairTest, components, similar_nodes
 from retainx.llm.textnp import WordHasher, distinct_by_row, mix, shingle_hashes, slices, utf8
 
 
@@ -115,7 +115,16 @@ def prefix_entries(shingles: np.ndarray, classes: np.ndarray, params: JoinParams
     return np.unique(np.concatenate([rare, *out])) if out else rare
 
 
-def similar_sets(params: JoinParams):
+def similar_sets(params: JoinParams) -> PairTest:
+    def sketch(x: bytes) -> np.ndarray:
+        """How many shingles have each value of the leading 6 bits."""
+        return np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(58)).astype(np.int64), minlength=64)
+
+    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        # sets with Jaccard similarity p differ in at most (1 - p) / (1 + p) of their summed sizes
+        differ = np.abs(many - one).sum(axis=1)
+        return differ * (100 + params.percent) <= (many.sum(axis=1) + one.sum()) * (100 - params.percent)
+
     def verify(a: list[bytes], b: list[bytes]) -> np.ndarray:
         out = np.zeros(len(a), bool)
         for i, (x, y) in enumerate(zip(a, b)):
@@ -127,7 +136,8 @@ def similar_sets(params: JoinParams):
             shared = int((both[1:] == both[:-1]).sum())
             out[i] = 100 * shared >= params.percent * (n + m - shared)
         return out
-    return verify
+
+    return PairTest(verify, sketch, near)
 
 
 def index_documents(documents: DataFrame, params: JoinParams, id_col: str, text_col: str) -> DataFrame:

@@ -14,6 +14,7 @@ No link is lost, and no group is ever held by one task as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,19 @@ SMALL_GROUP = 24
 #: A block of the exact comparison holds about so many nodes and payload bytes.
 BLOCK_NODES, BLOCK_BYTES = 512, 8 << 20
 
-#: (payloads, payloads) -> whether each pair is similar.
-Verify = Callable[[list[bytes], list[bytes]], np.ndarray]
+
+@dataclass(frozen=True)
+class PairTest:
+    """How two payloads are compared.
+
+    ``verify`` decides exactly for each pair; ``sketch`` gives a short vector of
+    counts, and ``near`` which of many sketches can belong to something similar
+    to one of them (it may err on the side of yes only).
+    """
+
+    verify: Callable[[list[bytes], list[bytes]], np.ndarray]
+    sketch: Callable[[bytes], np.ndarray]
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,11 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        edges = materialize(small, "edges")                    # a is the larger node of every edge
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -59,13 +71,13 @@ def _are_stars(edges: DataFrame) -> bool:
     return counts.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
 
-def check_pairs(pairs: DataFrame, payload: DataFrame, verify: Verify) -> DataFrame:
+def check_pairs(pairs: DataFrame, payload: DataFrame, test: PairTest) -> DataFrame:
     """The similar ones of the distinct pairs (a, b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                good = verify(b.column(2).to_pylist(), b.column(3).to_pylist())
+                good = test.verify(b.column(2).to_pylist(), b.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
 
     one = payload.select(F.col("node").alias("a"), F.col("payload").alias("p"))
@@ -73,7 +85,7 @@ def check_pairs(pairs: DataFrame, payload: DataFrame, verify: Verify) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def similar_nodes(postings: DataFrame, payload: DataFrame, verify: Verify, name: str) -> DataFrame:
+def similar_nodes(postings: DataFrame, payload: DataFrame, test: PairTest, name: str) -> DataFrame:
     """Links (a, b) that connect all similar nodes: the same components as all similar pairs, in linear number.
 
     ``postings``: distinct (sig, node); ``payload``: (node, payload), one row for each node of the postings.
@@ -96,16 +108,16 @@ def similar_nodes(postings: DataFrame, payload: DataFrame, verify: Verify, name:
     one, two = (few.select("sig", F.col("node").alias(n), F.col("family").alias(f)) for n, f in (("a", "f"), ("b", "g")))
     apart = F.col("f").isNull() | F.col("g").isNull() | (F.col("f") != F.col("g"))
     pairs = one.join(two, "sig").where((F.col("a") < F.col("b")) & apart).select("a", "b").distinct()
-    links = materialize(check_pairs(pairs.union(stars), payload, verify), f"{name}-links")
+    links = materialize(check_pairs(pairs.union(stars), payload, test), f"{name}-links")
     if alone:
         return links
     linked = components(links)
     nodes = families.join(linked, "node", "left").select(
         "node", "family", F.coalesce("component", "node").alias("component"))
-    return links.union(_open_pairs(materialize(nodes, f"{name}-nodes"), payload, verify))
+    return links.union(_open_pairs(materialize(nodes, f"{name}-nodes"), payload, test))
 
 
-def _open_pairs(nodes: DataFrame, payload: DataFrame, verify: Verify) -> DataFrame:
+def _open_pairs(nodes: DataFrame, payload: DataFrame, test: PairTest) -> DataFrame:
     """Links between unconnected nodes (node, family, component) of one family."""
     counts = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("x"), F.count(F.lit(1)).alias("parts")) \
@@ -128,10 +140,11 @@ def _open_pairs(nodes: DataFrame, payload: DataFrame, verify: Verify) -> DataFra
         node, comp, data = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("payload").to_pylist()
         rows, cols = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         out_a, out_b = [], []
-        for r in rows:                                         # one node against a block of bounded size
-            at = cols[comp[cols] != comp[r]]
+        sketches = np.stack([test.sketch(data[c]) for c in cols]) if len(cols) else None
+        for r in rows if len(cols) else ():                    # one node against a block of bounded size
+            at = cols[(comp[cols] != comp[r]) & test.near(test.sketch(data[r]), sketches)]
             if len(at):
-                hit = at[verify([data[r]] * len(at), [data[c] for c in at])]
+                hit = at[test.verify([data[r]] * len(at), [data[c] for c in at])]
                 out_a += [node[r]] * len(hit)
                 out_b += node[hit].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
