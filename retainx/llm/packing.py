@@ -38,6 +38,7 @@ def _byte_chars() -> dict[int, int]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = limit
-        self._signs = {c: self._tokenizer.encode(c.decode(), add_special_tokens=False).ids for c in (b",", b".")}
+        self._signs: dict[bytes, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -87,10 +88,15 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         n, found = len(self._at), []
         for w in words:
-            if w[-1:] in (b",", b".") and w[-2:-1].isalpha():        # a run of letters ends before the sign
-                at = self._at.get(w[:-1])
-                head = self._ids(w[:-1]) if at is None or at >= n else self._flat[self._start[at]:self._start[at + 1]].tolist()
-                found.append([*head, *self._signs[w[-1:]]])
+            head = w.rstrip(_SIGNS)
+            if len(head) < len(w) and (head.isalpha() or head.decode().isalpha()):       # the run of letters ends before the signs
+                at = self._at.get(head)
+                ids = self._ids(head) if at is None or at >= n else self._flat[self._start[at]:self._start[at + 1]].tolist()
+                if (signs := self._signs.get(w[len(head):])) is None:
+                    signs = self._tokenizer.encode(w[len(head):].decode(), add_special_tokens=False).ids
+                    if len(self._signs) < 10_000:
+                        self._signs[w[len(head):]] = signs
+                found.append([*ids, *signs])
             else:
                 found.append(self._ids(w))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
