@@ -2,8 +2,10 @@
 
 The pattern rules label the training samples: values they match are random
 strings, other long tokens of the same texts are ordinary identifiers. For each
-class a first-order Markov model of characters is counted over the whole table;
-a long token that no rule matched is reported when its transitions are far more
+class a first-order Markov model of characters is counted over the whole table,
+smoothed towards the class's character frequencies. As the other tokens may hold
+secrets that no rule knows, the share of them most like random strings (``trim``)
+is left out and the models are fitted once more. A long token that no rule matched is reported when its transitions are far more
 likely under the model of random strings. Everything is DataFrame expressions:
 the two models are one array of log-likelihood ratios, indexed by the character
 pair, that a scalar subquery hands to the scan.
@@ -18,9 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retainx.llm.scratch import materialize
+
 #: The rules' names in their order, and their patterns. A match of
 #: ``assign`` counts if its value has MIN_VALUE characters; the other two carry
 #: their minimum length (20 and 24), which selects the same maximal runs.
@@ -41,6 +45,7 @@ class SecretParams:
     min_length: int = 16
     train_length: int = 12              # shorter tokens say little about either class
     smoothing: float = 0.5
+    trim: float = 0.1
     min_ratio: float = 8.0
     min_ratio_per_step: float = 0.25
 
@@ -123,17 +128,34 @@ def fit_ratio(labelled: DataFrame, params: SecretParams) -> DataFrame:
         "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: _pair_index(F.col("token"), i))).alias("at"))
     counted = pairs.where(F.col("at") < size * size).groupBy("at").agg(
         F.count_if("random").alias("random"), F.count_if(~F.col("random")).alias("plain"))
-    # from here on the frame has at most 128 x 128 rows
-    prev = counted.withColumn("prev", F.floor(F.col("at") / size))
-    sums = prev.groupBy("prev").agg(F.sum("random").alias("random_all"), F.sum("plain").alias("plain_all"))
-    def log_share(n: str, total: str) -> Column:
-        return F.log((F.coalesce(F.col(n), F.lit(0)) + alpha) / (F.coalesce(F.col(total), F.lit(0)) + alpha * 66))
-    grid = counted.sparkSession.range(size * size).select(F.col("id").alias("at"), F.floor(F.col("id") / size).alias("prev"))
-    ratio = grid.join(counted, "at", "left").join(sums, "prev", "left") \
-        .select("at", (log_share("random", "random_all") - log_share("plain", "plain_all")).alias("x"))
-    seen = counted.agg((F.coalesce(F.sum("random"), F.lit(0)) > 0).alias("a"), (F.coalesce(F.sum("plain"), F.lit(0)) > 0).alias("b"))
-    table = ratio.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("ratio"))
-    return table.join(seen).select(F.when(F.col("a") & F.col("b"), F.col("ratio")).alias("ratio"))     # one row and one row
+    # from here on the frame has 128 x 128 rows
+    grid = counted.sparkSession.range(size * size).select(F.col("id").alias("at")).join(counted, "at", "left") \
+        .select("at", F.floor(F.col("at") / size).alias("prev"), (F.col("at") % size).alias("next"),
+                *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in ("random", "plain")])
+    over = lambda *k: Window.partitionBy(*k)
+    mass = alpha * 66                                           # the alphabet of tokens has 66 characters
+
+    def log_share(n: str) -> Column:
+        single = (F.sum(n).over(over("next")) + alpha) / (F.sum(n).over(over(F.lit(0))) + mass)
+        return F.log((F.col(n) + mass * single) / (F.sum(n).over(over("prev")) + mass))
+
+    ratio = grid.select("at", "random", "plain", (log_share("random") - log_share("plain")).alias("x"))
+    return ratio.agg(F.when((F.sum("random") > 0) & (F.sum("plain") > 0), F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])).alias("ratio"))
+
+
+def _likeness(token: Column, ratio: Column) -> Column:
+    """Log-likelihood ratio of a token's transitions."""
+    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.get(ratio, _pair_index(token, i)))
+
+
+def fit_trimmed(labelled: DataFrame, params: SecretParams) -> DataFrame:
+    """``fit_ratio`` without the unlabelled tokens that a first fit finds most like random strings."""
+    per_step = _likeness(F.col("token"), F.col("_first")) / (F.length("token") - 1)
+    scored = labelled.withColumn("_first", fit_ratio(labelled, params).scalar()) \
+        .select("token", "random", F.when(~F.col("random"), per_step).alias("_s"))
+    cut = scored.agg(F.percentile_approx("_s", 1 - params.trim, 1000).alias("cut"))
+    return fit_ratio(scored.withColumn("_cut", cut.scalar()).where(F.coalesce(F.col("_s") <= F.col("_cut"), F.lit(True))), params)
 
 
 def scan_secrets(documents: DataFrame, ratio: DataFrame | None = None, params: SecretParams = SecretParams(),
@@ -143,13 +165,12 @@ def scan_secrets(documents: DataFrame, ratio: DataFrame | None = None, params: S
     ``ratio`` is a fitted table (``fit_ratio``); by default it is fitted on the same documents.
     """
     rules = rule_spans(documents, text_col, keep)
-    ratio = fit_ratio(training_tokens(rules, params), params) if ratio is None else ratio
+    if ratio is None:
+        ratio = fit_trimmed(materialize(training_tokens(rules, params), "secret-samples"), params)
     text = F.col("_text")
     pattern = f"[A-Za-z0-9+/_=-]{{{params.min_length},}}"
     scan = rules.withColumn("_long", tokens(text, params.min_length)).withColumn("_ratio", ratio.scalar())
-    steps = lambda t: F.sequence(F.lit(1), F.length(t) - 1)
-    score = lambda t: F.aggregate(steps(t), F.lit(0.0), lambda a, i: a + F.get(F.col("_ratio"), _pair_index(t, i)))
-    suspicious = lambda t: score(t) >= F.greatest(
+    suspicious = lambda t: _likeness(t, F.col("_ratio")) >= F.greatest(
         F.lit(params.min_ratio), params.min_ratio_per_step * (F.length(t) - 1))
     # the texts' long tokens are few: first see whether any is suspicious, then find its place
     scan = scan.withColumn("_any", F.col("_ratio").isNotNull() & F.exists(F.col("_long"), suspicious))
