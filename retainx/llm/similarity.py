@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic in practice.
     """
     edges = materialize(edges.where(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "edges")                    # a is the larger node of every edge
+        edges = materialize(small, "edges", narrow=True)                    # a is the larger node of every edge
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -98,12 +98,12 @@ def similar_nodes(postings: DataFrame, payload: DataFrame, test: PairTest, name:
     leaders = large.groupBy("sig").agg(F.min(F.struct(pick.alias("h"), "node")).alias("x")).select("sig", F.col("x.node").alias("leader"))
     stars = large.join(leaders, "sig").where(F.col("node") != F.col("leader")) \
         .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    stars = materialize(stars, f"{name}-stars")
+    stars = materialize(stars, f"{name}-stars", narrow=True)
     alone = stars.isEmpty()                                    # no large group
     if alone:
         few = few.withColumn("family", F.lit(None).cast("long"))
     else:
-        families = materialize(components(stars).withColumnRenamed("component", "family"), f"{name}-families")
+        families = materialize(components(stars).withColumnRenamed("component", "family"), f"{name}-families", narrow=True)
         few = few.join(families, "node", "left")
     one, two = (few.select("sig", F.col("node").alias(n), F.col("family").alias(f)) for n, f in (("a", "f"), ("b", "g")))
     apart = F.col("f").isNull() | F.col("g").isNull() | (F.col("f") != F.col("g"))
@@ -114,7 +114,7 @@ def similar_nodes(postings: DataFrame, payload: DataFrame, test: PairTest, name:
     linked = components(links)
     nodes = families.join(linked, "node", "left").select(
         "node", "family", F.coalesce("component", "node").alias("component"))
-    return links.union(_open_pairs(materialize(nodes, f"{name}-nodes"), payload, test))
+    return links.union(_open_pairs(materialize(nodes, f"{name}-nodes", narrow=True), payload, test))
 
 
 def _open_pairs(nodes: DataFrame, payload: DataFrame, test: PairTest) -> DataFrame:
