@@ -22,9 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retainx.llm.sampling import sample_ids
 from retainx.llm.textnp import TextFeatures, utf8
 
 UNDETERMINED = "und"
@@ -95,8 +96,7 @@ def training_rows(documents: DataFrame, params: LanguageParams, use: F.Column |
     """(text, language) of at most ``max_per_language`` documents of each language."""
     ids = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if use is None else use)) \
         .select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(params.seed)), "doc_id")
-    picked = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= params.max_per_language) \
+    picked = sample_ids(ids, "doc_id", "lang", params.max_per_language, params.seed) \
         .select("doc_id", F.col("lang").alias("_lang")).distinct()
     # bounded by max_per_language ids for each language, so this side may be broadcast
     found = documents.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang") \
