@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retainx.llm.sampling import sample_ids
 from retainx.llm.textnp import TextFeatures, utf8
 
 
@@ -61,7 +62,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, params: QualityParams
     """At most ``max_train_rows`` labelled texts, those with the smallest hash of their id."""
     ids = (labels.where(F.col(label).isin(0, 1)) if use is None else labels.where(F.col(label).isin(0, 1) & use)) \
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("_label")).where(F.col("doc_id").isNotNull())
-    picked = ids.orderBy(F.xxhash64("doc_id", F.lit(params.seed)), "doc_id").limit(params.max_train_rows)
+    picked = sample_ids(ids.withColumn("_all", F.lit(1)), "doc_id", "_all", params.max_train_rows, params.seed).drop("_all") \
+        .join(ids, "doc_id")
     # the picked ids are bounded by max_train_rows, so this side may be broadcast
     texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label") \
         .agg(F.min("text").alias("text"))
