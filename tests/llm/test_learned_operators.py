@@ -160,6 +160,22 @@ def test_neighbours_with_copies_ties_and_bad_vectors(spark):
     assert prefix_forest.search(few.limit(0), F.lit(True)).collect() == []
 
 
+def test_recall_does_not_fall_with_the_table(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = F.col("vec_id") % 10 == 0
+    x = x.astype(float)
+    for params in (prefix_forest.ForestParams(trees=24, symbol_bits=4, symbols=6, block=64),
+                   prefix_forest.ForestParams(trees=2, symbol_bits=7, block=64)):    # too few trees for any prefix
+        got = {}
+        for r in prefix_forest.search(df, asked, params).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sorted(got) == list(range(0, 20000, 10)) and all(len(v) == 20 for v in got.values())
+        hits = sum(len(got[q] & {i for i, _ in brute(np.arange(20000), x, q)}) for q in range(0, 20000, 200))
+        assert hits / (20 * 100) >= 0.9
+
+
 # --- 8: packing -------------------------------------------------------------------------------------------------
 
 def test_tournament_tree_is_first_fit():
