@@ -244,3 +244,13 @@ def test_line_dedup_edges(spark):
     by = {r.doc_id: r for r in got}
     assert by[1].text is None and by[1]._lines == 0 and by[2].text == "" and by[7].text == "  \n\t " and by[3]._removed == 0 and by[3].row == 1
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_short_lines_are_copies_if_equal(spark):
+    long = "a line that is long enough"
+    docs = [(1, f"Les.\n\n{long}\nab\n  "), (2, f"Les.\n\nac\n{long}!\n  "), (3, "Les."), (4, "é\nab\né\nLet.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup_lines(df, line_dedup.LineParams(short_copies=True)).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("\nac\n  ", 2), 3: ("", 1), 4: ("é\nLet.", 2)}
+    got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
