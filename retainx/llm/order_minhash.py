@@ -1,16 +1,17 @@
 """Document fingerprints by order MinHash over word k-mers.
 
 A text is the sequence of its white-space separated words; its k-mers are runs
-of k words, and equal k-mers are told apart by their occurrence number. Each
-k-mer hash falls into one of ``bins`` bins; a bin selects its ``tuple_size`` = 2
-minimal pairs (k-mer, occurrence), ordered by k-mer hash and then occurrence,
-puts them back into text order and hashes the tuple. As the order of equal
-k-mers in the text is the order of their numbers, one sort of (bin, hash, place)
+of k words, and equal k-mers are told apart by their occurrence number. The hash
+of each pair (k-mer, occurrence) falls into one of ``bins`` bins; a bin selects
+its ``tuple_size`` = 2 minimal pairs by this hash, puts them back into text order
+and hashes the tuple. So every occurrence of a k-mer counts, and has a rank of
+its own. As the order of equal k-mers in the text is the order of their numbers,
+one sort of (k-mer hash, place) numbers them, and one of (bin, pair hash, place)
 finds all minima. A moved or changed passage thus changes the bins whose minima
 it holds or reorders. The likeness of two fingerprints is the share of bins used
 by either that hold the same tuple.
 
-One hash per k-mer serves all bins, so the cost per text is one sort. Everything
+One hash per pair serves all bins, so the cost per text is two sorts. Everything
 is built-in expressions on arrays of the row; nothing is exploded.
 
 Defined cases: a null text reads as empty; a text without words has an empty
@@ -36,30 +37,41 @@ def _word_hashes(text: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: Column, name: str, k: int = 3) -> DataFrame:
     """Adds ``name``: array<bigint> with one entry (6 bits of bin, 26 bits of tuple hash) per used bin, by bin."""
-    words, kmers, order, least = (F.col(f"_{x}_{name}") for x in ("words", "kmers", "order", "least"))
+    words, kmers, runs, order, least = (F.col(f"_{x}_{name}") for x in ("words", "kmers", "runs", "order", "least"))
     df = df.withColumn(f"_words_{name}", _word_hashes(text))
     df = df.withColumn(f"_kmers_{name}", F.when(F.size(words) > 0, F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))),
         lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>")))
-    # bin (6 bits), hash (30 bits), place (27 bits): sorts by bin, then k-mer, then occurrence
-    df = df.withColumn(f"_order_{name}", F.sort_array(F.transform(kmers, lambda h, i: (
-        F.shiftleft(h.bitwiseAND(63), 57).bitwiseOR(F.shiftleft(F.shiftrightunsigned(h, 34), _PLACE_BITS)).bitwiseOR(i.cast("long"))))))
+    # k-mer hash (36 bits), place (27 bits): equal k-mers are runs in text order, numbered from the start of their run
+    df = df.withColumn(f"_runs_{name}", F.sort_array(F.transform(kmers, lambda h, i: (
+        F.shiftleft(F.shiftrightunsigned(h, 28), _PLACE_BITS).bitwiseOR(i.cast("long"))))))
+    run_of = lambda x: F.shiftright(x, _PLACE_BITS)
+    starts = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (run_of(F.get(runs, i)) != run_of(F.get(runs, i - 1))))
+    df = df.withColumn(f"_starts_{name}", F.when(F.size(runs) > 0, starts).otherwise(F.array().cast("array<int>")))
+    starts = F.col(f"_starts_{name}")
+
+    def pair(x: Column, n: Column) -> Column:
+        """Bin (6 bits), hash (30 bits) of a k-mer and its number, place (27 bits)."""
+        place = x.bitwiseAND(_PLACE)
+        h = F.get(kmers, place.cast("int"))
+        h = F.when(n == 0, h).otherwise(F.xxhash64(h, n))     # the first occurrence has the k-mer's own hash
+        return F.shiftleft(h.bitwiseAND(63), 57).bitwiseOR(F.shiftleft(F.shiftrightunsigned(h, 34), _PLACE_BITS)).bitwiseOR(place)
+
+    df = df.withColumn(f"_order_{name}", F.sort_array(F.flatten(F.transform(starts, lambda s, j: F.transform(
+        F.slice(runs, s + 1, F.coalesce(F.get(starts, j + 1), F.size(runs)) - s), pair)))))
     bin_of = lambda x: F.shiftright(x, 57)
     df = df.withColumn(f"_least_{name}", F.filter(order, lambda x, i: (i < 2) | (bin_of(x) != bin_of(F.get(order, i - 2)))))
 
     def entry(i: Column) -> Column:
         a, b = F.get(least, i), F.get(least, i + 1)
-        pa, pb = a.bitwiseAND(_PLACE).cast("int"), b.bitwiseAND(_PLACE).cast("int")
-        ha, hb = F.get(kmers, pa), F.get(kmers, pb)
-        again = F.when(ha == hb, 1).otherwise(0)              # the second minimum is the k-mer's next occurrence
-        alone = F.xxhash64(bin_of(a), ha)
-        pair = F.when(pa < pb, F.xxhash64(bin_of(a), ha, hb, again)).otherwise(F.xxhash64(bin_of(a), hb, ha, F.lit(2)))
-        value = F.when(b.isNotNull() & (bin_of(a) == bin_of(b)), pair).otherwise(alone)
+        ha, hb = F.shiftright(a, _PLACE_BITS), F.shiftright(b, _PLACE_BITS)
+        both = F.when(a.bitwiseAND(_PLACE) < b.bitwiseAND(_PLACE), F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
+        value = F.when(b.isNotNull() & (bin_of(a) == bin_of(b)), both).otherwise(F.xxhash64(ha))
         return F.shiftleft(bin_of(a), 26).bitwiseOR(value.bitwiseAND((1 << 26) - 1))
 
     firsts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (bin_of(F.get(least, i)) != bin_of(F.get(least, i - 1))))
     return df.withColumn(name, F.when(F.size(least) > 0, F.transform(firsts, entry)).otherwise(F.array().cast("array<bigint>"))) \
-        .drop(*[f"_{x}_{name}" for x in ("words", "kmers", "order", "least")])
+        .drop(*[f"_{x}_{name}" for x in ("words", "kmers", "runs", "starts", "order", "least")])
 
 
 def likeness(a: Column, b: Column) -> Column:

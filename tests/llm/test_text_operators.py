@@ -217,6 +217,15 @@ def test_order_and_repetition_matter(spark):
     assert once != often
 
 
+def test_all_repetitions_count(spark):
+    few, many, same = sketch(spark, ["a b c d e f g " * 3, "a b c d e f g " * 30, "a b c  d e f g\n" * 30])
+    assert many == same and len(few & many) / len(few | many) < 0.3
+    # words beyond the second repetition of the least 3-mer count as well
+    long = " ".join(f"w{i}" for i in range(50))
+    one, two = sketch(spark, ["x y z " * 40 + long, "x y z " * 40 + long.replace("w", "v")])
+    assert len(one & two) / len(one | two) < 0.9
+
+
 def test_fingerprint_edges(spark, edges):
     got = sketch(spark, ["", " \n ", "one", "one two", "one  two", "one two three"])
     assert got[0] == got[1] == set() and got[3] == got[4] and len({frozenset(g) for g in got[2:]}) == 3
