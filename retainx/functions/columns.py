@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from retainx.functions.expr import is_numeric_type, pandas_dtype
+from retainx.functions.expr import is_numeric_type, pandas_dtype, python_float_text
 
 
 def qcol(name: str) -> Column:
@@ -80,5 +80,7 @@ def long_values(df: DataFrame) -> DataFrame:
 def value_text(df: DataFrame) -> DataFrame:
     """Add ``value`` (text as Python prints it) and ``num`` (numeric sort key)
     to a frame with the (s, i, d) slots of ``long_values``."""
-    return (df.withColumn("value", F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string")))
+    floating = python_float_text(F.coalesce("s", F.col("d").cast("string")))      # floats have text and number, decimals no exponent
+    return (df.withColumn("value", F.when(F.col("s").isNotNull() & F.col("d").isNull(), F.col("s")).otherwise(
+                F.coalesce(F.col("i").cast("string"), floating)))
             .withColumn("num", F.coalesce(F.col("i").cast("double"), F.col("d"))))

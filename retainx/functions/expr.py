@@ -68,11 +68,33 @@ def pandas_dtype(dt: T.DataType) -> str:
     return "object"
 
 
+def python_float_text(text: Column) -> Column:
+    """The text of a floating-point number as Python prints it, from the engine's own.
+
+    Both print the shortest digits; the engine puts an exponent on numbers from
+    1e7 on and below 1e-3, Python from 1e16 on and below 1e-4, as ``1e+16``, ``1.5e-05``.
+    """
+    part = lambda i: F.regexp_extract(text, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", i)
+    sign, power = part(1), part(4).try_cast("int")
+    digits = F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3)))
+    whole = F.when(power >= 0, F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0"))
+    rest = F.when(F.length(digits) > power + 1, F.substring(digits, power + 2, F.length(digits))).otherwise("0")
+    plain = F.when(power >= 0, F.concat(sign, whole, F.lit("."), rest)) \
+        .otherwise(F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    mantissa = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))) \
+        .otherwise(digits)
+    power_text = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    scientific = F.concat(sign, mantissa, F.lit("e"), power_text)
+    return F.when(part(2) == "", text).when((power >= -4) & (power < 16), plain).otherwise(scientific)      # no exponent: as it is
+
+
 def pandas_str(c: Column | str, dt: T.DataType | None = None) -> Column:
     """``str(value)`` as Python prints it; null becomes the text ``nan``."""
     c = F.col(c) if isinstance(c, str) else c
     if isinstance(dt, T.BooleanType):
         s = F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        s = python_float_text(c.cast("string"))
     else:
         s = c.cast("string")
     return F.coalesce(s, F.lit("nan"))

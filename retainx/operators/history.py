@@ -16,11 +16,7 @@ def _newest():
     return [F.col("created_at").desc(), F.col("id")]
 
 
-def history_query(preds: DataFrame, user_id: int, search: str | None = None, risk_level: str | None = None,
-                  prediction: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One user's log, filtered, newest first, paged."""
-    if limit < 1 or offset < 0:
-        raise ValueError("limit must be positive and offset must not be negative")
+def _matching(preds: DataFrame, user_id: int, search: str | None, risk_level: str | None, prediction: str | None) -> DataFrame:
     df = preds.where(F.col("user_id") == user_id)
     if search:
         df = df.where(F.lower(F.col("customer_identifier")).contains(search.lower()))
@@ -28,9 +24,49 @@ def history_query(preds: DataFrame, user_id: int, search: str | None = None, ris
         df = df.where(F.col("risk_level") == risk_level)
     if prediction:
         df = df.where(F.col("prediction") == prediction)
+    return df
+
+
+def history_query(preds: DataFrame, user_id: int, search: str | None = None, risk_level: str | None = None,
+                  prediction: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """One user's log, filtered, newest first, paged by offset (``history_page`` pages without re-reading)."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be positive and offset must not be negative")
+    df = _matching(preds, user_id, search, risk_level, prediction)
     return df.orderBy(*_newest()).offset(offset).limit(limit) if offset else df.orderBy(*_newest()).limit(limit)
 
 
+def history_page(preds: DataFrame, user_id: int, after: tuple | None = None, search: str | None = None, risk_level: str | None = None,
+                 prediction: str | None = None, limit: int = 100) -> DataFrame:
+    """H01 by cursor: the rows that follow ``after`` = (created_at, id) of the page before.
+
+    Every page is a top-``limit`` of what is older, so that the thousandth costs
+    what the first does; the bound on ``created_at`` reaches the scan, where it
+    skips files and row groups that hold only newer rows. Rows without a time
+    come last, as in ``history_query``; one that shares time and id with the cursor is
+    on the page before. ``cursor_after`` gives the next cursor.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    df = _matching(preds, user_id, search, risk_level, prediction)
+    if after is not None:
+        when, last = after
+        at = F.lit(when).cast(preds.schema["created_at"].dataType)
+        later_id = F.col("id").isNotNull() if last is None else F.col("id") > F.lit(last)
+        if when is None:
+            df = df.where(F.col("created_at").isNull() & later_id)
+        else:
+            df = df.where((F.col("created_at") <= at) | F.col("created_at").isNull()) \
+                .where(F.col("created_at").isNull() | (F.col("created_at") < at) | later_id)
+    return df.orderBy(*_newest()).limit(limit)
+
+
+def cursor_after(page: DataFrame) -> tuple | None:
+    """(created_at, id) of a page's last row, None for an empty page."""
+    last = page.orderBy(F.col("created_at").asc_nulls_first(), F.col("id").desc()).select("created_at", "id").first()
+    return (last["created_at"], last["id"]) if last else None
+
+
 def history_with_model(preds: DataFrame, models: DataFrame, missing: str = "Classifier") -> DataFrame:
     """N:1 look-up of the model name; a missing model reads ``Classifier``."""
     m = models.select(F.col("id").alias("model_id"), F.col("algorithm_name"))

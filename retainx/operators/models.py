@@ -295,10 +295,11 @@ def register_models(trained: TrainedSet, base: str, dataset_id: int, user_id: in
 
 
 def add_to_registry(registry: DataFrame, added: DataFrame) -> DataFrame:
-    """The registry with new rows; earlier models of the same datasets are no longer active."""
+    """The registry with new rows; earlier models of the same datasets are no longer active, nor the best."""
     fresh = added.select("dataset_id").distinct()
     old = registry.join(fresh.withColumn("_new", F.lit(True)), "dataset_id", "left") \
-        .withColumn("is_active", F.col("is_active") & F.col("_new").isNull()).select(*added.columns)
+        .withColumn("is_active", F.col("is_active") & F.col("_new").isNull()) \
+        .withColumn("is_best", F.col("is_best") & F.col("_new").isNull()).select(*added.columns)
     return old.unionByName(added)
 
 

@@ -134,11 +134,6 @@ def missing_by_column(df: DataFrame, params: Params = P) -> DataFrame:
         F.when(n > 0, py_round(F.col("missing_count") / n * 100.0, 2)).otherwise(F.lit(0.0)).alias("missing_percentage"))
 
 
-def missing_total(df: DataFrame) -> DataFrame:
-    """P03 grand total of missing cells."""
-    return column_counts(df).agg(F.sum("missing_count").cast("bigint").alias("missing_values_total"))
-
-
 def numeric_like(df: DataFrame, params: Params = P) -> DataFrame:
     """Numeric dtype, or > 80 % of all rows parse as a number."""
     return column_profile(df, params).select("column_name", "is_numerical")
@@ -169,16 +164,33 @@ def feature_type_lists(df: DataFrame, params: Params = P) -> DataFrame:
     return column_profile(df, params).select("kind", "column_name", "ordinal")
 
 
-def sample_values(df: DataFrame, params: Params = P, k: int | None = None) -> DataFrame:
-    """Up to ``k`` distinct non-null values per column, smallest first.
+def _first_values(values: DataFrame, k: int) -> DataFrame:
+    """The k smallest distinct (ordinal, value, num) of each column, ranked; numbers by size, text by its characters.
 
     ``row_number() <= k`` is planned as a partial WindowGroupLimit before the
     shuffle, so each task ships at most k values per column.
     """
-    k = k or params.sample_values
     w = Window.partitionBy("ordinal").orderBy(F.col("num").asc_nulls_last(), "value")
-    vals = (value_counts(df).select("ordinal", "value", "num")
-            .withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= k))
+    return values.select("ordinal", "value", "num").withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= k)
+
+
+def sample_values(df: DataFrame, params: Params = P, k: int | None = None) -> DataFrame:
+    """Up to ``k`` distinct non-null values per column, smallest first.
+
+    The k-th smallest of any rows is no smaller than that of all rows. A first look
+    at ``probe_rows`` rows gives such a bound for each column, and the pass over
+    all rows keeps only values up to it: what is shuffled are the distinct values
+    below the bounds instead of every distinct value of the table.
+    """
+    k = k or params.sample_values
+    probe = _first_values(value_text(long_values(df.limit(params.probe_rows)).distinct()), k)
+    bounds = probe.where(F.col("sample_rank") == k).select("ordinal", F.col("num").alias("_num"), F.col("value").alias("_value")).collect()   # a row a column
+    long = long_values(df)
+    within = F.lit(True)
+    for r in bounds:
+        up_to = F.coalesce(F.col("i").cast("double"), F.col("d")) <= F.lit(r["_num"]) if r["_num"] is not None else F.col("s") <= F.lit(r["_value"])
+        within = F.when(F.col("ordinal") == r["ordinal"], up_to).otherwise(within)
+    vals = _first_values(value_text(long.where(within).distinct()), k)
     return (vals.join(F.broadcast(catalog(df.sparkSession, df)), "ordinal")
             .select("column_name", "sample_rank", F.col("value").alias("sample_value")))
 

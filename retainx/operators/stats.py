@@ -160,30 +160,55 @@ def crosstab_columns(df: DataFrame, target: str, params: Params = P) -> list[str
     return [c for i, c in enumerate(cols) if i in ok]
 
 
+def _cell_counts(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
+    """(feature, category, target_class, count) of the combinations that occur; one shuffle, combined in tasks first."""
+    cls = pandas_str(qcol(target), df.schema[target].dataType).alias("target_class")
+    long = df.select(cls, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), pandas_str(qcol(c), df.schema[c].dataType).alias("category"))
+        for c in cols])))
+    return long.groupBy("feature", "category", "target_class").agg(F.count(F.lit(1)).alias("count"))
+
+
+def crosstab_cells(df: DataFrame, target: str, params: Params = P) -> DataFrame:
+    """D05 without its zeros: the cells that hold rows, with both marginals.
+
+    (feature, category, target_class, count, category_total, class_total): a cell
+    that is not there is zero. The size is that of what occurs, however many
+    categories and classes there are; no cross join, no driver.
+    """
+    cols = crosstab_columns(df, target, params)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, category string, target_class string, count bigint, "
+                                                   "category_total bigint, class_total bigint")
+    counts = _cell_counts(df, target, cols)
+    # sums of the counts, so that every branch reads the one shuffle of the scan
+    by_category = counts.groupBy("feature", "category").agg(F.sum("count").alias("category_total"))
+    by_class = counts.groupBy("feature", "target_class").agg(F.sum("count").alias("class_total"))
+    return counts.join(by_category, ["feature", "category"]).join(by_class, ["feature", "target_class"]).select(
+        "feature", "category", "target_class", "count", "category_total", "class_total")
+
+
 def category_by_target(df: DataFrame, target: str, params: Params = P) -> DataFrame:
-    """Crosstab of each low-cardinality categorical against the target, long
-    form (feature, category, target_class, count) with zero cells filled."""
+    """Crosstab of each categorical against the target, long form
+    (feature, category, target_class, count) with zero cells filled.
+
+    The grid of categories and classes is refused beyond ``max_grid_cells``:
+    ``crosstab_cells`` gives the same numbers without the zeros.
+    """
     spark = df.sparkSession
     cols = crosstab_columns(df, target, params)
     if not cols:
         return spark.createDataFrame([], "feature string, category string, target_class string, count bigint")
-    tdt = df.schema[target].dataType
-    cls = pandas_str(qcol(target), tdt).alias("target_class")
-    long = df.select(cls, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), pandas_str(qcol(c), df.schema[c].dataType).alias("category"))
-        for c in cols])))
-    counts = long.groupBy("feature", "category", "target_class").agg(F.count(F.lit(1)).alias("count"))
-    # Grid of present categories x present classes (<= 10 per feature times the
-    # classes). The class count is data-dependent, so no broadcast hint: the
-    # planner / AQE choose from the measured sizes.
-    # All three branches keep ``count`` (every group has count >= 1), so their
-    # aggregates are identical and the planner reuses one shuffle of the scan
-    # instead of pruning each branch into its own scan and exchange.
+    counts = _cell_counts(df, target, cols)
+    # All branches keep ``count`` (every group has count >= 1), so their aggregates are identical
+    # and the planner reuses one shuffle of the scan instead of pruning each branch into its own.
     present = counts.where(F.col("count") > 0)
     cats = present.select("feature", "category").distinct()
     classes = present.select("target_class").distinct()
-    grid = cats.crossJoin(classes)
-    return (grid.join(counts, ["feature", "category", "target_class"], "left")
+    cells = cats.agg(F.count(F.lit(1)).alias("a")).crossJoin(classes.agg(F.count(F.lit(1)).alias("b"))).first()     # two numbers
+    if cells["a"] * cells["b"] > params.max_grid_cells:
+        raise ValueError(f"{cells['a']} categories by {cells['b']} classes are more than {params.max_grid_cells} cells; use crosstab_cells")
+    return (cats.crossJoin(classes).join(counts, ["feature", "category", "target_class"], "left")
             .select("feature", "category", "target_class", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 

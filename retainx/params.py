@@ -92,6 +92,10 @@ class Params:
     # what a fitted schema may hold on the driver; more raises an error
     max_classes: int = 1000
     max_categories: int = 10_000
+    # cells of a crosstab with its zeros; more raises an error (the cells that hold rows come without a limit)
+    max_grid_cells: int = 100_000
+    # rows that a first look reads for bounds on the smallest values of the columns
+    probe_rows: int = 2000
 
     @staticmethod
     def screens() -> "Params":

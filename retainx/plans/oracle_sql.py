@@ -7,7 +7,7 @@ from retainx.plans.oracles import (  # noqa: F401
     src_table, telco_cte, with_src,
 )
 
-from retainx.plans.views import MODELS_SQL
+from retainx.plans.views import LOG_INPUTS, MODELS_SQL, RELATION_SQL
 
 ORACLES: dict = {}
 
@@ -170,7 +170,8 @@ ORACLES["categorical_values"] = with_src(src_table("orders"), [
     "names(ordinal, column_name) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(_ORD_CAT)) + ")",
     "d AS (SELECT DISTINCT ordinal, value, num FROM lv)",
     "rk AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY num NULLS LAST, value) AS value_rank FROM d)"],
-    "SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value FROM rk JOIN names USING (ordinal) WHERE value_rank <= 20")
+    "SELECT column_name, CAST(value_rank AS INTEGER) AS value_rank, value FROM rk JOIN names USING (ordinal)")
+ORACLES["categorical_values_screen"] = ORACLES["categorical_values"] + " WHERE value_rank <= 20"
 
 ORACLES["target_distribution"] = (
     "WITH c AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1) "
@@ -178,14 +179,32 @@ ORACLES["target_distribution"] = (
     "CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS position FROM c")
 
 _TELCO_CT = ["InternetService", "OnlineSecurity", "TechSupport", "Contract", "PaymentMethod"]
-ORACLES["category_by_target"] = (
-    f"WITH {telco_cte()}, src AS ({TELCO_COERCED}), long AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(CAST({q(c)} AS VARCHAR), 'nan') AS category, "
-                         f"coalesce(Churn, 'nan') AS target_class FROM src" for c in _TELCO_CT)
-    + "), counts AS (SELECT feature, category, target_class, count(*) AS n FROM long GROUP BY ALL), "
-    "grid AS (SELECT DISTINCT c.feature, c.category, t.target_class FROM counts c, (SELECT DISTINCT target_class FROM counts) t) "
-    "SELECT g.feature, g.category, g.target_class, CAST(coalesce(n, 0) AS BIGINT) AS count FROM grid g "
-    "LEFT JOIN counts USING (feature, category, target_class)")
+
+
+def _crosstab_sql(cols) -> str:
+    return (f"WITH {telco_cte()}, src AS ({TELCO_COERCED}), long AS ("
+            + " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(CAST({q(c)} AS VARCHAR), 'nan') AS category, "
+                                 f"coalesce(Churn, 'nan') AS target_class FROM src" for c in cols)
+            + "), counts AS (SELECT feature, category, target_class, count(*) AS n FROM long GROUP BY ALL), "
+            "grid AS (SELECT DISTINCT c.feature, c.category, t.target_class FROM counts c, (SELECT DISTINCT target_class FROM counts) t) "
+            "SELECT g.feature, g.category, g.target_class, CAST(coalesce(n, 0) AS BIGINT) AS count FROM grid g "
+            "LEFT JOIN counts USING (feature, category, target_class)")
+
+
+ORACLES["category_by_target"] = _crosstab_sql(["customerID", *_TELCO_CT])
+ORACLES["category_by_target_screen"] = _crosstab_sql(_TELCO_CT)
+ORACLES["crosstab_cells"] = (
+    "WITH long AS (SELECT 'o_orderpriority' AS feature, o_orderpriority AS category, 'd' || strftime(o_orderdate, '%m%d') AS target_class FROM orders "
+    "UNION ALL SELECT 'customer', 'c' || o_custkey, 'd' || strftime(o_orderdate, '%m%d') FROM orders), "
+    "c AS (SELECT feature, category, target_class, count(*) AS count FROM long GROUP BY ALL) "
+    "SELECT *, CAST(sum(count) OVER (PARTITION BY feature, category) AS BIGINT) AS category_total, "
+    "CAST(sum(count) OVER (PARTITION BY feature, target_class) AS BIGINT) AS class_total FROM c")
+ORACLES["sample_large_and_small"] = (
+    "WITH o AS (SELECT CAST(o_orderkey AS DOUBLE) AS k FROM orders), v AS (SELECT 'large' AS column_name, k * 12345678.5::DOUBLE + 1e7::DOUBLE AS x FROM o "
+    "UNION ALL SELECT 'small', (k + 1) / 8192 FROM o UNION ALL SELECT 'tiny', (k + 1) * 0.0625e-6::DOUBLE FROM o "
+    "UNION ALL SELECT 'huge', k * -1e17::DOUBLE - 1e16::DOUBLE FROM o), d AS (SELECT DISTINCT * FROM v) "
+    "SELECT column_name, CAST(row_number() OVER (PARTITION BY column_name ORDER BY x) AS INTEGER) AS sample_rank, CAST(x AS VARCHAR) AS sample_value FROM d "
+    "QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY x) <= 5")
 
 
 def _fmt1(x):
@@ -205,7 +224,7 @@ ORACLES["numeric_histogram"] = (
     "r0 AS (SELECT feature, count(*) AS n, min(x) AS lo0, max(x) AS hi0 FROM long GROUP BY feature), "
     "rng AS (SELECT feature, lo, hi, (hi - lo) / 8.0 AS step FROM (SELECT feature, "
     "CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi "
-    "FROM r0 WHERE n > 10)), "
+    "FROM r0)), "
     "b3 AS (SELECT long.feature, " + " + ".join(
         f"CASE WHEN x >= CAST({k} AS DOUBLE) * step + lo THEN 1 ELSE 0 END" for k in range(1, 8))
     + " AS bin_index FROM long JOIN rng USING (feature)), "
@@ -213,6 +232,7 @@ ORACLES["numeric_histogram"] = (
     "grid AS (SELECT feature, lo, hi, step, CAST(g.bin_index AS BIGINT) AS bin_index FROM rng, range(0, 8) g(bin_index)) "
     f"SELECT feature, CAST(bin_index AS INTEGER) AS bin_index, {_fmt1(_edge('bin_index'))} || '-' || {_fmt1(_edge('bin_index + 1'))} AS bin, "
     "CAST(coalesce(n, 0) AS BIGINT) AS count FROM grid LEFT JOIN counts USING (feature, bin_index)")
+ORACLES["numeric_histogram_screen"] = ORACLES["numeric_histogram"].replace("FROM r0)", "FROM r0 WHERE n > 10)")
 
 _corr_cells = []
 for _a in LI_NUM:
@@ -446,7 +466,8 @@ def _fmt2(x):
             f"lpad(CAST(abs({t}) % 100 AS VARCHAR), 2, '0'))")
 
 
-def _explain_sql(has_contract: bool):
+def _fired_sql(has_contract: bool, src: str) -> str:
+    """(customerID, slot, feature, value, impact, importance) of every rule that fires for a customer of ``src``."""
     lc = "lower(coalesce(CAST(Contract AS VARCHAR), ''))" if has_contract else "''"
     ten = f"coalesce({guarded_double('CAST(tenure AS VARCHAR)')}, 0.0)"
     mc = f"coalesce({guarded_double('CAST(MonthlyCharges AS VARCHAR)')}, 0.0)"
@@ -466,10 +487,14 @@ def _explain_sql(has_contract: bool):
         ("contains(lower(coalesce(CAST(PaymentMethod AS VARCHAR), '')), 'electronic check')", "'Payment Method'",
          "PaymentMethod", "'Increases Churn Risk'", "0.10", 6),
     ]
-    src = "(SELECT DISTINCT * FROM telco)" if has_contract else "(SELECT DISTINCT * EXCLUDE (Contract) FROM telco)"
     parts = [f"SELECT customerID, {slot} AS slot, {feat} AS feature, CAST({val} AS VARCHAR) AS value, {imp} AS impact, "
              f"CAST({w} AS DOUBLE) AS importance FROM {src} WHERE {cond}" for cond, feat, val, imp, w, slot in rules]
-    fired = " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
+
+
+def _explain_sql(has_contract: bool):
+    src = "(SELECT DISTINCT * FROM telco)" if has_contract else "(SELECT DISTINCT * EXCLUDE (Contract) FROM telco)"
+    fired = _fired_sql(has_contract, src)
     fb_cols = ["Contract", "tenure", "InternetService", "PaymentMethod", "TechSupport"]
     fb_imp = [0.35, 0.25, 0.18, 0.15, 0.12]
     fb = " UNION ALL ".join(
@@ -545,6 +570,7 @@ ORACLES["history_query"] = (f"WITH {predictions_cte()} SELECT * FROM predictions
                             "ORDER BY created_at DESC, id LIMIT 100")
 ORACLES["history_page"] = (f"WITH {predictions_cte()} SELECT * FROM predictions WHERE user_id = 2 "
                            "ORDER BY created_at DESC, id LIMIT 1000 OFFSET 700")
+ORACLES["history_cursor"] = ORACLES["history_page"]
 ORACLES["history_with_model"] = (f"WITH {predictions_cte()}, {_MODELS3} SELECT p.*, coalesce(m.algorithm_name, 'Classifier') "
                                  "AS model_name FROM predictions p LEFT JOIN models m ON p.model_id = m.id")
 ORACLES["latest_predictions"] = (f"WITH {predictions_cte()} SELECT * FROM (SELECT *, CAST(row_number() OVER "
@@ -574,6 +600,30 @@ ORACLES["dashboard_summary"] = (
 ORACLES["scored_csv_sink"] = (f"WITH {_SCORED} SELECT * REPLACE (TRY_CAST(NULLIF(TotalCharges, '') AS DOUBLE) "
                               "AS TotalCharges) FROM scored2")
 ORACLES["prediction_log_append"] = f"WITH {predictions_cte()} SELECT * FROM predictions"
+# the log's newest form: inputs and fired rules of the prediction's customer
+ORACLES["log_inputs_and_factors"] = (
+    f"WITH {predictions_cte()}, {telco_cte()}, cust AS (SELECT DISTINCT * FROM telco), fired AS ({_fired_sql(True, 'cust')}), "
+    "top AS (SELECT * FROM fired QUALIFY row_number() OVER (PARTITION BY customerID ORDER BY slot) <= 5), "
+    "fac AS (SELECT customerID, string_agg(feature || ':' || value || ':' || impact || ':' || CAST(CAST(importance AS DECIMAL(4,2)) AS VARCHAR), "
+    "'|' ORDER BY slot) AS factors FROM top GROUP BY customerID) "
+    "SELECT p.id, p.user_id, p.model_id, p.customer_identifier, p.prediction, p.churn_probability, p.risk_level, p.created_at, "
+    + ", ".join(f"CAST(c.{q(c)} AS VARCHAR) AS {q(c)}" for c in LOG_INPUTS)
+    + ", CASE WHEN c.customerID IS NOT NULL THEN coalesce(factors, '') END AS factors FROM predictions p "
+      "LEFT JOIN cust c ON p.customer_identifier = 'CUST-' || substr(c.customerID, 2) LEFT JOIN fac f ON f.customerID = c.customerID")
+ORACLES["activate_committed"] = (
+    f"WITH {datasets_cte()}, ch AS (SELECT user_id, max(id) AS id FROM datasets WHERE user_id <> 3 GROUP BY user_id) "
+    "SELECT 1 AS version, id, user_id, is_active FROM datasets UNION ALL "
+    "SELECT 2, d.id, d.user_id, CASE WHEN ch.id IS NULL THEN d.is_active ELSE d.id = ch.id END FROM datasets d LEFT JOIN ch ON d.user_id = ch.user_id")
+_REL = ", ".join(f"r_{name} AS ({text.format(customer='customer', orders='orders', lineitem='lineitem')})" for name, text in RELATION_SQL.items())
+ORACLES["delete_cascade"] = (
+    f"WITH {_REL}, gu AS (SELECT id FROM r_users WHERE id % 50 = 7), "
+    "gd AS (SELECT id FROM r_datasets WHERE id % 90 = 11 OR user_id IN (FROM gu)), "
+    "gm AS (SELECT id FROM r_models WHERE user_id IN (FROM gu) OR dataset_id IN (FROM gd)) "
+    "SELECT 'users' AS table_name, id, NULL::BIGINT AS user_id, NULL::BIGINT AS dataset_id, NULL::BIGINT AS model_id FROM r_users WHERE id NOT IN (FROM gu) "
+    "UNION ALL SELECT 'datasets', id, user_id, NULL, NULL FROM r_datasets WHERE id NOT IN (FROM gd) "
+    "UNION ALL SELECT 'models', id, user_id, dataset_id, NULL FROM r_models WHERE id NOT IN (FROM gm) "
+    "UNION ALL SELECT 'predictions', id, user_id, dataset_id, model_id FROM r_predictions "
+    "WHERE (user_id IN (FROM gu) OR dataset_id IN (FROM gd) OR model_id IN (FROM gm)) IS NOT TRUE")
 ORACLES["csv_source"] = (f"WITH {telco_cte()} SELECT customerID, SeniorCitizen, tenure, InternetService, OnlineSecurity, "
                          "TechSupport, Contract, PaymentMethod, MonthlyCharges, TRY_CAST(NULLIF(TotalCharges, '') AS DOUBLE) "
                          "AS TotalCharges, Churn FROM telco")
@@ -751,6 +801,30 @@ ORACLES["analysis_bundle"] = (
     + "".join(f"UNION ALL SELECT 'correlation', '{a}', '{b}', {r(f'coalesce({_CORR(a, b)}, 0.0)', 2)}, NULL FROM tl " for a in _TELCO_NUM for b in _TELCO_NUM)
     + "UNION ALL SELECT 'crosstab', feature, category || ' / ' || target_class, CAST(count AS DOUBLE), NULL FROM ct")
 
+ORACLES["analysis_bundle_screen"] = ORACLES["analysis_bundle"].replace(ORACLES["category_by_target"], ORACLES["category_by_target_screen"])
 # the optimum of the penalised likelihood is where its gradient vanishes
 ORACLES["logistic_optimum"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', CAST(0.0 AS DOUBLE))" for n in [*_NUM, *[f"{c}_{v}" for c, vs in _OH_DOM.items() for v in vs], "(intercept)"]) + ") t(feature, gradient)"
+
+# ---- stored trees: what a walk down their nodes must find in the same data ----
+_TREE_NAMES = "a(algorithm_name) AS (VALUES ('Decision Tree'), ('Random Forest'), ('Gradient Boosting'))"
+_FEATURES = [*_NUM, *[f"{c}_{v}" for c, vs in _OH_DOM.items() for v in vs]]
+ORACLES["tree_descent"] = (f"WITH {_SPLIT}, {_TREE_NAMES} SELECT algorithm_name, label, count(*) AS rows, CAST(0 AS BIGINT) AS disagreements "
+                           "FROM split_keyed, a WHERE is_test GROUP BY algorithm_name, label")
+ORACLES["tree_importances"] = (f"WITH {_TREE_NAMES} SELECT algorithm_name, CAST({len(_FEATURES)} AS BIGINT) AS features, "
+                               "CAST(0 AS BIGINT) AS disagreements, CAST(1.0 AS DOUBLE) AS total FROM a")
+ORACLES["tree_leaf_rows"] = (f"WITH {_SPLIT} SELECT count(*) AS rows, count(*) FILTER (label = 1) AS positives, CAST(0 AS BIGINT) AS wrong_leaves "
+                             "FROM split_keyed WHERE NOT is_test")
+_GINI = lambda one, all_: f"(1 - pow(({one}) / ({all_}), 2) - pow(1 - ({one}) / ({all_}), 2))"
+ORACLES["decision_tree_root"] = (
+    f"WITH {_VEC}, cw AS (SELECT label, (SELECT count(*) FROM split_keyed) / (2.0 * count(*)) AS w FROM split_keyed GROUP BY label), "
+    "fx AS (" + " UNION ALL ".join(
+        [f"SELECT _row_key, '{c}' AS feature, {q(c)} AS value FROM imp WHERE NOT is_test" for c in _NUM]
+        + [f"SELECT _row_key, '{c}_{v}', CASE WHEN {q(c)} = '{v}' THEN 1.0 ELSE 0.0 END FROM imp WHERE NOT is_test" for c, vs in _OH_DOM.items() for v in vs])
+    + "), x AS (SELECT feature, value, w, CASE WHEN label = 1 THEN w ELSE 0.0 END AS one FROM fx JOIN split_keyed USING (_row_key) JOIN cw USING (label)), "
+      "v AS (SELECT feature, value, sum(w) AS w, sum(one) AS one, count(*) AS n FROM x GROUP BY feature, value), "
+      "c AS (SELECT feature, sum(w) OVER l AS lw, sum(one) OVER l AS lo, sum(w) OVER f AS fw, sum(one) OVER f AS fo, sum(n) OVER f AS n, "
+      "row_number() OVER (PARTITION BY feature ORDER BY value DESC) AS back FROM v WINDOW l AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)), "
+      f"g AS (SELECT feature, CAST(n AS BIGINT) AS rows, {_GINI('fo', 'fw')} AS impurity, {_GINI('fo', 'fw')} - lw / fw * {_GINI('lo', 'lw')} "
+      f"- (1 - lw / fw) * {_GINI('fo - lo', 'fw - lw')} AS gain FROM c WHERE back > 1) "
+      "SELECT feature, round(gain, 6) AS gain, round(impurity, 6) AS impurity, rows FROM g ORDER BY gain DESC LIMIT 1")

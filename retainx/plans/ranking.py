@@ -6,6 +6,11 @@ the distinct values of each group are first range-bucketed (bucket bounds
 come from ``percentile_approx`` and are frozen as a small literal table), so
 every sort-based window only sees one bucket, and the bucket offsets come
 from a tiny (groups x buckets) frame.
+
+Quantiles need the values around a few ranks only. A mergeable sketch brackets
+each wanted rank from both sides; one more pass keeps the values within brackets
+and counts what lies between them, in tasks, so that of the other values no one
+is shuffled. That the ranks fell into their brackets is checked by these counts.
 """
 
 from __future__ import annotations
@@ -58,48 +63,94 @@ def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[s
         for c in sum_cols])
 
 
+#: Ranks that a sketch can be off, as a share of the rows.
+SKETCH_ACCURACY = 10_000
+#: Up to so many values around the wanted ranks are ranked by one window a group.
+FEW_VALUES = 200_000
+
+
+def _brackets(df: DataFrame, keys: list[str], value_col: str, probs: list[float], accuracy: int) -> DataFrame:
+    """One row per group: its rows, and for each of ``probs`` values surely not above and not below the wanted ones."""
+    spread = 2.0 / accuracy
+    low = [max(0.0, p - spread) for p in probs]
+    high = [min(1.0, p + spread) for p in probs]
+    sketch = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value_col).alias("_min"), F.max(value_col).alias("_max"),
+        F.percentile_approx(value_col, [*low, *high], accuracy).alias("_s"))
+    at = lambda i, p, edge: F.col(edge) if p in (0.0, 1.0) else F.get("_s", F.lit(i))
+    return sketch.select(*keys, "_n", "_max",
+                         F.array(*[at(i, p, "_min" if p == 0.0 else "_max") for i, p in enumerate(low)]).alias("_low"),
+                         F.array(*[at(len(low) + i, p, "_min" if p == 0.0 else "_max") for i, p in enumerate(high)]).alias("_high"))
+
+
+def _around(df: DataFrame, keys: list[str], value_col: str, brackets: DataFrame) -> DataFrame:
+    """(keys, _v, _w, _gap): how many rows have each value within the brackets. What lies before a bracket
+    counts at its low end (after the last one, at the maximum), and in ``_gap``."""
+    joined = df.join(F.broadcast(brackets), keys) if keys else df.crossJoin(F.broadcast(brackets))       # one row per group
+    x = F.col(value_col)
+    inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: (b["_low"] <= x) & (x <= b["_high"]))
+    ahead = F.coalesce(F.array_min(F.filter("_low", lambda b: b > x)), F.col("_max"))
+    return joined.groupBy(*keys, F.when(inside, x).otherwise(ahead).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_w"), F.count_if(~inside).alias("_gap"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: list[float],
                     buckets: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy / pandas default) per group.
 
     Returns one row per (keys, prob) with column ``quantile``; nulls and NaN
-    are ignored. Runs eagerly: the distinct-value counts are cached for the
-    two passes that need them, and the (groups x probs) result - a bounded
-    summary - comes back as a small local frame.
+    are ignored. Runs eagerly: the values around the wanted ranks are cached, and
+    the (groups x probs) result - a bounded summary - comes back as a small local
+    frame. ``buckets`` sets the fineness of the sketch (two for each bucket) and
+    of the ranking.
     """
     spark = df.sparkSession
-    vc = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-          .groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_w"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    probs = [float(p) for p in probs]
+    key_fields = [df.schema[k] for k in keys]
+    out_schema = T.StructType([*key_fields, T.StructField("prob", T.DoubleType()), T.StructField("quantile", T.DoubleType())])
+    # -0.0 and 0.0 are one value
+    rows = df.select(*keys, (F.col(value_col).cast("double") + F.lit(0.0)).alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    bounds = _brackets(rows, keys, "_x", probs, SKETCH_ACCURACY if buckets is None else 2 * buckets)
+    found = [r for r in bounds.collect() if r["_n"]]                   # one row per group
+    if not found:
+        return spark.createDataFrame([], out_schema)
+    frozen = spark.createDataFrame(found, bounds.schema)
+    picked = _picked(_around(rows, keys, "_x", frozen), keys, probs, found, key_fields, buckets)
+    if not all(r["_certain"] for r in picked):                         # a sketch was off by more than it promises: all values
+        everything = rows.groupBy(*keys, F.col("_x").alias("_v")).agg(F.count(F.lit(1)).alias("_w"), F.lit(0).alias("_gap"))
+        picked = _picked(everything, keys, probs, found, key_fields, buckets)
+    out = []
+    for r in picked:
+        a, b, t = r["_a"], r["_a"] if r["_b"] is None else r["_b"], r["_t"]
+        # numpy's lerp: a + (b-a)*t below t=0.5, b - (b-a)*(1-t) from 0.5 up.
+        out.append((*[r[k] for k in keys], r["prob"], b - (b - a) * (1.0 - t) if t >= 0.5 else a + (b - a) * t))
+    return spark.createDataFrame(out, out_schema)
+
+
+def _picked(values: DataFrame, keys: list[str], probs: list[float], groups: list, key_fields: list, buckets: int | None) -> list:
+    """For each group and prob the values at the two ranks around it, and whether neither fell into a gap."""
+    trows = []
+    for r in groups:
+        for p in probs:
+            pos = p * (r["_n"] - 1)
+            i = math.floor(pos)
+            trows.append((*[r[k] for k in keys], p, int(i), pos - i))
+    targets = values.sparkSession.createDataFrame(trows, T.StructType([
+        *key_fields, T.StructField("prob", T.DoubleType()), T.StructField("_i", T.LongType()), T.StructField("_t", T.DoubleType())]))
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = vc.groupBy(*keys).agg(F.sum("_w").alias("_n")).collect()  # one row per group
-        key_fields = [vc.schema[k] for k in keys]
-        out_schema = T.StructType([*key_fields, T.StructField("prob", T.DoubleType()),
-                                   T.StructField("quantile", T.DoubleType())])
-        if not stats:
-            return spark.createDataFrame([], out_schema)
-        ranked = prefix_sums(vc, keys, value_col, ["_w"], buckets)
-        trows = []
-        for r in stats:
-            for p in probs:
-                pos = float(p) * (r["_n"] - 1)
-                i = math.floor(pos)
-                trows.append((*[r[k] for k in keys], float(p), int(i), pos - i))
-        targets = spark.createDataFrame(trows, T.StructType([*key_fields, T.StructField("prob", T.DoubleType()),
-                                                            T.StructField("_i", T.LongType()),
-                                                            T.StructField("_t", T.DoubleType())]))
+        if buckets is None and values.count() <= FEW_VALUES:
+            before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+            ranked = values.withColumn("_w_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+        else:
+            ranked = prefix_sums(values, keys, "_v", ["_w"], buckets)
         # targets: groups x probs rows, bounded by the number of groups.
         hit = ranked.join(targets, keys) if keys else ranked.crossJoin(targets)
-        lo_hit = (F.col("_w_before") <= F.col("_i")) & (F.col("_i") < F.col("_w_before") + F.col("_w"))
-        hi_hit = (F.col("_w_before") <= F.col("_i") + 1) & (F.col("_i") + 1 < F.col("_w_before") + F.col("_w"))
-        v = F.col(value_col).cast("double")
-        picked = (hit.where(lo_hit | hi_hit)
-                  .groupBy(*keys, "prob", "_t")
-                  .agg(F.max(F.when(lo_hit, v)).alias("_a"), F.max(F.when(hi_hit, v)).alias("_b")))
-        a, b, t = F.col("_a"), F.coalesce(F.col("_b"), F.col("_a")), F.col("_t")
-        # numpy's lerp: a + (b-a)*t below t=0.5, b - (b-a)*(1-t) from 0.5 up.
-        q = F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
-        rows = picked.select(*keys, "prob", q.alias("quantile")).collect()
-        return spark.createDataFrame(rows, out_schema)
+        first, end = F.col("_w_before") + F.col("_gap"), F.col("_w_before") + F.col("_w")
+        lo_hit = (F.col("_w_before") <= F.col("_i")) & (F.col("_i") < end)
+        hi_hit = (F.col("_w_before") <= F.col("_i") + 1) & (F.col("_i") + 1 < end)
+        return hit.where(lo_hit | hi_hit).groupBy(*keys, "prob", "_t").agg(
+            F.max(F.when(lo_hit, F.col("_v"))).alias("_a"), F.max(F.when(hi_hit, F.col("_v"))).alias("_b"),
+            F.min((~lo_hit | (F.col("_i") >= first)) & (~hi_hit | (F.col("_i") + 1 >= first))).alias("_certain")).collect()
     finally:
-        vc.unpersist()
+        values.unpersist()

@@ -131,6 +131,14 @@ def q_sample_decimals(spark, sf):
     return P.sample_values(li.select(F.col("l_quantity").cast("decimal(12,2)").alias("dec"), F.col("l_quantity").cast("float").alias("single")))
 
 
+@query("sample_large_and_small")
+def q_sample_large_and_small(spark, sf):
+    # numbers that Python prints without an exponent and the engine with one, and the other way round
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("double").alias("k"))
+    return P.sample_values(o.select((F.col("k") * 12345678.5 + 1e7).alias("large"), ((F.col("k") + 1) / 8192).alias("small"),
+                                    ((F.col("k") + 1) * 0.0625e-6).alias("tiny"), (F.col("k") * -1e17 - 1e16).alias("huge")))
+
+
 @query("class_count_guard")
 def q_class_count_guard(spark, sf):
     return P.class_count_guard(_t(spark, sf, "labels"), "quality")
@@ -157,6 +165,11 @@ def q_categorical_stats(spark, sf):
 
 @query("categorical_values")
 def q_categorical_values(spark, sf):
+    return D.categorical_values(D.coerce_numeric(_t(spark, sf, "orders")))
+
+
+@query("categorical_values_screen")
+def q_categorical_values_screen(spark, sf):
     return D.categorical_values(D.coerce_numeric(_t(spark, sf, "orders")), SCREENS)
 
 
@@ -167,11 +180,29 @@ def q_target_distribution(spark, sf):
 
 @query("category_by_target")
 def q_category_by_target(spark, sf):
+    return D.category_by_target(D.coerce_numeric(V.telco(spark, sf)), "Churn")
+
+
+@query("category_by_target_screen")
+def q_category_by_target_screen(spark, sf):
     return D.category_by_target(D.coerce_numeric(V.telco(spark, sf)), "Churn", SCREENS)
 
 
+@query("crosstab_cells")
+def q_crosstab_cells(spark, sf):
+    # thousands of categories by hundreds of classes
+    orders = _t(spark, sf, "orders").select("o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"),
+                                            F.concat(F.lit("d"), F.date_format("o_orderdate", "MMdd")).alias("day"))
+    return D.crosstab_cells(orders, "day")
+
+
 @query("numeric_histogram")
 def q_numeric_histogram(spark, sf):
+    return D.numeric_histogram(D.coerce_numeric(_t(spark, sf, "lineitem")), "l_linestatus")
+
+
+@query("numeric_histogram_screen")
+def q_numeric_histogram_screen(spark, sf):
     return D.numeric_histogram(D.coerce_numeric(_t(spark, sf, "lineitem")), "l_linestatus", SCREENS)
 
 
@@ -203,6 +234,11 @@ def q_dataset_analysis(spark, sf):
 
 @query("analysis_bundle")
 def q_analysis_bundle(spark, sf):
+    return D.analysis_bundle(V.telco(spark, sf), "Churn")
+
+
+@query("analysis_bundle_screen")
+def q_analysis_bundle_screen(spark, sf):
     return D.analysis_bundle(V.telco(spark, sf), "Churn", SCREENS)
 
 
@@ -517,6 +553,14 @@ def q_history_page(spark, sf):
     return H.history_query(V.predictions(spark, sf), user_id=2, limit=1000, offset=700)
 
 
+@query("history_cursor")
+def q_history_cursor(spark, sf):
+    # the same rows as the page at offset 700, by the cursor of the 700 rows before
+    preds = V.predictions(spark, sf)
+    first = H.history_page(preds, user_id=2, limit=700)
+    return H.history_page(preds, user_id=2, after=H.cursor_after(first), limit=1000)
+
+
 @query("history_with_model")
 def q_history_with_model(spark, sf):
     return H.history_with_model(V.predictions(spark, sf), V.model_names(spark, drop_ids=(4,)))
@@ -629,6 +673,62 @@ def q_prediction_log_append(spark, sf):
     return SK.read_prediction_log(spark, path, log.schema)
 
 
+@query("log_inputs_and_factors")
+def q_log_inputs_and_factors(spark, sf):
+    """One log of two streams' epochs (one replayed with other users) and a batch, with inputs and risk factors."""
+    path = shared_dir(spark, "shared_log")
+    customers = V.telco(spark, sf).dropDuplicates()
+    inputs = F.map_from_arrays(F.array(*[F.lit(c) for c in V.LOG_INPUTS]), F.array(*[F.col(c).cast("string") for c in V.LOG_INPUTS]))
+    about = customers.select(F.concat(F.lit("CUST-"), F.expr("substr(customerID, 2)")).alias("customer_identifier"),
+                             inputs.alias("input_data"), SC.explain_rules(customers).alias("top_factors"))
+    log = V.predictions(spark, sf).join(about, "customer_identifier", "left")
+    part = lambda k: log.where(F.col("id") % 4 == k)
+    SK.append_prediction_log(part(0), path, 0, "stream-a")
+    SK.append_prediction_log(part(1).withColumn("user_id", F.col("user_id") + 50), path, 0, "stream-b")
+    SK.append_prediction_log(part(1), path, 0, "stream-b")              # the epoch is replayed, its users have changed
+    SK.append_prediction_log(part(2), path, 1, "stream-b")
+    SK.append_prediction_log(part(3), path)
+    factors = F.transform("top_factors", lambda f: F.concat_ws(":", f["feature"], f["value"], f["impact"], f["importance"].cast("decimal(4,2)").cast("string")))
+    return SK.read_prediction_log(spark, path).select(
+        "id", "user_id", "model_id", "customer_identifier", "prediction", "churn_probability", "risk_level", "created_at",
+        *[F.col("input_data")[c].alias(c) for c in V.LOG_INPUTS], F.array_join(factors, "|").alias("factors"))
+
+
+from retainx.operators import lifecycle as LC  # noqa: E402
+from retainx.sources.snapshots import SnapshotStore  # noqa: E402
+
+
+@query("activate_committed")
+def q_activate_committed(spark, sf):
+    """The dataset registry before and after an activation was committed, as a new session reads them."""
+    path = shared_dir(spark, "registry")
+    ds = V.datasets(spark, sf)
+    before = SnapshotStore(spark, path).commit({"datasets": ds})
+    newest = ds.where(F.col("user_id") != 3).groupBy("user_id").agg(F.max("id").alias("id"))
+    LC.set_active(SnapshotStore(spark, path), "datasets", newest)
+    later = SnapshotStore(spark.newSession(), path)
+    rows = [later.table("datasets", later.snapshot(v)).select(F.lit(v).alias("version"), "id", "user_id", "is_active")
+            for v in later.versions()]
+    assert before.version == 1 and len(rows) == 2
+    return rows[0].unionByName(rows[1])
+
+
+@query("delete_cascade")
+def q_delete_cascade(spark, sf):
+    """What is left of users, datasets, models and predictions when users and datasets go with all that belongs to them."""
+    store = SnapshotStore(spark, shared_dir(spark, "relation"))
+    tables = V.relation(spark, sf)
+    store.commit(tables)
+    LC.delete(store, {"users": tables["users"].where(F.col("id") % 50 == 7).select("id"),
+                      "datasets": tables["datasets"].where(F.col("id") % 90 == 11).select("id")})
+    left = store.tables()
+    none = F.lit(None).cast("bigint")
+    return left["users"].select(F.lit("users").alias("table_name"), "id", none.alias("user_id"), none.alias("dataset_id"), none.alias("model_id")) \
+        .unionByName(left["datasets"].select(F.lit("datasets").alias("table_name"), "id", "user_id", none.alias("dataset_id"), none.alias("model_id"))) \
+        .unionByName(left["models"].select(F.lit("models").alias("table_name"), "id", "user_id", "dataset_id", none.alias("model_id"))) \
+        .unionByName(left["predictions"].select(F.lit("predictions").alias("table_name"), "id", "user_id", "dataset_id", "model_id"))
+
+
 # ---- Spark ML: training, comparison, scoring (rows-only checks) --------------------------
 from retainx.operators import models as M  # noqa: E402
 from retainx.params import ALGORITHMS  # noqa: E402
@@ -695,6 +795,74 @@ def q_logistic_optimum(spark, sf):
     return sums.select(F.get(of, F.col("i")).alias("feature"), (F.round(F.col("g") + F.get(penalty, F.col("i")), 4) + 0.0).alias("gradient"))
 
 
+from retainx.operators import trees as TR  # noqa: E402
+
+_TREES = ("Decision Tree", "Random Forest", "Gradient Boosting")
+
+
+def _node_tables(spark, sf):
+    """(algorithm, model, its nodes, whether boosted) of the trained tree models, read back from stored copies."""
+    ts = _trained(spark, sf)
+    return [(a, ts.models[a], TR.export_nodes(spark, ts.models[a], ts.names), a == "Gradient Boosting") for a in _TREES], ts
+
+
+def _all_of(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("tree_descent")
+def q_tree_descent(spark, sf):
+    """Test rows by algorithm and label, and how many the walk down the stored nodes scores otherwise than the model."""
+    _, _, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
+    test = vec.where("is_test").select(FE.ROW_KEY, "label", "features")
+    out = []
+    for name, model, nodes, boosted in _node_tables(spark, sf)[0]:
+        ours = TR.scores_by_nodes(test, nodes, TR.max_depth(nodes), boosted, FE.ROW_KEY)
+        scored = model.transform(test)
+        both = scored.select(FE.ROW_KEY, "label", M.churn_probability(scored).alias("p")).join(ours, FE.ROW_KEY, "left")
+        out.append(both.groupBy(F.lit(name).alias("algorithm_name"), "label").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(F.abs(F.col("p") - F.col("score")) < 1e-9, F.lit(False))).alias("disagreements")))
+    return _all_of(out)
+
+
+@query("tree_importances")
+def q_tree_importances(spark, sf):
+    """Features by algorithm, those whose importance by the stored nodes is not the model's, and the sum of importances."""
+    out = []
+    tables, ts = _node_tables(spark, sf)
+    for name, model, nodes, boosted in tables:
+        theirs = spark.createDataFrame(list(zip(ts.names, [float(x) for x in model.featureImportances.toArray()])), "feature string, theirs double")
+        both = theirs.join(TR.importances_by_nodes(nodes, boosted), "feature", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+        out.append(both.agg(F.lit(name).alias("algorithm_name"), F.count(F.lit(1)).alias("features"),
+                            F.count_if(F.abs(F.col("theirs") - F.col("importance")) > 1e-9).alias("disagreements"),
+                            F.round(F.sum("importance"), 9).alias("total")))
+    return _all_of(out)
+
+
+@query("tree_leaf_rows")
+def q_tree_leaf_rows(spark, sf):
+    """The decision tree's training rows by label, and leaves whose rows or (balanced) share of class 1 are not those stored."""
+    _, _, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
+    nodes = next(n for a, _, n, _ in _node_tables(spark, sf)[0] if a == "Decision Tree")
+    train = vec.where("NOT is_test")
+    leaves = TR.descend(train, nodes, TR.max_depth(nodes), FE.ROW_KEY).join(train.select(FE.ROW_KEY, "label", "weight"), FE.ROW_KEY)
+    seen = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("label")).alias("one"), F.sum("weight").alias("w"),
+                                      F.count_if(F.col("label") == 1).alias("positives"))
+    both = nodes.where("left IS NULL").join(seen, "node", "left")
+    wrong = ~F.coalesce((F.col("n") == F.col("rows")) & (F.abs(F.col("one") / F.col("w") - F.col("answer")) < 1e-9), F.lit(False))
+    return both.agg(F.sum("n").alias("rows"), F.sum("positives").alias("positives"), F.count_if(wrong).alias("wrong_leaves"))
+
+
+@query("decision_tree_root")
+def q_decision_tree_root(spark, sf):
+    """The decision tree's first split: its feature, gain and weighted Gini impurity."""
+    nodes = next(n for a, _, n, _ in _node_tables(spark, sf)[0] if a == "Decision Tree")
+    return nodes.where("node = 0").select("feature", F.round("gain", 6).alias("gain"), F.round("impurity", 6).alias("impurity"), "rows")
+
+
 @query("training_time")
 def q_training_time(spark, sf):
     return _trained(spark, sf).metrics.select("algorithm_name", "training_time", "total_training_time")

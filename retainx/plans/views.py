@@ -81,6 +81,23 @@ SELECT o_orderkey AS id,
 FROM {orders}
 """
 
+# The relation user - dataset - model - prediction: one dataset per order (1 in 60
+# without an owner), two models each, one prediction per line item (some without a
+# model or a dataset, some of another user).
+RELATION_SQL = {
+    "users": "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name FROM {customer}",
+    "datasets": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 60 <> 13 THEN o_custkey END AS user_id FROM {orders}",
+    "models": "SELECT o_orderkey * 2 + n AS id, CASE WHEN o_orderkey % 45 <> 2 THEN o_orderkey END AS dataset_id, o_custkey AS user_id "
+              "FROM {orders} CROSS JOIN (VALUES (0), (1)) k(n)",
+    "predictions": "SELECT l_orderkey * 100 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN l_suppkey ELSE o_custkey END AS user_id, "
+                   "CASE WHEN l_linenumber % 5 <> 4 THEN l_orderkey END AS dataset_id, "
+                   "CASE WHEN l_linenumber % 3 <> 0 THEN l_orderkey * 2 + l_linenumber % 2 END AS model_id, l_quantity AS churn_probability "
+                   "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
+}
+
+# What the log keeps beside a prediction: the customer's features as inputs.
+LOG_INPUTS = ("Contract", "InternetService", "PaymentMethod", "TechSupport", "OnlineSecurity", "tenure")
+
 # Names of the four algorithms keyed by model id (the log's N:1 look-up).
 MODEL_NAMES = ((1, "Logistic Regression"), (2, "Decision Tree"), (3, "Random Forest"), (4, "Gradient Boosting"))
 
@@ -101,6 +118,12 @@ def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MODELS_SQL, orders=read_table(spark, sf_dir, "orders"))
 
 
+def relation(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Users, datasets, models and predictions, linked by their keys."""
+    tables = {t: read_table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}
+    return {name: spark.sql(text, **{t: df for t, df in tables.items() if "{" + t + "}" in text}) for name, text in RELATION_SQL.items()}
+
+
 def model_names(spark: SparkSession, drop_ids: tuple = ()) -> DataFrame:
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("algorithm_name", T.StringType())])
     return spark.createDataFrame([r for r in MODEL_NAMES if r[0] not in drop_ids], schema)

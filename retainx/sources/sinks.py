@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from retainx.operators.history import history_with_model
 
@@ -59,27 +61,50 @@ def history_export(preds: DataFrame, models: DataFrame, layout: str = "full", us
     return out.orderBy(F.col("created_at").desc(), F.col("ID")).drop("created_at")
 
 
-def write_history_export(export: DataFrame, path: str) -> str:
-    export.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return path
+#: A risk factor of a log row, and the log's columns. Inputs are the customer's features as text.
+FACTORS = T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()),
+                                    T.StructField("impact", T.StringType()), T.StructField("importance", T.DoubleType())]))
+LOG_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("dataset_id", T.LongType()),
+    T.StructField("model_id", T.LongType()), T.StructField("customer_identifier", T.StringType()),
+    T.StructField("input_data", T.MapType(T.StringType(), T.StringType())), T.StructField("prediction", T.StringType()),
+    T.StructField("churn_probability", T.DoubleType()), T.StructField("retention_probability", T.DoubleType()),
+    T.StructField("risk_level", T.StringType()), T.StructField("top_factors", FACTORS), T.StructField("created_at", T.TimestampNTZType())])
+
 
+def as_log_records(records: DataFrame) -> DataFrame:
+    """``records`` with the log's columns: missing ones null, then any columns of their own."""
+    named = LOG_SCHEMA.fieldNames()
+    return records.select(*[(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields],
+                          *[c for c in records.columns if c not in named])
 
-def append_prediction_log(records: DataFrame, path: str, load: str | None = None) -> str:
-    """Add scored records to the log table, partitioned by user so a
-    user's history query prunes to its folder, and by ``load``, the name of
-    what is added (a batch, a stream's epoch; by default a fresh name).
 
-    Writing a load again replaces it, so a retried one never doubles its rows.
-    Rows are rebalanced by user first: a task writes few users' files, and a
-    user with a large share of the rows is split over several tasks."""
-    named = records.withColumn("load", F.lit(load or uuid.uuid4().hex))
-    (named.hint("rebalance", "user_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("user_id", "load").parquet(path))
+def append_prediction_log(records: DataFrame, path: str, load: str | int | None = None, writer: str = "") -> str:
+    """Add scored records to the log under ``path``, shared by batches and streams.
+
+    What is added is a load, known by its ``writer`` (a stream's query id, a job's
+    name) and that writer's own ``load`` number or name (by default a fresh one, so
+    that nothing is replaced). A load written again, by a retry or a replayed
+    epoch, takes the place of its first version as a whole, even where its users
+    have changed; loads of other writers are never touched. Within a load rows are
+    partitioned by user, so that a user's history reads only their folders; they
+    are rebalanced by user first: a task writes few users' files, and a user with
+    a large share of the rows is split over several tasks.
+    """
+    name = f"{writer}:{uuid.uuid4().hex if load is None else load}"
+    (as_log_records(records).hint("rebalance", "user_id").write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("user_id").parquet(f"{path.rstrip('/')}/load={quote(name, safe='')}"))
     return path
 
 
-def read_prediction_log(spark, path: str, schema: T.StructType) -> DataFrame:
-    """The log with its declared schema: partition columns keep their types
-    instead of those that discovery infers from folder names."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("load", T.StringType())])).parquet(path) \
-        .select(*schema.fieldNames())
+def read_prediction_log(spark: SparkSession, path: str, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
+    """The log's rows, of all loads, with declared types (partition columns would
+    else get those that discovery infers from folder names); an empty log where
+    nothing was added yet."""
+    try:
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("load", T.StringType())])).parquet(path) \
+            .select(*schema.fieldNames())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

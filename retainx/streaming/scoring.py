@@ -2,13 +2,16 @@
 
 The reference has no streams; this re-aims single-customer scoring at a
 stream: each micro-batch is scored with the same DataFrame functions as the
-batch path and added to the prediction log as a load of its own, so a retried
-batch replaces rather than duplicates its rows (idempotent sink, exactly-once
-results), and stream and batches fill one table.
+batch path and added to the prediction log as a load of its own. The load is
+known by the query id that Structured Streaming keeps in the stream's checkpoint
+and by the epoch, so a replayed epoch replaces its own rows (idempotent sink,
+exactly-once results), also after a restart, and any number of streams and
+batches fill one log.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,10 +21,10 @@ from retainx.sources.sinks import append_prediction_log
 
 
 def log_records(scored: DataFrame, user_id: int, model_id: int | None, key_col: str | None,
-                feature_cols: list[str], importances=None, load: str = "") -> DataFrame:
+                feature_cols: list[str], importances=None, load: str = "", dataset_id: int | None = None) -> DataFrame:
     """Shape scored customers as prediction-log rows (single-customer form:
-    retention = 100 - churn percentage). Ids are unique per load: a customer
-    scored again gets a new one."""
+    retention = 100 - churn percentage), with their inputs and risk factors. Ids
+    are unique per load: a customer scored again gets a new one."""
     ident = customer_identifier(F.col(key_col).cast("string") if key_col else None,
                                 *[F.col(c) for c in feature_cols])
     inputs = F.map_from_arrays(F.array(*[F.lit(c) for c in feature_cols]),
@@ -30,6 +33,7 @@ def log_records(scored: DataFrame, user_id: int, model_id: int | None, key_col:
     return scored.select(
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(load), ident, F.to_json(inputs))), 1, 15), 16, 10).cast("bigint").alias("id"),
         F.lit(user_id).cast("bigint").alias("user_id"),
+        F.lit(dataset_id).cast("bigint").alias("dataset_id"),
         F.lit(model_id).cast("bigint").alias("model_id"),
         ident.alias("customer_identifier"),
         F.col("Predicted_Churn").alias("prediction"),
@@ -38,15 +42,21 @@ def log_records(scored: DataFrame, user_id: int, model_id: int | None, key_col:
         F.col("Risk_Level").alias("risk_level"),
         inputs.alias("input_data"),
         explain_rules(scored, importances).alias("top_factors"),
-        F.current_timestamp().alias("created_at"))
+        F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
+
+
+def stream_identity(spark: SparkSession, checkpoint_dir: str) -> str:
+    """The query id that a stream keeps in its checkpoint from its first start on."""
+    return json.loads(spark.read.text(f"{checkpoint_dir.rstrip('/')}/metadata", wholetext=True).first()[0])["id"]
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, source_schema: T.StructType,
                          scorer: Callable[[DataFrame], DataFrame], log_dir: str, checkpoint_dir: str,
                          user_id: int = 1, model_id: int | None = None, key_col: str | None = None,
-                         importances=None, fmt: str = "parquet", available_now: bool = True):
+                         importances=None, fmt: str = "parquet", available_now: bool = True, dataset_id: int | None = None):
     """Start the stream; ``scorer`` maps a batch of customers to scored rows
-    (e.g. ``score_batch`` with a scorecard or a trained model)."""
+    (e.g. ``score_batch`` with a scorecard or a trained model). Streams may share
+    a log; each needs a checkpoint of its own."""
     feats = [f.name for f in source_schema.fields if f.name != key_col]
     stream = spark.readStream.schema(source_schema).format(fmt)
     if fmt == "csv":
@@ -54,8 +64,9 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, source_schema: T.
     src = stream.load(source_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        load = f"stream-{epoch_id}"
-        append_prediction_log(log_records(scorer(batch), user_id, model_id, key_col, feats, importances, load), log_dir, load)
+        writer = stream_identity(spark, checkpoint_dir)
+        records = log_records(scorer(batch), user_id, model_id, key_col, feats, importances, f"{writer}:{epoch_id}", dataset_id)
+        append_prediction_log(records, log_dir, epoch_id, writer)
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
