@@ -31,8 +31,11 @@ ROW_KEY = "_row_key"
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
-    """Adds ``ROW_KEY``: a hash of the whole row, IDs included, so distinct rows have distinct keys."""
-    text = F.concat_ws("|", *[F.coalesce(qcol(c).cast("string"), F.lit("~null~")) for c in df.columns])
+    """Adds ``ROW_KEY``: a hash of the whole row, IDs included, so distinct rows have distinct keys.
+
+    Every value comes with its length, so that no text can pass for a border or a null."""
+    sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    text = F.concat_ws("|", *[F.coalesce(sized(qcol(c).cast("string")), F.lit("null")) for c in df.columns])
     return df.withColumn(ROW_KEY, F.md5(text))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from retainx.functions import sql as SQ
 from retainx.functions.wide import chunked_agg
 from retainx.functions.columns import catalog, is_missing, long_values, qcol, value_text
+from retainx.functions.digests import DIGEST, MOST_SHIPPED, repeated_digests, with_digest
 from retainx.functions.expr import clean_name, py_round
 from retainx.params import Params
 
@@ -29,13 +30,24 @@ def table_shape(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row over all columns.
 
-    Group by the full row: the map-side partial aggregate collapses a hot
-    duplicate before the shuffle, so one row repeated a billion times costs
-    one record per task.
+    Digests of rows are counted first; only rows whose digest repeats are compared
+    as wholes, wherever these digests fit the bound for shipping them to the tasks.
+    Both groupings combine in tasks, so one row repeated a billion times costs one
+    record per task.
     """
-    cols = [qcol(c) for c in df.columns]
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    seen, n = repeated_digests(df)
+    try:
+        if n > MOST_SHIPPED:
+            rows = df
+        else:
+            rows = with_digest(df).join(F.broadcast(seen), DIGEST, "left_semi").drop(DIGEST)      # at most 8 MB
+        found = 0
+        if n:
+            groups = rows.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+            found = groups.agg(F.sum(F.col("_n") - 1)).first()[0]
+        return df.sparkSession.createDataFrame([(found,)], "duplicate_rows bigint")
+    finally:
+        seen.unpersist()
 
 
 def column_counts(df: DataFrame) -> DataFrame:

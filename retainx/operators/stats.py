@@ -14,11 +14,14 @@ from retainx.functions import sql as SQ
 from retainx.functions.wide import chunked_agg
 from retainx.functions.columns import catalog, is_missing, qcol
 from retainx.functions.expr import display_class, guarded_double, is_numeric_type, pandas_str, py_round
+from retainx.operators.gram import correlation_table
 from retainx.operators.profile import column_counts, value_counts
 from retainx.params import Params
 from retainx.plans.ranking import exact_quantiles
 
 P = Params()
+#: Columns whose pairs fit a few aggregates.
+NARROW = 16
 
 
 def numeric_like_columns(df: DataFrame, exclude=(), params: Params = P) -> list[str]:
@@ -264,10 +267,13 @@ def numeric_histogram(df: DataFrame, target: str | None = None, params: Params =
 def correlation_matrix(df: DataFrame, params: Params = P) -> DataFrame:
     """Pairwise-complete Pearson of the numeric columns (the first
     ``correlation_max_columns`` when given), long (x, y, value); 0 where a
-    column does not vary."""
+    column does not vary. Up to ``NARROW`` columns are compared by aggregates of
+    each pair, more by blocked cross products in one pass (``gram``)."""
     cols = numeric_columns(df)[: params.correlation_max_columns]
     if len(cols) < 2 or not params.correlation:
         return df.sparkSession.createDataFrame([], "x string, y string, value double")
+    if len(cols) > NARROW:
+        return correlation_table(df, cols, lambda v: py_round(v, 2) + F.lit(0.0))
     # the parts of corr(), which itself raises on a constant column under ANSI rules
     aggs = []
     for i, a in enumerate(cols):

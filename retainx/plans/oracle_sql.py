@@ -243,6 +243,17 @@ for _a in LI_NUM:
 ORACLES["correlation_matrix"] = " UNION ALL ".join(_corr_cells)
 
 _WIDE = [*LI_NUM, "flat", "twice", "minus", "partly"]
+_MANY = {f"{c}_{k}": f"pow({q(c)} + {k}, {1 + k % 3}) % {97 + k}" for c in LI_NUM for k in range(3)}
+_MANY["far"] = "l_quantity + 1e9::DOUBLE"
+_MANY["partly"] = "CASE WHEN l_linenumber > 2 THEN l_discount END"
+_MANY["flat"] = "0.1::DOUBLE"
+ORACLES["correlation_many"] = (
+    "WITH w AS (SELECT " + ", ".join(f"{e} AS {q(n)}" for n, e in _MANY.items()) + " FROM lineitem), c AS (SELECT "
+    + ", ".join(f"covar_pop({q(a)}, {q(b)}) / nullif(stddev_pop(CASE WHEN {q(b)} IS NOT NULL THEN {q(a)} END) * "
+                f"stddev_pop(CASE WHEN {q(a)} IS NOT NULL THEN {q(b)} END), 0) AS c{i}_{j}"
+                for i, a in enumerate(_MANY) for j, b in enumerate(_MANY) if j >= i) + " FROM w) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, {r(f'coalesce(c{min(i, j)}_{max(i, j)}, 0.0)', 2)} AS value FROM c"
+                         for i, a in enumerate(_MANY) for j, b in enumerate(_MANY)))
 ORACLES["correlation_wide"] = (
     "WITH w AS (SELECT *, CAST(1.0 AS DOUBLE) AS flat, l_quantity * 2 AS twice, -l_tax AS minus, "
     "CASE WHEN l_linenumber > 2 THEN l_discount END AS partly FROM lineitem), c AS (SELECT "
@@ -309,9 +320,15 @@ _FEAT = ["SeniorCitizen", "tenure", "InternetService", "OnlineSecurity", "TechSu
          "MonthlyCharges", "TotalCharges"]
 _NUM = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
 _CAT = ["InternetService", "OnlineSecurity", "TechSupport", "Contract", "PaymentMethod"]
+
+def _sized(x: str) -> str:
+    """A value of a row key: its text after its length, so that no text passes for a border or a null."""
+    return f"coalesce(length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), 'null')"
+
+
 _PREP = (f"{telco_cte()}, prep AS (SELECT SeniorCitizen, tenure, InternetService, OnlineSecurity, TechSupport, Contract, "
          f"PaymentMethod, MonthlyCharges, {guarded_double('TotalCharges')} AS TotalCharges, Churn, "
-         "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '~null~')" for c in _TC) + ")) AS _row_key "
+         "md5(concat_ws('|', " + ", ".join(_sized(q(c)) for c in _TC) + ")) AS _row_key "
          "FROM (SELECT DISTINCT * FROM telco))")
 _LAB = _PREP + ", lab AS (SELECT *, CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM prep)"
 # exactly the allocated number of rows per label, in the order of a hash that is unique per row
@@ -328,7 +345,7 @@ _SPLIT = _LAB + _SPLIT_OF
 
 ORACLES["split_few_feature_rows"] = (
     "WITH few AS (SELECT o_orderkey AS id, o_orderpriority AS plan, CASE WHEN o_orderkey % 10 < 3 THEN 'Yes' ELSE 'No' END AS Churn FROM orders), "
-    "lab AS (SELECT plan, Churn, md5(concat_ws('|', CAST(id AS VARCHAR), plan, Churn)) AS _row_key, "
+    f"lab AS (SELECT plan, Churn, md5(concat_ws('|', {_sized('id')}, {_sized('plan')}, {_sized('Churn')})) AS _row_key, "
     "CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END AS label FROM (SELECT DISTINCT * FROM few))" + _SPLIT_OF + " SELECT * FROM split_keyed")
 
 ORACLES["prepare"] = f"WITH {_PREP} SELECT * EXCLUDE (_row_key) FROM prep"
@@ -828,3 +845,8 @@ ORACLES["decision_tree_root"] = (
       f"g AS (SELECT feature, CAST(n AS BIGINT) AS rows, {_GINI('fo', 'fw')} AS impurity, {_GINI('fo', 'fw')} - lw / fw * {_GINI('lo', 'lw')} "
       f"- (1 - lw / fw) * {_GINI('fo - lo', 'fw - lw')} AS gain FROM c WHERE back > 1) "
       "SELECT feature, round(gain, 6) AS gain, round(impurity, 6) AS impurity, rows FROM g ORDER BY gain DESC LIMIT 1")
+
+ORACLES["distinct_sketches"] = with_src(src_table("lineitem"), [profile_cte(LINEITEM_COLS)],
+                                        "SELECT column_name, total_rows, missing_count, true AS close FROM prof")
+ORACLES["repeated_rows"] = ("SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM "
+                            "lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)")

@@ -10,9 +10,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from retainx.operators import profile as P
+from retainx.operators import profile as P, sketches as SKE
 from retainx.params import Params
 from retainx.plans import views as V
+from retainx.session import shared_dir
 from retainx.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -41,6 +42,23 @@ def q_duplicate_rows(spark, sf):
     return P.duplicate_rows(V.telco(spark, sf))
 
 
+@query("repeated_rows")
+def q_repeated_rows(spark, sf):
+    return P.duplicate_rows(_t(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+
+
+@query("distinct_sketches")
+def q_distinct_sketches(spark, sf):
+    """Line items profiled load by load (one load twice) and merged: counts, and whether the distinct estimates are within 3 %."""
+    li, path = _t(spark, sf, "lineitem"), shared_dir(spark, "sketches")
+    for k in (0, 1, 2, 1):
+        SKE.add_load(li.where(F.col("l_partkey") % 3 == k), path, f"load-{k}")
+    merged = SKE.merged_profile(SKE.read_profiles(spark, path))
+    exact = P.unique_counts(li)
+    return merged.join(exact, "ordinal").select("column_name", "total_rows", "missing_count", (
+        F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 0.03 * F.col("unique_count")).alias("close"))
+
+
 @query("missing_by_column")
 def q_missing_by_column(spark, sf):
     return P.missing_by_column(V.predictions(spark, sf))
@@ -227,6 +245,15 @@ def q_correlation_wide(spark, sf):
         F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("partly")))
 
 
+@query("correlation_many")
+def q_correlation_many(spark, sf):
+    # beyond the columns whose pairs are aggregated one by one; one far from zero, one with missing values, one constant
+    li = _t(spark, sf, "lineitem")
+    return D.correlation_matrix(li.select(
+        *[(F.pow(F.col(c) + k, F.lit(1 + k % 3)) % (97 + k)).alias(f"{c}_{k}") for c in D.numeric_columns(li) for k in range(3)],
+        (F.col("l_quantity") + 1e9).alias("far"), F.when(F.col("l_linenumber") > 2, F.col("l_discount")).alias("partly"), F.lit(0.1).alias("flat")))
+
+
 @query("dataset_analysis")
 def q_dataset_analysis(spark, sf):
     return D.dataset_analysis(V.telco(spark, sf), "Churn")
@@ -538,7 +565,6 @@ def q_model_comparison(spark, sf):
 
 # ---- prediction log, registry, sources and sinks -------------------------------------------
 from retainx.operators import history as H  # noqa: E402
-from retainx.session import shared_dir  # noqa: E402
 from retainx.sources import csv as CSV, sinks as SK  # noqa: E402
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from retainx.functions.columns import qcol
 from retainx.functions.expr import strip_ws
 from retainx.params import CSV_NA_TOKENS
+from retainx.sources.csv_records import read_records
 
 INT_TEXT = r"^[+-]?[0-9]+$"
 NUM_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -15,6 +16,15 @@ NUM_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 BOOL_TEXT = r"^(?i)(true|false)$"
 
 
+def _multi_line(spark: SparkSession, path: str) -> DataFrame:
+    """Text columns of headered files with line breaks within quotes: records are found split by split, then parsed one by one."""
+    quotes = {"quote": '"', "escape": '"'}
+    names = spark.read.options(header=True, multiLine=True, **quotes).csv(path).columns           # reads the first record only
+    body = read_records(spark, path).where((F.col("start") != 0) | (F.col("n") != 0))
+    parsed = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"mode": "FAILFAST", **quotes})
+    return body.select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def read_customer_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read a headered CSV like ``pd.read_csv``: every column as text, the
     default missing tokens as null, then a column becomes bigint when all
@@ -24,15 +34,16 @@ def read_customer_csv(spark: SparkSession, path: str, multi_line: bool = False)
     numbers) stay text, digit by digit.
 
     Quotes within a quoted field are doubled. ``multi_line`` also allows line
-    breaks within quotes, at the price of files that one task reads whole.
+    breaks within quotes; files are read in splits all the same (``csv_records``).
 
     The typing decision is one aggregate over the file (two counts per
     column); rejects non-CSV paths, unparsable input (FAILFAST) and empty files.
     """
     if not str(path).lower().rstrip("/").endswith(".csv") and "*" not in str(path):
         raise ValueError("Only CSV files (.csv) are accepted.")
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST").option("inferSchema", False)
-           .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
+    raw = _multi_line(spark, path) if multi_line else (
+        spark.read.option("header", True).option("mode", "FAILFAST").option("inferSchema", False)
+        .option("quote", '"').option("escape", '"').csv(path))
     na = list(CSV_NA_TOKENS)
     text = raw.select(*[F.when(qcol(c).isin(na) | qcol(c).isNull(), F.lit(None)).otherwise(qcol(c)).alias(c)
                         for c in raw.columns])
