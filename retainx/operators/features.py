@@ -386,14 +386,19 @@ def derive_total_charges(df: DataFrame, total="TotalCharges", monthly="MonthlyCh
     return df.withColumn(total, F.when(empty, derived.cast("string")).otherwise(t.cast("string")))
 
 
+#: Categories of a feature that are looked up by an expression; more of them by a join.
+FEW_CATEGORIES = 64
+
+
 def normalize_scoring_input(df: DataFrame, schema: FeatureSchema, derive_total: bool = True) -> DataFrame:
     """F14 for a frame of customers: match columns case-insensitively, parse
     numerics (bad or blank -> median), map categories case-insensitively onto
-    the known domain (blank -> default category)."""
+    the known domain (blank -> default category). A large domain is a small table
+    that is joined, so that the plan does not grow with it."""
     if derive_total and "TotalCharges" in schema.feature_columns:
         df = derive_total_charges(_rename_ci(df, schema.feature_columns))
     df = _rename_ci(df, schema.feature_columns)
-    out = []
+    out, looked = [], []
     for c in schema.feature_columns:
         if c in schema.numerical_cols:
             med = schema.ranges.get(c, {}).get("median", 0.0)
@@ -406,10 +411,17 @@ def normalize_scoring_input(df: DataFrame, schema: FeatureSchema, derive_total:
             lut = {}
             for v in dom:                      # first (smallest) value wins per lower-case key
                 lut.setdefault(v.lower(), v)
-            m = F.create_map(*[x for k, v in lut.items() for x in (F.lit(k), F.lit(v))]) if lut else None
-            mapped = F.coalesce(m[F.lower(src)], src) if m is not None else src
+            if len(lut) > FEW_CATEGORIES:
+                i = len(out)
+                table = df.sparkSession.createDataFrame(list(lut.items()), f"_key{i} string, _value{i} string")
+                df = df.join(F.broadcast(table), F.lower(src) == F.col(f"_key{i}"), "left").drop(f"_key{i}")    # at most max_categories rows
+                looked.append(f"_value{i}")
+                mapped = F.coalesce(F.col(f"_value{i}"), src)
+            else:
+                m = F.create_map(*[x for k, v in lut.items() for x in (F.lit(k), F.lit(v))]) if lut else None
+                mapped = F.coalesce(m[F.lower(src)], src) if m is not None else src
             out.append(F.when(src.isNull() | (src == ""), F.lit(default)).otherwise(mapped).alias(c))
-    extra = [qcol(c) for c in df.columns if c not in schema.feature_columns]
+    extra = [qcol(c) for c in df.columns if c not in schema.feature_columns and c not in looked]
     return df.select(*extra, *out)
 
 

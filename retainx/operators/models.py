@@ -137,8 +137,10 @@ class TrainedSet:
         self.metrics, self.names, self.total_training_time = metrics, names, total_time
 
 
-def fit_features(df: DataFrame, target: str, id_cols=(), params: Params = P):
-    """Prepare, label, split, fit the preprocessing on train, vectorise both sides."""
+def fit_features(df: DataFrame, target: str, id_cols=(), params: Params = P, keep: bool = False):
+    """Prepare, label, split, fit the preprocessing on train, vectorise both sides.
+
+    ``keep`` persists the vectors for fits that read them many times; the caller unpersists them."""
     # the deduplicated rows are written once to the shared folder and read by
     # every step below (no session-long cache of the full table to release)
     schema, prepared = FE.fit_schema(df, target, id_cols, params, materialize=True, row_key=True)
@@ -153,8 +155,7 @@ def fit_features(df: DataFrame, target: str, id_cols=(), params: Params = P):
         modes = {r["column_name"]: r["mode"] for r in FE.category_modes(train, schema.categorical_cols).collect()}
     prep = prep_pipeline(schema, medians, scaler, modes, params).fit(train)
     vec = prep.transform(FE.balanced_class_weight(split)).select(FE.ROW_KEY, "label", "weight", "is_test", "features")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    return schema, prep, vec
+    return schema, prep, vec.persist(StorageLevel.MEMORY_AND_DISK) if keep else vec
 
 
 def _timed_fit(est, train):
@@ -169,7 +170,7 @@ def train_and_compare(df: DataFrame, target: str, id_cols=(), algorithms=ALGORIT
     skipped), time each fit, evaluate all on the test rows in one pass and
     flag the best by 0.5 F1 + 0.5 AUC (the first wins ties)."""
     spark = df.sparkSession
-    schema, prep, vec = fit_features(df, target, id_cols, params)
+    schema, prep, vec = fit_features(df, target, id_cols, params, keep=True)
     train, test = vec.where(~F.col("is_test")), vec.where(F.col("is_test"))
     n_train = train.count()
     names = feature_names(prep, schema)
@@ -308,6 +309,18 @@ def active_model(registry: DataFrame) -> DataFrame:
     return resolve_active(registry, [F.col("f1_score").desc(), F.col("id").desc()])
 
 
+def active_model_details(registry: DataFrame) -> DataFrame:
+    """Of each user the active model (else the one with the highest F1) with what the scoring form shows of it."""
+    return active_model(registry).select("user_id", F.col("id").alias("model_id"), "algorithm_name", "accuracy", "f1_score", "roc_auc", "dataset_id")
+
+
+def linear_scores(vectors: DataFrame, coefficients: list[float], intercept: float, features: str = "features") -> DataFrame:
+    """``vectors`` with ``score``: the logistic of the weighted sum, from a stored model's numbers alone."""
+    weights = F.array(*[F.lit(float(c)) for c in coefficients])
+    terms = F.zip_with(vector_to_array(features), weights, lambda x, w: x * w)
+    return vectors.withColumn("score", 1.0 / (1.0 + F.exp(-(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + F.lit(float(intercept))))))
+
+
 def schema_frame(spark, schema: FE.FeatureSchema) -> DataFrame:
     """The fitted feature schema as rows: kind, range, default and domain
     of every feature (bounded by the column count and domains)."""

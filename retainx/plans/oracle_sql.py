@@ -850,3 +850,14 @@ ORACLES["distinct_sketches"] = with_src(src_table("lineitem"), [profile_cte(LINE
                                         "SELECT column_name, total_rows, missing_count, true AS close FROM prof")
 ORACLES["repeated_rows"] = ("SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM "
                             "lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)")
+
+ORACLES["active_models"] = (
+    f"WITH mdl AS ({MODELS_SQL.replace('{orders}', 'orders')}) SELECT user_id, id AS model_id, algorithm_name, accuracy, f1_score, "
+    "accuracy / 2 + 50 AS roc_auc, id % 7 AS dataset_id FROM mdl "
+    "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id % 2111 = 5 DESC, f1_score DESC, id DESC) = 1")
+ORACLES["linear_scores"] = (f"WITH {_SPLIT} SELECT label, count(*) AS rows, CAST(0 AS BIGINT) AS disagreements FROM split_keyed WHERE is_test GROUP BY label")
+ORACLES["stored_scores"] = (f"WITH {telco_cte()}, a(algorithm_name) AS (VALUES ('Decision Tree'), ('Logistic Regression')) "
+                            "SELECT algorithm_name, (SELECT count(*) FROM (SELECT DISTINCT * FROM telco)) AS customers, CAST(0 AS BIGINT) AS disagreements FROM a")
+ORACLES["customers_as_typed"] = (
+    f"WITH {telco_cte()} SELECT count(*) AS customers, " + ", ".join(
+        f"CAST(0 AS BIGINT) AS other_{x}" for x in ("probability", "retention", "tier", "label")) + " FROM (SELECT DISTINCT * FROM telco)")

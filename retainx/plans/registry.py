@@ -765,7 +765,12 @@ _TRAINED: dict = {}
 
 def _trained(spark, sf, algorithms=ALGORITHMS):
     """Models trained on the telco view, kept per session like a model cache."""
-    key = (spark.sparkContext.applicationId, sf, tuple(algorithms))
+    key, whole = (spark.sparkContext.applicationId, sf, tuple(algorithms)), (spark.sparkContext.applicationId, sf, tuple(ALGORITHMS))
+    if key not in _TRAINED and whole in _TRAINED:                     # some of the models that are there
+        ts = _TRAINED[whole]
+        rows = ts.metrics.drop("is_best").where(F.col("algorithm_name").isin(*algorithms))
+        best = EV.mark_best(rows).select(*ts.metrics.columns)
+        _TRAINED[key] = M.TrainedSet(ts.schema, ts.prep, {a: ts.models[a] for a in algorithms}, best, ts.names, ts.total_training_time)
     if key not in _TRAINED:
         _TRAINED[key] = M.train_and_compare(V.telco(spark, sf), "Churn", ["customerID"], list(algorithms))
     return _TRAINED[key]
@@ -907,6 +912,53 @@ def _active_package(spark, sf):
     return M.load_package(spark, row["model_path"])
 
 
+@query("active_models")
+def q_active_models(spark, sf):
+    reg = V.model_registry(spark, sf)
+    return M.active_model_details(reg.select("*", (F.col("id") % 2111 == 5).alias("is_active"), (F.col("accuracy") / 2 + 50).alias("roc_auc"),
+                                             (F.col("id") % 7).alias("dataset_id")))
+
+
+@query("linear_scores")
+def q_linear_scores(spark, sf):
+    """Test rows by label, and how many the logistic model's coefficients score otherwise than the model."""
+    model = _trained(spark, sf, ("Logistic Regression",)).models["Logistic Regression"]
+    _, _, vec = M.fit_features(V.telco(spark, sf), "Churn", ["customerID"])
+    scored = model.transform(M.linear_scores(vec.where("is_test"), list(model.coefficients), model.intercept))
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if(
+        F.abs(F.col("score") - M.churn_probability(scored)) > 1e-9).alias("disagreements"))
+
+
+@query("stored_scores")
+def q_stored_scores(spark, sf):
+    """Customers scored by each stored package, and how many otherwise than by the model it was stored from."""
+    t, base, out = V.telco(spark, sf), shared_dir(spark, "packages"), []
+    ts = _trained(spark, sf, ("Decision Tree", "Logistic Regression"))
+    for i, name in enumerate(ts.models):
+        pm, schema, _ = M.load_package(spark, M.save_package(ts, name, f"{base}/{i}"))
+        pct = lambda df: df.select("customerID", "TotalCharges", F.col("`Churn_Probability_%`").alias("p"), "Risk_Level").distinct()
+        stored, fresh = pct(M.score_package(t, pm, schema)), pct(M.score_with_model(t, ts, name))
+        out.append(stored.agg(F.lit(name).alias("algorithm_name"), F.count(F.lit(1)).alias("customers")).crossJoin(
+            stored.exceptAll(fresh).agg(F.count(F.lit(1)).alias("disagreements"))))
+    return _all_of(out)
+
+
+@query("customers_as_typed")
+def q_customers_as_typed(spark, sf):
+    """C08 against the batch path: customers typed by hand get the scores of their rows, with retention, tier and label to match."""
+    pm, schema, _ = _active_package(spark, sf)
+    t = V.telco(spark, sf).dropDuplicates()
+    typed = M.score_customers(_typed_by_hand(t), pm, schema, id_col="customerID")
+    derived = FE.derive_total_charges(t.withColumn("TotalCharges", F.col("TotalCharges").try_cast("double")))
+    batch = M.score_package(derived, pm, schema).select(F.col("customerID").alias("customer_identifier"), F.col("`Churn_Probability_%`").alias("p"))
+    both = typed.join(batch, "customer_identifier", "left")
+    p = F.col("churn_probability")
+    return both.agg(F.count(F.lit(1)).alias("customers"), F.count_if(~F.coalesce(p == F.col("p"), F.lit(False))).alias("other_probability"),
+                    F.count_if(F.abs(p + F.col("retention_probability") - 100) > 1e-9).alias("other_retention"),
+                    F.count_if(risk_tier("churn_probability") != F.col("risk_level")).alias("other_tier"),
+                    F.count_if(churn_label("churn_probability") != F.col("prediction")).alias("other_label"))
+
+
 @query("model_registry")
 def q_model_registry(spark, sf):
     return _registry(spark, sf).drop("created_at", "model_path", "training_time")

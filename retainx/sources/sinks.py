@@ -18,13 +18,20 @@ def write_scored_csv(scored: DataFrame, path: str) -> str:
     return path
 
 
+#: Distinct input names that an export turns into columns; more of them are refused.
+MOST_INPUTS = 5000
+
+
 def flatten_input_data(log: DataFrame, input_col: str = "input_data", prefix: str = "Feature_") -> DataFrame:
     """S03 part: one ``Feature_<key>`` column per key of the input map.
 
-    Only the distinct key *names* reach the driver (they become columns);
-    values stay in Spark.
+    Only the distinct key *names* reach the driver (they become columns), at most
+    ``MOST_INPUTS``; values stay in Spark.
     """
-    keys = sorted(r["k"] for r in log.select(F.explode(F.map_keys(input_col)).alias("k")).distinct().collect())
+    names = log.select(F.explode(F.map_keys(input_col)).alias("k")).distinct().limit(MOST_INPUTS + 1).collect()
+    if len(names) > MOST_INPUTS:
+        raise ValueError(f"more than {MOST_INPUTS} different inputs can't become columns")
+    keys = sorted(r["k"] for r in names)
     return log.select(*[c for c in log.columns if c != input_col],
                       *[F.col(input_col)[k].alias(prefix + k) for k in keys])
 
