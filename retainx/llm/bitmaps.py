@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from retainx.llm.scratch import shuffle_partitions
+from retainx.llm.scratch import materialize, shuffle_partitions
 
 
 def repeated_marks(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
@@ -59,7 +59,8 @@ def repeated_marks(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[n
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "maps": pa.array([out], pa.list_(pa.binary()))})
 
     maps = [np.zeros(1 << (width - 3), np.uint8) for _, width in classes]
-    for r in rows.mapInArrow(spread, "bucket int, width int, marks binary").groupBy("bucket").applyInArrow(count, "bucket int, maps array<binary>").collect():
+    counted = rows.mapInArrow(spread, "bucket int, width int, marks binary").groupBy("bucket").applyInArrow(count, "bucket int, maps array<binary>")
+    for r in materialize(counted, "marks").toLocalIterator():              # beside the bitmaps only a part of them at a time
         for bitmap, part, (_, width) in zip(maps, r.maps, classes):
             step = 1 << (width - bits - 3)
             bitmap[r.bucket * step:(r.bucket + 1) * step] = np.frombuffer(bytes(part), np.uint8)

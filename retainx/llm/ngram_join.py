@@ -29,12 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retainx.llm.bitmaps import is_marked, repeated_marks
 from retainx.llm.scratch import materialize
-from retainx.llm.similarity import PairTest, components, similar_nodes
+from retainx.llm.similarity import PairTest, similar_components
 from retainx.llm.textnp import WordHasher, distinct_by_row, mix, shingle_hashes, slices, utf8
 
 
@@ -140,9 +141,8 @@ def similar_sets(params: JoinParams) -> PairTest:
     return PairTest(verify, sketch, near)
 
 
-def index_documents(documents: DataFrame, params: JoinParams, id_col: str, text_col: str) -> DataFrame:
+def index_documents(documents: DataFrame, maps: Broadcast[list[np.ndarray]], params: JoinParams, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, node (null: empty set), entries, and the set's shingles where it has entries."""
-    maps = documents.sparkSession.sparkContext.broadcast(frequency_bitmaps(documents, params, text_col))
     kind = dict(documents.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +173,13 @@ def index_documents(documents: DataFrame, params: JoinParams, id_col: str, text_
 
 def similar_documents(documents: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    index = materialize(index_documents(documents, params, id_col, text_col), "shingle-index")
+    maps = documents.sparkSession.sparkContext.broadcast(frequency_bitmaps(documents, params, text_col))     # of fixed size
+    index = materialize(index_documents(documents, maps, params, id_col, text_col), "shingle-index")
+    maps.destroy()
     held = index.where(F.col("entries").isNotNull())
     postings = held.select("node", F.explode("entries").alias("sig")).distinct()
     payload = materialize(held.groupBy("node").agg(F.first("payload").alias("payload")), "shingle-sets")
-    links = similar_nodes(postings, payload, similar_sets(params), "shingles")
-    graph = components(links)
+    graph = similar_components(postings, payload, similar_sets(params), "shingles")
     names = index.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"))
     named = names.join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

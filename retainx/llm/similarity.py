@@ -85,8 +85,8 @@ def check_pairs(pairs: DataFrame, payload: DataFrame, test: PairTest) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def similar_nodes(postings: DataFrame, payload: DataFrame, test: PairTest, name: str) -> DataFrame:
-    """Links (a, b) that connect all similar nodes: the same components as all similar pairs, in linear number.
+def similar_components(postings: DataFrame, payload: DataFrame, test: PairTest, name: str) -> DataFrame:
+    """(node, component) of all nodes that are similar to another one, directly or by others in between.
 
     ``postings``: distinct (sig, node); ``payload``: (node, payload), one row for each node of the postings.
     """
@@ -108,13 +108,24 @@ def similar_nodes(postings: DataFrame, payload: DataFrame, test: PairTest, name:
     one, two = (few.select("sig", F.col("node").alias(n), F.col("family").alias(f)) for n, f in (("a", "f"), ("b", "g")))
     apart = F.col("f").isNull() | F.col("g").isNull() | (F.col("f") != F.col("g"))
     pairs = one.join(two, "sig").where((F.col("a") < F.col("b")) & apart).select("a", "b").distinct()
-    links = materialize(check_pairs(pairs.union(stars), payload, test), f"{name}-links")
+    linked = components(check_pairs(pairs.union(stars), payload, test))
     if alone:
-        return links
-    linked = components(links)
+        return linked
+    linked = materialize(linked, f"{name}-linked", narrow=True)
     nodes = families.join(linked, "node", "left").select(
         "node", "family", F.coalesce("component", "node").alias("component"))
-    return links.union(_open_pairs(materialize(nodes, f"{name}-nodes", narrow=True), payload, test))
+    more = materialize(_open_pairs(materialize(nodes, f"{name}-nodes", narrow=True), payload, test), f"{name}-open", narrow=True)
+    if more.isEmpty():
+        return linked
+    # what was linked is stars already: only the components that the new links join are worked through
+    of = lambda n: linked.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+    joints = more.join(of("a"), "a", "left").join(of("b"), "b", "left") \
+        .select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = components(joints).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(linked.select("node"), "node", "left_anti") \
+        .select("node", F.col("node").alias("component"))
+    return linked.unionByName(ends).join(merged, F.col("component") == F.col("part"), "left") \
+        .select("node", F.coalesce("whole", "component").alias("component"))
 
 
 def _open_pairs(nodes: DataFrame, payload: DataFrame, test: PairTest) -> DataFrame:
