@@ -17,7 +17,8 @@ and the templates, whose length is bounded by sources x period; the table itself
 is dealt by (source, hash range), so a hot source is spread over all tasks.
 
 Defined cases: null is a source of its own; null and repeated ids are rows like
-any others; an empty table gives an empty one; other columns are carried along.
+any others, in the order of a hash of their content, so that a recomputed task
+places them alike (equal rows can change places unseen); an empty table gives an empty one; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -118,7 +119,8 @@ def mix_sources(docs: DataFrame, shares: Mapping[str | None, int] | None = None,
     ranges = 4 * shuffle_partitions(spark)
     hashed = F.xxhash64(F.col(id_col), F.lit(params.seed))
     kept = [c for c in docs.columns if c not in PLACE_COLUMNS]
-    df = docs.select(F.struct(*kept).alias("_doc"), F.col(id_col).alias("_id"), name.alias("_source"), hashed.alias("_hash")) \
+    content = F.xxhash64(*[c for c, t in docs.dtypes if c in kept and "map<" not in t])             # tells rows of one id apart
+    df = docs.select(F.struct(*kept).alias("_doc"), F.col(id_col).alias("_id"), content.alias("_content"), name.alias("_source"), hashed.alias("_hash")) \
         .withColumn("_range", F.shiftright(F.shiftrightunsigned("_hash", 33) * ranges, 31).cast("int"))
     counted = df.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.groupBy("_source").agg(F.sum("n").alias("n")).limit(params.max_sources + 1).collect()
@@ -137,7 +139,7 @@ def mix_sources(docs: DataFrame, shares: Mapping[str | None, int] | None = None,
     # rows before each (source, range): a frame of sources x ranges rows
     before = counted.withColumn("_before", F.sum("n").over(
         Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    own = Window.partitionBy("_source", "_range").orderBy("_hash", "_id")
+    own = Window.partitionBy("_source", "_range").orderBy("_hash", "_id", "_content")
     df = df.withColumn("_rank", F.row_number().over(own) - 1).join(before, ["_source", "_range"]) \
         .withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0))) \
         .withColumn("_block", F.floor(F.col("_rank") / params.block_docs)) \

@@ -25,7 +25,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retainx.llm.textnp import slices, utf8
@@ -139,9 +139,12 @@ def _encoder(path: str, limit: int) -> WordEncoder:
     return _ENCODERS[path, limit]
 
 
-def tokenize_pieces(documents: DataFrame, params: PackParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document: ``id_col``, start, length, doc_tokens, ids (little-endian unsigned 32 bit)."""
+def tokenize_pieces(documents: DataFrame, params: PackParams, id_col: str = "doc_id", text_col: str = "text",
+                    window: Column | None = None) -> DataFrame:
+    """Pieces of every document: ``id_col``, start, length, doc_tokens, ids (little-endian unsigned 32 bit), and _window if given."""
     kind = dict(documents.dtypes)[id_col]
+    carried = [] if window is None else [window.cast("long").alias("_window")]
+    names = ["_id", "start", "length", "doc_tokens", "ids", *["_window" for _ in carried]]
     end = np.array([params.end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +165,12 @@ def tokenize_pieces(documents: DataFrame, params: PackParams, id_col: str = "doc
                         ids.append(piece.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(tokens, pa.int64()), pa.array(ids, pa.binary())], ["_id", "start", "length", "doc_tokens", "ids"])
+                     pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()), *[c.take(pa.array(row, pa.int64())) for c in batch.columns[2:]]],
+                    names)
 
-    return documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")) \
-        .mapInArrow(run, f"_id {kind}, start long, length long, doc_tokens long, ids binary").withColumnRenamed("_id", id_col)
+    return documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carried) \
+        .mapInArrow(run, f"_id {kind}, start long, length long, doc_tokens long, ids binary" + ", _window long" * len(carried)) \
+        .withColumnRenamed("_id", id_col)
 
 
 class CapacityTree:
@@ -208,9 +213,13 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 
 def pack_pieces(pieces: DataFrame, groups: int, params: PackParams, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most ``capacity`` tokens; ``groups`` groups are packed independently."""
-    dealt = pieces.withColumn("_order", F.xxhash64(F.lit(params.seed), F.col(id_col), F.col("start"), F.col("length"))) \
-        .withColumn("_group", F.pmod(F.xxhash64(F.col("_order"), F.lit(params.seed)), F.lit(groups)))
+    """Adds sequence_id and offset to pieces of at most ``capacity`` tokens; ``groups`` groups are packed independently.
+
+    Pieces that have a ``_window`` are grouped by it instead.
+    """
+    dealt = pieces.withColumn("_order", F.xxhash64(F.lit(params.seed), F.col(id_col), F.col("start"), F.col("length")))
+    dealt = dealt.withColumnRenamed("_window", "_group") if "_window" in pieces.columns else \
+        dealt.withColumn("_group", F.pmod(F.xxhash64(F.col("_order"), F.lit(params.seed)), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("_order", "ascending"), ("ids", "ascending")])
@@ -220,16 +229,26 @@ def pack_pieces(pieces: DataFrame, groups: int, params: PackParams, id_col: str
             .append_column("sequence_id", pa.array([first + b for b, _ in placed], pa.int64())) \
             .append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes if n != "_window") + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
-def pack_documents(documents: DataFrame, params: PackParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack: one row per piece with its sequence and offset."""
+def pack_documents(documents: DataFrame, params: PackParams, id_col: str = "doc_id", text_col: str = "text",
+                   position_col: str | None = None) -> DataFrame:
+    """Tokenise, cut and pack: one row per piece with its sequence and offset.
+
+    With ``position_col``, a gapless order of the documents from 0, the groups are
+    consecutive windows of that order, as many as there would be random ones, and
+    sequence ids ascend with the windows: pieces are mixed within a window only.
+    """
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
     expected = documents.select(F.sum(F.ceil((size / params.bytes_per_token + 1) / params.capacity))).first()[0] or 0
     groups = max(1, -(-int(expected) // params.group_pieces))
-    return pack_pieces(tokenize_pieces(documents, params, id_col, text_col), groups, params, id_col)
+    window = None
+    if position_col is not None:
+        each = max(1, -(-documents.count() // groups))
+        window = F.floor(F.col(position_col) / each)
+    return pack_pieces(tokenize_pieces(documents, params, id_col, text_col, window), groups, params, id_col)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -195,20 +195,20 @@ def dedup_lines_brute(docs, params):
     first, at = {}, {}
     for k, text in sorted(set(docs), key=lambda d: d[0]):
         for i, line in enumerate(text.split("\n")):
-            if len(line) >= params.min_chars:
+            if len(line) >= params.min_chars or line.strip(" \t\n\x0b\x0c\r"):
                 first.setdefault(line, (k, i))
     union = Union(first)
-    lines = sorted(first, key=len)
+    lines = sorted((x for x in first if len(x) >= params.min_chars), key=len)         # shorter ones only if equal
     for i, a in enumerate(lines):
         for b in lines[i + 1:]:
             if len(b) > len(a) + params.threshold:
                 break
             if line_dedup.within_edits([a], [b], params.threshold)[0]:
                 union.join(a, b)
-    for line in lines:
+    for line in first:
         root = union.find(line)
         at[root] = min(at.get(root, first[line]), first[line])
-    return {(k, text): [x for i, x in enumerate(text.split("\n")) if len(x) < params.min_chars or at[union.find(x)] == (k, i)] for k, text in docs}
+    return {(k, text): [x for i, x in enumerate(text.split("\n")) if x not in first or at[union.find(x)] == (k, i)] for k, text in docs}
 
 
 @pytest.mark.parametrize("small", [24, 2])
@@ -250,7 +250,11 @@ def test_short_lines_are_copies_if_equal(spark):
     long = "a line that is long enough"
     docs = [(1, f"Les.\n\n{long}\nab\n  "), (2, f"Les.\n\nac\n{long}!\n  "), (3, "Les."), (4, "é\nab\né\nLet.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup_lines(df, line_dedup.LineParams(short_copies=True)).collect()}
+    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: (docs[0][1], 0), 2: ("\nac\n  ", 2), 3: ("", 1), 4: ("é\nLet.", 2)}
-    got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(df).collect()}
-    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
+def test_no_exact_copy_of_a_line_is_left(spark):
+    texts = [r.text or "" for r in line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).collect()]
+    lines = [x for t in texts for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    assert len(lines) == len(set(lines)) > 1000
