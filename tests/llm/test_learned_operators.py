@@ -176,6 +176,52 @@ def test_recall_does_not_fall_with_the_table(spark):
         assert hits / (20 * 100) >= 0.9
 
 
+def test_share_of_entries_compared_falls(spark):
+    """More entries: neighbours are closer, prefixes longer, and a query meets a smaller share of the table."""
+    rng, share = np.random.default_rng(6), []
+    for n in (2000, 40000):
+        x = rng.standard_normal((n, 16))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        asked = F.col("vec_id") % (n // 100) == 0
+        got, compared = {}, {}
+        for r in prefix_forest.search(df, asked, prefix_forest.ForestParams(trees=32)).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+            compared[r.query_id] = r.compared
+        hits = sum(len(got[q] & {i for i, _ in brute(np.arange(n), x.astype(float), q)}) for q in got)
+        assert len(got) == 100 and hits / 2000 >= 0.9 and len(set(compared.values())) > 1       # each query ascends as far as it needs
+        share.append(np.mean(list(compared.values())) / n)
+    assert share[1] < 0.3 and share[1] < share[0] / 2
+
+
+def test_exact_search_compares_all_entries_once(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((500, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = prefix_forest.search(df, F.col("vec_id") % 20 == 0, prefix_forest.ForestParams(exact=True)).collect()
+    got = {q: [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)] for q in range(0, 500, 20)}
+    assert got == {q: [i for i, _ in brute(np.arange(500), x.astype(float), q)] for q in got} and {r.compared for r in rows} == {500}
+
+
+def test_ascent_follows_the_sorted_strings():
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 1 << 20, (3, 400)).astype(np.int64) << 43
+    counts = np.stack([np.bincount(k >> 55, minlength=256) for k in keys])
+    top = prefix_forest.ForestTop(counts, 8)
+    asked = keys[:, :50]
+    held = top.held(asked)
+    for level in range(9):
+        low, high = prefix_forest._prefix_range(asked, level)
+        want = sum(((keys[t][None, :] >= low[t][:, None]) & (keys[t][None, :] <= high[t][:, None])).sum(axis=1) for t in range(3))
+        assert (held[level] == want).all()
+    for enough in (1, 40, 900, 10 ** 9):
+        bits = top.ascent(asked, enough)
+        for q, b in enumerate(bits):
+            assert (held[b, q] >= enough or b == 0) and (b == 8 or held[b + 1, q] < enough)
+    a, b = keys[0][:100], keys[1][:100]
+    assert prefix_forest._common_bits(a, b, 8).tolist() == [next((i for i in range(8) if (int(x) ^ int(y)) >> (62 - i) & 1), 8) for x, y in zip(a, b)]
+
+
 # --- 8: packing -------------------------------------------------------------------------------------------------
 
 def test_tournament_tree_is_first_fit():
