@@ -11,9 +11,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from retainx.llm.scratch import materialize, shuffle_partitions
 
+#: log2 of the bits of the smallest bitmap: a byte for each group that marks are dealt to.
+SMALLEST = 19
+
+
+def fitting_classes(rows: DataFrame, text_col: str, classes: tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]:
+    """``classes`` with bitmaps no larger than the texts can fill: a bit or more for each byte, up to the given size."""
+    size = rows.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    most = max(width for _, width in classes)
+    spare = max(0, most - max(1, int(size)).bit_length() - 1)
+    return tuple((least, max(min(SMALLEST, width), width - spare)) for least, width in classes)
+
 
 def repeated_marks(rows: DataFrame, marks: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
                    classes: tuple[tuple[int, int], ...]) -> list[np.ndarray]:

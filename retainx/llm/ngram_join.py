@@ -25,7 +25,7 @@ other. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainx.llm.bitmaps import is_marked, repeated_marks
+from retainx.llm.bitmaps import fitting_classes, is_marked, repeated_marks
 from retainx.llm.scratch import materialize
 from retainx.llm.similarity import PairTest, similar_components
 from retainx.llm.textnp import WordHasher, distinct_by_row, mix, shingle_hashes, slices, utf8
@@ -173,7 +173,8 @@ def index_documents(documents: DataFrame, maps: Broadcast[list[np.ndarray]], par
 
 def similar_documents(documents: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    maps = documents.sparkSession.sparkContext.broadcast(frequency_bitmaps(documents, params, text_col))     # of fixed size
+    params = replace(params, classes=fitting_classes(documents, text_col, params.classes))
+    maps = documents.sparkSession.sparkContext.broadcast(frequency_bitmaps(documents, params, text_col))     # at most the size in params
     index = materialize(index_documents(documents, maps, params, id_col, text_col), "shingle-index")
     maps.destroy()
     held = index.where(F.col("entries").isNotNull())
