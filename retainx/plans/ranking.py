@@ -21,6 +21,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
+#: Ranks that a sketch can be off, as a share of the rows.
+SKETCH_ACCURACY = 10_000
+#: Up to so many values around the wanted ranks are ranked by one window a group.
+FEW_VALUES = 200_000
+
+
 def _bucket_of(value, bounds):
     """Number of sorted ``bounds`` below ``value``: a coarse search over every
     step-th bound, then a fine one within a step."""
@@ -36,8 +42,13 @@ def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[s
     smaller ``order_col``. ``df`` must hold one row per (keys, order_col).
 
     Each group is cut into ``buckets`` ranges (the number of shuffle partitions
-    of the session unless given), so the plan follows the cluster's setting."""
+    of the session unless given), so the plan follows the cluster's setting; up to
+    ``FEW_VALUES`` rows (callers keep ``df``, so that counting them is cheap) are
+    ranked by one window a group."""
     spark = df.sparkSession
+    if buckets is None and df.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        before = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sum_cols])
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if nb > 1:
         qs = [i / nb for i in range(1, nb)]
@@ -63,12 +74,6 @@ def prefix_sums(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[s
         for c in sum_cols])
 
 
-#: Ranks that a sketch can be off, as a share of the rows.
-SKETCH_ACCURACY = 10_000
-#: Up to so many values around the wanted ranks are ranked by one window a group.
-FEW_VALUES = 200_000
-
-
 def _brackets(df: DataFrame, keys: list[str], value_col: str, probs: list[float], accuracy: int) -> DataFrame:
     """One row per group: its rows, and for each of ``probs`` values surely not above and not below the wanted ones."""
     spread = 2.0 / accuracy
@@ -139,11 +144,7 @@ def _picked(values: DataFrame, keys: list[str], probs: list[float], groups: list
         *key_fields, T.StructField("prob", T.DoubleType()), T.StructField("_i", T.LongType()), T.StructField("_t", T.DoubleType())]))
     values = values.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if buckets is None and values.count() <= FEW_VALUES:
-            before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-            ranked = values.withColumn("_w_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
-        else:
-            ranked = prefix_sums(values, keys, "_v", ["_w"], buckets)
+        ranked = prefix_sums(values, keys, "_v", ["_w"], buckets)
         # targets: groups x probs rows, bounded by the number of groups.
         hit = ranked.join(targets, keys) if keys else ranked.crossJoin(targets)
         first, end = F.col("_w_before") + F.col("_gap"), F.col("_w_before") + F.col("_w")

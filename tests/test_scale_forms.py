@@ -134,9 +134,10 @@ def test_sketches_merge_in_any_order(spark):
     assert both["new"]["missing_count"] == 30_000 and both["few"]["missing_count"] == 10
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 30])
-def test_quantiles_of_many_values_shuffle_few(spark, accuracy, monkeypatch):
+@pytest.mark.parametrize("accuracy,few", [(10_000, 200_000), (10_000, 5), (30, 5)])
+def test_quantiles_of_many_values_shuffle_few(spark, accuracy, few, monkeypatch):
     monkeypatch.setattr(ranking, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(ranking, "FEW_VALUES", few)
     df = spark.range(120_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 9 == 0, F.lit(5.0)).otherwise(F.hash("id") / 7.0).alias("x"))
     local = df.toPandas()
     probs = [0.0, 0.25, 0.5, 0.75, 0.9999, 1.0]
