@@ -304,6 +304,7 @@ def validation_checks(df: DataFrame, params: Params = P, target: str | None = No
                                                       F.lit(status).cast("string").alias("status"),
                                                       msg.alias("message"))
     s_ = lambda x: x.cast("string")
+    # names, states and messages are fixed values: they must equal the application's
     items = [
         F.when(n > 0, st(1, "check", "Dataset Loaded", "passed",
                          F.concat(F.lit("Successfully loaded "), s_(n), F.lit(" rows and "), s_(cols), F.lit(" columns."))))
