@@ -189,6 +189,13 @@ def test_sparse_crosstab_has_what_occurs(spark):
     assert "CartesianProduct" not in final_plan(cells) and "BroadcastNestedLoop" not in final_plan(cells)
 
 
+def test_crosstab_of_few_classes_is_whole(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("id"), "id").alias("customer"), F.when(F.col("id") % 3 == 0, "Yes").otherwise("No").alias("t"))
+    grid = D.category_by_target(df, "t")                               # 120,000 cells: more than max_grid_cells
+    assert grid.agg(F.count(F.lit(1)), F.sum("count"), F.count_if(F.col("count") == 0)).first()[:] == (120_000, 60_000, 60_000)
+    assert "CartesianProduct" not in final_plan(grid)
+
+
 def test_samples_come_without_a_shuffle_of_all_values(spark):
     df = spark.range(50_000).select((F.lit(1e7) + F.col("id") * 3.5).alias("up"), (-F.col("id")).alias("down"), F.lpad(F.hex("id"), 8, "0").alias("text"),
                                     F.when(F.col("id") > 49_990, F.col("id")).alias("late"), F.lit(None).cast("int").alias("none"),
