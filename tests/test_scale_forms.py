@@ -194,6 +194,7 @@ def test_crosstab_of_few_classes_is_whole(spark):
     grid = D.category_by_target(df, "t")                               # 120,000 cells: more than max_grid_cells
     assert grid.agg(F.count(F.lit(1)), F.sum("count"), F.count_if(F.col("count") == 0)).first()[:] == (120_000, 60_000, 60_000)
     assert "CartesianProduct" not in final_plan(grid)
+    assert D.analysis_bundle(df, "t").where("part = 'crosstab'").count() == 120_000
 
 
 def test_samples_come_without_a_shuffle_of_all_values(spark):
