@@ -189,6 +189,34 @@ def test_sparse_crosstab_has_what_occurs(spark):
     assert "CartesianProduct" not in final_plan(cells) and "BroadcastNestedLoop" not in final_plan(cells)
 
 
+def test_split_ranks_only_rows_near_the_threshold(spark, monkeypatch):
+    seen = []
+    ranked = FE.prefix_sums
+    monkeypatch.setattr(FE, "prefix_sums", lambda df, *rest: (seen.append(df.count()), ranked(df, *rest))[1])
+    df = spark.range(80_000).select("id", F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("label"), (F.col("id") % 3000).alias("k"))
+    for cols, stratify in ((["id"], True), (["k"], True), (["id"], False)):
+        seen.clear()
+        got = FE.train_test_split(df, stratify=stratify, key_cols=cols)
+        hashed = df.withColumn("h", FE.row_hash(df, cols, 42)).toPandas()
+        second = got.select("id", "is_test").toPandas().set_index("id")["is_test"]
+        for label, n in ((1, 4000), (0, 12_000)) if stratify else ((None, 16_000),):
+            own = hashed if label is None else hashed[hashed.label == label]
+            low = own.sort_values("h").h.to_numpy()
+            assert second[own.id].sum() == n
+            assert set(own.id[own.h < low[n - 1]]) <= set(second[second].index) and not second[own.id[own.h > low[n - 1]]].any()
+        assert seen[-1] < 40, seen
+
+
+def test_bucketed_ranking_leaves_no_group_to_one_task(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"), F.lit(1).alias("w")).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as for tables beyond it
+    try:
+        plan = final_plan(ranking.prefix_sums(df, ["g"], "x", ["w"], buckets=50))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2, plan
+
+
 def test_crosstab_of_few_classes_is_whole(spark):
     df = spark.range(60_000).select(F.concat(F.lit("id"), "id").alias("customer"), F.when(F.col("id") % 3 == 0, "Yes").otherwise("No").alias("t"))
     grid = D.category_by_target(df, "t")                               # 120,000 cells: more than max_grid_cells
