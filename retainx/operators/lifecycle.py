@@ -25,6 +25,9 @@ class Link:
     parent: str
 
 
+#: Rows without a parent are dealt to so many shares of a join: their key alone would send them all to one task.
+SHARES = 1000
+
 RELATION = (
     Link("datasets", "user_id", "users"), Link("models", "user_id", "users"), Link("predictions", "user_id", "users"),
     Link("models", "dataset_id", "datasets"), Link("predictions", "dataset_id", "datasets"), Link("predictions", "model_id", "models"),
@@ -43,6 +46,13 @@ def parents_first(links: tuple[Link, ...]) -> list[str]:
     return out
 
 
+def _without(table: DataFrame, which: DataFrame, column: str, key: str) -> DataFrame:
+    """The rows whose ``column`` is not in ``which`` or null; nulls match nothing and are spread over the tasks."""
+    share = F.when(F.col(column).isNull(), F.pmod(F.xxhash64(key), F.lit(SHARES))).otherwise(F.lit(0).cast("bigint"))
+    zero = F.pmod(F.xxhash64(column), F.lit(1)).cast("bigint")         # a literal would not be kept as a key of the join
+    return table.withColumn("_share", share).join(which.withColumn("_share", zero), [column, "_share"], "left_anti").drop("_share")
+
+
 def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], links: tuple[Link, ...] = RELATION,
             key: str = "id") -> dict[str, DataFrame]:
     """What is left of every table that can lose rows when the ``roots`` (frames with an id column) go.
@@ -68,7 +78,7 @@ def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], links: tu
             continue
         kept, ids = table, []
         for column, which in doomed:
-            kept = kept.join(which, column, "left_anti")
+            kept = _without(kept, which, column, key)
             ids.append(table.join(which, column, "left_semi").select(key))
         left[name] = kept.select(*table.columns)
         if any(link.parent == name for link in links):

@@ -185,3 +185,18 @@ def test_older_models_are_neither_active_nor_best(spark):
     new = spark.createDataFrame([(1, 3, 40.0, True, True, 5), (1, 4, 30.0, False, False, 5)], schema)
     out = {r["id"]: (r["is_best"], r["is_active"]) for r in M.add_to_registry(old, new).collect()}
     assert out == {1: (False, False), 2: (True, True), 3: (True, True), 4: (False, False)}
+
+
+def test_rows_without_a_parent_are_spread(spark):
+    users = spark.range(100).select("id")
+    log = spark.range(8000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 100).alias("user_id"), F.create_map(F.lit("plan"), F.lit("x")).alias("input_data"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = LC.cascade({"users": users, "predictions": log}, {"users": users.where("id < 40")}, (LC.Link("predictions", "user_id", "users"),))["predictions"]
+        tasks = left.where("user_id IS NULL").groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+        assert left.columns == log.columns and left.where("user_id IS NOT NULL").agg(F.min("user_id"), F.count("id")).first()[:] == (40, 1200)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert tasks.sum() == 6000 and tasks.max() < 3000, tasks.tolist()
