@@ -23,6 +23,8 @@ from retainx.session import shared_dir
 
 #: A boosted score is the logistic of twice the margin.
 MARGIN_SCALE = 2.0
+#: Up to so many nodes are shipped whole to the rows; their number is bound by trees and depth, not by rows.
+MOST_SHIPPED = 1_000_000
 
 
 def node_table(spark: SparkSession, stored: str, names: list[str]) -> DataFrame:
@@ -87,15 +89,19 @@ def max_depth(nodes: DataFrame) -> int:
         depth += 1
 
 
+def _shipped(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.count() <= MOST_SHIPPED else nodes
+
+
 def descend(vectors: DataFrame, nodes: DataFrame, depth: int, key: str = "row_key", features: str = "features") -> DataFrame:
     """(key, tree, node) of the leaf that every row reaches in every tree: one join for each level.
 
-    ``vectors`` holds ``key`` and the feature vector. Rows travel with their vector;
-    the joins are on (tree, node), and the node table is small beside the rows, so
-    that the planner can ship it whole once it has measured it.
+    ``vectors`` holds ``key`` and the feature vector. Rows keep their vector; the joins
+    are on (tree, node), and the node table is shipped to the rows, which stay where
+    they are, unless it has more than ``MOST_SHIPPED`` nodes.
     """
     flat = vectors.select(key, vector_to_array(features).alias("_x"))
-    test = nodes.select("tree", "node", "feature_index", "threshold", "left_values", "left", "right")
+    test = _shipped(nodes.select("tree", "node", "feature_index", "threshold", "left_values", "left", "right"))
     at = flat.crossJoin(F.broadcast(nodes.where("node = 0").select("tree"))).withColumn("node", F.lit(0))    # one row per tree
     for _ in range(depth):
         x = F.get("_x", F.col("feature_index"))
@@ -107,7 +113,7 @@ def descend(vectors: DataFrame, nodes: DataFrame, depth: int, key: str = "row_ke
 
 def scores_by_nodes(vectors: DataFrame, nodes: DataFrame, depth: int, boosted: bool, key: str = "row_key", features: str = "features") -> DataFrame:
     """(key, score): probability of class 1, from the leaves' answers alone."""
-    leaves = descend(vectors, nodes, depth, key, features).join(nodes.select("tree", "node", "weight", "answer"), ["tree", "node"])
+    leaves = descend(vectors, nodes, depth, key, features).join(_shipped(nodes.select("tree", "node", "weight", "answer")), ["tree", "node"])
     total = leaves.groupBy(key).agg(F.sum(F.col("weight") * F.col("answer")).alias("_sum"), F.sum("weight").alias("_weight"))
     score = 1.0 / (1.0 + F.exp(-MARGIN_SCALE * F.col("_sum"))) if boosted else F.col("_sum") / F.col("_weight")
     return total.select(key, score.alias("score"))

@@ -72,3 +72,14 @@ def test_large_domains_are_joined(spark):
     out = FE.normalize_scoring_input(typed, schema)
     assert {r["id"]: r["Contract"] for r in out.collect()} == {1: "City 0042", 2: "City 0003", 3: "City 0003", 4: "elsewhere", 5: "City 0499"}
     assert "City 0042" not in out._jdf.queryExecution().optimizedPlan().expressions().toString()
+
+
+def test_nodes_are_shipped_to_the_rows(spark, trained):
+    _, _, vec = M.fit_features(V.telco(spark, SF_SMALL), "Churn", ["customerID"], QUICK)
+    nodes = TR.export_nodes(spark, trained.models["Random Forest"], trained.names).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as for forests beyond it
+    try:
+        plan = TR.descend(vec, nodes, 3, FE.ROW_KEY)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan, plan
