@@ -86,3 +86,26 @@ def test_rows_only_queries_return_their_rows(spark):
             assert q[name](spark, SF_SMALL).count() == want[name], name
         else:
             assert name == "pipeline" or name.startswith("op"), name            # these have tests of their own
+
+
+def test_fits_run_in_as_many_tasks_as_cores(spark, monkeypatch):
+    """However many files the prepared rows lie in: each task of a level merges a histogram of its own."""
+    rows = [(f"c{i}", float(i % 37), "ab"[i % 2], "Yes" if i % 3 == 0 else "No") for i in range(400)]
+    df = spark.createDataFrame(rows, "customerID string, tenure double, plan string, Churn string")
+    cores = spark.sparkContext.defaultParallelism
+    conf = {"spark.sql.shuffle.partitions": 5 * cores, "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        vec = M.fit_features(df, "Churn", ["customerID"], keep=True)[2]
+        assert vec.count() == 400 and vec.rdd.getNumPartitions() == cores
+        vec.unpersist()
+        monkeypatch.setattr(M, "TASK_VECTORS", 400 // (2 * cores))
+        vec = M.fit_features(df, "Churn", ["customerID"], keep=True)[2]
+        assert vec.count() == 400 and vec.rdd.getNumPartitions() >= 2 * cores
+        vec.unpersist()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
