@@ -71,3 +71,15 @@ def test_few_brackets_are_compared_as_many_are(spark):
         few, many = (ranking._around(df, ["g"], "x", frozen, n) for n in (len(probs), None))
         assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
         assert "exists(" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_one_file_are_scored_by_many_tasks(spark):
+    """A small compressed file is one partition however many customers it holds."""
+    df = customers(spark)
+    prep = M.prep_pipeline(FE.FeatureSchema("Churn", ["customerID"], ["tenure", "plan"], ["tenure"], ["plan"]), {}, {}).fit(df)
+    model = M.make_estimator("Logistic Regression", M.P, 400).fit(M.FE.map_target(prep.transform(df), "Churn", "Yes").withColumn("weight", F.lit(1.0)))
+    schema = FE.FeatureSchema("Churn", ["customerID"], ["tenure", "plan"], ["tenure"], ["plan"])
+    one = df.coalesce(1)
+    scored = M.score_package(one, M.PipelineModel(stages=[prep, model]), schema)
+    assert "RepartitionByExpression" in str(scored._jdf.queryExecution().optimizedPlan()) or "Repartition " in str(scored._jdf.queryExecution().optimizedPlan())
+    assert scored.count() == 400
