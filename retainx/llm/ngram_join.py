@@ -11,8 +11,8 @@ within a class need to be indexed; g follows the size of the set, which keeps
 the number of pairs linear in it. Sets that share an index entry are candidates
 and are verified exactly (``similarity``).
 
-Frequencies are counted over all documents, by 32-bit shingle hashes; which
-class a shingle is in comes from bitmaps of fixed size. Any order gives the same
+Frequencies are counted over all documents, by 40 bits of the shingle hash or
+more; which class a shingle is in comes from bitmaps of bounded size. Any order gives the same
 result, so a bitmap that fills up costs time, never a link.
 
 Defined cases: A-Z are folded, words are runs without ASCII white space; a text
@@ -70,7 +70,7 @@ def frequency_bitmaps(documents: DataFrame, params: JoinParams, text_col: str) -
     """For each class a bitmap over the leading bits of the shingle hash."""
     def marks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, h, _ in ShingleReader(params.k).read(batch.column(0)):
-            yield (h >> np.uint64(32)).astype(np.uint32)
+            yield h
 
     return repeated_marks(documents.select(F.col(text_col)), marks, params.classes)
 
