@@ -45,7 +45,7 @@ class JoinParams:
 
     k: int = 5
     percent: int = 80                   # of the union that the intersection must reach
-    classes: tuple[tuple[int, int], ...] = ((2, 27), (8, 25), (64, 23))
+    classes: tuple[tuple[int, int], ...] = ((2, 29), (8, 25), (64, 23))
 
     def overlap(self, n: np.ndarray | int) -> np.ndarray | int:
         """Shingles that a set of n shares at least with any similar one."""

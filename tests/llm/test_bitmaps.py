@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retainx.llm import bitmaps, line_dedup, ngram_join
 from retainx.llm.textnp import mix
@@ -43,3 +44,11 @@ def test_bitmaps_follow_the_texts(spark):
     small = spark.createDataFrame([("x" * 1000,)] * 3, "text string")
     assert bitmaps.fitting_classes(small, "text", ((2, 29), (8, 25), (64, 23))) == ((2, 19), (8, 19), (64, 19))
     assert bitmaps.fitting_classes(small.limit(0), "text", ((2, 16),)) == ((2, 16),)
+
+
+def test_shingle_bitmaps_grow_with_large_tables(spark):
+    """8 GB of text get four times the bits that half a GB gets, so that they do not fill up."""
+    texts = lambda n: spark.range(0, n, numPartitions=8).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    classes = ngram_join.JoinParams().classes
+    assert bitmaps.fitting_classes(texts(512), "text", classes) == ((2, 27), (8, 23), (64, 21))
+    assert bitmaps.fitting_classes(texts(8192), "text", classes) == ((2, 29), (8, 25), (64, 23))
